@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.numeric import HASH_SPAN, hash_number
+from cohortwise.session import materialize
 
 PIECE = "__piece"
 
@@ -168,7 +169,7 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str,
         hi = F.max(F.when(is_q & (F.col("side") == 1), F.col("__v")))
         pos = F.lit(float(q)) * (F.max("n_total") - 1)
         aggs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return picked.groupBy(*group).agg(*aggs)
+    return materialize(picked.groupBy(*group).agg(*aggs), "quantiles")
 
 
 def medians(df: DataFrame, group: Sequence[str], value: str, out: str = "median") -> DataFrame:

@@ -50,6 +50,45 @@ VIEWS: dict[str, str] = {
              JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "v10": """SELECT l_suppkey AS item, (l_partkey * 7) % 256 AS r, (l_orderkey * 13) % 256 AS g,
               (l_linenumber * 37 + l_partkey) % 256 AS b FROM lineitem""",
+    # Site-level measurements, accession plus two residues per feature.
+    "v12": """SELECT c.c_mktsegment AS cohort, o.o_custkey AS entity,
+              concat('NP_', replace(p.p_brand, 'Brand#', ''), ':s', CAST(p.p_size % 5 + 1 AS VARCHAR(5)), 't', CAST(p.p_size % 3 + 1 AS VARCHAR(5))) AS feature,
+              CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value
+              FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+              JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey
+              GROUP BY c.c_mktsegment, o.o_custkey,
+              concat('NP_', replace(p.p_brand, 'Brand#', ''), ':s', CAST(p.p_size % 5 + 1 AS VARCHAR(5)), 't', CAST(p.p_size % 3 + 1 AS VARCHAR(5)))""",
+    # Observed value with a second measurement of the same cell.
+    "v13": """SELECT c.c_mktsegment AS cohort, o.o_custkey AS entity, p.p_brand AS feature,
+              CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value,
+              1000 * CAST(sum(CAST(l.l_quantity AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS pred
+              FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+              JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey
+              GROUP BY c.c_mktsegment, o.o_custkey, p.p_brand""",
+    # Cluster labels of every entity over eight starts.
+    "v14": """SELECT c_mktsegment AS cohort, c_custkey AS entity, 0 AS start, CAST(floor((c_acctbal + 2000 + 0) / 2500) AS INT) % 4 AS label FROM customer 
+              UNION ALL SELECT c_mktsegment AS cohort, c_custkey AS entity, 1 AS start, CAST(floor((c_acctbal + 2000 + 700) / 2500) AS INT) % 4 AS label FROM customer 
+              UNION ALL SELECT c_mktsegment AS cohort, c_custkey AS entity, 2 AS start, CAST(floor((c_acctbal + 2000 + 1400) / 2500) AS INT) % 4 AS label FROM customer 
+              UNION ALL SELECT c_mktsegment AS cohort, c_custkey AS entity, 3 AS start, CAST(floor((c_acctbal + 2000 + 2100) / 2500) AS INT) % 4 AS label FROM customer 
+              UNION ALL SELECT c_mktsegment AS cohort, c_custkey AS entity, 4 AS start, CAST(floor((c_acctbal + 2000 + 2800) / 2500) AS INT) % 4 AS label FROM customer 
+              UNION ALL SELECT c_mktsegment AS cohort, c_custkey AS entity, 5 AS start, CAST(floor((c_acctbal + 2000 + 3500) / 2500) AS INT) % 4 AS label FROM customer 
+              UNION ALL SELECT c_mktsegment AS cohort, c_custkey AS entity, 6 AS start, CAST(floor((c_acctbal + 2000 + 4200) / 2500) AS INT) % 4 AS label FROM customer 
+              UNION ALL SELECT c_mktsegment AS cohort, c_custkey AS entity, 7 AS start, CAST(floor((c_acctbal + 2000 + 4900) / 2500) AS INT) % 4 AS label FROM customer""",
+    # Order rows carrying free-text clinical style columns.
+    "v11": """SELECT c.c_mktsegment AS cohort, o.o_custkey AS entity, o.o_orderkey AS case_id,
+              CASE o.o_orderkey % 9 WHEN 0 THEN ' Stage IIIA ' WHEN 1 THEN 'stage IV' WHEN 2 THEN 'Stage II'
+                WHEN 3 THEN 'I' WHEN 4 THEN '0' WHEN 5 THEN 'Unknown' WHEN 6 THEN 'Not Reported' WHEN 7 THEN 'Stage X' END AS stage,
+              CASE o.o_orderkey % 7 WHEN 0 THEN 'N0' WHEN 1 THEN 'n1a' WHEN 2 THEN 'NX' WHEN 3 THEN 'N2'
+                WHEN 4 THEN ' null ' WHEN 5 THEN 'N0 (i+)' END AS n_stage,
+              CASE o.o_orderkey % 5 WHEN 0 THEN 'M0' WHEN 1 THEN 'M1b' WHEN 2 THEN 'MX' WHEN 3 THEN '' END AS m_stage,
+              CASE o.o_orderkey % 6 WHEN 0 THEN 'Primary Solid Tumor' WHEN 1 THEN 'Solid Tissue NORMAL' WHEN 2 THEN 'none'
+                WHEN 3 THEN ' Metastatic ' WHEN 4 THEN 'primary tumor' END AS sample_type,
+              CASE o.o_orderkey % 8 WHEN 0 THEN 'NaN' WHEN 1 THEN 'NA' WHEN 2 THEN '' WHEN 3 THEN 'nan' WHEN 4 THEN 'inf'
+                WHEN 5 THEN 'abc' ELSE CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) AS VARCHAR(30)) END AS raw_value,
+              CASE o.o_orderkey % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' WHEN 2 THEN 'Not Reported' END AS sex,
+              CASE o.o_orderkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'Not Reported' ELSE 'no' END AS recurrence,
+              o.o_orderpriority AS priority, o.o_orderstatus AS status, o.o_totalprice AS price
+              FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
 }
 
 
