@@ -9,6 +9,7 @@ from cohortwise.plans.catalog import (  # noqa: F401
     f_selection,
     g_sets_grid,
     h_scoring,
+    i_stats,
 )
 from cohortwise.plans.registry import ORACLES, QUERIES
 

@@ -33,9 +33,9 @@ UNION ALL SELECT g.cohort, g.entity, g.feature, coalesce(est.value, m.value), tr
   LEFT JOIN (SELECT cohort, feature, avg(value) AS value FROM v2 GROUP BY 1, 2) m ON m.cohort = g.cohort AND m.feature = g.feature)"""
 
 
-@query("h1_knn_impute", _KNN + f" SELECT cohort, entity, feature, imputed, {r('value / 1e5')} AS value FROM full_m", "v2")
+@query("h1_knn_impute", _KNN + f" SELECT cohort, entity, feature, imputed, {r('ln(1 + value)')} AS value FROM full_m", "v2")
 def h1(spark: SparkSession, sf: str) -> DataFrame:
-    return im.knn_impute(materialize(_v2(spark, sf))).select("cohort", "entity", "feature", "imputed", rounded(F.col("value") / 1e5).alias("value"))
+    return im.knn_impute(materialize(_v2(spark, sf))).select("cohort", "entity", "feature", "imputed", rounded(F.log1p("value")).alias("value"))
 
 
 @query("h1_knn_impute_zscore", _KNN + f""" SELECT cohort, entity, feature, {r("coalesce((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 0)")} AS z FROM full_m WINDOW w AS (PARTITION BY cohort, feature)""", "v2")
@@ -54,12 +54,12 @@ def h2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("h3_common_feature_selection", f"""WITH s AS (SELECT cohort, feature, count(*) AS c, mad(value) AS m FROM v2 GROUP BY 1, 2), n AS (SELECT cohort, count(*) AS n FROM v1 GROUP BY 1)
-SELECT feature, {r('avg(m) / 1e4')} AS mean_mad FROM s JOIN n USING (cohort) GROUP BY feature
+SELECT feature, {r('avg(m) / 3e4')} AS mean_mad FROM s JOIN n USING (cohort) GROUP BY feature
 HAVING count(*) FILTER (WHERE c / CAST(n AS DOUBLE) >= 0.70) = (SELECT count(*) FROM n) ORDER BY avg(m) DESC, feature LIMIT 12""", "v1 v2")
 def h3(spark: SparkSession, sf: str) -> DataFrame:
     v2, v1 = materialize(_v2(spark, sf)), view(spark, sf, "v1")
     chosen = im.select_features(materialize(im.feature_statistics(v2, v1, 0.70)), v1, 12)
-    return chosen.select("feature", rounded(F.col("mean_mad") / 1e4).alias("mean_mad"))
+    return chosen.select("feature", rounded(F.col("mean_mad") / 3e4).alias("mean_mad"))
 
 
 @query("h3_common_feature_matrix")
@@ -156,11 +156,11 @@ def h9(spark: SparkSession, sf: str) -> DataFrame:
     return sc.signed_scores(_sites(spark, sf), m, 5).withColumn("value", rounded(F.col("value")))
 
 
-@query("h10_mapped_group_matrix", f"""SELECT cohort, entity, p_brand AS feature, {r('avg(value) / 1e5')} AS value FROM v12 JOIN (SELECT DISTINCT p_brand, 'NP_' || replace(p_brand, 'Brand#', '') AS acc FROM part WHERE p_brand <> 'Brand#3') ON acc = split_part(feature, ':', 1) GROUP BY 1, 2, 3""", "v12")
+@query("h10_mapped_group_matrix", f"""SELECT cohort, entity, p_brand AS feature, {r('ln(1 + avg(value))')} AS value FROM v12 JOIN (SELECT DISTINCT p_brand, 'NP_' || replace(p_brand, 'Brand#', '') AS acc FROM part WHERE p_brand <> 'Brand#3') ON acc = split_part(feature, ':', 1) GROUP BY 1, 2, 3""", "v12")
 def h10(spark: SparkSession, sf: str) -> DataFrame:
     m = table(spark, sf, "part").select(F.concat(F.lit("NP_"), F.regexp_replace("p_brand", "Brand#", "")).alias("accession"),
                                         F.when(F.col("p_brand") == "Brand#3", "").otherwise(F.col("p_brand")).alias("symbol"))
-    return sc.mapped_matrix(view(spark, sf, "v12"), m).select("cohort", "entity", "feature", rounded(F.col("value") / 1e5).alias("value"))
+    return sc.mapped_matrix(view(spark, sf, "v12"), m).select("cohort", "entity", "feature", rounded(F.log1p("value")).alias("value"))
 
 
 @query("h11_loading_projection", f"""WITH w AS (SELECT set_name AS factor, feature, weight / sum(weight) OVER (PARTITION BY set_name) AS w FROM v8 WHERE weight > 0 AND set_name IN ('PROMO', 'SMALL') AND feature IN (SELECT feature FROM v2)),
