@@ -10,6 +10,9 @@ from cohortwise.plans.catalog import (  # noqa: F401
     g_sets_grid,
     h_scoring,
     i_stats,
+    j_models,
+    k_resample,
+    l_checks,
 )
 from cohortwise.plans.registry import ORACLES, QUERIES
 
