@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortwise.functions import tails
 from cohortwise.functions.numeric import logit, ratio
 from cohortwise.operators import moments as mo
+from cohortwise.operators import newton as nt
 from cohortwise.operators import stats as st
 from cohortwise.operators.folds import stratified_kfold
 from cohortwise.operators.ordering import quantiles
@@ -59,48 +60,36 @@ def newton_fit(df: DataFrame, keys: Sequence[str], p: int, ridge: float = RIDGE,
                max_iter: int = 30, tol: float = 1e-9) -> DataFrame:
     """Penalised maximum likelihood per key; the intercept is not penalised.
 
-    Rows are ``(keys, x array, y)``. Returns ``(keys, beta, se, converged)``.
+    Rows are ``(keys, x array, y)``, best given as a written table because every
+    step reads them once. The driver holds only the state of the models (their
+    number is checked), as the steps of any iterative fit do. Returns ``(keys, beta, se, converged)``.
     Unused (all-zero) inputs keep a zero coefficient.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rate = F.least(F.greatest(F.sum(w * F.col("y")) / F.sum(w), F.lit(1e-4)), F.lit(1 - 1e-4))
     first = F.log(rate / (F.lit(1.0) - rate)) if start is None else F.lit(float(start[0]))
     init = [first] + [F.lit(0.0 if start is None else float(start[j + 1])) for j in range(p)]
-    beta = materialize(df.groupBy(*keys).agg(F.array(*init).alias("beta")), "beta")
+    spark, keys = df.sparkSession, list(keys)
+    state = nt.start_state(keys, bounded_rows(df.groupBy(*keys).agg(F.array(*init).alias("beta")), MAX_MODELS, "models"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
     m = p + 1
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pen = np.diag([0.0] + [ridge] * p)
-        for pdf in batches:
-            out = pdf[list(keys)].copy()
-            betas, ses, moves = [], [], []
-            for b, g, h in zip(pdf["beta"], pdf["g"], pdf["h"]):
-                b, g = np.asarray(b, dtype=float), np.asarray(g, dtype=float)
-                full = np.zeros((m, m))
-                full[np.triu_indices(m)] = np.asarray(h, dtype=float)
-                full = full + np.triu(full, 1).T + pen
-                inv = np.linalg.pinv(full, hermitian=True)
-                delta = inv @ (g - pen @ b)
-                delta = delta * min(1.0, 10.0 / max(np.abs(delta).max(), 1e-300))
-                betas.append(b + delta)
-                ses.append(np.sqrt(np.maximum(np.diag(inv), 0.0)))
-                moves.append(float(np.abs(delta).max()))
-            out["beta"], out["se"], out["move"] = betas, ses, moves
-            yield out
-
+    xs = [F.lit(1.0)] + [F.get("x", F.lit(i)) for i in range(p)]
     for _ in range(max_iter):
-        j = df.join(beta.select(*keys, "beta"), list(keys)).withColumn("__p", _prob(F.col("beta"), F.col("x"), p))
-        xs = [F.lit(1.0)] + [F.get("x", F.lit(i)) for i in range(p)]
+        if not len(state):
+            break
+        j = df.join(nt.frame(spark, state, keys, fields, "beta array<double>"), keys).withColumn("__e", _eta(F.col("beta"), F.col("x"), p))
+        j = j.withColumn("__p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__e"))))
         r = w * (F.col("y") - F.col("__p"))
         v = w * F.col("__p") * (F.lit(1.0) - F.col("__p"))
+        ll = F.sum(w * (F.col("y") * F.col("__e") - F.log1p(F.exp("__e")))).alias("ll")
         g = F.array(*[F.sum(r * x) for x in xs]).alias("g")
         h = F.array(*[F.sum(v * xs[a] * xs[b]) for a in range(m) for b in range(a, m)]).alias("h")
-        sums = j.groupBy(*keys).agg(F.first("beta").alias("beta"), g, h)
-        beta = materialize(sums.mapInPandas(step, f"{fields}, beta array<double>, se array<double>, move double"), "beta")
-        if (beta.agg(F.max("move")).first()[0] or 0.0) < tol:
+        sums = pd.DataFrame([x.asDict() for x in j.groupBy(*keys).agg(ll, g, h).collect()])
+        state = nt.advance(state.merge(sums, on=keys), keys, lambda row, size: np.array([0.0] + [ridge] * (size - 1)))
+        if state["move"].max() < tol:
             break
-    return beta.select(*keys, "beta", "se", (F.col("move") < F.lit(max(tol, 1e-6))).alias("converged"))
+    out = nt.frame(spark, state, keys, fields, "beta array<double>, se array<double>, move double")
+    return out.select(*keys, "beta", "se", (F.col("move") < F.lit(max(tol, 1e-6))).alias("converged"))
 
 
 def fitted(df: DataFrame, fit: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
@@ -189,6 +178,17 @@ def bootstrap_effects(df: DataFrame, p: int, term: int, draws: int, seed: int) -
     return out.select("cohort", "n_success", *vals, *ors, F.when(enough, "PASS").otherwise("WARN").alias("status"))
 
 
+def _newton_move(betas: dict[tuple, np.ndarray], c: float):
+    def move(key, part: pd.DataFrame) -> pd.DataFrame:
+        m = matrix(part.sort_values("i")["v"])
+        b = betas[tuple(key)]
+        pen = np.diag([0.0] + [1.0 / c] * (len(b) - 1))
+        d = np.linalg.solve(m[1:] + pen, m[0] - pen @ b)
+        return pd.DataFrame([{"cohort": key[0], "repeat": key[1], "fold": key[2], "beta": b + d, "move": float(np.abs(d).max())}])
+
+    return move
+
+
 def balanced_oof(df: DataFrame, folds: int, repeats: int, seed: int, max_components: int, c: float = 1.0, max_iter: int = 25, tol: float = 1e-7) -> tuple[DataFrame, DataFrame]:
     """Class-balanced penalised logistic risk, out of fold and averaged over repeats.
 
@@ -244,15 +244,8 @@ def balanced_oof(df: DataFrame, folds: int, repeats: int, seed: int, max_compone
 
         sums = mo.sum_arrays(rows.mapInPandas(partial, "cohort string, repeat int, fold int, i int, v array<double>"), ["cohort", "repeat", "fold", "i"], "v")
 
-        def newton(key, part: pd.DataFrame, now=now) -> pd.DataFrame:
-            part = part.sort_values("i")
-            m = matrix(part["v"])
-            b = now[tuple(key)]["beta"]
-            pen = np.diag([0.0] + [1.0 / c] * (len(b) - 1))
-            d = np.linalg.solve(m[1:] + pen, m[0] - pen @ b)
-            return pd.DataFrame([{"cohort": key[0], "repeat": key[1], "fold": key[2], "beta": b + d, "move": float(np.abs(d).max())}])
-
-        new = sums.groupBy("cohort", "repeat", "fold").applyInPandas(newton, "cohort string, repeat int, fold int, beta array<double>, move double").collect()
+        new = sums.groupBy("cohort", "repeat", "fold").applyInPandas(_newton_move({k: v["beta"] for k, v in now.items()}, c),
+                                                                     "cohort string, repeat int, fold int, beta array<double>, move double").collect()
         for r in new:
             specs[(r["cohort"], r["repeat"], r["fold"])]["beta"] = np.array(r["beta"])
         if max((r["move"] for r in new), default=0.0) < tol:

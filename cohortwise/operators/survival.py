@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortwise.operators import newton as nt
 from cohortwise.operators.ordering import PIECE, cut_points, default_pieces, range_piece
+from cohortwise.operators.vectors import bounded_rows
 from cohortwise.session import materialize
 
 # Penalty, event limits and confidence multiplier.
+MAX_MODELS = 20_000
 PENALTY, MIN_EVENTS, EVENTS_PER_TERM, CI_Z = 0.01, 10, 5, 1.96
 
 
@@ -40,31 +43,18 @@ def cox_fit(df: DataFrame, keys: Sequence[str], p: int, penalty: float = PENALTY
     cuts = cut_points(df, F.col("time"), pieces)
     z = [((F.get("x", F.lit(j)) - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"z{j}") for j in range(p)]
     rows = materialize(df.join(stats, list(keys)).select(*keys, "time", F.col("event").cast("int").alias("event"), "n", *z, range_piece(F.col("time"), cuts).alias(PIECE)), "risk")
-    beta = materialize(rows.groupBy(*keys).agg(F.array(*[F.lit(0.0)] * p).alias("beta"), F.max("n").alias("n")), "beta")
+    spark, keys = df.sparkSession, list(keys)
+    sizes = bounded_rows(rows.groupBy(*keys).agg(F.array(*[F.lit(0.0)] * p).alias("beta"), F.max("n").alias("n")), MAX_MODELS, "models")
+    state = nt.start_state(keys, sizes)
+    state["n"] = [r["n"] for r in sizes]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
     names = ["s0"] + [f"s1_{j}" for j in range(p)] + [f"s2_{a}_{b}" for a, b in pairs]
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[[*keys, "n"]].copy()
-            betas, ses, moves = [], [], []
-            for b, g, h, n in zip(pdf["beta"], pdf["g"], pdf["h"], pdf["n"]):
-                b, g = np.asarray(b, dtype=float), np.asarray(g, dtype=float)
-                full = np.zeros((p, p))
-                full[np.triu_indices(p)] = np.asarray(h, dtype=float)
-                full = full + np.triu(full, 1).T + n * penalty * np.eye(p)
-                inv = np.linalg.inv(full)
-                d = inv @ (g - n * penalty * b)
-                d = d * min(1.0, 2.0 / max(np.abs(d).max(), 1e-300))
-                betas.append(b + d)
-                ses.append(np.sqrt(np.maximum(np.diag(inv), 0.0)))
-                moves.append(float(np.abs(d).max()))
-            out["beta"], out["se"], out["move"] = betas, ses, moves
-            yield out
-
     for _ in range(max_iter):
-        j = rows.join(beta.select(*keys, "beta"), list(keys))
+        if not len(state):
+            break
+        j = rows.join(nt.frame(spark, state, keys, fields, "beta array<double>"), keys)
         eta = F.lit(0.0)
         for k in range(p):
             eta = eta + F.get("beta", F.lit(k)) * F.col(f"z{k}")
@@ -85,11 +75,15 @@ def cox_fit(df: DataFrame, keys: Sequence[str], p: int, penalty: float = PENALTY
         r = {n: F.col(f"in_{n}") + F.col(f"o_{n}") - part * F.col(f"dead_{n}") for n in names}
         grads = [F.sum(F.col(f"zd_{k}") / F.col("d") - r[f"s1_{k}"] / r["s0"]) for k in range(p)]
         hess = [F.sum(r[f"s2_{a}_{b}"] / r["s0"] - r[f"s1_{a}"] * r[f"s1_{b}"] / (r["s0"] * r["s0"])) for a, b in pairs]
-        sums = ev.groupBy(*keys).agg(F.first("beta").alias("beta"), F.array(*grads).alias("g"), F.array(*hess).alias("h"))
-        sums = sums.join(beta.select(*keys, "n"), list(keys))
-        beta = materialize(sums.mapInPandas(step, f"{fields}, n bigint, beta array<double>, se array<double>, move double"), "beta")
-        if (beta.agg(F.max("move")).first()[0] or 0.0) < tol:
+        # The events' own linear predictors enter once per time, shared over its tied steps.
+        own = sum((F.get("beta", F.lit(k)) * F.col(f"zd_{k}") for k in range(p)), F.lit(0.0)) / F.col("d")
+        sums = ev.groupBy(*keys).agg(F.sum(own - F.log(r["s0"])).alias("ll"), F.array(*grads).alias("g"), F.array(*hess).alias("h"))
+        got = pd.DataFrame([r.asDict() for r in sums.collect()])
+        n = state[[*keys, "n"]]
+        state = nt.advance(state.merge(got, on=keys), keys, lambda row, size: np.full(size, row.n * penalty)).merge(n, on=keys)
+        if state["move"].max() < tol:
             break
+    beta = nt.frame(spark, state, keys, fields, "beta array<double>, se array<double>, move double")
     long = beta.join(stats.drop("n"), list(keys)).select(*keys, "move", F.posexplode("beta").alias("term", "b"), "se", F.array(*[F.col(f"s{j}") for j in range(p)]).alias("sd"))
     coef, se = F.col("b") / F.get("sd", F.col("term")), F.get("se", F.col("term")) / F.get("sd", F.col("term"))
     return long.select(*keys, "term", coef.alias("coef"), se.alias("se"), (coef / se).alias("z"), F.exp(coef).alias("hazard_ratio"),
