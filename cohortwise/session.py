@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_KEY = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def build_session(app: str = "cohortwise", master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,18 +38,20 @@ def scratch_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may
     fall back to a temporary folder, since there every task sees it.
     """
-    path = spark.conf.get(_SCRATCH_KEY, None) or spark.sparkContext.getConf().get(_SCRATCH_KEY)
+    path = spark.conf.get(_SCRATCH_KEY, None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SCRATCH_KEY} to a folder that every executor can reach")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(_SCRATCH_KEY, path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local_folders[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, grouped by application for easy clean-up."""
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "stage", partition_by: list[str] | None = None) -> DataFrame:
