@@ -32,8 +32,13 @@ def stratified_kfold(df: DataFrame, group: Sequence[str], entity: str, y: str, f
     return pos.join(k, list(group)).select(*group, entity, y, "repeat", ((F.col("position") - 1) % F.col("n_folds")).cast("int").alias("fold"), "n_folds")
 
 
-def group_kfold(df: DataFrame, entity: Sequence[str], folds: int, seed: int) -> DataFrame:
-    """All rows of an entity share one fold (hash order of the distinct entities)."""
+def group_kfold(df: DataFrame, entity: Sequence[str], folds: int, seed: int, row_id: str | None = None) -> DataFrame:
+    """All rows of an entity share one fold (hash order of the distinct entities).
+
+    With a single entity the rows themselves are split, by ``row_id``.
+    """
+    if row_id is not None and df.select(*entity).distinct().limit(2).count() < 2:
+        entity = [row_id]
     ids = df.select(*entity).distinct()
     pos = hash_positions(_repeated(ids, entity, 1, seed), ["repeat"], "__h", [F.col(c) for c in entity])
     return df.join(pos.select(*entity, ((F.col("position") - 1) % folds).cast("int").alias("fold")), list(entity))

@@ -19,6 +19,8 @@ from cohortwise.session import materialize
 
 # Neighbours used for imputation.
 NEIGHBOURS = 10
+# Cells compared at once when exact distances of chosen donors are computed.
+CHUNK_CELLS = 4_000_000
 
 
 def median_fill(df: DataFrame, group: Sequence[str], value: str, fit_rows=None) -> DataFrame:
@@ -54,20 +56,23 @@ def _candidates(k: int):
             part = rough[np.ix_(rec, don)]
             keep = min(k, len(don))
             pick = np.argpartition(part, keep - 1, axis=1)[:, :keep] if keep < len(don) else np.tile(np.arange(len(don)), (len(rec), 1))
-            for row, cols_idx in zip(rec, pick):
-                d = don[cols_idx]
-                both = ma[row] & mb[d]
-                n = both.sum(axis=1)
-                diff = np.where(both, a[row] - b[d], 0.0)
-                exact = np.sqrt((diff**2).sum(axis=1) * width / np.maximum(n, 1))
+            chunk = max(1, CHUNK_CELLS // (keep * width))
+            for s in range(0, len(rec), chunk):
+                r, d = rec[s:s + chunk], don[pick[s:s + chunk]]
+                both = ma[r][:, None, :] & mb[d]
+                n = both.sum(axis=2)
+                diff = np.where(both, a[r][:, None, :] - b[d], 0.0)
+                exact = np.sqrt((diff**2).sum(axis=2) * width / np.maximum(n, 1))
                 ok = n > 0
-                out["cohort"] += [key[0]] * int(ok.sum())
-                out["entity"] += [receivers["entity"].iloc[row]] * int(ok.sum())
-                out["position"] += [j] * int(ok.sum())
-                out["donor"] += names[d[ok]].tolist()
-                out["distance"] += exact[ok].tolist()
-                out["value"] += b[d[ok], j].tolist()
-        return pd.DataFrame(out)
+                out["entity"].append(np.repeat(receivers["entity"].to_numpy()[r], keep)[ok.ravel()])
+                out["position"].append(np.full(int(ok.sum()), j))
+                out["donor"].append(names[d][ok])
+                out["distance"].append(exact[ok])
+                out["value"].append(b[d, j][ok])
+        if not out["entity"]:
+            return pd.DataFrame({c: [] for c in cols})
+        joined = {c: np.concatenate(out[c]) for c in cols if c != "cohort"}
+        return pd.DataFrame({"cohort": key[0], **joined})[cols]
 
     return run
 

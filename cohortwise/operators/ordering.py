@@ -22,25 +22,55 @@ from cohortwise.session import materialize
 PIECE = "__piece"
 
 
+# Boundaries compared one by one; more ranges come from even steps between them.
+MAX_CUTS = 256
+MAX_PIECES = 65_536
+
+
 def default_pieces(df: DataFrame) -> int:
-    return max(2, min(1000, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many ranges as the session has shuffle partitions."""
+    return max(2, min(MAX_PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def cut_points(df: DataFrame, key: Column, pieces: int) -> list[float]:
-    """At most ``pieces - 1`` boundaries of near-equal mass (one small row)."""
-    probs = [i / pieces for i in range(1, pieces)]
-    row = df.agg(F.percentile_approx(key.cast("double"), probs, 20 * pieces).alias("c")).first()
+    """Boundaries of near-equal mass, first and last value included (one small row).
+
+    Quantile sketches are merged in salted groups first, so no task merges the
+    sketches of all others. They only steer the split; results do not depend on it.
+    """
+    n = min(pieces, MAX_CUTS)
+    probs = [i / n for i in range(n + 1)]
+    salt = F.pmod(F.spark_partition_id(), F.lit(max(2, min(1000, pieces)))).alias("s")
+    first = df.select(salt, key.cast("double").alias("k")).groupBy("s").agg(F.percentile_approx("k", probs, 8 * n).alias("c"))
+    row = first.select(F.explode("c").alias("k")).agg(F.percentile_approx("k", probs, 8 * n).alias("c")).first()
     return sorted(set(row["c"] or []))
 
 
-def range_piece(key: Column, cuts: Sequence[float]) -> Column:
-    """Order-preserving range number; a boundary value gets a range of its own."""
+def piece_span(cuts: Sequence[float], pieces: int) -> int:
+    """Exclusive upper bound of the numbers :func:`range_piece` gives."""
+    return (2 * len(cuts) + 2) * max(1, -(-pieces // MAX_CUTS))
+
+
+def range_piece(key: Column, cuts: Sequence[float], pieces: int = MAX_CUTS) -> Column:
+    """Order-preserving range number; a boundary value gets a range of its own.
+
+    Beyond ``MAX_CUTS`` ranges, each gap between boundaries is cut in even steps.
+    """
     k = key.cast("double")
+    sub = max(1, -(-pieces // MAX_CUTS))
+
+    def gap(i: int) -> Column:
+        base = 2 * i * sub
+        if sub == 1 or i == 0 or i == len(cuts) or not cuts[i] > cuts[i - 1]:
+            return F.lit(base)
+        step = F.floor((k - F.lit(cuts[i - 1])) * F.lit(sub / (cuts[i] - cuts[i - 1])))
+        return F.lit(base) + F.least(F.greatest(step, F.lit(0)), F.lit(sub - 1))
 
     def node(lo: int, hi: int) -> Column:
         if lo == hi:
-            base = F.lit(2 * lo)
-            return F.when(k == F.lit(cuts[lo]), F.lit(2 * lo + 1)).otherwise(base) if lo < len(cuts) else base
+            if lo == len(cuts):
+                return gap(lo)
+            return F.when(k == F.lit(cuts[lo]), F.lit((2 * lo + 1) * sub)).otherwise(gap(lo))
         mid = (lo + hi) // 2
         return F.when(k <= F.lit(cuts[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
 
@@ -51,7 +81,7 @@ def _offsets(pieces: DataFrame, group: Sequence[str], aggs: dict[str, str]) -> D
     """Exclusive running aggregate over the pieces of each group, plus totals."""
     w = Window.partitionBy(*group).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     full = Window.partitionBy(*group)
-    cols = [F.col(g) for g in group] + [F.col(PIECE)]
+    cols = [F.col(g) for g in group] + [F.col(PIECE)] + [F.col(f"__t_{name}") for name in aggs]
     for name, fn in aggs.items():
         f = getattr(F, fn)
         cols += [f(f"__t_{name}").over(w).alias(f"__o_{name}"), f(f"__t_{name}").over(full).alias(f"{name}_total")]
@@ -66,7 +96,7 @@ def running(df: DataFrame, group: Sequence[str], key: str, aggs: dict[str, str],
     one row per (group, key) first, which also removes hot tied values.
     """
     pieces = pieces or default_pieces(df)
-    df = df.withColumn(PIECE, range_piece(F.col(key), cut_points(df, F.col(key), pieces)))
+    df = df.withColumn(PIECE, range_piece(F.col(key), cut_points(df, F.col(key), pieces), pieces))
     w = (Window.partitionBy(*group, PIECE).orderBy(*(order_by or [F.col(key)]))
          .rowsBetween(Window.unboundedPreceding, -1))
     inner = df.select("*", *[getattr(F, fn)(c).over(w).alias(f"__i_{c}") for c, fn in aggs.items()])
@@ -108,10 +138,13 @@ def positions(df: DataFrame, group: Sequence[str], key: str, order_by: Sequence[
     pieces = pieces or default_pieces(df)
     sign = -1.0 if descending else 1.0
     k = F.col(key).cast("double") * F.lit(sign)
-    piece = range_piece(k, cut_points(df, k, pieces))
+    cuts = cut_points(df, k, pieces)
+    piece = range_piece(k, cuts, pieces)
     if tie_key is not None:
-        sub = range_piece(F.col(tie_key), cut_points(df, F.col(tie_key), pieces))
-        piece = piece * F.lit(4 * pieces) + F.when(piece % 2 == 1, sub).otherwise(F.lit(0))
+        ties = cut_points(df, F.col(tie_key), pieces)
+        at_boundary = F.array_contains(F.array(*[F.lit(c) for c in cuts]), k) if cuts else F.lit(False)
+        sub = range_piece(F.col(tie_key), ties, pieces)
+        piece = piece * F.lit(piece_span(ties, pieces)) + F.when(at_boundary, sub).otherwise(F.lit(0))
     return _numbered(df.withColumn(PIECE, piece), group, order_by, out)
 
 
@@ -131,7 +164,7 @@ def _numbered(df: DataFrame, group: Sequence[str], order_by: Sequence[Column], o
     return (inner.join(off, [*group, PIECE])
             .withColumn(out, F.col("__rn") + F.coalesce(F.col("__o_n"), F.lit(0)))
             .withColumnRenamed("n_total", "n_group")
-            .drop(PIECE, "__rn", "__o_n"))
+            .drop(PIECE, "__rn", "__o_n", "__t_n"))
 
 
 def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float],
@@ -143,25 +176,23 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: dict[str,
     """
     pieces = pieces or default_pieces(df)
     rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
-    rows = rows.withColumn(PIECE, range_piece(F.col("__v"), cut_points(rows, F.col("__v"), pieces)))
+    rows = rows.withColumn(PIECE, range_piece(F.col("__v"), cut_points(rows, F.col("__v"), pieces), pieces))
     sizes = rows.groupBy(*group, PIECE).agg(F.count(F.lit(1)).alias("__t_n"))
-    spans = (_offsets(sizes, group, {"n": "sum"}).join(sizes, [*group, PIECE])
-             .withColumn("__lo", F.coalesce(F.col("__o_n"), F.lit(0))))
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), which.alias("idx"), F.lit(side).alias("side"))
+    spans = _offsets(sizes, group, {"n": "sum"}).withColumn("__lo", F.coalesce(F.col("__o_n"), F.lit(0)))
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("name"), (which - F.col("__lo")).alias("idx"), F.lit(side).alias("side"))
         for name, q in probs.items()
         for side, which in ((0, F.floor(F.lit(float(q)) * (F.col("n_total") - 1))),
                             (1, F.ceil(F.lit(float(q)) * (F.col("n_total") - 1))))
-    ]))
-    targets = (spans.select(*group, PIECE, "__lo", "__t_n", "n_total", wanted.alias("w"))
-               .where((F.col("w.idx") >= F.col("__lo")) & (F.col("w.idx") < F.col("__lo") + F.col("__t_n")))
-               .select(*group, PIECE, "__lo", "n_total", "w.name", "w.idx", "w.side"))
-    hit = targets.select(*group, PIECE).distinct()
-    counted = rows.join(hit, [*group, PIECE], "left_semi").groupBy(*group, PIECE, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    ])
+    inside = F.filter(wanted, lambda a: (a["idx"] >= 0) & (a["idx"] < F.col("__t_n")))
+    targets = spans.select(*group, PIECE, "n_total", inside.alias("__w")).where(F.size("__w") > 0)
+    counted = (rows.join(targets, [*group, PIECE]).groupBy(*group, PIECE, "__v")
+               .agg(F.count(F.lit(1)).alias("__c"), F.first("__w").alias("__w"), F.first("n_total").alias("n_total")))
     w = Window.partitionBy(*group, PIECE).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("__b", F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    picked = (targets.join(counted, [*group, PIECE])
-              .where((F.col("idx") - F.col("__lo") >= F.col("__b")) & (F.col("idx") - F.col("__lo") < F.col("__b") + F.col("__c"))))
+    picked = (counted.select(*group, "n_total", "__v", "__b", "__c", F.inline("__w"))
+              .where((F.col("idx") >= F.col("__b")) & (F.col("idx") < F.col("__b") + F.col("__c"))))
     aggs = []
     for name, q in probs.items():
         is_q = F.col("name") == name

@@ -15,6 +15,7 @@ from cohortwise.functions.text import feature_accession, feature_sites
 from cohortwise.operators.ordering import medians, quantiles
 from cohortwise.operators.selection import best_row, top_per_group
 from cohortwise.operators.windows import zscore_population, zscore_sample
+from cohortwise.session import materialize
 
 KEYS = ["cohort", "entity"]
 # Overlap limits, signature size, significance and relevance cuts.
@@ -151,7 +152,8 @@ def signature_scores(df: DataFrame, label: str, size: int = SIGNATURE_SIZE, thre
     train = raw.where(F.col(label).isNotNull())
     stats = train.groupBy("cohort").agg(F.avg("raw").alias("m"), F.stddev_samp("raw").alias("s"))
     sd = F.when(F.col("s") > 1e-12, F.col("s")).otherwise(F.lit(1.0))
-    z = raw.join(stats, "cohort").select(*KEYS, label, ((F.col("raw") - F.col("m")) / sd).alias("score_z"))
+    # Written once: the cut-off is compared with the very numbers it was taken from.
+    z = materialize(raw.join(stats, "cohort").select(*KEYS, label, ((F.col("raw") - F.col("m")) / sd).alias("score_z")), "signature")
     cut = quantiles(z.where(F.col(label).isNotNull()), ["cohort"], "score_z", {"cutoff": threshold})
     return z.join(cut, "cohort").withColumn("high", F.col("score_z") >= F.col("cutoff"))
 

@@ -33,9 +33,9 @@ def correlation(a: str, b: str, min_n: int = MIN_N, eps: float = 1e-12) -> Colum
     return F.when(ok, ratio(F.covar_pop(x, y), sx * sy))
 
 
-def pearson(df: DataFrame, group: Sequence[str], a: str, b: str, out: str = "pearson") -> DataFrame:
+def pearson(df: DataFrame, group: Sequence[str], a: str, b: str, out: str = "pearson", min_n: int = MIN_N) -> DataFrame:
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    return df.groupBy(*group).agg(F.count_if(both).alias("n"), correlation(a, b).alias(out))
+    return df.groupBy(*group).agg(F.count_if(both).alias("n"), correlation(a, b, min_n).alias(out))
 
 
 def spearman(df: DataFrame, group: Sequence[str], a: str, b: str, out: str = "spearman", min_n: int = MIN_N) -> DataFrame:

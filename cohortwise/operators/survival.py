@@ -42,7 +42,7 @@ def cox_fit(df: DataFrame, keys: Sequence[str], p: int, penalty: float = PENALTY
     pieces = default_pieces(df)
     cuts = cut_points(df, F.col("time"), pieces)
     z = [((F.get("x", F.lit(j)) - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"z{j}") for j in range(p)]
-    rows = materialize(df.join(stats, list(keys)).select(*keys, "time", F.col("event").cast("int").alias("event"), "n", *z, range_piece(F.col("time"), cuts).alias(PIECE)), "risk")
+    rows = materialize(df.join(stats, list(keys)).select(*keys, "time", F.col("event").cast("int").alias("event"), "n", *z, range_piece(F.col("time"), cuts, pieces).alias(PIECE)), "risk")
     spark, keys = df.sparkSession, list(keys)
     sizes = bounded_rows(rows.groupBy(*keys).agg(F.array(*[F.lit(0.0)] * p).alias("beta"), F.max("n").alias("n")), MAX_MODELS, "models")
     state = nt.start_state(keys, sizes)

@@ -62,12 +62,24 @@ def h3(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("feature", rounded(F.col("mean_mad") / 3e4).alias("mean_mad"))
 
 
-@query("h3_common_feature_matrix")
+_CHOSEN = """sel AS (SELECT feature FROM (SELECT cohort, feature, count(*) AS c, mad(value) AS m FROM v2 GROUP BY 1, 2) JOIN (SELECT cohort, count(*) AS n FROM v1 GROUP BY 1) n USING (cohort)
+GROUP BY feature HAVING count(*) FILTER (WHERE c / CAST(n AS DOUBLE) >= 0.70) = (SELECT count(DISTINCT cohort) FROM v1) ORDER BY avg(m) DESC, feature LIMIT 12),
+v2s AS (SELECT v2.* FROM v2 WHERE feature IN (SELECT feature FROM sel))"""
+_KNN_CHOSEN = f"WITH {_CHOSEN}, " + _KNN[5:].replace("v2", "v2s")
+
+
+@query("h3_common_feature_matrix", _KNN_CHOSEN + f""" SELECT cohort, entity, feature, imputed, {r("coalesce((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 0)")} AS z FROM full_m WINDOW w AS (PARTITION BY cohort, feature)""", "v1 v2")
 def h3_matrix(spark: SparkSession, sf: str) -> DataFrame:
     z, _ = im.common_feature_matrix(_v2(spark, sf), view(spark, sf, "v1"), 0.70, 12)
     return z.select("cohort", "entity", "feature", "imputed", rounded(F.col("z")).alias("z"))
 
 
+@query("h3_feature_quality_rows", f"""WITH {_CHOSEN} SELECT cohort, count(DISTINCT entity) AS samples, count(DISTINCT feature) AS features_selected,
+round(1 - count(*) / CAST(count(DISTINCT entity) * count(DISTINCT feature) AS DOUBLE), 6) AS imputed_fraction FROM v2s GROUP BY 1""", "v1 v2")
+def h3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return im.common_feature_matrix(_v2(spark, sf), view(spark, sf, "v1"), 0.70, 12)[1]
+
+
 _SETS = "s AS (SELECT set_name, upper(feature) AS feature, weight FROM v8)"
 
 

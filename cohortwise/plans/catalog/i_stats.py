@@ -103,7 +103,7 @@ u AS (SELECT g.*, tie, rs - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n0 / 12 * ((n1 + n
 """
 
 
-@query("i9_mann_whitney", _MW.format(v="score", t="v6b") + f"SELECT cohort, n1::BIGINT AS n1, n0::BIGINT AS n0, u, {r('(abs(u - n1 * n0 / 2) - 0.5) / sd')} AS z FROM u", "v6b")
+@query("i9_mann_whitney", _MW.format(v="score", t="v6b") + f"SELECT cohort, n1::BIGINT AS n1, n0::BIGINT AS n0, CASE WHEN n1 > 0 AND n0 > 0 THEN u END AS u, CASE WHEN n1 > 0 AND n0 > 0 THEN {r('(abs(u - n1 * n0 / 2) - 0.5) / sd')} END AS z FROM u", "v6b")
 def i9(spark: SparkSession, sf: str) -> DataFrame:
     return _r(st.mann_whitney(view(spark, sf, "v6b"), ["cohort"], "score", "y", with_p=False), "z")
 

@@ -47,6 +47,13 @@ def l2(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("l2_target_choice", """SELECT factor AS target FROM (SELECT factor, avg(r) AS m FROM (SELECT v2.cohort, feature AS factor, corr(value, y) AS r FROM v2 JOIN v6 ON v6.entity = v2.entity GROUP BY 1, 2) GROUP BY 1) ORDER BY m DESC, factor LIMIT 1""", "v2 v6")
+def l2_target(spark: SparkSession, sf: str) -> DataFrame:
+    t = view(spark, sf, "v2").join(view(spark, sf, "v6").select("entity", "y"), "entity")
+    tests = t.groupBy("cohort", F.col("feature").alias("factor")).agg(F.corr("value", F.col("y").cast("double")).alias("r"), F.lit(1.0).alias("p"))
+    return spark.createDataFrame([(ck.choose_target(sc.direction_table(materialize(tests, "tests"))),)], "target string")
+
+
 @query("l3_expected_counts", """SELECT coalesce(a.k, b.k) AS nation, coalesce(a.n, 0) AS observed, coalesce(b.e, 0) AS expected, CASE WHEN coalesce(a.n, 0) = coalesce(b.e, 0) THEN 'PASS' ELSE 'FAIL' END AS status
 FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT n_nationkey + 1 AS k, 60::BIGINT AS e FROM nation) b ON a.k = b.k""")
 def l3(spark: SparkSession, sf: str) -> DataFrame:

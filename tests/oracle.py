@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -78,7 +79,7 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[0]
     pick = argv[1:]
-    spark = build_session()
+    spark = build_session(partitions=int(os.environ.get("CHECK_PARTITIONS", "8")))
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
     bad = 0

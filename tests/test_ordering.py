@@ -43,12 +43,26 @@ def test_pieces_bound_the_hot_group(skewed):
     _, df = skewed
     known = df.where("v IS NOT NULL")
     cuts = od.cut_points(known, F.col("v"), 16)
-    sub = od.range_piece(F.col("id"), od.cut_points(known, F.col("id"), 16))
-    piece = od.range_piece(F.col("v"), cuts)
+    sub = od.range_piece(F.col("id"), od.cut_points(known, F.col("id"), 16), 16)
+    piece = od.range_piece(F.col("v"), cuts, 16)
     sizes = known.withColumn("p", piece).withColumn("s", F.when(F.col("p") % 2 == 1, sub).otherwise(0)).groupBy("g", "p", "s").count()
     assert sizes.agg(F.max("count")).first()[0] <= 3 * 3000 / 16
 
 
+def test_many_pieces_keep_the_order(skewed):
+    pdf, df = skewed
+    known = df.where("v IS NOT NULL")
+    pieces = 4 * od.MAX_CUTS
+    cuts = od.cut_points(known, F.col("id"), pieces)
+    got = known.select("id", od.range_piece(F.col("id"), cuts, pieces).alias("p")).orderBy("id").toPandas()
+    assert got["p"].is_monotonic_increasing and got["p"].nunique() > od.MAX_CUTS and got["p"].max() < od.piece_span(cuts, pieces)
+    pos = od.positions(known, ["g"], "v", [F.col("v"), F.col("id")], tie_key="id", pieces=pieces).toPandas().sort_values("id")
+    want = pdf.dropna().sort_values(["v", "id"]).groupby("g").cumcount().sort_index() + 1
+    assert pos["position"].tolist() == want.tolist()
+    med = od.quantiles(df, ["g"], "v", {"m": 0.5}, pieces=pieces).toPandas().set_index("g").sort_index()
+    np.testing.assert_allclose(med["m"], pdf.dropna().groupby("g")["v"].median().sort_index())
+
+
 def test_hash_positions_match_sort(skewed):
     pdf, df = skewed
     got = od.hash_positions(df.withColumn("h", F.md5(F.col("id").cast("string"))), ["g"], "h", [F.col("id")]).toPandas()
