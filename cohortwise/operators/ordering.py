@@ -11,6 +11,7 @@ balance the work: they are approximate, the results are exact.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +23,10 @@ from cohortwise.session import materialize
 PIECE = "__piece"
 
 
-# Boundaries compared one by one; more ranges come from even steps between them.
-MAX_CUTS = 256
+# Boundaries used at most; more ranges come from even steps between them. Up to
+# TREE_CUTS are compared by a nested condition, more by binary search.
+TREE_CUTS = 32
+MAX_CUTS = 4096
 MAX_PIECES = 65_536
 
 
@@ -41,8 +44,8 @@ def cut_points(df: DataFrame, key: Column, pieces: int) -> list[float]:
     n = min(pieces, MAX_CUTS)
     probs = [i / n for i in range(n + 1)]
     salt = F.pmod(F.spark_partition_id(), F.lit(max(2, min(1000, pieces)))).alias("s")
-    first = df.select(salt, key.cast("double").alias("k")).groupBy("s").agg(F.percentile_approx("k", probs, 8 * n).alias("c"))
-    row = first.select(F.explode("c").alias("k")).agg(F.percentile_approx("k", probs, 8 * n).alias("c")).first()
+    first = df.select(salt, key.cast("double").alias("k")).groupBy("s").agg(F.percentile_approx("k", probs, max(1000, 2 * n)).alias("c"))
+    row = first.select(F.explode("c").alias("k")).agg(F.percentile_approx("k", probs, max(1000, 2 * n)).alias("c")).first()
     return sorted(set(row["c"] or []))
 
 
@@ -51,20 +54,21 @@ def piece_span(cuts: Sequence[float], pieces: int) -> int:
     return (2 * len(cuts) + 2) * max(1, -(-pieces // MAX_CUTS))
 
 
-def range_piece(key: Column, cuts: Sequence[float], pieces: int = MAX_CUTS) -> Column:
+def range_piece(key: Column, cuts: Sequence[float], pieces: int = 1) -> Column:
     """Order-preserving range number; a boundary value gets a range of its own.
 
     Beyond ``MAX_CUTS`` ranges, each gap between boundaries is cut in even steps.
     """
     k = key.cast("double")
     sub = max(1, -(-pieces // MAX_CUTS))
+    if len(cuts) > TREE_CUTS:
+        return _searched_piece(k, cuts, sub)
 
     def gap(i: int) -> Column:
         base = 2 * i * sub
-        if sub == 1 or i == 0 or i == len(cuts) or not cuts[i] > cuts[i - 1]:
+        if sub == 1 or i == 0 or i == len(cuts):
             return F.lit(base)
-        step = F.floor((k - F.lit(cuts[i - 1])) * F.lit(sub / (cuts[i] - cuts[i - 1])))
-        return F.lit(base) + F.least(F.greatest(step, F.lit(0)), F.lit(sub - 1))
+        return F.lit(base) + _even_step(k, F.lit(cuts[i - 1]), F.lit(cuts[i]), sub)
 
     def node(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -77,6 +81,26 @@ def range_piece(key: Column, cuts: Sequence[float], pieces: int = MAX_CUTS) -> C
     return node(0, len(cuts)).cast("bigint")
 
 
+def _even_step(k: Column, lo: Column, hi: Column, sub: int) -> Column:
+    step = F.floor(F.try_divide((k - lo) * F.lit(float(sub)), hi - lo))
+    return F.coalesce(F.least(F.greatest(step, F.lit(0)), F.lit(sub - 1)), F.lit(0))
+
+
+def _searched_piece(k: Column, cuts: Sequence[float], sub: int) -> Column:
+    """Binary search in a constant array: about log2(cuts) comparisons per row."""
+    n = len(cuts)
+    arr = F.from_json(F.lit(json.dumps([float(c) for c in cuts])), "array<double>")
+    jumps = F.array(*[F.lit(2**b) for b in reversed(range(n.bit_length()))])
+    below = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when((at + jump <= n) & (k > F.get(arr, at + jump - 1)), at + jump).otherwise(at))
+
+    def number(i: Column) -> Column:
+        inner = F.lit(0) if sub == 1 else F.when((i > 0) & (i < n), _even_step(k, F.get(arr, i - 1), F.get(arr, i), sub)).otherwise(F.lit(0))
+        at = F.coalesce(k == F.get(arr, i), F.lit(False))
+        return F.when(at, (2 * i + 1) * sub).otherwise(2 * i * sub + inner).cast("bigint")
+
+    return F.get(F.transform(F.array(below), number), F.lit(0))
+
+
 def _offsets(pieces: DataFrame, group: Sequence[str], aggs: dict[str, str]) -> DataFrame:
     """Exclusive running aggregate over the pieces of each group, plus totals."""
     w = Window.partitionBy(*group).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
@@ -142,7 +166,7 @@ def positions(df: DataFrame, group: Sequence[str], key: str, order_by: Sequence[
     piece = range_piece(k, cuts, pieces)
     if tie_key is not None:
         ties = cut_points(df, F.col(tie_key), pieces)
-        at_boundary = F.array_contains(F.array(*[F.lit(c) for c in cuts]), k) if cuts else F.lit(False)
+        at_boundary = F.array_contains(F.from_json(F.lit(json.dumps([float(c) for c in cuts])), "array<double>"), k) if cuts else F.lit(False)
         sub = range_piece(F.col(tie_key), ties, pieces)
         piece = piece * F.lit(piece_span(ties, pieces)) + F.when(at_boundary, sub).otherwise(F.lit(0))
     return _numbered(df.withColumn(PIECE, piece), group, order_by, out)

@@ -49,13 +49,16 @@ def test_pieces_bound_the_hot_group(skewed):
     assert sizes.agg(F.max("count")).first()[0] <= 3 * 3000 / 16
 
 
-def test_many_pieces_keep_the_order(skewed):
+@pytest.mark.parametrize("limit", [4096, 64, 16])
+def test_many_pieces_keep_the_order(skewed, monkeypatch, limit):
+    """Binary search, binary search with even steps, nested conditions with even steps."""
+    monkeypatch.setattr(od, "MAX_CUTS", limit)
     pdf, df = skewed
     known = df.where("v IS NOT NULL")
-    pieces = 4 * od.MAX_CUTS
+    pieces = 256
     cuts = od.cut_points(known, F.col("id"), pieces)
     got = known.select("id", od.range_piece(F.col("id"), cuts, pieces).alias("p")).orderBy("id").toPandas()
-    assert got["p"].is_monotonic_increasing and got["p"].nunique() > od.MAX_CUTS and got["p"].max() < od.piece_span(cuts, pieces)
+    assert got["p"].is_monotonic_increasing and got["p"].nunique() > 128 and got["p"].max() < od.piece_span(cuts, pieces)
     pos = od.positions(known, ["g"], "v", [F.col("v"), F.col("id")], tie_key="id", pieces=pieces).toPandas().sort_values("id")
     want = pdf.dropna().sort_values(["v", "id"]).groupby("g").cumcount().sort_index() + 1
     assert pos["position"].tolist() == want.tolist()
