@@ -66,9 +66,9 @@ def matrix_health(df: DataFrame, feature: Sequence[str], value: str) -> DataFram
     per = df.groupBy(*feature).agg(F.count(F.lit(1)).alias("n"), F.count(finite_v).alias("n_finite"), F.abs(F.avg(finite_v)).alias("abs_mean"),
                                    F.min(finite_v).alias("lo"), F.max(finite_v).alias("hi"))
     one = per.agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("cells"), (F.sum("n") - F.sum("n_finite")).alias("non_finite"),
-                  F.count_if(F.col("lo") == F.col("hi")).alias("constant_features"), F.max("abs_mean").alias("max_abs_mean"), F.min("lo").alias("min_value")).withColumn("k", F.lit(1))
-    p95 = quantiles(per.withColumn("k", F.lit(1)).select("k", "abs_mean"), ["k"], "abs_mean", {"p95_abs_mean": 0.95})
-    return one.join(p95, "k").drop("k")
+                  F.count_if(F.col("lo") == F.col("hi")).alias("constant_features"), F.max("abs_mean").alias("max_abs_mean"), F.min("lo").alias("min_value"))
+    p95 = quantiles(per.select("abs_mean"), [], "abs_mean", {"p95_abs_mean": 0.95})
+    return one.withColumn("p95_abs_mean", p95.scalar())
 
 
 def manifest_completeness(df: DataFrame, group: Sequence[str], present: Column, size: Column) -> DataFrame:

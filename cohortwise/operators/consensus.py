@@ -26,10 +26,10 @@ def dispersion(labels: DataFrame, entity: str = "entity", start: str = "start",
     left = vec.select("labels", F.explode("labels").alias("a"))
     cells = (left.select("a", F.explode("labels").alias("b"))
              .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
-    n = vec.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("labels")).alias("s")).withColumn("k", F.lit(1))
-    sums = cells.agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"),
-                     F.sum(F.when(F.col("a") == F.col("b"), F.col("c").cast("double") * F.col("c")).otherwise(F.lit(0.0))).alias("lin")).withColumn("k", F.lit(1))
-    j = n.join(sums, "k")
+    size = vec.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max(F.size("labels")).alias("s")).alias("v")).scalar()
+    sq = F.col("c").cast("double") * F.col("c")
+    j = cells.agg(F.sum(sq).alias("sq"), F.sum(F.when(F.col("a") == F.col("b"), sq).otherwise(F.lit(0.0))).alias("lin")).withColumn("v", size)
+    j = j.select("sq", "lin", "v.n", "v.s")
     # Ordered distinct pairs: remove the n diagonal entries, each with c = 1.
     pairs = F.col("n").cast("double") * (F.col("n") - 1)
     s = F.col("s").cast("double")

@@ -198,10 +198,9 @@ def balanced_multiplicities(df: DataFrame, starts: int, seed: int) -> DataFrame:
 def rank_stability(labels: DataFrame, final: DataFrame) -> DataFrame:
     """Consensus statistics of one rank: dispersion, silhouette, within/between."""
     a = cs.cluster_agreement(labels, final)
-    one = cs.dispersion(labels).withColumn("k", F.lit(1))
-    sil = cs.silhouette(a).agg(F.avg("silhouette").alias("silhouette")).withColumn("k", F.lit(1))
-    wb = cs.within_between(a).withColumn("k", F.lit(1))
-    return one.join(sil, "k").join(wb, "k").drop("k")
+    sil = cs.silhouette(a).agg(F.avg("silhouette").alias("s")).scalar()
+    wb = cs.within_between(a).select(F.struct("within_mean", "between_mean", "margin").alias("w")).scalar()
+    return cs.dispersion(labels).withColumn("silhouette", sil).withColumn("w", wb).select("*", "w.within_mean", "w.between_mean", "w.margin").drop("w")
 
 
 def choose_rank(stability: DataFrame) -> DataFrame:
@@ -209,12 +208,11 @@ def choose_rank(stability: DataFrame) -> DataFrame:
 
     Needs ``rank, mean_error, stability, silhouette, margin``; missing parts count 0.
     """
-    s = stability.withColumn("k", F.lit(1))
-    lim = s.groupBy("k").agg(F.max("mean_error").alias("eh"), F.min("mean_error").alias("el"), F.max("rank").alias("rh"), F.min("rank").alias("rl"))
-    err = (F.col("eh") - F.col("mean_error")) / (F.col("eh") - F.col("el") + 1e-12)
-    pen = (F.col("rank") - F.col("rl")) / (F.col("rh") - F.col("rl") + 1e-12)
+    lim = stability.agg(F.struct(F.max("mean_error").alias("eh"), F.min("mean_error").alias("el"), F.max("rank").alias("rh"), F.min("rank").alias("rl")).alias("l")).scalar()
+    err = (F.col("l.eh") - F.col("mean_error")) / (F.col("l.eh") - F.col("l.el") + 1e-12)
+    pen = (F.col("rank") - F.col("l.rl")) / (F.col("l.rh") - F.col("l.rl") + 1e-12)
     zero = F.lit(0.0)
     score = (W_STABILITY * F.coalesce("stability", zero) + W_SILHOUETTE * F.coalesce("silhouette", zero) + W_MARGIN * F.coalesce("margin", zero) + W_ERROR * err - W_RANK * pen)
-    out = s.join(lim, "k").withColumn("selection_score", score)
-    best = out.groupBy("k").agg(F.min(F.struct((-F.col("selection_score")).alias("s"), F.col("rank").alias("r")))["r"].alias("best"))
-    return out.join(best, "k").withColumn("chosen", F.col("rank") == F.col("best")).select(*stability.columns, "selection_score", "chosen")
+    out = stability.withColumn("l", lim).withColumn("selection_score", score).drop("l")
+    best = out.agg(F.min(F.struct((-F.col("selection_score")).alias("s"), F.col("rank").alias("r")))["r"].alias("best")).scalar()
+    return out.withColumn("chosen", F.col("rank") == best).select(*stability.columns, "selection_score", "chosen")

@@ -183,8 +183,8 @@ def direction_table(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
     g = tests.groupBy("factor").agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n_cohorts"), F.min("p").alias("min_p"),
                                     F.coalesce(F.bool_or(pos & sig), F.lit(False)).alias("strict_adverse"),
                                     F.coalesce(F.bool_or(neg & sig), F.lit(False)).alias("strict_protective"))
-    any_ = g.agg(F.bool_or("strict_adverse").alias("any_adverse"), F.bool_or("strict_protective").alias("any_protective")).withColumn("k", F.lit(1))
-    j = g.withColumn("k", F.lit(1)).join(any_, "k").drop("k")
+    any_ = g.agg(F.struct(F.bool_or("strict_adverse").alias("adverse"), F.bool_or("strict_protective").alias("protective")).alias("a")).scalar()
+    j = g.withColumn("a", any_).select("*", F.col("a.adverse").alias("any_adverse"), F.col("a.protective").alias("any_protective"))
     adverse = F.when(F.col("any_adverse"), F.col("strict_adverse")).otherwise(F.col("mean_r") > 0)
     protective = F.when(F.col("any_protective"), F.col("strict_protective")).otherwise(F.col("mean_r") < 0)
     return j.select("factor", "mean_r", "n_cohorts", "min_p", "strict_adverse", "strict_protective", adverse.alias("adverse"), protective.alias("protective"))

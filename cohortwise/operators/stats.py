@@ -142,8 +142,8 @@ def wilcoxon_greater(df: DataFrame, group: Sequence[str], a: str, b: str, with_p
 def count_enrichment(df: DataFrame, cluster: str, flag: str, with_p: bool = True) -> DataFrame:
     """2x2 counts of each cluster against all other rows, flagged versus not."""
     c = df.groupBy(cluster).agg(F.count_if(F.col(flag)).alias("a"), F.count_if(~F.col(flag)).alias("c"))
-    tot = c.agg(F.sum("a").alias("ta"), F.sum("c").alias("tc")).withColumn("k", F.lit(1))
-    t = c.withColumn("k", F.lit(1)).join(tot, "k").select(cluster, "a", (F.col("ta") - F.col("a")).alias("b"), "c", (F.col("tc") - F.col("c")).alias("d"))
+    tot = c.agg(F.struct(F.sum("a").alias("a"), F.sum("c").alias("c")).alias("t")).scalar()
+    t = c.withColumn("t", tot).select(cluster, "a", (F.col("t.a") - F.col("a")).alias("b"), "c", (F.col("t.c") - F.col("c")).alias("d"))
     t = t.withColumn("odds_ratio", ratio(F.col("a") * F.col("d"), F.col("b") * F.col("c")))
     if not with_p:
         return t
@@ -175,14 +175,10 @@ def adjusted_rand(df: DataFrame, group: Sequence[str], a: str, b: str) -> DataFr
         return c * (c - 1) / F.lit(2.0)
 
     cells = df.groupBy(*group, a, b).agg(F.count(F.lit(1)).alias("c"))
-    both = cells.groupBy(*group).agg(F.sum(pairs(F.col("c"))).alias("s"), F.sum("c").alias("n"))
-    sides = [cells.groupBy(*group, x).agg(F.sum("c").alias("c")).groupBy(*group).agg(F.sum(pairs(F.col("c"))).alias(f"s_{i}")) for i, x in enumerate((a, b))]
-    if group:
-        j = both.join(sides[0], list(group)).join(sides[1], list(group))
-    else:
-        j = both.withColumn("k", F.lit(1))
-        for s in sides:
-            j = j.join(s.withColumn("k", F.lit(1)), "k")
+    j = cells.groupBy(*group).agg(F.sum(pairs(F.col("c"))).alias("s"), F.sum("c").alias("n"))
+    for i, x in enumerate((a, b)):
+        side = cells.groupBy(*group, x).agg(F.sum("c").alias("c")).groupBy(*group).agg(F.sum(pairs(F.col("c"))).alias(f"s_{i}"))
+        j = j.join(side, list(group)) if group else j.withColumn(f"s_{i}", side.scalar())
     expected = F.try_divide(F.col("s_0") * F.col("s_1"), pairs(F.col("n")))
     top = (F.col("s_0") + F.col("s_1")) / 2
     return j.select(*group, "n", F.coalesce(F.try_divide(F.col("s") - expected, top - expected), F.lit(1.0)).alias("ari"))
