@@ -31,7 +31,7 @@ def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], extra:
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank: str | None = "rank") -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
     out = df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= k)
-    return out.withColumnRenamed("__rn", rank) if rank else out.drop("__rn")
+    return (out.withColumn(rank, F.col("__rn").cast("bigint")) if rank else out).drop("__rn")
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], item: str, n: int, seed: int) -> DataFrame:

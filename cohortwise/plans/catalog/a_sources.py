@@ -222,7 +222,7 @@ SELECT bag, item, i AS position, {r('CAST(embedding[i + 1] AS DOUBLE)')} AS valu
 FROM v5, (SELECT unnest(range(0, 64)) AS i)""", "v5")
 def a13(spark: SparkSession, sf: str) -> DataFrame:
     stored = materialize(view(spark, sf, "v5"), "vectors", partition_by=["cohort"])
-    return stored.select("bag", "item", F.posexplode("embedding").alias("position", "v")).select("bag", "item", "position", rounded(F.col("v")).alias("value"))
+    return stored.select("bag", "item", F.posexplode("embedding").alias("position", "v")).select("bag", "item", F.col("position").cast("bigint").alias("position"), rounded(F.col("v")).alias("value"))
 
 
 @query("a14_item_score_store", f"""

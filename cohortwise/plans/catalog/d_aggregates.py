@@ -79,7 +79,7 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _long(df: DataFrame, keys: list[str], vec: str = "x") -> DataFrame:
-    return df.select(*keys, F.posexplode(vec).alias("position", "v")).select(*keys, "position", rounded(F.col("v")).alias("value"))
+    return df.select(*keys, F.posexplode(vec).alias("position", "v")).select(*keys, F.col("position").cast("bigint").alias("position"), rounded(F.col("v")).alias("value"))
 
 
 _V5 = "(SELECT cohort, entity, bag, item, label, i AS position, CAST(embedding[i + 1] AS DOUBLE) AS v FROM v5, (SELECT unnest(range(0, 64)) AS i))"
@@ -101,7 +101,7 @@ SELECT cohort, entity, position, {r('median(v)')} AS value FROM b GROUP BY 1, 2,
 def d12(spark: SparkSession, sf: str) -> DataFrame:
     bags = ag.vector_mean(view(spark, sf, "v5"), ["cohort", "entity", "bag"], "embedding")
     m = ag.vector_median(bags.withColumnRenamed("x", "v"), ["cohort", "entity"], "v")
-    return m.select("cohort", "entity", "position", rounded(F.col("value")).alias("value"))
+    return m.select("cohort", "entity", F.col("position").cast("bigint").alias("position"), rounded(F.col("value")).alias("value"))
 
 
 @query("d13_weighted_vector_mean", f"""SELECT cohort, entity, position, {r('sum(v * greatest(label, 1)) / sum(greatest(label, 1))')} AS value FROM {_V5} GROUP BY 1, 2, 3""", "v5")
