@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import url_filter
+from cohortwise.llm import quality_rules, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -23,3 +23,9 @@ def op2(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, url_filter.RULE_SCHEMA)
     return url_filter.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    out = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -53,7 +53,7 @@ def host_intervals(rules: DataFrame) -> DataFrame:
     one = (rules.where("host > '' AND path IS NOT NULL AND verdict IN ('allow', 'block')")
            .groupBy(F.lower("host").alias("host"), "path").agg(F.max("verdict").alias("verdict")))
     entry = F.struct((-F.length("path")).alias("o"), F.col("path").alias("path"), "host", F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict"))
-    return (one.groupBy("host").agg(F.array_sort(F.collect_list(entry)).alias("paths"))
+    return (one.groupBy("host").agg(F.sort_array(F.collect_list(entry)).alias("paths"))
             .select(host_key(F.col("host")).alias("start"), "paths")
             .select("start", _last_key(F.col("start")).alias("end"), F.length("start").alias("depth"), "paths"))
 
@@ -68,7 +68,7 @@ def open_stacks(keys: DataFrame, by: list[str], intervals: DataFrame) -> DataFra
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "!"), F.lit("!")))
     member = keys.where(F.size(parts) > 1).select(*by, F.explode(prefixes).alias("start"))
     entry = F.struct((-F.col("depth")).alias("o"), F.col("paths").alias("paths"))
-    held = member.join(intervals.select("start", "depth", "paths"), "start").groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("s"))
+    held = member.join(intervals.select("start", "depth", "paths"), "start").groupBy(*by).agg(F.sort_array(F.collect_list(entry)).alias("s"))
     return held.select(*by, F.transform("s", lambda s: s.paths).alias("stack"))
 
 
@@ -121,7 +121,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", pieces: int | No
     kind = marks.schema["stack"].dataType
     cuts = materialize(cut_points(src, ["key", "tie"], pieces), "url_cuts")
     # At most `pieces` cut points: a literal of bounded size.
-    listed = cuts.agg(F.to_json(F.array_sort(F.collect_list(F.struct("key", "tie"))))).first()[0]
+    listed = cuts.agg(F.to_json(F.sort_array(F.collect_list(F.struct("key", "tie"))))).first()[0]
     sorted_cuts = F.from_json(F.lit(listed), "array<struct<key: string, tie: bigint>>")
     lowest = F.lit(-(1 << 63))
 
