@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import quality_rules, url_filter
+from cohortwise.llm import mixing, quality_rules, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -29,3 +29,9 @@ def op2(spark, sf_dir):
 def op3(spark, sf_dir):
     out = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_mixing")
+def op1(spark, sf_dir):
+    documents, _, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
