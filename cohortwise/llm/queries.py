@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import mixing, quality_rules, url_filter
+from cohortwise.llm import mixing, quality_rules, topk, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -35,3 +37,14 @@ def op3(spark, sf_dir):
 def op1(spark, sf_dir):
     documents, _, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_top_k", sql="""
+    WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+              FROM ok q JOIN ok d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
+def op6(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, scale=1024)
