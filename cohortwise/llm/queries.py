@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import mixing, quality_rules, topk, url_filter
+from cohortwise.llm import licenses, mixing, quality_rules, token_counts, topk, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -48,3 +49,15 @@ def op1(spark, sf_dir):
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""")
 def op6(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, scale=1024)
+
+
+@query("op5_token_counts")
+def op5(spark, sf_dir):
+    pieces = token_counts.read_pieces(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+
+
+@query("op10_licenses")
+def op10(spark, sf_dir):
+    out = licenses.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_notices", F.array_join("licenses", ",").alias("licenses"), F.to_json("notices").alias("notices"))
