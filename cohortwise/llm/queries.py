@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import licenses, mixing, quality_rules, token_counts, topk, url_filter
+from cohortwise.llm import cotraining, licenses, mixing, quality_rules, token_counts, topk, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -61,3 +61,9 @@ def op5(spark, sf_dir):
 def op10(spark, sf_dir):
     out = licenses.scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_notices", F.array_join("licenses", ",").alias("licenses"), F.to_json("notices").alias("notices"))
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return cotraining.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "text_score", "meta_score", "score", "kept")
