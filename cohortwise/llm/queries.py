@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import cotraining, licenses, mixing, quality_rules, token_counts, topk, url_filter
+from cohortwise.llm import cotraining, extraction, licenses, mixing, quality_rules, token_counts, topk, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -67,3 +67,8 @@ def op10(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return cotraining.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
+@query("op4_html_text")
+def op4(spark, sf_dir):
+    return extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
