@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import cotraining, extraction, licenses, mixing, quality_rules, token_counts, topk, url_filter
+from cohortwise.llm import cotraining, extraction, licenses, mixing, ngram_join, quality_rules, token_counts, topk, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -72,3 +72,8 @@ def op9(spark, sf_dir):
 @query("op4_html_text")
 def op4(spark, sf_dir):
     return extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op7_ngram_join")
+def op7(spark, sf_dir):
+    return ngram_join.group(table(spark, sf_dir, "documents"))
