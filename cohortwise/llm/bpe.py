@@ -49,6 +49,11 @@ def _numbers(values) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: lambdas have no other way to name one."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class LiteralTable:
     """Place of a key by its 64-bit hash, without collisions: place[(h >> 16) + d * step) mod m] with d per bucket of hashes."""
 
@@ -107,32 +112,35 @@ class Codec:
 
     def _rank(self, joined: Column) -> Column:
         """Rank of bytes written as hex digits, or null."""
-        i = self.table.find(F.xxhash64(joined))
-        return F.when(F.get(self.hex, i) == joined, i)
+        return _let(joined, lambda j: _let(_let(F.xxhash64(j), self.table.find), lambda i: F.when(F.get(self.hex, i) == j, i)))
+
+    def _pair(self, a: Column, b: Column) -> Column:
+        return self._rank(F.concat(F.get(self.hex, a), F.get(self.hex, b)))
 
     def fold(self, word: Column) -> Column:
         """Ids of a word: itself if ranked, else its bytes under ranked merges."""
-        raw = F.lower(F.hex(word))
-        size = F.octet_length(word)
-        start = F.transform(F.sequence(F.lit(1), size), lambda i: F.get(self.bytes, F.conv(F.substring(raw, 2 * i - 1, F.lit(2)), 16, 10).cast("int")))
+        none = F.array().cast("array<int>")
+        rest = F.lit(1 << 30)
+
+        def begin(raw: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(self.bytes, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")))
+
+        def ranked(ids: Column) -> Column:
+            return F.struct(ids.alias("ids"), F.transform(F.slice(ids, F.lit(2), rest), lambda b, i: self._pair(F.get(ids, i), b)).alias("ranks"))
 
-        def pair(a: Column, b: Column) -> Column:
-            return self._rank(F.concat(F.get(self.hex, a), F.get(self.hex, b)))
+        def merged(s: Column, least: Column, at: Column) -> Column:
+            ids = F.concat(F.slice(s.ids, F.lit(1), at - 1), F.array(least), F.slice(s.ids, at + 2, rest))
+            before = F.when(at > 1, F.concat(F.slice(s.ranks, F.lit(1), at - 2), F.array(self._pair(F.get(s.ids, at - 2), least)))).otherwise(none)
+            after = F.when(at < F.size(s.ranks), F.concat(F.array(self._pair(least, F.get(s.ids, at + 1))), F.slice(s.ranks, at + 2, rest))).otherwise(none)
+            return F.struct(ids.alias("ids"), F.concat(before, after).alias("ranks"))
 
         def merge(s: Column, _: Column) -> Column:
-            least = F.array_min(s.ranks)
-            at = F.array_position(s.ranks, least).cast("int")
-            before, after = F.get(s.ids, at - 2), F.get(s.ids, at + 1)
-            ids = F.concat(F.slice(s.ids, F.lit(1), at - 1), F.array(least), F.slice(s.ids, at + 2, F.size(s.ids)))
-            ranks = F.concat(F.slice(s.ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), F.when(at > 1, F.array(pair(before, least))).otherwise(F.array().cast("array<int>")),
-                             F.when(after.isNotNull(), F.array(pair(least, after))).otherwise(F.array().cast("array<int>")), F.slice(s.ranks, at + 2, F.size(s.ranks)))
-            return F.when(least.isNull(), s).otherwise(F.struct(ids.alias("ids"), ranks.alias("ranks")))
+            return _let(F.array_min(s.ranks), lambda least: F.when(least.isNull(), s).otherwise(_let(F.array_position(s.ranks, least).cast("int"), lambda at: merged(s, least, at))))
 
-        def initial(ids: Column) -> Column:
-            return F.struct(ids.alias("ids"), F.transform(F.slice(ids, F.lit(2), F.size(ids)), lambda b, i: pair(F.get(ids, i), b)).alias("ranks"))
+        def folded(raw: Column) -> Column:
+            return _let(begin(raw), lambda ids: F.aggregate(F.sequence(F.lit(1), F.size(ids)), ranked(ids), merge, lambda s: s.ids))
 
-        folded = F.get(F.transform(F.array(start), lambda ids: F.aggregate(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), initial(ids), merge, lambda s: s.ids)), F.lit(0))
-        return F.coalesce(F.when(self._rank(raw).isNotNull(), F.array(self._rank(raw))), folded)
+        return _let(F.lower(F.hex(word)), lambda raw: F.coalesce(_let(self._rank(raw), lambda i: F.when(i.isNotNull(), F.array(i))), folded(raw)))
 
     def learn_words(self, docs: DataFrame, doc_id: str, text: str, words: int = MAP_WORDS, sample_docs: int = SAMPLE_DOCS) -> None:
         """Put the most frequent words of a sample, folded once each, into the map."""
@@ -150,7 +158,7 @@ class Codec:
         """Ids of split words."""
         if self.words is None:
             return F.flatten(F.transform(words, self.fold))
-        at = F.transform(words, lambda w: self.words.find(F.xxhash64(w)))
+        at = F.transform(F.transform(words, lambda w: F.xxhash64(w)), self.words.find)
         return F.flatten(F.zip_with(words, at, lambda w, i: F.when(F.get(self.word_text, i) == w, F.get(self.word_ids, i)).otherwise(self.fold(w))))
 
     def decode(self, ids: Column) -> Column:

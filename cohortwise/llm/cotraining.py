@@ -183,14 +183,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return co_train(xt[lab], xm[lab], y[lab], held, xt[~lab], xm[~lab], rounds)
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", **options) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", examples: DataFrame | None = None, **options) -> DataFrame:
     """``docs`` with text_score, meta_score, score (chance of good quality) and kept.
 
-    Without labels of both kinds all scores are null and every document is
+    The models are fitted on ``examples`` (by default ``docs``): an earlier
+    filter may have left no bad documents. Without labels of both kinds all scores are null and every document is
     kept. Null and empty texts, languages and sources are values like others.
     Columns of the new names are replaced; repeated rows stay repeated.
     """
-    model = fit(docs, labels, doc_id, text, lang, source, **options)
+    model = fit(docs if examples is None else examples, labels, doc_id, text, lang, source, **options)
     names = ("text_score", "meta_score", "score", "kept")
     keep = [c for c in docs.columns if c not in names]
     if model is None:

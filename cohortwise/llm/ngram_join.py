@@ -33,6 +33,8 @@ from cohortwise.session import materialize
 
 NGRAM = 4
 THRESHOLD = Fraction(85, 100)
+# Near duplicates: words of a shingle and similarity.
+NEAR_NGRAM, NEAR_THRESHOLD = 5, Fraction(80, 100)
 # Bits of a bitmap: this many per expected entry, between the bounds.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 # Entries from which a bucket of tokens counts as crowded, at least.

@@ -181,14 +181,14 @@ def _prune(rows: DataFrame, rule: Rule, min_precision: float, min_covered: int)
     return rule[:best]
 
 
-def assess(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **fit) -> DataFrame:
-    """``doc_id``, all statistics, ``base_failed``, ``rule`` (number of the learned rule that rejects) and ``kept``.
+def assess(docs: DataFrame, labels: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), **fit) -> DataFrame:
+    """``keep`` (with the text if it is among them), all statistics, ``base_failed``, ``rule`` (number of the learned rule that rejects) and ``kept``.
 
     Labels of one id are merged: bad if any label says 0. Ids that occur more than
     once in ``docs`` give one row each time.
     """
-    stats = materialize(statistics(docs.withColumnRenamed(doc_id, "doc_id") if doc_id != "doc_id" else docs, text), "quality_statistics")
-    table = shares(stats)
+    # Written once: a filter on the verdict would otherwise be pushed below and repeat the statistics in every term.
+    table = shares(materialize(statistics(docs, text, keep), "quality_statistics"))
     marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg((1 - F.min("quality")).alias("bad"))
     rules = learn(table.where(~base_failed()).join(marks, "doc_id"), SHARES, "bad", "doc_id", **fit)
     return table.withColumn("base_failed", base_failed()).withColumn("rule", rejected_by(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import cotraining, extraction, licenses, mixing, ngram_join, quality_rules, token_counts, topk, url_filter
+from cohortwise.llm import bpe, cotraining, extraction, licenses, mixing, ngram_join, quality_rules, token_counts, topk, url_filter
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -77,3 +78,15 @@ def op4(spark, sf_dir):
 @query("op7_ngram_join")
 def op7(spark, sf_dir):
     return ngram_join.group(table(spark, sf_dir, "documents"))
+
+
+@query("op8_byte_bpe")
+def op8(spark, sf_dir):
+    pieces = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
