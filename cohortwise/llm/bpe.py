@@ -17,6 +17,7 @@ import base64
 import json
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from cohortwise.session import materialize
 # Frequent words in the map, and documents they are counted on.
 MAP_WORDS = 120_000
 SAMPLE_DOCS = 20_000
+# Rank of a pair that does not merge.
+NEVER = (1 << 31) - 1
 # Unicode white space, as the pattern's own engine defines \\s.
 _SPACE = r"\x09-\x0D\x20\x85\xA0  -     　"
 
@@ -54,6 +57,10 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _byte_rank(r: Column) -> Column:
+    return F.when(r < 0, F.lit(NEVER)).otherwise(r)
+
+
 class LiteralTable:
     """Place of a key by its 64-bit hash, without collisions: place[(h >> 16) + d * step) mod m] with d per bucket of hashes."""
 
@@ -96,13 +103,19 @@ class Codec:
 
     def __init__(self, spark: SparkSession, pieces: list[bytes], pattern: str):
         self.spark, self.pieces, self.pattern = spark, pieces, java_pattern(pattern)
-        ranked = spark.createDataFrame([(i, p.hex()) for i, p in enumerate(pieces)], "i int, p string")
-        hashes = np.array([r.h for r in ranked.select("i", F.xxhash64("p").alias("h")).orderBy("i").collect()], dtype=np.int64)
+        number = {p: i for i, p in enumerate(pieces)}
+        pairs = {number[p[:k]] * len(pieces) + number[p[k:]]: i for i, p in enumerate(pieces) for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        keys = pd.DataFrame({"k": sorted(pairs)})
+        hashes = spark.createDataFrame(keys, "k long").select("k", F.xxhash64("k").alias("h")).orderBy("k").toPandas()["h"].to_numpy()
         self.table = LiteralTable(hashes)
+        self.keys = F.split(F.lit(",".join(map(str, keys["k"]))), ",").cast("array<bigint>")
+        self.joined = _numbers(pairs[k] for k in keys["k"])
         by_byte = {p[0]: i for i, p in enumerate(pieces) if len(p) == 1}
         if len(by_byte) < 256:
             raise ValueError("every byte must have a rank")
         self.bytes = _numbers(by_byte[b] for b in range(256))
+        # Ids and ranks of single bytes and byte pairs are read by place.
+        self.byte_pairs = _numbers(number.get(bytes([a, b]), -1) for a in range(256) for b in range(256))
         self.hex = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
         self.le = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(pieces)))), ",")
         self.words: LiteralTable | None = None
@@ -110,23 +123,26 @@ class Codec:
     def split(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def _rank(self, joined: Column) -> Column:
-        """Rank of bytes written as hex digits, or null."""
-        return _let(joined, lambda j: _let(_let(F.xxhash64(j), self.table.find), lambda i: F.when(F.get(self.hex, i) == j, i)))
-
     def _pair(self, a: Column, b: Column) -> Column:
-        return self._rank(F.concat(F.get(self.hex, a), F.get(self.hex, b)))
+        """Rank of two joined pieces; NEVER without one."""
+        key = a.cast("long") * len(self.pieces) + b
+        return _let(self.table.find(F.xxhash64(key)), lambda i: F.when(F.get(self.keys, i) == key, F.get(self.joined, i)).otherwise(NEVER))
 
     def fold(self, word: Column) -> Column:
-        """Ids of a word: itself if ranked, else its bytes under ranked merges."""
+        """Ids of a word that is not itself ranked: its bytes under ranked merges, lowest rank and leftmost first.
+
+        The state is the array of pieces and that of the ranks of neighbours;
+        a merge puts one piece in place of two and asks for two new ranks.
+        """
         none = F.array().cast("array<int>")
         rest = F.lit(1 << 30)
 
-        def begin(raw: Column) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.get(self.bytes, F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int")))
+        def number(raw: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int"))
 
-        def ranked(ids: Column) -> Column:
-            return F.struct(ids.alias("ids"), F.transform(F.slice(ids, F.lit(2), rest), lambda b, i: self._pair(F.get(ids, i), b)).alias("ranks"))
+        def begin(b: Column) -> Column:
+            ranks = F.transform(F.slice(b, F.lit(2), rest), lambda y, i: _byte_rank(F.get(self.byte_pairs, F.get(b, i) * 256 + y)))
+            return F.struct(F.transform(b, lambda x: F.get(self.bytes, x)).alias("ids"), ranks.alias("ranks"))
 
         def merged(s: Column, least: Column, at: Column) -> Column:
             ids = F.concat(F.slice(s.ids, F.lit(1), at - 1), F.array(least), F.slice(s.ids, at + 2, rest))
@@ -135,29 +151,37 @@ class Codec:
             return F.struct(ids.alias("ids"), F.concat(before, after).alias("ranks"))
 
         def merge(s: Column, _: Column) -> Column:
-            return _let(F.array_min(s.ranks), lambda least: F.when(least.isNull(), s).otherwise(_let(F.array_position(s.ranks, least).cast("int"), lambda at: merged(s, least, at))))
+            least = F.array_min(s.ranks)
+            return F.when(F.coalesce(least, F.lit(NEVER)) == NEVER, s).otherwise(_let(F.array_min(s.ranks), lambda m: _let(F.array_position(s.ranks, m).cast("int"), lambda at: merged(s, m, at))))
 
-        def folded(raw: Column) -> Column:
-            return _let(begin(raw), lambda ids: F.aggregate(F.sequence(F.lit(1), F.size(ids)), ranked(ids), merge, lambda s: s.ids))
+        def folded(b: Column) -> Column:
+            return F.aggregate(F.sequence(F.lit(1), F.size(b)), begin(b), merge, lambda s: s.ids)
 
-        return _let(F.lower(F.hex(word)), lambda raw: F.coalesce(_let(self._rank(raw), lambda i: F.when(i.isNotNull(), F.array(i))), folded(raw)))
+        return _let(number(F.hex(word)), folded)
 
     def learn_words(self, docs: DataFrame, doc_id: str, text: str, words: int = MAP_WORDS, sample_docs: int = SAMPLE_DOCS) -> None:
         """Put the most frequent words of a sample, folded once each, into the map."""
         ids = docs.select(F.col(doc_id).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample_docs)
         seen = docs.join(F.broadcast(ids), docs[doc_id].eqNullSafe(ids["__id"])).select(F.explode(self.split(text_of(text))).alias("w"))
-        top = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "w").limit(words).select("w")
-        done = materialize(materialize(top, "bpe_words").repartition(self.spark.sparkContext.defaultParallelism * 2, "w").select("w", self.fold(F.col("w")).alias("ids"), F.xxhash64("w").alias("h")), "bpe_map")
+        # Ranked words are in the map as themselves; the rest of it goes to the most frequent other words.
+        own = []
+        for i, p in enumerate(self.pieces):
+            try:
+                own.append((p.decode("utf-8"), [i]))
+            except UnicodeDecodeError:
+                pass  # part of a character: no word
+        ranked = self.spark.createDataFrame(own, "w string, ids array<int>")
+        top = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(ranked.select("w"), "w", "left_anti").orderBy(F.col("n").desc(), "w").limit(words).select("w")
+        top = materialize(top, "bpe_words").repartition(self.spark.sparkContext.defaultParallelism * 2, "w").select("w", self.fold(F.col("w")).alias("ids"))
+        done = materialize(top.unionByName(ranked).withColumn("h", F.xxhash64("w")), "bpe_map")
         rows = done.orderBy("h", "w").select("w", "ids", "h").collect()  # at most `words` rows
-        if rows:
+        if rows:  # a rank list has ranked words, so the map is never empty
             self.words = LiteralTable(np.array([r.h for r in rows], dtype=np.int64))
             self.word_text = F.from_json(F.lit(json.dumps([r.w for r in rows])), "array<string>")
             self.word_ids = F.from_json(F.lit(json.dumps([r.ids for r in rows])), "array<array<int>>")
 
     def encode(self, words: Column) -> Column:
         """Ids of split words."""
-        if self.words is None:
-            return F.flatten(F.transform(words, self.fold))
         at = F.transform(F.transform(words, lambda w: F.xxhash64(w)), self.words.find)
         return F.flatten(F.zip_with(words, at, lambda w, i: F.when(F.get(self.word_text, i) == w, F.get(self.word_ids, i)).otherwise(self.fold(w))))
 

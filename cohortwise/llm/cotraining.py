@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"__id": b["__id"], "__y": b["__y"], "t": [r.tobytes() for r in text_features(b["__text"])], "m": [r.tobytes() for r in meta_features(b)]})
+            yield pd.DataFrame({"__id": b["__id"], "__y": b["__y"], "t": pd.Series([r.tobytes() for r in text_features(b["__text"])], index=b.index, dtype=object), "m": pd.Series([r.tobytes() for r in meta_features(b)], index=b.index, dtype=object)})
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = src.join(F.broadcast(want), "__id").select("__y", *src.columns).mapInPandas(features, f"__id {kind}, __y int, t binary, m binary").toPandas()

@@ -146,7 +146,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
         t = Templates(ts)
         for b in batches:
             found = [[dict(zip(("license", "first_line", "last_line", "reduction", "agreement", "differences"), f)) for f in find(x, t, stems)] if stems.search(x) else [] for x in b["__text"]]
-            yield pd.DataFrame({"__key": b["__key"], "notices": found})
+            yield pd.DataFrame({"__key": b["__key"], "notices": pd.Series(found, index=b.index, dtype=object)})
 
     names = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n.license)))
     src = docs.select(F.col(doc_id).alias("__key"), F.when(F.rlike(text_of(text), F.lit(STEMS)), text_of(text)).otherwise("").alias("__text"))

@@ -69,6 +69,25 @@ def signature(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).astype(np.int64))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Parity bitmap of about half as many bits as tokens, a power of two of 64 bits or more."""
+    bits = 64
+    while bits * 4 <= len(s) * 3:
+        bits *= 2
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Bits in which parity bitmaps differ, the longer one folded onto the shorter: a lower bound of the differing tokens."""
+    out = np.zeros(len(a), dtype=np.int32)
+    for i, (x, y) in enumerate(zip(a, b)):
+        n = min(len(x), len(y))
+        both = np.frombuffer(x + y, dtype=np.uint8).reshape(-1, n)
+        out[i] = np.unpackbits(np.bitwise_xor.reduce(both, axis=0)).sum()
+    return pd.Series(out)
+
+
 def prefix_length(n: int, t: Fraction = THRESHOLD) -> int:
     """Sets of n that agree to t share a token among their first so many, in any common order."""
     return n - -(-n * t.numerator // t.denominator) + 1 if n else 0
@@ -106,15 +125,16 @@ def named_sets(docs: DataFrame, doc_id: str, text: str, n: int, bits: int, t: Fr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sig, size, cells = [], [], []
+            sig, size, cells, marks = [], [], [], []
             for x in b["t"]:
                 s = shingles(x, n)
                 sig.append(signature(s))
                 size.append(len(s))
+                marks.append(parity(s))
                 cells.append((s[:prefix_length(len(s), t)] & np.uint64(bits - 1)).astype(np.int64))
-            yield pd.DataFrame({"id": b["id"], "sig": np.array(sig, dtype=np.int64), "n": np.array(size, dtype=np.int64), "cells": cells})
+            yield pd.DataFrame({"id": b["id"], "sig": np.array(sig, dtype=np.int64), "n": np.array(size, dtype=np.int64), "marks": pd.Series(marks, dtype=object), "cells": pd.Series(cells, dtype=object)})
 
-    return docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).mapInPandas(run, f"id {kind}, sig long, n long, cells array<long>")
+    return docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).mapInPandas(run, f"id {kind}, sig long, n long, marks binary, cells array<long>")
 
 
 def index_entries(docs: DataFrame, text: str, n: int, crowded: np.ndarray, t: Fraction) -> DataFrame:
@@ -142,6 +162,11 @@ def index_entries(docs: DataFrame, text: str, n: int, crowded: np.ndarray, t: Fr
     return _texts(docs, text).mapInPandas(run, "token long, sig long, n int, pos int")
 
 
+def _wanted(pairs: DataFrame, bits: int) -> np.ndarray:
+    cells = pairs.select(F.pmod("a", F.lit(bits)).alias("cell")).union(pairs.select(F.pmod("b", F.lit(bits)).alias("cell")))
+    return _bitmap(cells.distinct(), "cell", bits)
+
+
 def whole_sets(docs: DataFrame, text: str, n: int, wanted: np.ndarray) -> DataFrame:
     """(sig, tokens) of the sets whose name has its bit in ``wanted``, once each."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
@@ -158,7 +183,7 @@ def whole_sets(docs: DataFrame, text: str, n: int, wanted: np.ndarray) -> DataFr
                 if len(s) and name not in seen and want[name & (bits - 1)]:
                     seen.add(name)
                     rows.append((name, s.astype(np.int64)))
-            yield pd.DataFrame({"sig": np.array([r[0] for r in rows], dtype=np.int64), "tokens": [r[1] for r in rows]})
+            yield pd.DataFrame({"sig": np.array([r[0] for r in rows], dtype=np.int64), "tokens": pd.Series([r[1] for r in rows], dtype=object)})
 
     return _texts(docs, text).mapInPandas(run, "sig long, tokens array<long>").dropDuplicates(["sig"])
 
@@ -175,6 +200,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", common("ta", "tb").alias("same"))
 
 
+def plausible(pairs: DataFrame, marks: DataFrame, t: Fraction) -> DataFrame:
+    """``pairs`` whose parity bitmaps do not rule out the agreement."""
+    differing = pandas_udf(_differing, "int")
+    left, right = marks.select(F.col("sig").alias("a"), F.col("marks").alias("ma")), marks.select(F.col("sig").alias("b"), F.col("marks").alias("mb"))
+    kept = pairs.join(left, "a").join(right, "b").withColumn("least", differing("ma", "mb"))
+    return kept.where(F.col("least") <= F.col("na") + F.col("nb") - 2 * _agree("na", "nb", t)).select("a", "na", "b", "nb")
+
+
 def linked(t: Fraction) -> Column:
     return F.col("same") * t.denominator >= (F.col("na") + F.col("nb") - F.col("same")) * t.numerator
 
@@ -206,7 +239,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     t = threshold
     total = docs.select(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
     bits = _bits(total // 32)  # about one bit per prefix entry
-    named = materialize(named_sets(docs, doc_id, text, n, bits, t).withColumn("cells", F.col("cells")), "join_named")
+    named = materialize(named_sets(docs, doc_id, text, n, bits, t), "join_named")
+    marks = materialize(named.select("sig", "marks").dropDuplicates(["sig"]), "join_marks")
     cells = named.dropDuplicates(["sig"]).select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     mean = total / 32 / bits
     crowded = _bitmap(cells.where(F.col("n") >= max(CROWDED, 8 * mean)), "cell", bits)
@@ -216,10 +250,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     lists = materialize(entries.join(heads, "token").dropDuplicates(["token", "sig"]), "join_lists")
 
     fits = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
-    first = materialize(lists.where("sig <> head").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("n_head").alias("nb")).where(fits).distinct(), "join_heads")
-    # Sets that meet another one of a fitting size in some list, at most.
-    wanted = _bitmap(lists.select(F.pmod("sig", F.lit(bits)).alias("cell")).distinct(), "cell", bits)
-    sets = materialize(whole_sets(docs, text, n, wanted), "join_sets")
+    first = lists.where("sig <> head").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("n_head").alias("nb")).where(fits).distinct()
+    first = materialize(plausible(first, marks, t), "join_heads")
+    sets = materialize(whole_sets(docs, text, n, _wanted(first, bits)), "join_sets")
     by_head = materialize(verified(first, sets), "join_by_head")
     joined = by_head.where(linked(t)).select("a", "b")
     comps = components(joined)
@@ -236,8 +269,12 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     far = materialize(by_head.select(F.col("a").alias("s"), F.col("b").alias("head"), (1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("d")), "join_distances")
     apart = (pairs.join(far.select(F.col("s").alias("a"), "head", F.col("d").alias("da")), "a").join(far.select(F.col("s").alias("b"), "head", F.col("d").alias("db")), ["b", "head"])
              .where(F.abs(F.col("da") - F.col("db")) > float(1 - t) + 1e-9).select("a", "b").distinct())
-    second = verified(pairs.join(apart, ["a", "b"], "left_anti"), sets).where(linked(t)).select("a", "b")
-    second = materialize(second, "join_second")
+    pairs = materialize(plausible(pairs.join(apart, ["a", "b"], "left_anti"), marks, t), "join_pairs")
+    met = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig"), "sig", "left_anti")
+    if not met.isEmpty():  # sets that no head asked for
+        more = whole_sets(docs, text, n, _wanted(pairs, bits))
+        sets = materialize(sets.unionByName(more).dropDuplicates(["sig"]), "join_sets")
+    second = materialize(verified(pairs, sets).where(linked(t)).select("a", "b"), "join_second")
     final = comps if second.isEmpty() else components(joined.unionByName(second))
     return named.select("id", "sig", "n"), final.withColumnRenamed("node", "sig")
 
