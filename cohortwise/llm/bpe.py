@@ -14,7 +14,6 @@ the cost and never the result.
 from __future__ import annotations
 
 import base64
-import json
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from cohortwise.llm.words import text_of
 from cohortwise.session import materialize
 
 # Frequent words in the map, and documents they are counted on.
-MAP_WORDS = 120_000
+MAP_WORDS = 100_000
 SAMPLE_DOCS = 20_000
 # Rank of a pair that does not merge.
 NEVER = (1 << 31) - 1
@@ -174,11 +173,11 @@ class Codec:
         top = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).join(ranked.select("w"), "w", "left_anti").orderBy(F.col("n").desc(), "w").limit(words).select("w")
         top = materialize(top, "bpe_words").repartition(self.spark.sparkContext.defaultParallelism * 2, "w").select("w", self.fold(F.col("w")).alias("ids"))
         done = materialize(top.unionByName(ranked).withColumn("h", F.xxhash64("w")), "bpe_map")
-        rows = done.orderBy("h", "w").select("w", "ids", "h").collect()  # at most `words` rows
-        if rows:  # a rank list has ranked words, so the map is never empty
-            self.words = LiteralTable(np.array([r.h for r in rows], dtype=np.int64))
-            self.word_text = F.from_json(F.lit(json.dumps([r.w for r in rows])), "array<string>")
-            self.word_ids = F.from_json(F.lit(json.dumps([r.ids for r in rows])), "array<array<int>>")
+        # At most `words` rows and the ranked ones, as flat strings.
+        rows = done.orderBy("h", "w").select(F.to_json(F.array("w")).alias("w"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "h").toPandas()
+        self.words = LiteralTable(rows["h"].to_numpy(np.int64))
+        self.word_text = F.from_json(F.lit("[" + ",".join(w[1:-1] for w in rows["w"]) + "]"), "array<string>")
+        self.word_ids = F.from_json(F.lit("[[" + "],[".join(rows["ids"]) + "]]"), "array<array<int>>")
 
     def encode(self, words: Column) -> Column:
         """Ids of split words."""
