@@ -19,12 +19,18 @@ NORMAL = "Solid Tissue Normal"
 MASK_GRAY, MASK_SATURATION, MASK_GRAY_STRICT = 235.0, 8.0, 220.0
 GATE_OCCUPANCY, GATE_WHITE, GATE_SATURATION = 0.70, 0.75, 3.0
 COMPONENT_LENGTH = 160
+WHITE_SPACE = " \t\n\r\x0b\x0c\u00a0"
 # End of fixed values.
 
 
+def stripped(col: Column | str) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
+
+
 def norm_missing(col: Column) -> Column:
     """Trimmed text, NULL for every spelling of a missing value."""
-    text = F.trim(col.cast("string"))
+    text = stripped(col.cast("string"))
     return F.when(~F.lower(text).isin(MISSING_WORDS), text)
 
 
@@ -38,7 +44,7 @@ def missing_cell(col: Column) -> Column:
 
 
 def sample_type(col: Column) -> Column:
-    text = F.trim(F.coalesce(col, F.lit("")))
+    text = stripped(F.coalesce(col, F.lit("")))
     low = F.lower(text)
     return (F.when(low.contains("primary") & low.contains("tumor"), PRIMARY)
             .when(low.contains("normal"), NORMAL)
@@ -48,7 +54,7 @@ def sample_type(col: Column) -> Column:
 
 def stage_advanced(col: Column) -> Column:
     """True for stage III/IV, false for 0-II, NULL when it cannot be told."""
-    text = F.trim(F.regexp_replace(F.upper(norm_missing(col)), "STAGE", ""))
+    text = stripped(F.regexp_replace(F.upper(norm_missing(col)), "STAGE", ""))
     return F.when(text.rlike("^(III|IV)"), True).when(text.rlike("^[0I]"), False)
 
 
@@ -72,7 +78,7 @@ def any_known(*signals: Column) -> Column:
 
 
 def feature_accession(col: Column) -> Column:
-    return F.trim(F.split_part(col, F.lit(":"), F.lit(1)))
+    return stripped(F.split_part(col, F.lit(":"), F.lit(1)))
 
 
 def feature_sites(col: Column) -> Column:
@@ -92,7 +98,7 @@ def split_feature(col: Column) -> list[Column]:
 
 
 def safe_component(col: Column) -> Column:
-    text = F.trim(F.coalesce(col.cast("string"), F.lit("")))
+    text = stripped(F.coalesce(col.cast("string"), F.lit("")))
     text = F.when(text == "", "unknown").otherwise(text)
     return F.left(F.regexp_replace(text, r"[^\p{L}\p{N}_.\-]", "_"), F.lit(COMPONENT_LENGTH))
 
@@ -126,18 +132,18 @@ def first_usable(items: Column, keys: Sequence[str]) -> Column:
 
 
 def max_numeric(values: Column) -> Column:
-    return F.array_max(F.transform(values, lambda v: finite(F.trim(v).try_cast("double"))))
+    return F.array_max(F.transform(values, lambda v: finite(stripped(v).try_cast("double"))))
 
 
 def sex_male(col: Column, unknown_as_zero: bool = False) -> Column:
-    low = F.lower(F.trim(col))
+    low = F.lower(stripped(col))
     known = F.when(low == "male", 1.0).when(low == "female", 0.0)
     return F.coalesce(known, F.lit(0.0)) if unknown_as_zero else known
 
 
 def recurrence_yes(col: Column) -> Column:
     """Only an explicit yes is known; anything else stays missing."""
-    return F.when(F.lower(F.trim(col)) == "yes", 1.0)
+    return F.when(F.lower(stripped(col)) == "yes", 1.0)
 
 
 def quality_gate(occupancy: Column, white: Column | None = None, saturation: Column | None = None) -> Column:

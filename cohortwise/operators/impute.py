@@ -30,12 +30,18 @@ def median_fill(df: DataFrame, group: Sequence[str], value: str, fit_rows=None)
     return df.join(med, list(group), "left").withColumn(value, F.coalesce(value, "__m", F.lit(0.0))).drop("__m")
 
 
+def _no_candidates(receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+    """An empty result whose columns still have their types."""
+    return pd.DataFrame({"cohort": pd.Series([], dtype=object), "entity": receivers["entity"].iloc[:0].reset_index(drop=True), "position": np.zeros(0, dtype=np.int32),
+                         "donor": donors["donor"].iloc[:0].reset_index(drop=True), "distance": np.zeros(0), "value": np.zeros(0)})
+
+
 def _candidates(k: int):
     def run(key, receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
         cols = ["cohort", "entity", "position", "donor", "distance", "value"]
         if receivers.empty or donors.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        a, b = matrix(receivers["x"]), matrix(donors["x"])
+            return _no_candidates(receivers, donors)
+        a, b = matrix(receivers["x"]), matrix(donors["donor_x"])
         width = a.shape[1]
         ma, mb = ~np.isnan(a), ~np.isnan(b)
         centre = np.nan_to_num(np.nanmean(np.where(mb, b, np.nan), axis=0)) if mb.any() else np.zeros(width)
@@ -45,7 +51,7 @@ def _candidates(k: int):
         sq = np.maximum((za**2) @ fb.T + fa @ (zb**2).T - 2.0 * za @ zb.T, 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             rough = np.where(shared > 0, sq * width / shared, np.inf)
-        names = donors["entity"].to_numpy()
+        names = donors["donor"].to_numpy()
         order = np.argsort(names, kind="stable")
         out: dict[str, list] = {c: [] for c in cols}
         for j in range(width):
@@ -70,7 +76,7 @@ def _candidates(k: int):
                 out["distance"].append(exact[ok])
                 out["value"].append(b[d, j][ok])
         if not out["entity"]:
-            return pd.DataFrame({c: [] for c in cols})
+            return _no_candidates(receivers, donors)
         joined = {c: np.concatenate(out[c]) for c in cols if c != "cohort"}
         return pd.DataFrame({"cohort": key[0], **joined})[cols]
 
@@ -89,7 +95,10 @@ def knn_impute(df: DataFrame, cohort: str = "cohort", entity: str = "entity", fe
     """
     names = feature_names(df, feature)
     base = df.select(F.col(cohort).alias("cohort"), F.col(entity).alias("entity"), F.col(feature).alias("feature"), F.col(value).alias("value"))
-    vec = to_vectors(base, ["cohort", "entity"], "feature", "value", names)
+    seen_vectors = to_vectors(base, ["cohort", "entity"], "feature", "value", names)
+    # An entity without any observed cell still gets a row: the column means.
+    blank = F.transform(F.sequence(F.lit(1), F.lit(max(1, len(names)))), lambda _: F.lit(None).cast("double"))
+    vec = base.select("cohort", "entity").distinct().join(seen_vectors, ["cohort", "entity"], "left").withColumn("x", F.coalesce("x", blank))
     sizes = vec.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.greatest(F.ceil(F.col("n") / F.lit(block_rows)), F.lit(1)).cast("int")
     spot = hash_number(hash_key(F.col("entity"))) / F.lit(float(HASH_SPAN))
@@ -97,9 +106,10 @@ def knn_impute(df: DataFrame, cohort: str = "cohort", entity: str = "entity", fe
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     holes = vec.where(F.exists("x", lambda v: v.isNull()))
     receivers = holes.select("cohort", F.col("block").alias("i"), every.alias("j"), "entity", "x")
-    donors = vec.select("cohort", every.alias("i"), F.col("block").alias("j"), "entity", "x")
+    # Names of its own: both sides of the co-group come from one table. A donor without a value has nothing to give.
+    donors = vec.where(F.exists("x", lambda v: v.isNotNull())).select(F.col("cohort").alias("donor_cohort"), every.alias("donor_i"), F.col("block").alias("donor_j"), F.col("entity").alias("donor"), F.col("x").alias("donor_x"))
     kind = dict(vec.dtypes)["entity"]
-    cand = (receivers.groupBy("cohort", "i", "j").cogroup(donors.groupBy("cohort", "i", "j"))
+    cand = (receivers.groupBy("cohort", "i", "j").cogroup(donors.groupBy("donor_cohort", "donor_i", "donor_j"))
             .applyInPandas(_candidates(k), f"cohort string, entity {kind}, position int, donor {kind}, distance double, value double"))
     w = Window.partitionBy("cohort", "entity", "position").orderBy("distance", "donor")
     best = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)

@@ -37,21 +37,27 @@ def width(df: DataFrame, column: str) -> int:
     return int(row["n"]) if row else 0
 
 
+def _typed_empty(like: pd.DataFrame, keys: Sequence[str], **columns) -> pd.DataFrame:
+    """No rows, with the types that the result needs."""
+    return like[list(keys)].iloc[:0].reset_index(drop=True).assign(**{c: pd.Series([], dtype=t) for c, t in columns.items()})
+
+
 def apply_models(df: DataFrame, models: DataFrame, keys: Sequence[str], keep: Sequence[str], x: str = "x", out: str = "pred") -> DataFrame:
     """``intercept + x coef`` with the model of each row's key.
 
     Rows meet their model in salted groups, so neither is a model copied to each
     row nor does a hot key end in one task.
     """
-    salts = max(1, math.ceil(df.count() / ROWS_PER_TASK))
-    rows = df.select(*dict.fromkeys([*keys, *keep]), x).withColumn("__s", F.pmod(F.xxhash64(*keep), F.lit(salts)).cast("int"))
-    spread = models.select(*keys, "intercept", "coef").withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # A key gets as many groups as its own rows need, so a model is copied once per ROWS_PER_TASK rows of its key.
+    salts = materialize(df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_TASK).cast("int").alias("__n")), "salts")
+    rows = df.select(*dict.fromkeys([*keys, *keep]), x).join(salts, list(keys)).withColumn("__s", F.pmod(F.xxhash64(*keep), F.col("__n")).cast("int")).drop("__n")
+    spread = models.select(*keys, "intercept", "coef").join(salts, list(keys)).withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
     cols = list(dict.fromkeys([*keys, *keep]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*cols).schema.fields)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in [*cols, out]})
+            return left[cols].iloc[:0].assign(**{out: pd.Series([], dtype=object)})
         b0 = np.asarray(right["intercept"].iloc[0], dtype=float)
         b = np.asarray(right["coef"].iloc[0], dtype=float).reshape(-1, len(b0))
         res = left[cols].copy()
@@ -251,7 +257,7 @@ def loo_ridge_models(rows: DataFrame, p: int, q: int, alphas: Sequence[float], k
     def errors(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = [*keys, "a", "sse"]
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in cols})
+            return _typed_empty(left if len(left) else right, keys, a="int32", sse="float64")
         m = mo.Moments(mo.unpack(right), p)
         t, lam, zy = basis(m)
         z = (matrix(left["x"]) - m.mx) @ t
@@ -271,7 +277,7 @@ def loo_ridge_models(rows: DataFrame, p: int, q: int, alphas: Sequence[float], k
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({c: [] for c in [*keys, "intercept", "coef", "alpha"]})
+            return _typed_empty(left if len(left) else right, keys, intercept=object, coef=object, alpha="float64")
         m = mo.Moments(mo.unpack(left), p)
         t, lam, zy = basis(m)
         alpha = float(alphas[int(right["a"].iloc[0])])

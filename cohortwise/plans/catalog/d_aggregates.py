@@ -35,9 +35,9 @@ def d3(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("cohort", "feature", rounded(F.col("median")).alias("median"), rounded(F.col("mad")).alias("mad"))
 
 
-@query("d4_pivot_mean", f"""SELECT cohort, {', '.join(r(f"avg(value) FILTER (WHERE feature = 'Brand#{i}')") + f' AS b{i}' for i in range(1, 6))} FROM v2 GROUP BY 1""", "v2")
+@query("d4_pivot_mean", f"""SELECT cohort, {', '.join(r(f"avg(value) FILTER (WHERE feature = 'Brand#{i}')") + f' AS b{i}' for i in range(1, 26))} FROM v2 GROUP BY 1""", "v2")
 def d4(spark: SparkSession, sf: str) -> DataFrame:
-    names = [f"Brand#{i}" for i in range(1, 6)]
+    names = [f"Brand#{i}" for i in range(1, 26)]
     p = view(spark, sf, "v2").groupBy("cohort").pivot("feature", names).agg(F.avg("value"))
     return p.select("cohort", *[rounded(F.col(f"`{n}`")).alias(f"b{i + 1}") for i, n in enumerate(names)])
 

@@ -212,7 +212,7 @@ def j14(spark: SparkSession, sf: str) -> DataFrame:
     targets = F.inline(F.array(F.struct(F.lit("A1").alias("target"), F.array(F.col("l") + 1).alias("y")), F.struct(F.lit("A2").alias("target"), F.array(F.lit(10.0) - F.col("l")).alias("y"))))
     rows = materialize(v.select("cohort", "entity", "x", targets), "targets")
     # Each cohort is predicted by the model trained on the other cohorts.
-    cohorts = [c[0] for c in rows.select("cohort").distinct().orderBy("cohort").limit(1000).collect()]
+    cohorts = [c[0] for c in rows.select("cohort").distinct().orderBy("cohort").collect()]  # a name per cohort, however many
     held = F.explode(F.array(*[F.lit(c) for c in cohorts]))
     train = rows.withColumn("held", held).where("held <> cohort")
     p = rg.width(rows, "x")
@@ -361,7 +361,7 @@ def j21(spark: SparkSession, sf: str) -> DataFrame:
 @query("j22_leave_cohort_out_factors")
 def j22(spark: SparkSession, sf: str) -> DataFrame:
     v, _ = _split(spark, sf)
-    cohorts = [c[0] for c in v.select("cohort").distinct().orderBy("cohort").limit(1000).collect()]
+    cohorts = [c[0] for c in v.select("cohort").distinct().orderBy("cohort").collect()]  # a name per cohort, however many
     fits = [{"rank": 3, "start": s} for s in range(2)] + [{"rank": 3, "start": s, "held": c} for c in cohorts for s in range(2)]
     res = fa.nmf(v, fits, SEED, iterations=10)
     full = res["factors"][fa.best_fit(res, fits, lambda f: "held" not in f)]

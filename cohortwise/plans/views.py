@@ -43,7 +43,7 @@ VIEWS: dict[str, str] = {
     "v8": """SELECT p_type AS set_name, p_brand AS feature,
              CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(*)
                - (SELECT CAST(sum(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) FROM part) AS weight
-             FROM part WHERE p_size <= 10 GROUP BY p_type, p_brand""",
+             FROM part GROUP BY p_type, p_brand""",
     "v9": """SELECT r.r_name AS cohort, s.s_suppkey AS bag, l.l_orderkey AS item, l.l_linenumber % 6 AS type_id,
              l.l_quantity AS box_w, 20 * l.l_tax + 1 AS box_h
              FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortwise.functions.numeric import finite, log2p1
-from cohortwise.functions.text import missing_cell
+from cohortwise.functions.text import missing_cell, stripped
 
 # Fixed value: the only kind of measurement kept from count files.
 KEPT_KIND = "protein_coding"
@@ -89,12 +89,12 @@ def read_sets(spark: SparkSession, path: str) -> DataFrame:
     """Set file lines ``name <tab> note <tab> member...`` to long rows."""
     parts = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") >= 3)
     return (parts.select(F.col("p")[0].alias("set_name"), F.explode(F.slice("p", F.lit(3), F.size("p") - 2)).alias("member"))
-            .select("set_name", F.upper(F.trim("member")).alias("feature")).where(F.col("feature") != "").distinct())
+            .select("set_name", F.upper(stripped("member")).alias("feature")).where(F.col("feature") != "").distinct())
 
 
 def set_lines(sets: DataFrame) -> DataFrame:
     """Set file lines with trimmed, upper-cased, distinct, sorted members."""
-    clean = sets.select("set_name", F.upper(F.trim("feature")).alias("feature")).where(F.col("feature") != "").distinct()
+    clean = sets.select("set_name", F.upper(stripped("feature")).alias("feature")).where(F.col("feature") != "").distinct()
     members = clean.groupBy("set_name").agg(F.array_sort(F.collect_list("feature")).alias("m"))
     return members.select(F.concat_ws("\t", "set_name", F.lit("na"), F.array_join("m", "\t")).alias("value"))
 
