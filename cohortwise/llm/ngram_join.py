@@ -7,13 +7,19 @@
    size marks the crowded hash buckets, so that passages which many documents
    share come last and hardly enter a prefix. The order steers the work only.
 3. Each list first answers for its smallest member, the head: all others of the
-   list are compared with it, which is linear in the list.
-4. Members of one component need no further comparison with each other. For the
-   rest, answers follow from the head's: |d(a, head) - d(b, head)| is a lower
-   bound of the distance of a and b, so most pairs that share a compared head
-   are skipped without a look at the sets; and list blocks are skipped by
-   position, as what is left behind a late position is too short to agree.
-5. Surviving pairs are verified on whole sets; links give components.
+   list are compared with it, which is linear in the list. Head and member also
+   give the member's difference, the tokens in one of both sets only.
+4. Members of one component need no further comparison with each other. Sets
+   that were compared with the same head derive their answers from its: two
+   sets differ exactly where their differences do, so, unless both are linked
+   to the head, they can be linked only if their differences share a token.
+   They are joined on the rarest tokens of their (small) differences. Only sets
+   without a common head meet in the lists again, where blocks are skipped by
+   position: what is left behind a late position is too short to agree.
+5. Every set has a small parity bitmap (bit = parity of the tokens that fall on
+   it): two bitmaps differ in no more bits than the sets do in tokens. Pairs
+   whose bitmaps differ too much are dropped, the others verified on whole
+   sets; links give components.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -38,9 +44,13 @@ NEAR_NGRAM, NEAR_THRESHOLD = 5, Fraction(80, 100)
 # Bits of a bitmap: this many per expected entry, between the bounds.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
 # Entries from which a bucket of tokens counts as crowded, at least.
-CROWDED = 48
+CROWDED = 12
+# A set is a reference for another one while they differ in no more than so many times the tokens that linked sets may.
+REFERENCE = 4
 # Positions that share one skip decision.
 POSITION_BLOCK = 8
+# Sets that a task sends at a time.
+SENT_ROWS = 500
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
@@ -110,6 +120,11 @@ def _bitmap(rows: DataFrame, bucket: str, bits: int) -> np.ndarray:
     return np.unpackbits(out, bitorder="little")[:bits].astype(bool)
 
 
+def _held(packed: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Bits of a packed bitmap at the cells."""
+    return (packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text_of(text).alias("t"))
 
@@ -143,7 +158,7 @@ def index_entries(docs: DataFrame, text: str, n: int, crowded: np.ndarray, t: Fr
     bits = len(crowded)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        full = np.unpackbits(sent.value)[:bits].astype(bool)
+        full = sent.value
         seen: set[int] = set()
         for b in batches:
             rows = []
@@ -153,7 +168,7 @@ def index_entries(docs: DataFrame, text: str, n: int, crowded: np.ndarray, t: Fr
                 if not len(s) or name in seen:
                     continue
                 seen.add(name)
-                late = full[(s & np.uint64(bits - 1)).astype(np.int64)]
+                late = _held(full, (s & np.uint64(bits - 1)).astype(np.int64))
                 rows.append((name, len(s), np.concatenate([s[~late], s[late]])[:prefix_length(len(s), t)]))
             size = [len(r[2]) for r in rows]
             yield pd.DataFrame({"token": (np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)).astype(np.int64), "sig": np.repeat(np.array([r[0] for r in rows], dtype=np.int64), size),
@@ -167,23 +182,30 @@ def _wanted(pairs: DataFrame, bits: int) -> np.ndarray:
     return _bitmap(cells.distinct(), "cell", bits)
 
 
+def _frame(rows: list) -> pd.DataFrame:
+    return pd.DataFrame({"sig": np.array([r[0] for r in rows], dtype=np.int64), "tokens": pd.Series([r[1] for r in rows], dtype=object)})
+
+
 def whole_sets(docs: DataFrame, text: str, n: int, wanted: np.ndarray) -> DataFrame:
     """(sig, tokens) of the sets whose name has its bit in ``wanted``, once each."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
     bits = len(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        want = np.unpackbits(sent.value)[:bits].astype(bool)
+        want = sent.value
         seen: set[int] = set()
         for b in batches:
             rows = []
             for x in b["t"]:
                 s = shingles(x, n)
                 name = signature(s)
-                if len(s) and name not in seen and want[name & (bits - 1)]:
+                if len(s) and name not in seen and _held(want, np.array([name & (bits - 1)]))[0]:
                     seen.add(name)
                     rows.append((name, s.astype(np.int64)))
-            yield pd.DataFrame({"sig": np.array([r[0] for r in rows], dtype=np.int64), "tokens": pd.Series([r[1] for r in rows], dtype=object)})
+                if len(rows) >= SENT_ROWS:
+                    yield _frame(rows)
+                    rows = []
+            yield _frame(rows)
 
     return _texts(docs, text).mapInPandas(run, "sig long, tokens array<long>").dropDuplicates(["sig"])
 
@@ -193,19 +215,27 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], dtype="int32")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, na, b, nb) with ``same``, the size of the intersection."""
-    common = pandas_udf(_common, "int")
+def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Tokens in one of two sets only."""
+    return pd.Series([np.setxor1d(x, y, assume_unique=True) for x, y in zip(a, b)], index=a.index, dtype=object)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """``pairs`` (a, na, b, nb) with ``same``, the size of the intersection, and on demand the ``diff`` itself."""
     left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", common("ta", "tb").alias("same"))
+    both = pairs.join(left, "a").join(right, "b")
+    if not differences:
+        return both.select("a", "na", "b", "nb", pandas_udf(_common, "int")("ta", "tb").alias("same"))
+    out = both.select("a", "na", "b", "nb", pandas_udf(_difference, "array<long>")("ta", "tb").alias("diff"))
+    return out.withColumn("same", ((F.col("na") + F.col("nb") - F.size("diff")) / 2).cast("int"))
 
 
-def plausible(pairs: DataFrame, marks: DataFrame, t: Fraction) -> DataFrame:
-    """``pairs`` whose parity bitmaps do not rule out the agreement."""
+def plausible(pairs: DataFrame, marks: DataFrame, t: Fraction, times: int = 1) -> DataFrame:
+    """``pairs`` whose parity bitmaps do not rule out the agreement, or ``times`` the difference that it allows."""
     differing = pandas_udf(_differing, "int")
     left, right = marks.select(F.col("sig").alias("a"), F.col("marks").alias("ma")), marks.select(F.col("sig").alias("b"), F.col("marks").alias("mb"))
     kept = pairs.join(left, "a").join(right, "b").withColumn("least", differing("ma", "mb"))
-    return kept.where(F.col("least") <= F.col("na") + F.col("nb") - 2 * _agree("na", "nb", t)).select("a", "na", "b", "nb")
+    return kept.where(F.col("least") <= times * (F.col("na") + F.col("nb") - 2 * _agree("na", "nb", t))).select("a", "na", "b", "nb")
 
 
 def linked(t: Fraction) -> Column:
@@ -230,6 +260,63 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def references(by_head: DataFrame, t: Fraction) -> DataFrame:
+    """(sig, n, head, diff): for each set the one head that it derives its answers from, the most popular that is near enough."""
+    allowed = F.col("na") + F.col("nb") - 2 * _agree("na", "nb", t)
+    near = by_head.where(F.size("diff") <= REFERENCE * allowed)
+    popular = near.groupBy("b").agg(F.count(F.lit(1)).alias("members"))
+    best = near.join(popular, "b").groupBy(F.col("a").alias("sig")).agg(F.max(F.struct("members", "b")).alias("m"))
+    best = best.select("sig", F.col("m.b").alias("head"))
+    return near.select(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("b").alias("head"), "diff").join(best, ["sig", "head"]).dropDuplicates(["sig"])
+
+
+def derived_pairs(heads: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
+    """Candidates (a, na, b, nb) of one head and two components, from shared tokens of their differences.
+
+    Linked sets differ in at most D = (1 - t) / t * n tokens, so of the first
+    D + 1 tokens of a difference, in any common order, one is shared; of the
+    smaller difference one of the first D / 2 + 1. The order is by how rare a
+    token is among the differences of the head.
+    """
+    placed = heads.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    split = placed.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("head")
+    rows = placed.join(split, "head", "left_semi").select("head", "sig", "n", "comp", F.size("diff").alias("d"), F.explode("diff").alias("token"))
+    rows = materialize(rows, "join_differences")
+    often = rows.groupBy("head", "token").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("often", "token"))
+    most = F.floor(F.col("n") * (t.denominator - t.numerator) / F.lit(t.numerator)).cast("int")
+    ranked = rows.join(often, ["head", "token"]).withColumn("place", place).where((F.col("place") <= most + 1) & (F.col("often") > 1)).withColumn("short", F.col("place") <= F.floor(most / 2) + 1)
+    small = ranked.where("short").select("head", "token", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("comp").alias("cx"))
+    large = ranked.select("head", "token", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("comp").alias("cy"))
+    close = (F.col("dy") - F.col("dx")) * (t.denominator + t.numerator) <= (F.col("nx") + F.col("ny")) * (t.denominator - t.numerator)
+    pairs = small.join(large, ["head", "token"]).where((F.struct("dx", "x") < F.struct("dy", "y")) & (F.col("cx") != F.col("cy")) & close)
+    low = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("a"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+
+
+def list_pairs(lists: DataFrame, comps: DataFrame, heads: DataFrame, fits: Column, t: Fraction) -> DataFrame:
+    """Candidates (a, na, b, nb) that share a list but neither component nor reference.
+
+    Lists are first joined as lists of references, so that members of one
+    reference are never paired.
+    """
+    placed = lists.join(comps.withColumnRenamed("node", "sig"), "sig", "left").join(heads.select("sig", F.col("head").alias("ref")), "sig", "left")
+    placed = placed.withColumn("comp", F.coalesce("comp", "sig")).withColumn("ref", F.coalesce("ref", "sig"))
+    split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("ref").alias("r"), F.max("ref").alias("s")).where("lo < hi AND r < s").select("token")
+    rest = materialize(placed.join(split, "token", "left_semi").select("token", "sig", "n", "pos", "comp", "ref"), "join_rest")
+    refs = rest.groupBy("token", "ref").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = refs.select("token", F.col("ref").alias("ref_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"))
+    near = (F.col("most") * t.denominator >= F.col("least_b") * t.numerator) & (F.col("most_b") * t.denominator >= F.col("least") * t.numerator)
+    met = refs.join(other, "token").where((F.col("ref") < F.col("ref_b")) & near).select("token", "ref", "ref_b")
+    block = F.floor(F.col("pos") / POSITION_BLOCK) * POSITION_BLOCK
+    left = rest.select("token", "ref", F.col("sig").alias("a"), F.col("n").alias("na"), (F.col("n") - block).alias("left_a"), F.col("comp").alias("ca"))
+    right = rest.select("token", F.col("ref").alias("ref_b"), F.col("sig").alias("b"), F.col("n").alias("nb"), (F.col("n") - block).alias("left_b"), F.col("comp").alias("cb"))
+    enough = F.least("left_a", "left_b") >= _agree("na", "nb", t)
+    pairs = met.join(left, ["token", "ref"]).join(right, ["token", "ref_b"]).where((F.col("ca") != F.col("cb")) & fits & enough)
+    low = F.col("a") < F.col("b")
+    return pairs.select(F.least("a", "b").alias("x"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("nx"), F.greatest("a", "b").alias("y"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("ny")).distinct().toDF("a", "na", "b", "nb")
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, sig, n_shingles) and the components (sig, comp) of their sets.
 
@@ -251,25 +338,14 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
 
     fits = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
     first = lists.where("sig <> head").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("n_head").alias("nb")).where(fits).distinct()
-    first = materialize(plausible(first, marks, t), "join_heads")
+    first = materialize(plausible(first, marks, t, 2), "join_heads")
     sets = materialize(whole_sets(docs, text, n, _wanted(first, bits)), "join_sets")
-    by_head = materialize(verified(first, sets), "join_by_head")
+    by_head = materialize(verified(first, sets, differences=True), "join_by_head")
     joined = by_head.where(linked(t)).select("a", "b")
     comps = components(joined)
-
-    placed = lists.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    split = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = materialize(placed.join(split, "token", "left_semi").select("token", "sig", "n", "pos", "comp", "head"), "join_rest")
-    block = F.floor(F.col("pos") / POSITION_BLOCK) * POSITION_BLOCK
-    left = rest.select("token", F.col("sig").alias("a"), F.col("n").alias("na"), (F.col("n") - block).alias("left_a"), F.col("comp").alias("ca"), "head")
-    right = rest.select("token", F.col("sig").alias("b"), F.col("n").alias("nb"), (F.col("n") - block).alias("left_b"), F.col("comp").alias("cb"))
-    skip = fits & (F.least("left_a", "left_b") >= _agree("na", "nb", t))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("head")) & skip)
-    pairs = pairs.select("a", "na", "b", "nb").distinct()
-    far = materialize(by_head.select(F.col("a").alias("s"), F.col("b").alias("head"), (1 - F.col("same") / (F.col("na") + F.col("nb") - F.col("same"))).alias("d")), "join_distances")
-    apart = (pairs.join(far.select(F.col("s").alias("a"), "head", F.col("d").alias("da")), "a").join(far.select(F.col("s").alias("b"), "head", F.col("d").alias("db")), ["b", "head"])
-             .where(F.abs(F.col("da") - F.col("db")) > float(1 - t) + 1e-9).select("a", "b").distinct())
-    pairs = materialize(plausible(pairs.join(apart, ["a", "b"], "left_anti"), marks, t), "join_pairs")
+    heads = materialize(references(by_head, t), "join_references")
+    pairs = materialize(derived_pairs(heads, comps, t).unionByName(list_pairs(lists, comps, heads, fits, t)).distinct(), "join_candidates")
+    pairs = materialize(plausible(pairs, marks, t), "join_pairs")
     met = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig"), "sig", "left_anti")
     if not met.isEmpty():  # sets that no head asked for
         more = whole_sets(docs, text, n, _wanted(pairs, bits))
