@@ -49,6 +49,8 @@ CROWDED = 12
 REFERENCE = 4
 # Positions that share one skip decision.
 POSITION_BLOCK = 8
+# Turns of linear comparisons within the lists of difference tokens before sets are paired in full.
+STAR_TURNS = 2
 # Sets that a task sends at a time.
 SENT_ROWS = 500
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -270,7 +272,25 @@ def references(by_head: DataFrame, t: Fraction) -> DataFrame:
     return near.select(F.col("a").alias("sig"), F.col("na").alias("n"), F.col("b").alias("head"), "diff").join(best, ["sig", "head"]).dropDuplicates(["sig"])
 
 
-def derived_pairs(heads: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
+def difference_rows(heads: DataFrame, comps: DataFrame) -> DataFrame:
+    """(head, sig, n, d, token): the differences to heads whose sets are not yet one component."""
+    placed = heads.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    split = placed.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("head")
+    return placed.join(split, "head", "left_semi").select("head", "sig", "n", F.size("diff").alias("d"), F.explode("diff").alias("token"))
+
+
+def star_pairs(rows: DataFrame, comps: DataFrame, fits: Column, turn: int) -> DataFrame:
+    """Candidates (a, na, b, nb) of every list of a difference token with one of its sets, another one each turn.
+
+    Linear in the lists. Links found here leave fewer components to pair in full.
+    """
+    placed = rows.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    one = placed.groupBy("head", "token").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("o"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))).alias("m"), F.max("comp").alias("hi"), F.min("comp").alias("lo"))
+    pairs = placed.join(one.where("lo < hi").select("head", "token", "m.*"), ["head", "token"]).where(F.col("comp") != F.col("cb"))
+    return pairs.select(F.col("sig").alias("a"), F.col("n").alias("na"), "b", "nb").where(fits).distinct()
+
+
+def derived_pairs(rows: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
     """Candidates (a, na, b, nb) of one head and two components, from shared tokens of their differences.
 
     Linked sets differ in at most D = (1 - t) / t * n tokens, so of the first
@@ -278,10 +298,7 @@ def derived_pairs(heads: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
     smaller difference one of the first D / 2 + 1. The order is by how rare a
     token is among the differences of the head.
     """
-    placed = heads.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    split = placed.groupBy("head").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("head")
-    rows = placed.join(split, "head", "left_semi").select("head", "sig", "n", "comp", F.size("diff").alias("d"), F.explode("diff").alias("token"))
-    rows = materialize(rows, "join_differences")
+    rows = rows.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     often = rows.groupBy("head", "token").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("sig").orderBy("often", "token"))
     most = F.floor(F.col("n") * (t.denominator - t.numerator) / F.lit(t.numerator)).cast("int")
@@ -344,7 +361,15 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     joined = by_head.where(linked(t)).select("a", "b")
     comps = components(joined)
     heads = materialize(references(by_head, t), "join_references")
-    pairs = materialize(derived_pairs(heads, comps, t).unionByName(list_pairs(lists, comps, heads, fits, t)).distinct(), "join_candidates")
+    rows = materialize(difference_rows(heads, comps), "join_differences")
+    for turn in range(STAR_TURNS):
+        near = materialize(plausible(star_pairs(rows, comps, fits, turn), marks, t), "join_stars")
+        found = materialize(verified(near, sets).where(linked(t)).select("a", "b"), "join_star_links")
+        if found.isEmpty():
+            break
+        joined = joined.unionByName(found)
+        comps = components(joined)
+    pairs = materialize(derived_pairs(rows, comps, t).unionByName(list_pairs(lists, comps, heads, fits, t)).distinct(), "join_candidates")
     pairs = materialize(plausible(pairs, marks, t), "join_pairs")
     met = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig"), "sig", "left_anti")
     if not met.isEmpty():  # sets that no head asked for
