@@ -1,4 +1,7 @@
-"""Byte-level BPE in column expressions: ranked merges folded over the bytes of words.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words.
+
+``encode_documents`` folds in tasks. ``encode_natively`` is the same in column
+expressions; it is right but costs more than the limits allow (README).
 
 A word starts as one piece per byte. A fold merges the adjacent pair whose
 joined bytes have the lowest rank, until no joined pair has one. Ranks are read
@@ -14,11 +17,14 @@ the cost and never the result.
 from __future__ import annotations
 
 import base64
+import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cohortwise.llm.words import text_of
 from cohortwise.session import materialize
@@ -26,6 +32,10 @@ from cohortwise.session import materialize
 # Frequent words in the map, and documents they are counted on.
 MAP_WORDS = 100_000
 SAMPLE_DOCS = 20_000
+# Words that a task remembers, bytes from which a word is folded by a heap, and documents that a task sends at a time.
+REMEMBERED = 400_000
+LONG_WORD = 64
+SENT_ROWS = 500
 # Rank of a pair that does not merge.
 NEVER = (1 << 31) - 1
 # Unicode white space, as the pattern's own engine defines \\s.
@@ -193,15 +203,115 @@ class Codec:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.le, i)), ""))
 
 
-def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_natively(docs: DataFrame, pieces: list[bytes], pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``ids``, ``n_tokens``, ``id_bytes`` and ``decoded``.
 
-    A null or empty text has no ids. The splitting pattern keeps every
-    character, so ``decoded`` is the text. Repeated rows stay repeated; columns
-    of the new names are replaced.
+    All in column expressions. Results equal those of ``encode_documents``.
     """
     codec = Codec(docs.sparkSession, pieces, pattern)
     codec.learn_words(docs, doc_id, text)
     keep = [c for c in docs.columns if c not in (text, "ids", "n_tokens", "id_bytes", "decoded", "__words")]
     d = docs.select(*keep, codec.split(text_of(text)).alias("__words")).withColumn("ids", codec.encode(F.col("__words"))).drop("__words")
     return d.select(*keep, "ids", F.size("ids").cast("long").alias("n_tokens"), codec.little_endian(F.col("ids")).alias("id_bytes"), codec.decode(F.col("ids")).alias("decoded"))
+
+
+def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a word: itself if ranked, else its bytes under ranked merges, lowest rank and leftmost first."""
+    own = ranks.get(word)
+    if own is not None:
+        return [own]
+    parts = [word[i:i + 1] for i in range(len(word))]
+    pair = [ranks.get(word[i:i + 2], NEVER) for i in range(len(word) - 1)]
+    if len(parts) > LONG_WORD:
+        return _merged_long(parts, pair, ranks)
+    while pair:
+        least = min(pair)
+        if least == NEVER:
+            break
+        i = pair.index(least)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pair[i]
+        if i:
+            pair[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
+        if i < len(pair):
+            pair[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
+    return [ranks[p] for p in parts]
+
+
+def _merged_long(parts: list[bytes], pair: list[int], ranks: dict[bytes, int]) -> list[int]:
+    """The same fold with a heap over linked parts, for words without white space of any length."""
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i, r in enumerate(pair) if r != NEVER]
+    heapq.heapify(heap)
+    gone = [False] * n
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            r = ranks.get(parts[i] + parts[after[i]], NEVER)
+            pair[i] = r
+            if r != NEVER:
+                heapq.heappush(heap, (r, i))
+        elif i >= 0 and i < len(pair):
+            pair[i] = NEVER
+
+    while heap:
+        r, i = heapq.heappop(heap)
+        if gone[i] or pair[i] != r or after[i] >= n:
+            continue
+        j = after[i]
+        parts[i] += parts[j]
+        gone[j] = True
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        offer(i)
+        offer(before[i])
+    return [ranks[p] for i, p in enumerate(parts) if not gone[i]]
+
+
+def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` without the text, with ``ids``, ``n_tokens``, ``id_bytes`` and ``decoded``.
+
+    Each task folds the ranked merges over its distinct words and remembers
+    them; ``decoded`` concatenates the pieces of the ids. A null or empty text
+    has no ids. The splitting pattern keeps every character, so ``decoded`` is
+    the text. Repeated rows stay repeated; columns of the new names are replaced.
+    """
+    import regex
+
+    names = ("ids", "n_tokens", "id_bytes", "decoded")
+    keep = [c for c in docs.columns if c != text and c not in names]
+    vocabulary = docs.sparkSession.sparkContext.broadcast(tuple(pieces))  # of the size of the rank list, whatever the input
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        piece = vocabulary.value
+        ranks = {p: i for i, p in enumerate(piece)}
+        split = regex.compile(pattern)
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            for start in range(0, len(batch), SENT_ROWS):
+                b = batch.iloc[start:start + SENT_ROWS]
+                found = []
+                for t in b["__text"]:
+                    ids: list[int] = []
+                    for w in split.findall(t):
+                        got = known.get(w)
+                        if got is None:
+                            got = merged_ids(w.encode("utf-8", "surrogatepass"), ranks)
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            if len(w) <= LONG_WORD:
+                                known[w] = got
+                        ids += got
+                    found.append(np.array(ids, dtype=np.int32))
+                out = b[keep].copy()
+                out["ids"] = pd.Series(found, index=b.index, dtype=object)
+                out["n_tokens"] = pd.Series([len(f) for f in found], index=b.index, dtype="int64")
+                out["id_bytes"] = pd.Series([f.astype("<u4").tobytes() for f in found], index=b.index, dtype=object)
+                out["decoded"] = pd.Series([b"".join([piece[i] for i in f.tolist()]) for f in found], index=b.index, dtype=object)
+                yield out
+
+    src = docs.select(*keep, text_of(text).alias("__text"))
+    schema = docs.select(*keep).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("id_bytes", "binary").add("decoded", "binary")
+    return src.mapInPandas(run, schema)

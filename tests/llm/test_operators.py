@@ -374,9 +374,12 @@ def test_bpe_equals_tiktoken(spark, odd_documents, no_documents):
 
     pieces = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
-    extra = spark.createDataFrame([(20, "it's  \u00a0\u2003x 12345 ÄÖÜ aaaaaaaaaaaaaaaaaaaaaaa\n\n\n end "), (21, "\u3000日本語<|endoftext|>"), (22, "don'T we'll _ß́")], "doc_id long, text string")
+    extra = spark.createDataFrame([(20, "it's  \u00a0\u2003x 12345 ÄÖÜ aaaaaaaaaaaaaaaaaaaaaaa\n\n\n end "), (21, "\u3000日本語<|endoftext|>"), (22, "don'T we'll _ß́"), (23, "ab" * 700 + "xyzzy" * 90)], "doc_id long, text string")
     docs = odd_documents.drop("lang", "source", "n_chars", "kept", "rule").unionByName(extra, allowMissingColumns=True)
     rows = bpe.encode_documents(docs, pieces, public_tokenizers.PATTERN).collect()
+    assert bpe.encode_documents(no_documents, pieces, public_tokenizers.PATTERN).count() == 0
+    native = bpe.encode_natively(docs.where("coalesce(doc_id, 0) <> 8"), pieces, public_tokenizers.PATTERN).select("doc_id", "ids", "id_bytes", "decoded").collect()
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.id_bytes), bytes(r.decoded)) for r in native) == Counter((r.doc_id, tuple(r.ids), bytes(r.id_bytes), bytes(r.decoded)) for r in rows if r.doc_id != 8)
     want = Counter((r.doc_id, tuple(encoding.encode_ordinary(r.text or "")), r.text or "") for r in docs.collect())
     assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded).decode()) for r in rows) == want
     r = rows[0]
