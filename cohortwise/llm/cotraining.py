@@ -76,7 +76,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     mean, sd = x.mean(axis=0), x.std(axis=0)
     sd[sd < 1e-6] = 1.0
     mean[-1], sd[-1] = 0.0, 1.0
-    z = ((x - mean) / sd).astype(np.float32)
+    z = (x - mean).astype(np.float32, copy=False)
+    z /= sd.astype(np.float32)
     v = np.ones(z.shape[1], dtype=np.float32)
     for _ in range(12):  # largest curvature, for the step size
         v = z.T @ (w * (z @ v))
@@ -174,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not len(rows):
         return None
     rows = rows.sort_values("__id", kind="stable")
-    xt, xm = (np.stack([np.frombuffer(v, dtype=np.float32) for v in rows[c]]) for c in ("t", "m"))
     y = rows["__y"].to_numpy(int)
+    xt, xm = (np.frombuffer(b"".join(rows.pop(c)), dtype=np.float32).reshape(len(y), -1) for c in ("t", "m"))
     lab = y >= 0
     if not lab.any():
         return None
