@@ -143,12 +143,13 @@ def top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector:
 
     Ties go to the smaller id. Fewer than k other rows: all. Shorter vectors
     count as filled up with zeros. Null ids, null vectors and vectors with a
-    null or non-finite component take no part. A repeated id is searched once
-    per different vector, its equal rows count once, and no row of a query's own
-    id is its answer. An empty table gives no rows. Scores are exact while they
-    stay below 2^53.
+    null or non-finite component take no part. Answers are rows: a repeated id
+    can be an answer once per row. A query's equal rows are searched once, and
+    no row of its own id is its answer. An empty table gives no rows. Scores are
+    exact while they stay below 2^53.
     """
-    usable = usable_vectors(vectors, vec_id, vector, scale).dropDuplicates()
+    # More than k equal rows say no more than k of them.
+    usable = usable_vectors(vectors, vec_id, vector, scale).groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
     base = materialize(usable, "vectors")
     width = max(1, base.agg(F.max(F.size("v"))).first()[0] or 1)
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toPandas()
@@ -161,11 +162,11 @@ def top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector:
             cell = sq.argmin(axis=1)
             yield b.assign(cell=cell, far=np.sqrt(((x - centres[cell]) ** 2).sum(axis=1)))
 
-    celled = materialize(base.mapInPandas(assign, "vec_id long, v array<double>, cell long, far double"), "cells")
-    stat = {r.cell: (r.n, r.far) for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # a row per pivot
+    celled = materialize(base.mapInPandas(assign, "vec_id long, v array<double>, times int, cell long, far double"), "cells")
+    stat = {r.cell: (r.n, r.far) for r in celled.groupBy("cell").agg(F.sum("times").alias("n"), F.max("far").alias("far")).collect()}  # a row per pivot
     blocks = {c: -(-n // block_rows) for c, (n, _) in stat.items()}
     table = F.create_map(*[x for c, b in blocks.items() for x in (F.lit(c), F.lit(b))]) if blocks else F.create_map(F.lit(-1), F.lit(1))
-    data = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v"), table[F.col("cell")]).alias("block"))
+    data = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v"), table[F.col("cell")]).alias("block"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
     asked = celled.where(is_query)
     q_blocks = max(1, -(-asked.count() // query_rows))
     asked = asked.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(q_blocks)).alias("q_block"))
@@ -207,7 +208,7 @@ def top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector:
     sent = asked.mapInPandas(spread, "vec_id long, v array<double>, q_block long, qh long, floor double, cell long")
     sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), table[F.col("cell")].cast("long") - 1)))
     answers = sent.groupBy(*keys).cogroup(pieces).applyInPandas(search, found)
-    answers = answers.groupBy("query_id", "qh", "vec_id").agg(F.max("score").alias("score"))
+    # A data row is in one block, so no pair of rows comes twice.
     w = Window.partitionBy("query_id", "qh").orderBy(F.col("score").desc(), "vec_id")
     score = F.col("score") if scale is None else F.col("score").cast("long")
     return answers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))

@@ -271,6 +271,16 @@ def test_top_k_small_tables(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0, 10, scale=1).count() == 0
 
 
+@pytest.mark.parametrize("tree", [(1, 16), (8, 4096)])
+def test_top_k_ranks_rows_of_repeated_ids(spark, tree):
+    rng = np.random.default_rng(5)
+    rows = [(0, [40, 40])] + [(7, [30 + i % 20, 30]) for i in range(60)] + [(i, [int(v) for v in rng.integers(-20, 30, 2)]) for i in range(20, 120)]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0, 10, scale=1, pivots=tree[0], block_rows=tree[1]).orderBy("rank").collect()]
+    best = sorted(((40 * (a + b), i) for i, (a, b) in rows if i != 0), key=lambda z: (-z[0], z[1]))[:10]
+    assert got == [(k + 1, i, s) for k, (s, i) in enumerate(best)]
+
+
 # --- n-gram join -------------------------------------------------------------
 
 def grouped(rows, n, t):
