@@ -1,15 +1,18 @@
 """License scan by conditional compression.
 
-A candidate block (a line, or a run of lines as long as a template) is
-compressed alone and again with each license template as raw dictionary. The
-better a template predicts the block, the more the second size shrinks. The
-templates with the best reductions are then confirmed or refused by the exact
-word differences between block and template.
+Around each stem, the words of a text are held against each license template.
+Where enough of a template's words occur, the span of words that agrees best
+with it is cut out by exact alignment. The span is compressed alone and again
+with the template as raw dictionary: the better the template predicts the span,
+the more the second size shrinks. Spans that overlap compete, others all stay.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -42,18 +45,52 @@ TEMPLATES = [
     ("public-domain", "This work is in the public domain."),
     ("all-rights-reserved", "All rights reserved."),
 ]
-# A block is a candidate when it holds one of these stems, taken from the templates.
+# A notice holds one of these stems, taken from the templates.
 STEMS = r"(?i)licen[cs]|redistribut|permission|copyright|warrant|public domain|rights reserved|free software|creative commons"
-# Templates kept for the exact comparison, the least share of the size that must be saved, and of words that must agree.
-RANKED = 4
+# The least share of a notice's compressed size that its template must save, and of words that must agree.
 MIN_REDUCTION = 0.25
 MIN_AGREEMENT = 0.8
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 _VERSION = re.compile(r"\d+(?:\.\d+)*")
 
 
+def _spans(s: str) -> list[tuple[str, int, int]]:
+    """(word, begin, end) of each word."""
+    return [("{v}" if _VERSION.fullmatch(m[0]) else m[0].lower(), *m.span()) for m in _WORD.finditer(s.replace("{v}", " 0 "))]
+
+
 def _words(s: str) -> list[str]:
-    return ["{v}" if _VERSION.fullmatch(w) else w.lower() for w in _WORD.findall(s.replace("{v}", "0"))]
+    return [w for w, _, _ in _spans(s)]
+
+
+def align(want: list[str], words: list[str]) -> tuple[float, int, int]:
+    """(agreement, begin, end) of the span of ``words`` that agrees best with ``want``; the first of equals.
+
+    Agreement is twice the common words in order over both lengths. For a given
+    level, a span reaches it where 2 * common - level * span is level * wanted
+    or more; the level rises to that of the best span until no span beats it.
+    """
+    level, best = MIN_AGREEMENT, (0.0, 0, 0)
+    while True:
+        # Value, begin and common words of the best span that ends here, by wanted words used; -level is a word more in the text.
+        row: list[tuple[float, int, int]] = [(0.0, 0, 0)] * (len(want) + 1)
+        found = best
+        for at, word in enumerate(words):
+            new = [(0.0, -at - 1, 0)]
+            for i, w in enumerate(want):
+                value, begin, same = row[i + 1]
+                cell = max(new[i], (value - level, begin, same) if same else (0.0, -at - 1, 0))
+                if w == word:
+                    value, begin, same = row[i] if row[i][2] else (0.0, -at, 0)
+                    cell = max(cell, (value + 2 - level, begin, same + 1))
+                new.append(cell)
+            row = new
+            _, begin, same = row[-1]
+            if same and (agreement := 2 * same / (len(want) + at + 1 + begin)) > found[0] + 1e-12:
+                found = (agreement, -begin, at + 1)
+        if found == best or found[0] < MIN_AGREEMENT:
+            return found
+        level, best = found[0], found
 
 
 class Templates:
@@ -66,69 +103,71 @@ class Templates:
         self.plain = zstandard.ZstdCompressor(compression_params=params)
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(
             (" ".join(w) + " ").encode() * (1 + 64 // max(1, len(" ".join(w)))), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
-        self.longest = max((len(w) for w in self.words), default=0)
+        self.counts = [Counter(w) for w in self.words]
+        # A span of a agreeing words and b others has 2a / (wanted + a + b) of at least MIN_AGREEMENT.
+        self.reach = [int(len(w) * (2 / MIN_AGREEMENT - 1) + 1e-9) for w in self.words]
+        self.least = [MIN_AGREEMENT / (2 - MIN_AGREEMENT) * len(w) - 1e-9 for w in self.words]
 
-    def ranked(self, words: list[str]) -> list[tuple[float, int]]:
-        """(share of the compressed size saved, template), best first."""
+    def reduction(self, words: list[str], i: int) -> float:
+        """Share of the compressed size saved by template i."""
         raw = " ".join(words).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        saved = [((alone - len(c.compress(raw))) / max(1, alone), i) for i, c in enumerate(self.given)]
-        return sorted(((s, i) for s, i in saved if s >= MIN_REDUCTION), key=lambda x: (-x[0], x[1]))[:RANKED]
-
-    def confirm(self, words: list[str], i: int) -> tuple[float, int, int, list[str]]:
-        """Agreement in words with template i, the matched span of words, and what differs from its wording."""
+        return (alone - len(self.given[i].compress(raw))) / max(1, alone)
+
+    def best(self, words: list[str], i: int, at: int, low: int, high: int) -> tuple[float, int, int, float] | None:
+        """(agreement, begin, end, reduction) of the confirmed span for template i around word ``at``, within low and high."""
+        low, high = max(low, at + 1 - self.reach[i]), min(high, at + self.reach[i])
+        near = words[low:high]
+        if sum(min(n, self.counts[i][w]) for w, n in Counter(w for w in near if w in self.counts[i]).items()) < self.least[i]:
+            return None
+        agreement, begin, end = align(self.words[i], near)
+        if agreement < MIN_AGREEMENT or (saved := self.reduction(near[begin:end], i)) < MIN_REDUCTION:
+            return None
+        return agreement, low + begin, low + end, saved
+
+    def differences(self, words: list[str], i: int) -> str:
         want = self.words[i]
-        match = SequenceMatcher(None, want, words, autojunk=False)
-        blocks = [b for b in match.get_matching_blocks() if b.size]
-        if not blocks:
-            return 0.0, 0, 0, []
-        begin, end = blocks[0].b, blocks[-1].b + blocks[-1].size
-        same = sum(b.size for b in blocks)
-        inside = words[begin:end]
-        diff = [f"{op}: {' '.join(want[a:b])} -> {' '.join(inside[c:d])}" for op, a, b, c, d in SequenceMatcher(None, want, inside, autojunk=False).get_opcodes() if op != "equal"]
-        return 2 * same / (len(want) + len(inside)), begin, end, diff
+        return "; ".join(f"{op}: {' '.join(want[a:b])} -> {' '.join(words[c:d])}" for op, a, b, c, d in SequenceMatcher(None, want, words, autojunk=False).get_opcodes() if op != "equal")
 
 
 def find(text: str, t: Templates, stems: re.Pattern) -> list[tuple[str, int, int, float, float, str]]:
     """(license, first line, last line, reduction, agreement, differences) of each confirmed notice of a text, in order.
 
-    A candidate starts at a line with a stem and goes on over the following
-    lines while it has fewer words than the longest template: notices are often
-    wrapped. A longer line is cut into overlapping runs of words around its stems.
+    Notices are spans of the words from the line of a stem on. Of spans that
+    overlap, the best in agreement, then in length and reduction, stays; the
+    others are sought again in the words that are left around their stem.
     """
-    out: dict[tuple[int, str], tuple[str, int, int, float, float, str]] = {}
-    lines = text.split("\n")
-    for at, line in enumerate(lines):
-        if not stems.search(line):
+    spans = _spans(text)
+    words, starts, ends = [w for w, _, _ in spans], [b for _, b, _ in spans], [e for _, _, e in spans]
+    breaks = [k for k, c in enumerate(text) if c == "\n"] if spans else []
+    heap: list[tuple] = []
+
+    def offer(i: int, at: int, low: int, high: int) -> None:
+        if (got := t.best(words, i, at, low, high)) is not None:
+            agreement, begin, end, saved = got
+            heapq.heappush(heap, (-agreement, begin - end, -saved, begin, i, at))
+
+    for at in sorted({a for m in stems.finditer(text) if (a := bisect_right(ends, m.start())) < len(words)}):
+        for i in range(len(t.words)):
+            offer(i, at, bisect_left(starts, text.rfind("\n", 0, starts[at]) + 1), len(words))
+    taken: list[tuple[int, int]] = []
+    out = []
+    while heap:
+        agreement, length, saved, begin, i, at = heapq.heappop(heap)
+        end, k = begin - length, bisect_right(taken, (at, len(words)))
+        low, high = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(words)
+        if low > at:  # the stem is part of a better notice
+            continue
+        if begin < low or end > high:
+            offer(i, at, max(low, bisect_left(starts, text.rfind("\n", 0, starts[at]) + 1)), high)
             continue
-        for words, last in _candidates(lines, at, t.longest, stems):
-            for saved, i in t.ranked(words):
-                agreement, _, _, diff = t.confirm(words, i)
-                if agreement >= MIN_AGREEMENT:
-                    key, found = (at, t.names[i]), (t.names[i], at, last, round(saved, 4), round(agreement, 4), "; ".join(diff))
-                    if key not in out or found[4] > out[key][4]:
-                        out[key] = found
+        taken.insert(bisect_left(taken, (begin, end)), (begin, end))
+        first, last = bisect_left(breaks, starts[begin]), bisect_left(breaks, ends[end - 1])
+        out.append((begin, (t.names[i], first, last, round(-saved, 4), round(-agreement, 4), t.differences(words[begin:end], i))))
     best: dict[int, float] = {}
-    for f in out.values():
+    for _, f in out:
         best[f[1]] = max(best.get(f[1], 0.0), f[4])
-    return sorted((f for f in out.values() if f[4] == best[f[1]]), key=lambda f: (f[1], f[0]))
-
-
-def _candidates(lines: list[str], at: int, longest: int, stems: re.Pattern) -> Iterator[tuple[list[str], int]]:
-    own = _words(lines[at])
-    if len(own) > 2 * longest:
-        for m in stems.finditer(lines[at]):
-            before, after = _words(lines[at][max(0, m.start() - 12 * longest):m.start()]), _words(lines[at][m.start():m.start() + 12 * longest])
-            for reach in (8, longest):
-                yield before[-reach:] + after[:reach], at
-        return
-    yield own, at
-    grown, last = own, at
-    while len(grown) < longest and last + 1 < len(lines) and lines[last + 1].strip():
-        last += 1
-        grown = grown + _words(lines[last])
-    if last > at:
-        yield grown[: 2 * longest], last
+    return [f for _, f in sorted(out) if f[4] == best[f[1]]]
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -377,6 +378,40 @@ def test_license_notices(spark, odd_documents, no_documents):
     assert licenses.scan(no_documents).count() == 0
 
 
+STEM = re.compile(licenses.STEMS)
+
+
+def notices(text):
+    return [(f[0], f[1], f[2]) for f in licenses.find(text, licenses.Templates(licenses.TEMPLATES), STEM)]
+
+
+def test_license_span_is_the_best_one():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        want, words = (["abcde"[v] for v in rng.integers(0, 5, n)] for n in (int(rng.integers(1, 6)), int(rng.integers(0, 12))))
+        want_in = lambda span: max((sum(1 for _ in c) for n in range(len(want), 0, -1) for c in combinations(want, n) if in_order(c, span)), default=0)
+        best = max((2 * want_in(words[b:e]) / (len(want) + e - b) for b in range(len(words)) for e in range(b + 1, len(words) + 1)), default=0.0)
+        got, begin, end = licenses.align(want, words)
+        assert (abs(got - best) < 1e-9 and abs(2 * want_in(words[begin:end]) / (len(want) + end - begin) - got) < 1e-9) if best >= licenses.MIN_AGREEMENT else got < licenses.MIN_AGREEMENT
+
+
+def in_order(some, words):
+    rest = iter(words)
+    return all(w in rest for w in some)
+
+
+def test_license_notices_inside_prose(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    prose = [w for t in texts if t and not STEM.search(t) for w in [t.split()] if len(w) >= 40]
+    assert len(prose) >= 5
+    for name, template in licenses.TEMPLATES:
+        notice = template.replace("{v}", "3.0")
+        for around in (8, 20, 300):
+            for w in prose[:5]:
+                w = (w * (1 + around // len(w)))[:around]
+                assert notices(" ".join([*w[:around // 2], notice, *w[around // 2:]])) == [(name, 0, 0)], (name, around)
+
+
 # --- byte BPE ----------------------------------------------------------------
 
 def test_bpe_equals_tiktoken(spark, odd_documents, no_documents):
