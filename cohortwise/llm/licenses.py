@@ -164,10 +164,7 @@ def find(text: str, t: Templates, stems: re.Pattern) -> list[tuple[str, int, int
         taken.insert(bisect_left(taken, (begin, end)), (begin, end))
         first, last = bisect_left(breaks, starts[begin]), bisect_left(breaks, ends[end - 1])
         out.append((begin, (t.names[i], first, last, round(-saved, 4), round(-agreement, 4), t.differences(words[begin:end], i))))
-    best: dict[int, float] = {}
-    for _, f in out:
-        best[f[1]] = max(best.get(f[1], 0.0), f[4])
-    return [f for _, f in sorted(out) if f[4] == best[f[1]]]
+    return [f for _, f in sorted(out)]
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:

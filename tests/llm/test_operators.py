@@ -412,6 +412,15 @@ def test_license_notices_inside_prose(spark):
                 assert notices(" ".join([*w[:around // 2], notice, *w[around // 2:]])) == [(name, 0, 0)], (name, around)
 
 
+def test_license_notices_of_one_line():
+    mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, release 3."
+    assert [n for n, *_ in notices(f"{mit} Some words go in between here. {gpl}")] == ["MIT", "GPL"]
+    assert [n for n, *_ in notices(f"{mit} {mit}")] == ["MIT", "MIT"]
+    five = ["Released under the BSD License.", mit, "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-SA 4.0.", "All rights reserved."]
+    assert [n for n, *_ in notices(" ".join(five))] == ["BSD", "MIT", "Apache-2.0", "CC-BY-SA", "all-rights-reserved"]
+    assert [n for n, *_ in notices("Licensed under CC BY-SA 4.0.")] == ["CC-BY-SA"]
+
+
 # --- byte BPE ----------------------------------------------------------------
 
 def test_bpe_equals_tiktoken(spark, odd_documents, no_documents):
