@@ -45,8 +45,8 @@ TEMPLATES = [
     ("public-domain", "This work is in the public domain."),
     ("all-rights-reserved", "All rights reserved."),
 ]
-# A notice holds one of these stems, taken from the templates.
-STEMS = r"(?i)licen[cs]|redistribut|permission|copyright|warrant|public domain|rights reserved|free software|creative commons"
+# A notice holds one of these stems, taken from the templates; anything but letters and digits may part their words.
+STEMS = r"(?i)licen[cs]|redistribut|permission|copyright|warrant|public[\W_]+domain|rights[\W_]+reserved|free[\W_]+software|creative[\W_]+commons"
 # The least share of a notice's compressed size that its template must save, and of words that must agree.
 MIN_REDUCTION = 0.25
 MIN_AGREEMENT = 0.8
@@ -133,7 +133,7 @@ class Templates:
 def find(text: str, t: Templates, stems: re.Pattern) -> list[tuple[str, int, int, float, float, str]]:
     """(license, first line, last line, reduction, agreement, differences) of each confirmed notice of a text, in order.
 
-    Notices are spans of the words from the line of a stem on. Of spans that
+    Notices are spans of the text's words, whatever its lines. Of spans that
     overlap, the best in agreement, then in length and reduction, stays; the
     others are sought again in the words that are left around their stem.
     """
@@ -149,7 +149,7 @@ def find(text: str, t: Templates, stems: re.Pattern) -> list[tuple[str, int, int
 
     for at in sorted({a for m in stems.finditer(text) if (a := bisect_right(ends, m.start())) < len(words)}):
         for i in range(len(t.words)):
-            offer(i, at, bisect_left(starts, text.rfind("\n", 0, starts[at]) + 1), len(words))
+            offer(i, at, 0, len(words))
     taken: list[tuple[int, int]] = []
     out = []
     while heap:
@@ -159,7 +159,7 @@ def find(text: str, t: Templates, stems: re.Pattern) -> list[tuple[str, int, int
         if low > at:  # the stem is part of a better notice
             continue
         if begin < low or end > high:
-            offer(i, at, max(low, bisect_left(starts, text.rfind("\n", 0, starts[at]) + 1)), high)
+            offer(i, at, low, high)
             continue
         taken.insert(bisect_left(taken, (begin, end)), (begin, end))
         first, last = bisect_left(breaks, starts[begin]), bisect_left(breaks, ends[end - 1])
@@ -185,6 +185,6 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
             yield pd.DataFrame({"__key": b["__key"], "notices": pd.Series(found, index=b.index, dtype=object)})
 
     names = F.array_sort(F.array_distinct(F.transform("notices", lambda n: n.license)))
-    src = docs.select(F.col(doc_id).alias("__key"), F.when(F.rlike(text_of(text), F.lit(STEMS)), text_of(text)).otherwise("").alias("__text"))
+    src = docs.select(F.col(doc_id).alias("__key"), F.when(F.rlike(text_of(text), F.lit("(?U)" + STEMS)), text_of(text)).otherwise("").alias("__text"))
     out = src.mapInPandas(run, f"__key {kind.simpleString()}, notices array<{notice}>")
     return out.select(F.col("__key").alias(doc_id), F.size("notices").alias("n_notices"), names.alias("licenses"), "notices")

@@ -421,6 +421,17 @@ def test_license_notices_of_one_line():
     assert [n for n, *_ in notices("Licensed under CC BY-SA 4.0.")] == ["CC-BY-SA"]
 
 
+def test_license_notices_wrapped_anywhere(spark):
+    for name, template in licenses.TEMPLATES:
+        w = template.replace("{v}", "3.0").split()
+        for cut in range(1, len(w)):
+            assert notices("x\n" + " ".join(w[:cut]) + "\n" + " ".join(w[cut:])) == [(name, 1, 2)], (name, cut)
+        assert notices("\n# ".join(["x", *w])) == [(name, 1, len(w))]
+    rows = [(1, "This work is in the public\ndomain."), (2, "All rights  reserved."), (3, "All rights\u00a0reserved."), (4, "Released under the MIT\n\nLicense.")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["public-domain"], 2: ["all-rights-reserved"], 3: ["all-rights-reserved"], 4: ["MIT"]}
+
+
 # --- byte BPE ----------------------------------------------------------------
 
 def test_bpe_equals_tiktoken(spark, odd_documents, no_documents):
