@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.words import text_of
+from cohortwise.session import materialize
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +42,8 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 # Smoothing of the counted potentials, and the marginal from which a node is content.
 PRIOR = 0.5
 CONTENT = 0.5
+# Counted features that every task holds; the rest is joined to the pages that have them. It changes the cost, never the result.
+HELD = 20_000
 # Potentials: of an element that is set apart, of a label that markup rules out, and the most that one node's features say.
 APART_LOG = -1000.0
 NEVER_LOG = -30.0
@@ -184,28 +187,39 @@ def page_counts(html: str) -> Counter:
 
 
 class TreeModel:
-    """Potentials from counts; marginals by messages up and down the tree."""
+    """Potentials from counts; marginals by messages up and down the tree.
 
-    def __init__(self, rows: list[tuple[str, str, int, int, int]]):
+    ``rest``, if any, is a table (f, c0, c1) of the node features that ``rows``
+    leaves out; ``size`` and ``total`` then count those too. It stays with the driver.
+    """
+
+    def __init__(self, rows: list[tuple[str, str, int, int, int]], size: int | None = None, total: list[float] | None = None, rest: DataFrame | None = None):
         node: dict[str, list[float]] = {}
         edge: dict[str, list[list[float]]] = {}
-        total = [0.0, 0.0]
+        tags = [0.0, 0.0]
         for kind, f, parent, y, n in rows:
             if kind == "node":
                 node.setdefault(f, [0.0, 0.0])[y] += n
                 if f.startswith("tag="):
-                    total[y] += n
+                    tags[y] += n
             else:
                 edge.setdefault(f, [[0.0, 0.0], [0.0, 0.0]])[parent][y] += n
-        size = max(1, len(node))
-        # A feature speaks by how much likelier it is in one class; the share of the classes is in the edges.
-        self.node = {f: tuple(math.log((c[y] + PRIOR) / (total[y] + PRIOR * size)) for y in (0, 1)) for f, c in node.items()}
+        self.size, self.total, self.rest = max(1, len(node)) if size is None else max(1, size), tags if total is None else total, rest
+        self.node = {f: self.potential(c) for f, c in node.items()}
         self.edge = {f: [[math.log((e[p][y] + PRIOR) / (sum(e[p]) + 2 * PRIOR)) for y in (0, 1)] for p in (0, 1)] for f, e in edge.items()}
         for e in self.edge.values():  # transitions that no labelled page shows are ruled out, whatever the number of pages
             for p in (0, 1):
                 e[p] = [max(NEVER_LOG, v) if v > -7 else NEVER_LOG for v in e[p]]
 
-    def marginals(self, dom: Dom) -> list[float]:
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rest": None}
+
+    def potential(self, c) -> tuple[float, ...]:
+        # A feature speaks by how much likelier it is in one class; the share of the classes is in the edges.
+        return tuple(math.log((c[y] + PRIOR) / (self.total[y] + PRIOR * self.size)) for y in (0, 1))
+
+    def marginals(self, dom: Dom, more: dict[str, tuple[float, ...]] | None = None) -> list[float]:
+        known = ChainMap(self.node, more) if more else self.node
         n = len(dom.nodes)
         local, pair = [], []
         named = any(node.tag in MAIN for node in dom.nodes)
@@ -215,7 +229,7 @@ class TreeModel:
             elif apart(node):
                 a = [0.0, APART_LOG]
             else:
-                got = [self.node[f] for f in features(node) if f in self.node]
+                got = [known[f] for f in features(node) if f in known]
                 odds = sum(g[1] - g[0] for g in got)
                 a = [0.0, min(MOST_LOG, max(-MOST_LOG, odds))]
             kind = edge_kind(node)
@@ -241,10 +255,10 @@ def _lse(a: float, b: float) -> float:
     return m + math.log1p(math.exp(-abs(a - b)))
 
 
-def main_text(html: str, model: TreeModel) -> str:
+def main_text(html: str, model: TreeModel, more: dict[str, tuple[float, ...]] | None = None) -> str:
     """Blocks of the content nodes in page order, one per line, white space made one blank."""
     dom = parse(html)
-    marginal = model.marginals(dom)
+    marginal = model.marginals(dom, more)
     blocks, run = [], []
     for k, (at, data) in enumerate(dom.runs):
         if k in dom.breaks and run:
@@ -257,21 +271,47 @@ def main_text(html: str, model: TreeModel) -> str:
     return "\n".join(t for b in blocks if (t := " ".join(b.split())))
 
 
-def learn(pages: DataFrame, html: str = "html") -> TreeModel:
-    """Potentials counted over all labelled pages; only the distinct counts (bounded by tags and class words in use) come back."""
+def learn(pages: DataFrame, html: str = "html", held: int = HELD) -> TreeModel:
+    """Potentials counted over all labelled pages; the ``held`` most frequent features come back, the rest stays a table."""
+    def table(counts: Counter) -> pd.DataFrame:
+        rows = [(*k, n) for k, n in counts.items()]
+        return pd.DataFrame(rows, columns=["kind", "f", "parent", "y", "n"]).astype({"kind": str, "f": str, "parent": "int32", "y": "int32", "n": "int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for b in batches:
             for h in b["h"]:
                 counts.update(page_counts(h))
-        rows = [(*k, n) for k, n in counts.items()]
-        yield pd.DataFrame(rows, columns=["kind", "f", "parent", "y", "n"]).astype({"kind": str, "f": str, "parent": "int32", "y": "int32", "n": "int64"})
+                if len(counts) > 10 * HELD:
+                    yield table(counts)
+                    counts = Counter()
+        yield table(counts)
 
     got = pages.select(text_of(html).alias("h")).mapInPandas(run, "kind string, f string, parent int, y int, n long")
-    # Words that label a handful of nodes say nothing; the tags and edges are few.
-    summed = got.groupBy("kind", "f", "parent", "y").agg(F.sum("n").alias("n"))
-    common = summed.orderBy(F.col("n").desc(), "kind", "f", "parent", "y").limit(20_000)
-    return TreeModel([tuple(r) for r in common.collect()])
+    cells = [(p, y) for p in (0, 1) for y in (0, 1)]
+    summed = got.groupBy("kind", "f").agg(*[F.sum(F.when((F.col("parent") == p) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{p}{y}") for p, y in cells])
+    summed = materialize(summed, "page_counts")
+    node = summed.where("kind = 'node'").select("f", F.col("n00").alias("c0"), F.col("n01").alias("c1"), (F.col("n00") + F.col("n01")).alias("n"))
+    tag = F.col("f").startswith("tag=")
+    size, *total = node.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.when(tag, F.col(c))), F.lit(0)) for c in ("c0", "c1")]).first()
+    common = node.orderBy(F.col("n").desc(), "f").limit(held).collect()
+    rows = [("edge", r.f, p, y, r[f"n{p}{y}"]) for r in summed.where("kind = 'edge'").collect() for p, y in cells]
+    rows += [("node", r.f, 0, y, r[f"c{y}"]) for r in common for y in (0, 1)]
+    rest = node.where((F.col("n") < common[-1].n) | (F.col("n") == common[-1].n) & (F.col("f") > common[-1].f)).drop("n") if size > len(common) else None
+    return TreeModel(rows, size, [float(v) for v in total], rest)
+
+
+def _with_rest(src: DataFrame, model: TreeModel) -> DataFrame:
+    """``src`` with __f, __c0, __c1: the features of each page that the model does not hold, and their counts."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [(k, f) for k, h in zip(b["__key"], b["__h"]) for f in {f for n in parse(h).nodes[1:] for f in features(n)} if f not in model.node]
+            yield pd.DataFrame(own, columns=["__key", "f"]).astype(str)
+
+    keyed = src.withColumn("__key", F.sha2(F.col("__h").cast("binary"), 256))  # equal pages share their features
+    own = keyed.select("__key", "__h").mapInPandas(run, "__key string, f string").distinct()
+    found = own.join(model.rest, "f").groupBy("__key").agg(F.collect_list(F.struct("f", "c0", "c1")).alias("r"))
+    return keyed.join(found.select("__key", *[F.col(f"r.{c}").alias(f"__{c}") for c in ("f", "c0", "c1")]), "__key", "left").drop("__key")
 
 
 def extract(pages: DataFrame, html: str = "html", model: TreeModel | None = None) -> DataFrame:
@@ -283,11 +323,14 @@ def extract(pages: DataFrame, html: str = "html", model: TreeModel | None = None
     model = model or learn(pages, html)
     keep = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     src = pages.select(*keep, text_of(html).alias("__h"))
+    if model.rest is not None:
+        src = _with_rest(src, model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = b[keep].copy()
-            out["text"] = [main_text(h, model) if h else "" for h in b["__h"]]
+            more = [{} if f is None else {w: model.potential(c) for w, *c in zip(f, c0, c1)} for f, c0, c1 in zip(b["__f"], b["__c0"], b["__c1"])] if "__f" in b else [None] * len(b)
+            out["text"] = [main_text(h, model, m) if h else "" for h, m in zip(b["__h"], more)]
             out["n_chars"] = out["text"].str.len().astype("int64")
             yield out
 

@@ -214,6 +214,19 @@ def test_extraction_odd_and_empty(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_extraction_keeps_every_count(spark):
+    common = "<article>" + "".join(f"<p class=w{''.join(chr(97 + int(d)) for d in str(i))}>t</p>" for i in range(20_500)) + "</article>"
+    rows = [(1, common), (2, common)] + [(10 + i, f"<div class=zig>x{i}</div><article><p class=zag>y{i}</p></article>") for i in range(1)] + [(100, "<div class=zig>No</div><div class=zag>Yes</div>")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    model = extraction.learn(pages)
+    assert (model.size, model.rest.count()) == (20_500 + 2 + 3 + 1, 506)  # words, zig and zag, tags, links
+    everything = extraction.learn(pages, held=10**6)
+    assert everything.rest is None and {"word=zig", "word=zag"} <= everything.node.keys()
+    texts = [sorted((r.page_id, r.text) for r in extraction.extract(pages, model=m).collect()) for m in (everything, model, extraction.learn(pages, held=2))]
+    assert len(texts[0]) == 5 and texts[0] == texts[1] == texts[2]
+    assert everything.marginals(extraction.parse(rows[-1][1])) != model.marginals(extraction.parse(rows[-1][1]))
+
+
 # --- token counts ------------------------------------------------------------
 
 def greedy(w, pieces):
