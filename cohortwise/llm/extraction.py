@@ -53,10 +53,11 @@ LOOSE = [[math.log(0.9), math.log(0.1)], [math.log(0.1), math.log(0.9)]]
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "chars", "link", "role")
+    __slots__ = ("tag", "words", "names", "parent", "children", "chars", "link", "role")
 
-    def __init__(self, tag: str, words: tuple[str, ...], parent: int):
-        self.tag, self.words, self.parent = tag, words, parent
+    def __init__(self, tag: str, names: tuple[str, ...], parent: int):
+        self.tag, self.names, self.parent = tag, names, parent
+        self.words = tuple(w for name in names for w in re.findall(r"[a-z]+", name))
         self.children: list[int] = []
         self.chars = self.link = 0
         self.role = 0
@@ -77,9 +78,9 @@ class Dom(HTMLParser):
             self._close_p()
         for t in CLOSED_BY.get(tag, ()):
             self._close(t, stop=("ul", "ol", "dl", "table", "select"))
-        words = tuple(w for k, v in attrs if k in ("class", "id", "role") and v for w in re.findall(r"[a-z]+", v.lower()))
+        names = tuple(w for k, v in attrs if k in ("class", "id", "role") and v for w in v.lower().split())
         me = len(self.nodes)
-        self.nodes.append(Node(tag, words, self.open[-1]))
+        self.nodes.append(Node(tag, names, self.open[-1]))
         self.nodes[self.open[-1]].children.append(me)
         if tag not in INLINE and tag != "br":
             self.breaks.add(len(self.runs))
@@ -146,8 +147,8 @@ def features(node: Node) -> tuple[str, ...]:
 
 
 def apart(node: Node) -> bool:
-    """Whether HTML's own terms, or the usual names, set the element apart from the main text."""
-    return node.tag in APART or node.tag not in WHOLE and any(w in APART_WORDS for w in node.words)
+    """Whether HTML's own terms, or a whole name of the usual ones, set the element apart; compound names are left to the potentials."""
+    return node.tag in APART or node.tag not in WHOLE and any(w in APART_WORDS for w in node.names)
 
 
 def edge_kind(node: Node) -> str:

@@ -214,6 +214,25 @@ def test_extraction_odd_and_empty(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+COMPOUND = ("content no-sidebar", "has-sidebar", "long-form", "share-price", "no-comments")
+
+
+@pytest.mark.parametrize("name", COMPOUND)
+def test_compound_class_names_stay(page_model, name):
+    for page in (f"<article><div class='{name}'>Direct<p>One two</p></div></article>", f"<div><div id='{name.split()[-1]}'>Direct<p>One two</p></div></div>"):
+        whole = page.replace(name, "plain").replace(name.split()[-1], "plain")
+        assert extraction.main_text(page, page_model) == extraction.main_text(whole, page_model)
+    assert extraction.main_text(f"<article><div class='{name}'>Direct<p>One two</p></div></article>", page_model) == "Direct\nOne two"
+    assert "Ad" not in extraction.main_text("<article><p>One</p><div class='box sidebar'>Ad</div></article>", page_model)
+
+
+def test_compound_class_names_are_learned(spark):
+    page = "<article><div class='story no-sidebar'><p>a</p></div></article><div class='site-sidebar'>b</div>"
+    model = extraction.learn(spark.createDataFrame([(i, page) for i in range(3000)], "page_id long, html string"))
+    assert extraction.main_text(page, model) == "a"
+    assert extraction.main_text("<div><div class='story no-sidebar'>text</div><div class='site-sidebar'>b</div></div>", model) == "text"
+
+
 def test_extraction_keeps_every_count(spark):
     common = "<article>" + "".join(f"<p class=w{''.join(chr(97 + int(d)) for d in str(i))}>t</p>" for i in range(20_500)) + "</article>"
     rows = [(1, common), (2, common)] + [(10 + i, f"<div class=zig>x{i}</div><article><p class=zag>y{i}</p></article>") for i in range(1)] + [(100, "<div class=zig>No</div><div class=zag>Yes</div>")] * 2
