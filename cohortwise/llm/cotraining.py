@@ -31,6 +31,7 @@ DIMS = 1024
 META = 64
 STEPS = 60
 RIDGE = 1e-3
+LEAST = 0.2  # a document of a lower score is never kept, whatever a few held-out labels say
 
 
 def text_features(texts: pd.Series) -> np.ndarray:
@@ -107,6 +108,21 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (a, b, both))
 
 
+def cut_off(score: np.ndarray, y: np.ndarray, keep_good: float) -> float:
+    """The score of least balanced error among those that lose a small share of the good at most; from LEAST to even odds.
+
+    Of equals the strictest. Mislabelled documents among the good can push the
+    bound on their loss to nothing, but not the result below LEAST.
+    """
+    good, bad = np.sort(score[y == 1]), np.sort(score[y == 0])
+    most = min(0.5, good[int((1 - keep_good) * len(good))])
+    if most <= LEAST:
+        return LEAST
+    at = np.unique(np.concatenate([[LEAST, most], score[(score > LEAST) & (score < most)]]))
+    error = np.searchsorted(good, at) / len(good) + 1 - np.searchsorted(bad, at) / max(1, len(bad))
+    return float(at[np.flatnonzero(error <= error.min() + 1e-12)[-1]])
+
+
 def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = ROUNDS, keep_good: float = 0.998) -> Model | None:
     """Fit on the labelled rows outside ``held`` and the unlabelled pool; calibrate on ``held``.
 
@@ -142,10 +158,7 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, ut
     stack = np.stack([a, b, np.ones(len(a))], axis=1)
     weigh = fit_logistic(stack, y[rows], ridge=1e-2, steps=200)
     both = 1 / (1 + np.exp(-np.clip(stack @ weigh, -30, 30)))
-    good = np.sort(both[y[rows] == 1])
-    # The score that all but a small share of the held-out good documents reach, half as strict as even odds at most.
-    threshold = float(min(0.5, good[int((1 - keep_good) * len(good))]))
-    return Model(text, meta, weigh, threshold)
+    return Model(text, meta, weigh, cut_off(both, y[rows], keep_good))
 
 
 def _inputs(docs: DataFrame, text: str, lang: str, source: str) -> list:

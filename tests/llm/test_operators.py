@@ -389,6 +389,20 @@ def test_classifier_on_held_out_labels(spark):
     assert got.get((0, True), 0) <= got[0, False]
 
 
+def test_classifier_with_flipped_labels():
+    rng = np.random.default_rng(11)
+    y = (rng.random(6000) < 0.8).astype(int)
+    x = [np.column_stack([rng.normal(size=(6000, 4)) + (y * 1.2)[:, None], np.ones(6000)]).astype(np.float32) for _ in range(2)]
+    known, held = np.arange(6000) < 4000, np.arange(4000) % 4 == 3
+    told = y[:4000].copy()
+    told[np.flatnonzero(held & (told == 0))[:8]] = 1
+    model = cotraining.co_train(x[0][known], x[1][known], told, held, x[0][:0], x[1][:0])
+    kept = model.score(x[0][~known], x[1][~known])[2] >= model.threshold
+    bad, good = y[~known] == 0, y[~known] == 1
+    assert model.threshold >= cotraining.LEAST
+    assert kept[bad].mean() <= 0.25 and kept[good].mean() >= 0.97
+
+
 def test_classifier_odd_and_empty(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (6, 0, 0), (7, 1, 0), (8, 0, 0), (8, 1, 0), (None, 0, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
     rows = cotraining.classify(odd_documents, labels).collect()
