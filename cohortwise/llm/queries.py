@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from cohortwise.llm.registry import ORACLES, QUERIES, query, table
-from cohortwise.llm import bpe, cotraining, extraction, licenses, mixing, ngram_join, quality_rules, token_counts, topk, url_filter
+from cohortwise.llm import bpe, collocations, cotraining, extraction, licenses, mixing, ngram_join, quality_rules, simhash, token_counts, topk, url_filter, whitening
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -87,6 +87,36 @@ def op8(spark, sf_dir):
     return out.select("doc_id", "n_tokens", F.sha2("id_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op11_simhash")
+def op11(spark, sf_dir):
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_collocations", sql=r"""
+    WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)),
+    totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+    starts AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) r(k) WHERE len(w) >= k),
+    grams AS (SELECT lang, w[i:i + k - 1] AS ws, k, CAST(count(*) AS BIGINT) AS f FROM starts GROUP BY ALL HAVING count(*) >= 100),
+    inner_starts AS (SELECT lang, ws, f, j, unnest(range(1, k - j + 2)) AS i FROM grams, range(2, 5) r(j) WHERE j < k),
+    around AS (SELECT lang, ws[i:i + j - 1] AS ws, max(f) AS around FROM inner_starts GROUP BY ALL),
+    kept AS (SELECT g.* FROM grams g LEFT JOIN around o ON g.lang = o.lang AND g.ws = o.ws WHERE g.k > 1 AND (around IS NULL OR 100 * around < 100 * g.f)),
+    cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
+    scored AS (SELECT c.lang, c.ws, c.f AS a, x.f AS l, y.f AS r, n, cut, CAST((1000 * CAST(c.f AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+               FROM cuts c JOIN grams x ON x.lang = c.lang AND x.ws = c.ws[1:cut] JOIN grams y ON y.lang = c.lang AND y.ws = c.ws[cut + 1:] JOIN totals t ON t.lang = c.lang),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1),
+    named AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, n, score FROM best)
+    SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, score FROM named
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def op13(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", sql=corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
