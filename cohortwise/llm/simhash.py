@@ -15,9 +15,10 @@
    4 after the second flip.
 4. Keys (block, its bits, segment, codeword) list fingerprints. A list first
    answers for one of its members, another one each turn, which is linear in
-   the list and links nearly all of a crowded list; only fingerprints of lists
-   that still hold two components are paired, large lists in salted pieces.
-   Every pair is verified by its differing bits.
+   the list, and every component takes one link of these, so that crowded lists
+   soon are one component. Only fingerprints of lists that still hold two are
+   paired, large lists in salted pieces. Every pair is verified by its
+   differing bits.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ SEGMENT = 23
 # Fixed value: a generator polynomial of the Golay code.
 GENERATOR = 0b110001110101
 # Turns in which a list answers for one member before the rest of it is paired.
-TURNS = 3
+TURNS = 4
 # Fingerprints of a list that meet in one piece.
 PIECE = 4096
 # Hashes whose bits are counted at a time.
@@ -163,19 +164,28 @@ def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
-    """Links (a, b) of every list (key, fp, comp) with one member, the least in an order of the list's own."""
-    mask = F.xxhash64("key", F.lit(turn))
-    heads = rows.groupBy("key").agg(F.min(F.col("fp").bitwiseXOR(mask)).alias("least")).select("key", F.col("least").bitwiseXOR(mask).alias("head"))
-    met = rows.join(heads, "key").where((F.col("fp") != F.col("head")) & _close("fp", "head"))
-    return met.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
+    """Links (a, b) of components, one each at most, that a list (key, fp, comp) shows between one member and the others."""
+    place = F.col("fp").bitwiseXOR(F.xxhash64("key", F.lit(turn)))
+    heads = rows.groupBy("key").agg(F.min(place).alias("least"), F.min_by("comp", place).alias("b"))
+    heads = heads.select("key", "b", F.col("least").bitwiseXOR(F.xxhash64("key", F.lit(turn))).alias("head"))
+    met = rows.join(heads, "key").where((F.col("comp") != F.col("b")) & _close("fp", "head"))
+    return met.groupBy(F.col("comp").alias("a")).agg(F.min("b").alias("b"))
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Links (a, b) between components of a list; a list of more than PIECE fingerprints meets piece by piece."""
+    """All links (a, b) between components of a list; a list of more than PIECE fingerprints meets piece by piece."""
     pieces = F.ceil(F.col("n") / PIECE)
-    left = rows.select("key", F.col("fp").alias("a"), F.col("comp").alias("ca"), F.pmod(F.xxhash64("fp"), pieces).alias("piece"))
-    right = rows.select("key", F.col("fp").alias("b"), F.col("comp").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
-    return left.join(right, ["key", "piece"]).where((F.col("ca") < F.col("cb")) & _close("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = rows.select("key", F.col("fp").alias("x"), F.col("comp").alias("a"), F.pmod(F.xxhash64("fp"), pieces).alias("piece"))
+    right = rows.select("key", F.col("fp").alias("y"), F.col("comp").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
+    return left.join(right, ["key", "piece"]).where((F.col("a") < F.col("b")) & _close("x", "y")).select("a", "b").distinct()
+
+
+def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after links (a, b) between its components or fingerprints that have none yet."""
+    new = components(links).select(F.col("node").alias("from"), F.col("comp").alias("to"))
+    old = comps.join(new, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = new.join(comps, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("comp"))
+    return materialize(old.unionByName(fresh), "simhash_components")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -183,15 +193,13 @@ def links(fps: DataFrame) -> DataFrame:
     keys = materialize(_keyed(fps), "simhash_keys")
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     lists = materialize(keys.join(crowded, "key"), "simhash_lists")
-    found = materialize(_star(lists, 0), "simhash_links")
-    comps = components(found)
-    lists = lists.where("n > 2")  # a pair has met
+    # Each turn a component takes one link at most, so links stay linear in fingerprints however crowded the lists are.
+    comps = _united(fps.select(F.col("fp").alias("node"), F.col("fp").alias("comp")).limit(0), materialize(_star(lists.withColumn("comp", F.col("fp")), 0), "simhash_links"))
     for turn in range(1, TURNS + 1):
         rows = materialize(_placed(lists, comps), "simhash_open")
-        more = materialize(_star(rows, turn) if turn < TURNS else _pairs(rows), "simhash_links")
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            comps = components(found)
+        found = materialize(_star(rows, turn) if turn < TURNS else _pairs(rows), "simhash_links")
+        if not found.isEmpty():
+            comps = _united(comps, found)
     return comps
 
 
