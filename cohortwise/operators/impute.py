@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from cohortwise.session import materialize
 NEIGHBOURS = 10
 # Cells compared at once when exact distances of chosen donors are computed.
 CHUNK_CELLS = 4_000_000
+# Cells of donors around sampled rows, at most, classes of missing cells, and numbers that boxes or a sample may send to the driver.
+PIVOTS, MISSING_CLASSES, SAMPLE_ROWS, BOX_CELLS = 64, 8, 4096, 4_000_000
 
 
 def median_fill(df: DataFrame, group: Sequence[str], value: str, fit_rows=None) -> DataFrame:
@@ -30,68 +32,246 @@ def median_fill(df: DataFrame, group: Sequence[str], value: str, fit_rows=None)
     return df.join(med, list(group), "left").withColumn(value, F.coalesce(value, "__m", F.lit(0.0))).drop("__m")
 
 
-def _no_candidates(receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+def _no_candidates(kind_of: pd.Series, donors: pd.Series) -> pd.DataFrame:
     """An empty result whose columns still have their types."""
-    return pd.DataFrame({"cohort": pd.Series([], dtype=object), "entity": receivers["entity"].iloc[:0].reset_index(drop=True), "position": np.zeros(0, dtype=np.int32),
-                         "donor": donors["donor"].iloc[:0].reset_index(drop=True), "distance": np.zeros(0), "value": np.zeros(0)})
+    return pd.DataFrame({"cohort": pd.Series([], dtype=object), "entity": kind_of.iloc[:0].reset_index(drop=True), "position": np.zeros(0, dtype=np.int32),
+                         "donor": donors.iloc[:0].reset_index(drop=True), "distance": np.zeros(0), "value": np.zeros(0)})
+
+
+def _scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all pairs of rows over shared cells, scaled to the whole width, and what rounding may add to them."""
+    width = a.shape[1]
+    ma, mb = ~np.isnan(a), ~np.isnan(b)
+    seen = mb.sum(axis=0)
+    centre = np.where(mb, b, 0.0).sum(axis=0) / np.maximum(seen, 1)
+    za, zb = np.where(ma, a - centre, 0.0), np.where(mb, b - centre, 0.0)
+    fa, fb = ma.astype(float), mb.astype(float)
+    shared = fa @ fb.T
+    sq = np.maximum((za**2) @ fb.T + fa @ (zb**2).T - 2.0 * za @ zb.T, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = np.where(shared > 0, sq * width / shared, np.inf)
+    largest = (za**2).sum(axis=1)[:, None] + (zb**2).sum(axis=1).max(initial=0.0)
+    return rough, 1e-11 * largest * width
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, k: int, most: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(position, rows of a, rows of b, distances): for every missing cell of ``a`` its k nearest rows of ``b`` that have it, none further than ``most``.
+
+    Equal distances go to the earlier row of ``b``. Candidates are found with
+    room for rounding and their distances then computed one by one, so the
+    choice does not depend on what else is in the block.
+    """
+    width = a.shape[1]
+    ma, mb = ~np.isnan(a), ~np.isnan(b)
+    rough, slack = _scaled(a, b)
+    reach = most[:, None] ** 2 * (1 + 1e-9) + slack
+    for j in range(width):
+        rec, don = np.flatnonzero(~ma[:, j]), np.flatnonzero(mb[:, j])
+        if not len(rec) or not len(don):
+            continue
+        part = rough[np.ix_(rec, don)]
+        keep = min(k, len(don))
+        limit = np.partition(part, keep - 1, axis=1)[:, [keep - 1]] + 2 * slack[rec]
+        row, col = np.nonzero((part <= np.minimum(limit, reach[rec])) & np.isfinite(part))
+        exact = np.zeros(len(row))
+        chunk = max(1, CHUNK_CELLS // width)
+        for at in range(0, len(row), chunk):
+            x, y = a[rec[row[at:at + chunk]]], b[don[col[at:at + chunk]]]
+            both = ~(np.isnan(x) | np.isnan(y))
+            exact[at:at + chunk] = np.sqrt((np.where(both, x - y, 0.0)**2).sum(axis=1) * width / both.sum(axis=1))
+        order = np.lexsort((col, exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.searchsorted(row, np.arange(len(rec)))
+        top = np.arange(len(row)) - first[row] < k
+        yield j, rec[row[top]], don[col[top]], exact[top]
 
 
 def _candidates(k: int):
     def run(key, receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        cols = ["cohort", "entity", "position", "donor", "distance", "value"]
         if receivers.empty or donors.empty:
-            return _no_candidates(receivers, donors)
-        a, b = matrix(receivers["x"]), matrix(donors["donor_x"])
-        width = a.shape[1]
-        ma, mb = ~np.isnan(a), ~np.isnan(b)
-        centre = np.nan_to_num(np.nanmean(np.where(mb, b, np.nan), axis=0)) if mb.any() else np.zeros(width)
-        za, zb = np.where(ma, a - centre, 0.0), np.where(mb, b - centre, 0.0)
-        fa, fb = ma.astype(float), mb.astype(float)
-        shared = fa @ fb.T
-        sq = np.maximum((za**2) @ fb.T + fa @ (zb**2).T - 2.0 * za @ zb.T, 0.0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rough = np.where(shared > 0, sq * width / shared, np.inf)
-        names = donors["donor"].to_numpy()
-        order = np.argsort(names, kind="stable")
-        out: dict[str, list] = {c: [] for c in cols}
-        for j in range(width):
-            rec = np.flatnonzero(~ma[:, j])
-            don = order[mb[order, j]]
-            if not len(rec) or not len(don):
-                continue
-            part = rough[np.ix_(rec, don)]
-            keep = min(k, len(don))
-            pick = np.argpartition(part, keep - 1, axis=1)[:, :keep] if keep < len(don) else np.tile(np.arange(len(don)), (len(rec), 1))
-            chunk = max(1, CHUNK_CELLS // (keep * width))
-            for s in range(0, len(rec), chunk):
-                r, d = rec[s:s + chunk], don[pick[s:s + chunk]]
-                both = ma[r][:, None, :] & mb[d]
-                n = both.sum(axis=2)
-                diff = np.where(both, a[r][:, None, :] - b[d], 0.0)
-                exact = np.sqrt((diff**2).sum(axis=2) * width / np.maximum(n, 1))
-                ok = n > 0
-                out["entity"].append(np.repeat(receivers["entity"].to_numpy()[r], keep)[ok.ravel()])
-                out["position"].append(np.full(int(ok.sum()), j))
-                out["donor"].append(names[d][ok])
-                out["distance"].append(exact[ok])
-                out["value"].append(b[d, j][ok])
-        if not out["entity"]:
-            return _no_candidates(receivers, donors)
-        joined = {c: np.concatenate(out[c]) for c in cols if c != "cohort"}
-        return pd.DataFrame({"cohort": key[0], **joined})[cols]
+            return _no_candidates(receivers["entity"], donors["donor"])
+        donors = donors.sort_values("donor", kind="stable")
+        names, who = donors["donor"].to_numpy(), receivers["entity"].to_numpy()
+        b = matrix(donors["donor_x"])
+        found = [(who[r], np.full(len(r), j), names[d], dist, b[d, j]) for j, r, d, dist in _nearest(matrix(receivers["x"]), b, k, receivers["reach"].to_numpy(float))]
+        if not found:
+            return _no_candidates(receivers["entity"], donors["donor"])
+        entity, position, donor, distance, value = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"cohort": key[0], "entity": entity, "position": position, "donor": donor, "distance": distance, "value": value})
+
+    return run
+
+
+def _reached(k: int, cells: Cells):
+    """Per receiver the distance within which each of its missing cells that anyone has got k donors already (infinite if one got fewer)."""
+    def run(key, receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+        a = matrix(receivers["x"]) if len(receivers) else np.zeros((0, 0))
+        reach = np.full(len(a), np.inf)
+        if len(a) and len(donors):
+            holes, full, most = (np.isnan(a) & cells.observed(key[0])).sum(axis=1), np.zeros(len(a), dtype=int), np.zeros(len(a))
+            for _, r, _, dist in _nearest(a, matrix(donors["donor_x"]), k, reach):
+                rows, times = np.unique(r, return_counts=True)
+                np.maximum.at(most, r, dist)
+                full[rows[times == k]] += 1
+            reach = np.where(full == holes, most, np.inf)
+        return pd.DataFrame({"cohort": key[0], "entity": receivers["entity"], "reach": reach})
 
     return run
 
 
+class Cells:
+    """Boxes of donors: by cohort and cell the bounds of every feature, the fewest observed cells of a row, and the number of blocks."""
+
+    def __init__(self, rows: list, width: int, block_rows: int):
+        self.width, self.by_cohort = width, {}
+        for cohort, part in pd.DataFrame([r.asDict() for r in rows], columns=["cohort", "cell", "lo", "hi", "least", "n"]).groupby("cohort", dropna=False):
+            part = part.sort_values("cell")
+            self.by_cohort[cohort] = (part["cell"].to_numpy(), matrix(part["lo"]), matrix(part["hi"]), part["least"].to_numpy(), -(-part["n"].to_numpy() // block_rows))
+
+    def observed(self, cohort) -> np.ndarray:
+        """Features that any donor of the cohort has."""
+        return ~np.isnan(self.by_cohort[cohort][1]).all(axis=0) if cohort in self.by_cohort else np.zeros(self.width, dtype=bool)
+
+    def open_cells(self, cohort, x: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(cell, blocks, rows of x): rows that a donor of the cell may come within reach of.
+
+        Whatever cells a row shares with a donor, their mean squared difference
+        is at least that of as many of its smallest distances to the box.
+        """
+        seen = ~np.isnan(x)
+        count = seen.sum(axis=1)
+        for cell, lo, hi, least, blocks in zip(*self.by_cohort.get(cohort, ([], [], [], [], []))):
+            gap = np.where(seen, np.maximum(np.maximum(lo - x, x - hi), 0.0)**2, np.inf)
+            gap = np.where(np.isnan(gap), 0.0, gap)
+            gap.sort(axis=1)
+            shared = np.clip(count + least - self.width, 1, self.width)
+            sums = np.cumsum(np.where(np.isfinite(gap), gap, 0.0), axis=1)
+            bound = np.sqrt(sums[np.arange(len(x)), shared - 1] * self.width / shared)
+            yield int(cell), int(blocks), np.flatnonzero(bound * (1 - 1e-9) <= reach)
+
+
+def _closest(z: np.ndarray, seen: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """For rows with zeros at what is not ``seen`` the nearest of the complete rows ``heads``, over what is seen."""
+    return (seen.astype(float) @ (heads**2).T - 2.0 * z @ heads.T).argmin(axis=1)
+
+
+def _celled(vec: DataFrame, width: int, cohorts: int, total: int, block_rows: int) -> tuple[DataFrame, Cells | None]:
+    """``vec`` with ``pivot`` and ``cell``, and the boxes of the cells; one cell per cohort and no boxes where a cohort fills no more than a block or two.
+
+    Cells are the rows nearest to one of a few sampled rows, parted by how many
+    of their cells are missing, so that sparse rows do not loosen the bound of
+    full ones. They steer the work only.
+    """
+    pivots = min(PIVOTS, total // (max(1, cohorts) * block_rows), BOX_CELLS // (2 * max(1, cohorts) * width * MISSING_CLASSES))
+    if pivots < 2:
+        return vec.withColumns({"pivot": F.lit(0), "cell": F.lit(0)}), None
+    rows = min(SAMPLE_ROWS, max(pivots, BOX_CELLS // width))
+    sample = matrix(vec.orderBy(F.xxhash64("cohort", "entity")).limit(rows).select("x").toPandas()["x"])
+    centre = np.nan_to_num(np.nansum(sample, axis=0) / np.maximum((~np.isnan(sample)).sum(axis=0), 1))
+    holes = np.isnan(sample).sum(axis=1)
+    sample = sample[holes <= np.median(holes)]  # the fewer cells are filled with means, the better a row stands for others
+    filled = np.where(np.isnan(sample), 0.0, sample - centre)
+    chosen, near = [0], ((filled - filled[0])**2).sum(axis=1)
+    while len(chosen) < pivots and near.max() > 0:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, ((filled - filled[chosen[-1]])**2).sum(axis=1))
+    heads, full = filled[chosen], ~np.isnan(sample)
+    # Around a lone row receivers find too few donors to set a distance: they start at the nearest crowded one.
+    crowd = np.bincount(_closest(filled, full, heads), minlength=len(heads))
+    crowded = np.flatnonzero(crowd >= min(crowd.max(), len(sample) / (2 * len(heads))))
+    home = crowded[_closest(heads, np.ones_like(heads, dtype=bool), heads[crowded])].astype(np.int32)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = matrix(b["x"]) if len(b) else np.zeros((0, width))
+            seen = ~np.isnan(x)
+            z = np.where(seen, x - centre, 0.0)
+            pivot = _closest(z, seen, heads)
+            holes = (~seen).sum(axis=1)
+            yield b.assign(pivot=home[pivot], cell=(pivot * MISSING_CLASSES + np.minimum(np.ceil(np.log2(holes + 1.0)), MISSING_CLASSES - 1)).astype(np.int32))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vec.schema.fields)
+    placed = materialize(vec.mapInPandas(assign, f"{fields}, pivot int, cell int"), "cells")
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for key, part in b.groupby(["cohort", "cell"], dropna=False):
+                x = matrix(part["x"])
+                own = [np.fmin.reduce(x), np.fmax.reduce(x), int((~np.isnan(x)).sum(axis=1).min()), len(x)]
+                old = held.get(key)
+                held[key] = own if old is None else [np.fmin(old[0], own[0]), np.fmax(old[1], own[1]), min(old[2], own[2]), old[3] + own[3]]
+        for (cohort, cell), (lo, hi, least, n) in held.items():
+            yield pd.DataFrame({"cohort": [cohort], "cell": [cell], "lo": [lo], "hi": [hi], "least": [least], "n": [n]})
+
+    fields = "cohort string, cell int, lo array<double>, hi array<double>, least int, n long"
+    donors = placed.where(F.exists("x", lambda v: v.isNotNull())).select("cohort", "cell", "x")
+    parts = donors.mapInPandas(boxes, fields)
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = np.fmin.reduce(matrix(part["lo"])), np.fmax.reduce(matrix(part["hi"]))
+        return pd.DataFrame({"cohort": part["cohort"].iloc[:1], "cell": part["cell"].iloc[:1], "lo": [lo], "hi": [hi], "least": [part["least"].min()], "n": [part["n"].sum()]})
+
+    # A row per task and cell comes together here; BOX_CELLS bounds what reaches the driver.
+    return placed, Cells(parts.groupBy("cohort", "cell").applyInPandas(joined, fields).collect(), width, block_rows)
+
+
+def donor_candidates(vec: DataFrame, width: int, k: int, block_rows: int) -> DataFrame:
+    """(cohort, entity, position, donor, distance, value): for every missing cell of ``vec`` (cohort, entity, x) donors among which its k nearest are.
+
+    A receiver first meets a block of its own surroundings, which gives it a
+    distance within which all its missing cells have k donors. It then goes
+    only to cells whose box it may come within that distance of, and donors
+    go only to blocks of receivers that ask for them. The distance bound is exact, so
+    nothing is lost; where it excludes nothing, all blocks meet.
+    """
+    sizes = vec.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cohort").alias("c")).first()
+    placed, cells = _celled(vec, width, sizes.c, sizes.n, block_rows)
+    kind = dict(vec.dtypes)["entity"]
+    spot = hash_number(hash_key(F.col("entity"))) / F.lit(float(HASH_SPAN))
+
+    def blocked(by: str) -> DataFrame:
+        size = placed.groupBy("cohort", by).agg(F.count(F.lit(1)).alias("__n"))
+        return placed.join(size, ["cohort", by]).withColumn("block", F.floor(spot * F.ceil(F.col("__n") / F.lit(block_rows))).cast("int")).drop("__n")
+
+    hole, some = F.exists("x", lambda v: v.isNull()), F.exists("x", lambda v: v.isNotNull())
+    # Names of its own on the donors' side: both sides of a co-group come from one table.
+    as_donor = [F.col("cohort").alias("donor_cohort"), F.col("block").alias("donor_block"), F.col("entity").alias("donor"), F.col("x").alias("donor_x")]
+    schema = f"cohort string, entity {kind}, position int, donor {kind}, distance double, value double"
+    rows = materialize(blocked("cell"), "blocks")
+    receivers = rows.where(hole & some).withColumnRenamed("block", "own_block").withColumnRenamed("cell", "own_cell")
+    if cells is None:
+        count = rows.groupBy("cohort").agg((F.max("block") + 1).alias("blocks"))
+        asked = receivers.join(count, "cohort").withColumn("reach", F.lit(float("inf"))).withColumn("cell", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    else:
+        near = blocked("pivot")
+        home = near.where(hole & some).groupBy("cohort", "pivot", "block").cogroup(near.where(some).select(*as_donor, F.col("pivot").alias("donor_pivot")).groupBy("donor_cohort", "donor_pivot", "donor_block"))
+        reach = home.applyInPandas(_reached(k, cells), f"cohort string, entity {kind}, reach double")
+
+        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for cohort, part in b.groupby("cohort", dropna=False):
+                    x = matrix(part["x"])
+                    for cell, blocks, at in cells.open_cells(cohort, x, part["reach"].to_numpy(float)):
+                        yield part.iloc[at].assign(cell=cell, blocks=blocks)
+
+        fields = f"cohort string, entity {kind}, x array<double>, own_cell int, own_block int, reach double, cell int, blocks int"
+        asked = receivers.join(reach, ["cohort", "entity"]).select("cohort", "entity", "x", "own_cell", "own_block", "reach").mapInPandas(spread, fields)
+        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    asked = materialize(asked.select("cohort", "entity", "x", "reach", "own_cell", "own_block", "cell", "block"), "asked")
+    meets = asked.select(F.col("cohort").alias("donor_cohort"), F.col("cell").alias("donor_cell"), F.col("block").alias("donor_block"), F.col("own_cell").alias("for_cell"), F.col("own_block").alias("for_block")).distinct()
+    donors = rows.where(some).select(*as_donor, F.col("cell").alias("donor_cell")).join(meets, ["donor_cohort", "donor_cell", "donor_block"])
+    return (asked.groupBy("cohort", "cell", "block", "own_cell", "own_block").cogroup(donors.groupBy("donor_cohort", "donor_cell", "donor_block", "for_cell", "for_block"))
+            .applyInPandas(_candidates(k), schema))
+
+
 def knn_impute(df: DataFrame, cohort: str = "cohort", entity: str = "entity", feature: str = "feature", value: str = "value",
                k: int = NEIGHBOURS, block_rows: int = 2048) -> DataFrame:
     """Distance-weighted k-nearest-neighbour imputation within each cohort, exact.
 
-    Entities are hashed into blocks of about ``block_rows``; a task compares one
-    block with missing cells to one block of donors and emits its k best donors
-    per missing cell only. The final k are the best of those, so nothing is
-    capped. The comparison itself is quadratic in the cohort by nature; memory
-    per task is not.
+    Distances run over shared cells and are scaled to the whole width. Equal
+    distances go to the smaller entity, whatever ``block_rows``, which sets how
+    many rows a task compares at once. See :func:`donor_candidates`.
     """
     names = feature_names(df, feature)
     base = df.select(F.col(cohort).alias("cohort"), F.col(entity).alias("entity"), F.col(feature).alias("feature"), F.col(value).alias("value"))
@@ -99,18 +279,8 @@ def knn_impute(df: DataFrame, cohort: str = "cohort", entity: str = "entity", fe
     # An entity without any observed cell still gets a row: the column means.
     blank = F.transform(F.sequence(F.lit(1), F.lit(max(1, len(names)))), lambda _: F.lit(None).cast("double"))
     vec = base.select("cohort", "entity").distinct().join(seen_vectors, ["cohort", "entity"], "left").withColumn("x", F.coalesce("x", blank))
-    sizes = vec.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.greatest(F.ceil(F.col("n") / F.lit(block_rows)), F.lit(1)).cast("int")
-    spot = hash_number(hash_key(F.col("entity"))) / F.lit(float(HASH_SPAN))
-    vec = materialize(vec.join(sizes, "cohort").withColumn("blocks", blocks).withColumn("block", F.floor(spot * F.col("blocks")).cast("int")), "vectors")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    holes = vec.where(F.exists("x", lambda v: v.isNull()))
-    receivers = holes.select("cohort", F.col("block").alias("i"), every.alias("j"), "entity", "x")
-    # Names of its own: both sides of the co-group come from one table. A donor without a value has nothing to give.
-    donors = vec.where(F.exists("x", lambda v: v.isNotNull())).select(F.col("cohort").alias("donor_cohort"), every.alias("donor_i"), F.col("block").alias("donor_j"), F.col("entity").alias("donor"), F.col("x").alias("donor_x"))
-    kind = dict(vec.dtypes)["entity"]
-    cand = (receivers.groupBy("cohort", "i", "j").cogroup(donors.groupBy("donor_cohort", "donor_i", "donor_j"))
-            .applyInPandas(_candidates(k), f"cohort string, entity {kind}, position int, donor {kind}, distance double, value double"))
+    vec = materialize(vec, "vectors")
+    cand = donor_candidates(vec, max(1, len(names)), k, block_rows)
     w = Window.partitionBy("cohort", "entity", "position").orderBy("distance", "donor")
     best = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     zero = F.col("distance") == 0

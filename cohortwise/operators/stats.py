@@ -2,7 +2,8 @@
 
 The data pass is always an aggregate with map-side combine or a value table
 (:mod:`ordering`); p-values are computed on the one row per test that remains.
-Rank tests use the large-sample form with tie correction.
+Rank tests are exact for small samples and use the large-sample form with tie
+correction beyond.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from cohortwise.functions.numeric import ratio
 from cohortwise.operators.aggregates import with_pooled
 from cohortwise.operators.ordering import quantiles, value_table
 from cohortwise.operators.windows import bh_adjust, spearman_ranks
+from cohortwise.session import materialize
 
 # Size limits and thresholds of the tests.
 MIN_N, MIN_TEST, MIN_CLASS = 3, 10, 3
@@ -107,11 +109,30 @@ def two_class_tests(df: DataFrame, group: Sequence[str], value: str, y: str, fam
                                                         ("r", F.col("r0")), ("t", t), ("dof", dof))])
     if family is None:
         return out
-    return bh_adjust(out.withColumn("p", tails.t_p(F.col("t"), F.col("dof"))), family, "p", "q")
-
-
-def mann_whitney(df: DataFrame, group: Sequence[str], value: str, y: str, alternative: str = "two-sided", with_p: bool = True) -> DataFrame:
-    """U of class 1 against class 0 with the tie-corrected normal deviate."""
+    return bh_adjust(materialize(out.withColumn("p", tails.t_p(F.col("t"), F.col("dof"))), "tests"), family, "p", "q")
+
+
+def _with_ties(tests: DataFrame, values: DataFrame, group: Sequence[str], wanted: Column) -> DataFrame:
+    """``tests`` with the mean ranks and tie counts of the groups that are ``wanted`` (of bounded size); empty lists for others."""
+    keys = list(group) or ["__all"]
+    if not group:
+        tests, values = tests.withColumn("__all", F.lit(0)), values.withColumn("__all", F.lit(0))
+    asked = tests.where(wanted).select(*keys)
+    lists = values.join(asked, keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("avg_rank", "ties"))).alias("v"))
+    none = F.array().cast("array<double>")
+    return tests.join(lists, keys, "left").withColumns({"ranks": F.coalesce(F.col("v.avg_rank").cast("array<double>"), none), "counts": F.coalesce(F.col("v.ties").cast("array<double>"), none)})
+
+
+def mann_whitney(df: DataFrame, group: Sequence[str], value: str, y: str, alternative: str = "two-sided", with_p: bool = True, method: str = "auto") -> DataFrame:
+    """U of class 1 against class 0 with the tie-corrected normal deviate, and its p.
+
+    ``auto``: p is exact where the smaller class has at most 8 rows and no two
+    values are equal (``tails.EXACT_SMALLER``; beyond ``EXACT_PRODUCT`` pairs of
+    rows the normal form is taken), else from the normal deviate with
+    continuity correction. ``exact`` also counts ties out, in groups of up to
+    ``tails.EXACT_TIED`` rows; ``large`` is always the normal form. ``p_method``
+    says which one a row has.
+    """
     t = _score_table(df.where(F.col(value).isNotNull()), group, y, value)
     g = t.groupBy(*group).agg(F.sum("pos").alias("n1"), F.sum("ties").alias("n"), F.sum(F.col("pos") * F.col("avg_rank")).alias("rs"),
                               F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("tie"))
@@ -121,22 +142,45 @@ def mann_whitney(df: DataFrame, group: Sequence[str], value: str, y: str, altern
     mu = n1 * n0 / 2
     sd = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("tie"), n * (n - 1)), F.lit(0.0))))
     z = F.try_divide(F.abs(u - mu) - 0.5, sd) if alternative == "two-sided" else F.try_divide(mu - u - 0.5, sd)
-    out = g.select(*group, n1.cast("bigint").alias("n1"), n0.cast("bigint").alias("n0"), F.when((n1 > 0) & (n0 > 0), u).alias("u"), F.when((n1 > 0) & (n0 > 0), z).alias("z"))
+    both = (n1 > 0) & (n0 > 0)
+    out = g.select(*group, n1.cast("bigint").alias("n1"), n0.cast("bigint").alias("n0"), F.when(both, u).alias("u"), F.when(both, z).alias("z"), "tie")
     if not with_p:
-        return out
-    p = tails.normal_two_sided_p(F.greatest("z", F.lit(0.0))) if alternative == "two-sided" else tails.normal_upper_p(F.col("z"))
-    return out.withColumn("p", p)
-
-
-def wilcoxon_greater(df: DataFrame, group: Sequence[str], a: str, b: str, with_p: bool = True) -> DataFrame:
-    """Paired signed-rank statistic for a > b; zero differences are dropped."""
-    d = df.withColumn("__d", F.col(a) - F.col(b)).where(F.col("__d").isNotNull() & (F.col("__d") != 0)).withColumn("__a", F.abs("__d"))
+        return out.drop("tie")
+    small, work = F.least("n1", "n0") <= tails.EXACT_SMALLER, F.col("n1") * F.col("n0") <= tails.EXACT_PRODUCT
+    plain = (F.col("tie") == 0) & small & work & (method != "large")
+    tied = (F.col("n1") + F.col("n0") <= tails.EXACT_TIED) & ~plain & (method == "exact")
+    out = materialize(out.withColumn("p_method", F.when(plain, "exact").when(tied, "exact_ties").otherwise("large")), "rank_tests")
+    out = _with_ties(out, t, group, F.col("p_method") == "exact_ties")
+    large = tails.normal_two_sided_p(F.greatest("z", F.lit(0.0))) if alternative == "two-sided" else tails.normal_upper_p(F.col("z"))
+    # Each form sees only the rows it is for: a null statistic gives a null p without work.
+    exact = tails.rank_sum_exact_p(F.when(F.col("p_method") != "large", F.col("u")), "n1", "n0", F.lit(alternative == "two-sided"), "ranks", "counts")
+    return out.withColumn("p", F.coalesce(exact, large)).select(*group, "n1", "n0", "u", "z", "p", F.when(F.col("u").isNotNull(), F.replace("p_method", F.lit("_ties"), F.lit(""))).alias("p_method"))
+
+
+def wilcoxon_greater(df: DataFrame, group: Sequence[str], a: str, b: str, with_p: bool = True, method: str = "auto") -> DataFrame:
+    """Paired signed-rank statistic for a > b; zero differences are dropped. p from three pairs on.
+
+    ``auto``: p is exact for up to 50 pairs without zero or equal absolute
+    differences (``tails.EXACT_PAIRS``), else from the normal deviate with tie
+    correction. ``exact`` also counts ties out and does not mind zeros, for up
+    to that many pairs; ``large`` is always the normal form.
+    """
+    pairs = df.withColumn("__d", F.col(a) - F.col(b)).where(F.col("__d").isNotNull())
+    d = pairs.where(F.col("__d") != 0).withColumn("__a", F.abs("__d"))
     t = value_table(d, group, "__a", [F.count_if(F.col("__d") > 0).cast("double").alias("up")])
     g = t.groupBy(*group).agg(F.sum("ties").alias("n"), F.sum(F.col("up") * F.col("avg_rank")).alias("w_plus"), F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("tie"))
     n = F.col("n").cast("double")
     z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48))
-    out = g.select(*group, "n", "w_plus", F.when(F.col("n") >= MIN_N, z).alias("z"))
-    return out.withColumn("p", tails.normal_upper_p(F.col("z"))) if with_p else out
+    if not with_p:
+        return g.select(*group, "n", "w_plus", F.when(F.col("n") >= MIN_N, z).alias("z"))
+    zeros = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("pairs"))
+    g = (g.join(zeros, list(group)) if group else g.withColumn("pairs", zeros.scalar())).withColumn("z", F.when(F.col("pairs") >= MIN_N, z))
+    plain = (F.col("tie") == 0) & (F.col("pairs") == F.col("n")) | F.lit(method == "exact")
+    exact = (F.col("n") <= tails.EXACT_PAIRS) & (F.col("pairs") >= MIN_N) & plain & (method != "large")
+    g = materialize(g.withColumn("p_method", F.when(F.col("pairs") >= MIN_N, F.when(exact, "exact").otherwise("large"))), "rank_tests")
+    g = _with_ties(g, t, group, F.col("p_method") == "exact")
+    p = F.coalesce(tails.signed_rank_exact_p(F.when(F.col("p_method") == "exact", F.col("w_plus")), "ranks", "counts"), tails.normal_upper_p(F.col("z")))
+    return g.withColumn("p", p).select(*group, "n", "w_plus", "z", "p", "p_method")
 
 
 def count_enrichment(df: DataFrame, cluster: str, flag: str, with_p: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from cohortwise.functions.numeric import rounded
 from cohortwise.operators import consensus as cs
 from cohortwise.operators import stats as st
 from cohortwise.operators.aggregates import vector_mean
+from cohortwise.operators.selection import top_per_group
 from cohortwise.operators.vectors import best_match
 from cohortwise.plans.registry import query, r
 from cohortwise.plans.views import table, view
@@ -25,6 +26,24 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(view(spark, sf, "v13"), "pairs")
 
 
+def _t_p(source: str, keys: str, t: str, dof: str) -> str:
+    """SQL for two-sided t p-values: Simpson's rule over the density from 0 to abs(t)."""
+    return f"""(SELECT {keys}, any_value(tt) AS t, CASE WHEN any_value(tt) IS NOT NULL THEN greatest(0, 1 - 2 * any_value(c) * any_value(abs(tt)) / 12000 * sum(w * pow(1 + (i * abs(tt) / 4000) * (i * abs(tt) / 4000) / dd, -(dd + 1) / 2))) END AS p
+FROM (SELECT {keys}, {t} AS tt, {dof} AS dd, exp(lgamma(({dof} + 1) / 2e0) - lgamma({dof} / 2e0)) / sqrt(pi() * {dof}) AS c FROM {source}),
+     (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT unnest(range(0, 4001)) AS i)) GROUP BY {keys})"""
+
+
+def _bh(source: str, family: str) -> str:
+    """SQL for Benjamini-Hochberg q within a family; rows without p have none."""
+    part = f"PARTITION BY {family} " if family else ""
+    return f"""(SELECT *, CASE WHEN p IS NOT NULL THEN least(1e0, min(p * m / rk) OVER ({part}ORDER BY p DESC NULLS LAST ROWS UNBOUNDED PRECEDING)) END AS q
+FROM (SELECT *, count(p) OVER ({part}) AS m, row_number() OVER ({part}ORDER BY p NULLS LAST) AS rk FROM {source}))"""
+
+
+#: SQL for the upper tail of the normal deviate z: half minus a series of positive terms.
+_NORMAL = "CASE WHEN z IS NULL THEN NULL WHEN abs(z) > 8 THEN CASE WHEN z > 0 THEN 0e0 ELSE 1e0 END ELSE 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: z * exp(k * ln(greatest(z * z, 1e-300)) - (lgamma(2 * k + 2) - k * ln(2e0) - lgamma(k + 1))))) END"
+
+
 _RK = """ranks AS (SELECT cohort, feature, rank() OVER (PARTITION BY cohort, feature ORDER BY value) + (count(*) OVER (PARTITION BY cohort, feature, value) - 1) / 2e0 AS ra,
 rank() OVER (PARTITION BY cohort, feature ORDER BY pred) + (count(*) OVER (PARTITION BY cohort, feature, pred) - 1) / 2e0 AS rb FROM v13)"""
 
@@ -82,13 +101,13 @@ def i7(spark: SparkSession, sf: str) -> DataFrame:
     return _r(t.select("cohort", "feature", "n", "events", "nonevents", "mean_diff", "r", "t", "dof"), "mean_diff", "r", "t", "dof")
 
 
-@query("i7_welch_tests_with_q")
+@query("i7_welch_tests_with_q", f"""WITH w AS ({_W}), g AS (SELECT cohort, feature, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0,
+avg(value) FILTER (WHERE y = 1) - avg(value) FILTER (WHERE y = 0) AS d, var_samp(value) FILTER (WHERE y = 1) / count(*) FILTER (WHERE y = 1) AS a, var_samp(value) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 0) AS b FROM w GROUP BY 1, 2),
+k AS (SELECT cohort, feature, CASE WHEN n >= 10 AND n1 >= 3 AND n0 >= 3 THEN d / sqrt(a + b) END AS st, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1)) AS dof FROM g),
+pv AS {_t_p('k', 'cohort, feature', 'st', 'dof')} SELECT cohort, feature, {r('t')} AS t, {r('p')} AS p, {r('q')} AS q FROM {_bh('pv', 'cohort')}""", "v2 v6")
 def i7_q(spark: SparkSession, sf: str) -> DataFrame:
-    t = st.two_class_tests(_classed(spark, sf), ["cohort", "feature"], "value", "y")
-    from cohortwise.functions import tails
-    from cohortwise.operators.windows import bh_adjust
-
-    return bh_adjust(materialize(t.withColumn("p", tails.t_p(F.col("t"), F.col("dof")))), ["cohort"], "p", "q").select("cohort", "feature", "t", "p", "q")
+    t = st.two_class_tests(_classed(spark, sf), ["cohort", "feature"], "value", "y", family=["cohort"])
+    return _r(t.select("cohort", "feature", "t", "p", "q"), "t", "p", "q")
 
 
 @query("i8_point_biserial", f"SELECT cohort, count(*) AS n, {r('corr(score, y)')} AS r FROM v6 GROUP BY 1", "v6")
@@ -114,9 +133,32 @@ def i9_less(spark: SparkSession, sf: str) -> DataFrame:
     return _r(st.mann_whitney(v, ["cohort"], "quantity", "y", "less", with_p=False), "z")
 
 
-@query("i9_mann_whitney_with_p")
+@query("i9_mann_whitney_with_p", _MW.format(v="score", t="v6b") + f""", t AS (SELECT *, CASE WHEN n1 > 0 AND n0 > 0 THEN greatest((abs(u - n1 * n0 / 2) - 0.5) / sd, 0) END AS z FROM u)
+SELECT cohort, n1::BIGINT AS n1, n0::BIGINT AS n0, CASE WHEN z IS NOT NULL THEN u END AS u, {r('2 * (' + _NORMAL + ')')} AS p, CASE WHEN z IS NOT NULL THEN CASE WHEN tie = 0 AND least(n1, n0) <= 8 THEN 'exact' ELSE 'large' END END AS p_method FROM t""", "v6b")
 def i9_p(spark: SparkSession, sf: str) -> DataFrame:
-    return st.mann_whitney(view(spark, sf, "v6b"), ["cohort"], "score", "y")
+    return _r(st.mann_whitney(view(spark, sf, "v6b"), ["cohort"], "score", "y").select("cohort", "n1", "n0", "u", "p", "p_method"), "p")
+
+
+# The twelve best customers of each country and segment, high spenders against the rest: small samples without ties.
+_FEW = """few AS (SELECT * FROM (SELECT nation, entity, value, row_number() OVER (PARTITION BY nation ORDER BY value DESC, entity) AS rn, CASE WHEN entity % 3 = 0 THEN 1 ELSE 0 END AS y FROM v1) WHERE rn <= 12)"""
+
+
+@query("i9_mann_whitney_exact", f"""WITH {_FEW},
+k AS (SELECT nation, y, rank() OVER (PARTITION BY nation ORDER BY value) AS rk FROM few),
+g AS (SELECT nation, sum(y)::BIGINT AS n1, (count(*) - sum(y))::BIGINT AS n0, sum(rk * y)::DOUBLE AS rs, max(c) AS c FROM k JOIN (SELECT nation, max(c) AS c FROM (SELECT nation, count(*) AS c FROM few GROUP BY nation, value) GROUP BY 1) USING (nation) GROUP BY 1),
+u AS (SELECT *, rs - n1 * (n1 + 1) / 2e0 AS u FROM g),
+draws AS (SELECT nation, n1, n0, unnest(range(0, (1 << (n1 + n0))::BIGINT)) AS s FROM u WHERE n1 > 0 AND n0 > 0 AND c = 1),
+sums AS (SELECT nation, list_sum(list_transform(range(0, n1 + n0), lambda i: CASE WHEN (s >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) - n1 * (n1 + 1) / 2 AS us FROM draws WHERE bit_count(s) = n1),
+tails AS (SELECT nation, count(*) FILTER (WHERE us <= u) / CAST(count(*) AS DOUBLE) AS low, count(*) FILTER (WHERE us >= u) / CAST(count(*) AS DOUBLE) AS high FROM sums JOIN u USING (nation) GROUP BY 1)
+SELECT nation, n1, n0, u, {r('least(1, 2 * least(low, high))')} AS p, {r('low')} AS p_less, 'exact' AS p_method FROM u JOIN tails USING (nation)""", "v1")
+def i9_exact(spark: SparkSession, sf: str) -> DataFrame:
+    v = view(spark, sf, "v1")
+    best = top_per_group(v.select("nation", "entity", "value"), ["nation"], [F.col("value").desc(), F.col("entity")], 12, None).withColumn("y", (F.col("entity") % 3 == 0).cast("int"))
+    tied = best.groupBy("nation", "value").count().where("count > 1").select("nation").distinct()
+    best = materialize(best.join(tied, "nation", "left_anti"))
+    two = st.mann_whitney(best, ["nation"], "value", "y").where("u IS NOT NULL")
+    less = st.mann_whitney(best, ["nation"], "value", "y", "less").select("nation", F.col("p").alias("p_less"))
+    return _r(two.join(less, "nation").select("nation", "n1", "n0", "u", "p", "p_less", "p_method"), "p", "p_less")
 
 
 _WX = """WITH d AS (SELECT cohort, feature, value - 2 * pred AS d FROM v13 WHERE value - 2 * pred <> 0), k AS (SELECT cohort, feature, d, rank() OVER (PARTITION BY cohort, feature ORDER BY abs(d)) + (count(*) OVER (PARTITION BY cohort, feature, abs(d)) - 1) / 2e0 AS rk FROM d),
@@ -131,6 +173,24 @@ def i10(spark: SparkSession, sf: str) -> DataFrame:
     return _r(st.wilcoxon_greater(p, ["cohort", "feature"], "value", "p2", with_p=False), "z")
 
 
+@query("i10_wilcoxon_with_p", _WX + f""", n AS (SELECT cohort, feature, count(*) AS pairs FROM v13 GROUP BY 1, 2), t AS (SELECT g.cohort, g.feature, n, w, tie, pairs, (w - CAST(n AS DOUBLE) * (n + 1) / 4) / sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - tie / 48) AS z FROM g JOIN ti ON ti.cohort = g.cohort AND ti.feature = g.feature JOIN n ON n.cohort = g.cohort AND n.feature = g.feature)
+SELECT cohort, feature, n, w AS w_plus, {r(_NORMAL)} AS p, 'large' AS p_method FROM t WHERE n > 50""", "v13")
+def i10_p(spark: SparkSession, sf: str) -> DataFrame:
+    p = _pairs(spark, sf).withColumn("p2", 2 * F.col("pred"))
+    return _r(st.wilcoxon_greater(p, ["cohort", "feature"], "value", "p2").where("n > 50").select("cohort", "feature", "n", "w_plus", "p", "p_method"), "p")
+
+
+@query("i10_wilcoxon_exact", f"""WITH d AS (SELECT nation, value - 4000 AS d FROM (SELECT nation, value, row_number() OVER (PARTITION BY nation ORDER BY value DESC, entity) AS rn FROM v1) WHERE rn <= 14 AND value <> 4000),
+k AS (SELECT nation, d, rank() OVER (PARTITION BY nation ORDER BY abs(d)) + (count(*) OVER (PARTITION BY nation, abs(d)) - 1) / 2e0 AS rk FROM d),
+g AS (SELECT nation, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, list(rk ORDER BY rk) AS rks FROM k GROUP BY 1),
+s AS (SELECT nation, w_plus, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN rks[i + 1] ELSE 0 END)) AS ws FROM (SELECT *, unnest(range(0, (1 << n)::BIGINT)) AS m FROM g WHERE n >= 3))
+SELECT nation, n, g.w_plus, {r('p')} AS p, 'exact' AS p_method FROM g JOIN (SELECT nation, avg(CASE WHEN ws >= w_plus THEN 1e0 ELSE 0e0 END) AS p FROM s GROUP BY 1) USING (nation)""", "v1")
+def i10_exact(spark: SparkSession, sf: str) -> DataFrame:
+    best = top_per_group(view(spark, sf, "v1").select("nation", "entity", "value"), ["nation"], [F.col("value").desc(), F.col("entity")], 14, None)
+    w = st.wilcoxon_greater(best.withColumn("zero", F.lit(4000.0)), ["nation"], "value", "zero", method="exact")
+    return _r(w.where("n >= 3").select("nation", "n", "w_plus", "p", "p_method"), "p")
+
+
 @query("i11_count_enrichment", f"""WITH t AS (SELECT line AS cluster, score > 60000 AS top FROM v4), g AS (SELECT cluster, count(*) FILTER (WHERE top) AS a, count(*) FILTER (WHERE NOT top) AS c FROM t GROUP BY 1)
 SELECT cluster, a, (sum(a) OVER () - a)::BIGINT AS b, c, (sum(c) OVER () - c)::BIGINT AS d, {r('CAST(a AS DOUBLE) * (sum(c) OVER () - c) / nullif(CAST(sum(a) OVER () - a AS DOUBLE) * c, 0)')} AS odds_ratio FROM g""", "v4")
 def i11(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,10 +198,16 @@ def i11(spark: SparkSession, sf: str) -> DataFrame:
     return _r(st.count_enrichment(v, "cluster", "top", with_p=False), "odds_ratio")
 
 
-@query("i11_fisher_tests_with_q")
+@query("i11_fisher_tests_with_q", f"""WITH t AS (SELECT line AS cluster, score > 60000 AS top FROM v4), g AS (SELECT cluster, count(*) FILTER (WHERE top) AS a, count(*) FILTER (WHERE NOT top) AS c FROM t GROUP BY 1),
+f AS (SELECT cluster, a, (sum(a) OVER () - a)::BIGINT AS b, c, (sum(c) OVER () - c)::BIGINT AS d FROM g),
+h AS (SELECT *, unnest(range(greatest(0, a + c - (c + d)), least(a + b, a + c) + 1)) AS k FROM f),
+l AS (SELECT *, -lgamma(k + 1e0) - lgamma(a + b - k + 1e0) - lgamma(a + c - k + 1e0) - lgamma(d - a + k + 1e0) AS lw FROM h),
+m AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY cluster)) AS w FROM l), o AS (SELECT cluster, w AS wo FROM m WHERE k = a),
+pv AS (SELECT cluster, a, b, c, d, least(1e0, sum(CASE WHEN w <= wo * (1 + 1e-7) THEN w ELSE 0 END) / sum(w)) AS p FROM m JOIN o USING (cluster) GROUP BY ALL)
+SELECT cluster, a, b, c, d, {r('p')} AS p, {r('q')} AS q FROM {_bh('pv', '')}""", "v4")
 def i11_q(spark: SparkSession, sf: str) -> DataFrame:
     v = view(spark, sf, "v4").select(F.col("line").alias("cluster"), (F.col("score") > 60000).alias("top"))
-    return st.count_enrichment(v, "cluster", "top")
+    return _r(st.count_enrichment(v, "cluster", "top").drop("odds_ratio"), "p", "q")
 
 
 @query("i12_sign_share", f"SELECT cohort, count(*) AS n, count(*) FILTER (WHERE value > 0) AS n_positive, {r('count(*) FILTER (WHERE value > 0) / CAST(count(*) AS DOUBLE)')} AS share_positive FROM v1 GROUP BY 1", "v1")
@@ -149,6 +215,13 @@ def i12(spark: SparkSession, sf: str) -> DataFrame:
     return _r(st.sign_share(view(spark, sf, "v1"), ["cohort"], "value", with_p=False), "share_positive")
 
 
+@query("i12_sign_test", f"""WITH g AS (SELECT cohort, count(*) AS n, count(*) FILTER (WHERE value > 4500) AS x FROM v1 GROUP BY 1), k AS (SELECT *, unnest(range(x, n + 1)) AS k FROM g)
+SELECT cohort, n, x AS n_positive, {r('sum(exp(lgamma(n + 1e0) - lgamma(k + 1e0) - lgamma(n - k + 1e0) - n * ln(2e0)))')} AS p FROM k GROUP BY ALL""", "v1")
+def i12_p(spark: SparkSession, sf: str) -> DataFrame:
+    v = view(spark, sf, "v1").withColumn("over", F.col("value") - 4500)
+    return _r(st.sign_share(v, ["cohort"], "over").select("cohort", "n", "n_positive", "p"), "p")
+
+
 @query("i13_null_summary", f"""WITH o AS (SELECT cohort, avg(value) AS observed FROM v1 GROUP BY 1), u AS (SELECT cohort, nation, avg(value) AS v FROM v1 GROUP BY 1, 2)
 SELECT o.cohort, {r('observed')} AS observed, count(*) AS n_null, {r('avg(v)')} AS null_mean, {r('stddev_samp(v)')} AS null_sd, {r('quantile_cont(v, 0.95)')} AS null_p95, {r('(1e0 + count(*) FILTER (WHERE v >= observed)) / (count(*) + 1)')} AS empirical_p,
 {r('observed - avg(v)')} AS difference, CASE WHEN observed > quantile_cont(v, 0.95) AND (1e0 + count(*) FILTER (WHERE v >= observed)) / (count(*) + 1) <= 0.05 THEN 'PASS' ELSE 'WARN' END AS status FROM o JOIN u USING (cohort) GROUP BY o.cohort, observed""", "v1")
@@ -237,10 +310,15 @@ def i21(spark: SparkSession, sf: str) -> DataFrame:
     return _r(st.metric_associations(t, "score", ["n_items", "occupancy"], with_p=False), "rho")
 
 
-@query("i21_artifact_flags_with_q")
+@query("i21_artifact_flags_with_q", f"""WITH t AS (SELECT bag, count(*) AS n_items, avg(occupancy) AS occupancy, avg(score) AS score FROM v4 GROUP BY 1), m AS (SELECT 'n_items' AS metric, CAST(n_items AS DOUBLE) AS value, score FROM t UNION ALL SELECT 'occupancy', occupancy, score FROM t),
+k AS (SELECT metric, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2e0 AS ra, rank() OVER (PARTITION BY metric ORDER BY score) + (count(*) OVER (PARTITION BY metric, score) - 1) / 2e0 AS rb FROM m),
+c AS (SELECT metric, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(ra, rb) END AS rho FROM k GROUP BY 1), s AS (SELECT *, rho * sqrt((n - 2) / greatest(1 - rho * rho, 1e-300)) AS st, n - 2e0 AS dof FROM c),
+pv AS {_t_p('s', 'metric, n, rho', 'st', 'dof')}
+SELECT metric, n, {r('rho')} AS rho, {r('p')} AS p, {r('q')} AS q, coalesce(abs(rho) >= 0.35 AND q <= 0.10, false) AS flag_large_correlation,
+CASE WHEN rho IS NULL THEN 'SKIP' WHEN abs(rho) >= 0.35 AND q <= 0.10 THEN 'WARN' ELSE 'PASS' END AS status FROM {_bh('pv', '')}""", "v4")
 def i21_q(spark: SparkSession, sf: str) -> DataFrame:
     t = materialize(view(spark, sf, "v4").groupBy("bag").agg(F.count(F.lit(1)).alias("n_items"), F.avg("occupancy").alias("occupancy"), F.avg("score").alias("score")))
-    return st.metric_associations(t, "score", ["n_items", "occupancy"])
+    return _r(st.metric_associations(t, "score", ["n_items", "occupancy"]), "rho", "p", "q")
 
 
 _META = """e AS (SELECT feature, cohort, avg(value) / 7e4 AS coef, stddev_samp(value) / 7e4 / sqrt(count(*)) AS se FROM v2 GROUP BY 1, 2),
