@@ -2,9 +2,10 @@
 
 1. A text becomes a 64-bit fingerprint: the majority of every bit over the
    hashes of its word n-grams. Equal fingerprints are one node from here on.
-2. Pigeonhole: ``BLOCKS`` cuts the 64 bits into five blocks. Four differing
-   bits leave one block untouched, and of two 23-bit segments taken from the
-   other bits one differs in two bits at most.
+2. Pigeonhole: ``PIECES`` cuts the 64 bits into seven pieces in two groups.
+   Four differing bits leave three pieces untouched, two of them in one group,
+   and of two segments of 23 bits or fewer taken from the other five pieces one
+   differs in two bits at most.
 3. The perfect Golay code [23, 12, 7] gives a segment the codewords within
    distance 4: one if the nearest codeword is within distance 2, else six. Two
    segments that differ in two bits at most have a codeword in common: the
@@ -13,7 +14,7 @@
    five codewords at distance 4 part the other 20 positions, four each, so
    the flip of any position brings one of them to distance 3, and it is within
    4 after the second flip.
-4. Keys (block, its bits, segment, codeword) list fingerprints. A list first
+4. Keys (two pieces, their bits, segment, codeword) list fingerprints. A list first
    answers for one of its members, another one each turn, which is linear in
    the list, and every component takes one link of these, so that crowded lists
    soon are one component. Only fingerprints of lists that still hold two are
@@ -41,8 +42,8 @@ from cohortwise.session import materialize
 NGRAM = 4
 SEED = 42
 MOST_BITS = 4
-# Bits of the blocks of which one is left untouched by MOST_BITS differing bits.
-BLOCKS = (13, 13, 13, 13, 12)
+# Bits of the pieces, and their groups.
+PIECES, GROUPS = (9, 9, 9, 9, 9, 9, 10), ((0, 1, 2, 3), (4, 5, 6))
 SEGMENT = 23
 # Fixed value: a generator polynomial of the Golay code.
 GENERATOR = 0b110001110101
@@ -113,19 +114,25 @@ def codewords(words: np.ndarray) -> np.ndarray:
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(position in ``fps``, key): fingerprints that differ in MOST_BITS bits at most share a key."""
-    fps = fps.astype(np.uint64)
-    at, keys, low = [], [], 0
-    for b, width in enumerate(BLOCKS):
-        exact = (fps >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-        above = fps >> np.uint64(low + width) if low + width < 64 else np.zeros_like(fps)
-        rest = above << np.uint64(low) | fps & np.uint64((1 << low) - 1)
+    fps, low, pieces = fps.astype(np.uint64), 0, []
+    for width in PIECES:
+        pieces.append((fps >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64))
         low += width
-        for seg in range(2):
-            word = (rest >> np.uint64(SEGMENT * seg) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
+
+    def joined(which) -> np.ndarray:
+        out = np.zeros(len(fps), dtype=np.int64)
+        for i in which:
+            out = out << PIECES[i] | pieces[i]
+        return out
+
+    at, keys = [], []
+    for pair, chosen in enumerate(c for group in GROUPS for c in combinations(group, 2)):
+        exact, rest = joined(chosen), joined(i for i in range(len(PIECES)) if i not in chosen)
+        for seg, word in enumerate((rest & (1 << SEGMENT) - 1, rest >> SEGMENT)):
             cw = codewords(word)
             row, col = np.nonzero(cw >= 0)
             at.append(row)
-            keys.append((2 * b + seg) << 25 | exact[row] << 12 | cw[row, col])
+            keys.append((2 * pair + seg) << 31 | exact[row] << 12 | cw[row, col])
     return np.concatenate(at), np.concatenate(keys)
 
 
