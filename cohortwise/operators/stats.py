@@ -151,7 +151,7 @@ def mann_whitney(df: DataFrame, group: Sequence[str], value: str, y: str, altern
     tied = (F.col("n1") + F.col("n0") <= tails.EXACT_TIED) & ~plain & (method == "exact")
     out = materialize(out.withColumn("p_method", F.when(plain, "exact").when(tied, "exact_ties").otherwise("large")), "rank_tests")
     out = _with_ties(out, t, group, F.col("p_method") == "exact_ties")
-    large = tails.normal_two_sided_p(F.greatest("z", F.lit(0.0))) if alternative == "two-sided" else tails.normal_upper_p(F.col("z"))
+    large = tails.normal_two_sided_p(F.when(F.col("z").isNotNull(), F.greatest("z", F.lit(0.0)))) if alternative == "two-sided" else tails.normal_upper_p(F.col("z"))
     # Each form sees only the rows it is for: a null statistic gives a null p without work.
     exact = tails.rank_sum_exact_p(F.when(F.col("p_method") != "large", F.col("u")), "n1", "n0", F.lit(alternative == "two-sided"), "ranks", "counts")
     return out.withColumn("p", F.coalesce(exact, large)).select(*group, "n1", "n0", "u", "z", "p", F.when(F.col("u").isNotNull(), F.replace("p_method", F.lit("_ties"), F.lit(""))).alias("p_method"))
