@@ -48,7 +48,7 @@ SEGMENT = 23
 # Fixed value: a generator polynomial of the Golay code.
 GENERATOR = 0b110001110101
 # Turns in which a list answers for one member before the rest of it is paired.
-TURNS = 4
+TURNS = 2
 # Fingerprints of a list that meet in one piece.
 PIECE = 4096
 # Hashes whose bits are counted at a time.
@@ -167,7 +167,7 @@ def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Lists (key, fp, n) that hold two components, with ``comp``."""
     rows = lists.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return rows.join(split, "key").select("key", "fp", "n", "comp")
+    return rows.join(split, "key", "left_semi").select("key", "fp", "n", "comp")
 
 
 def _star(rows: DataFrame, turn: int) -> DataFrame:
