@@ -61,35 +61,30 @@ def newton_fit(df: DataFrame, keys: Sequence[str], p: int, ridge: float = RIDGE,
     """Penalised maximum likelihood per key; the intercept is not penalised.
 
     Rows are ``(keys, x array, y)``, best given as a written table because every
-    step reads them once. The driver holds only the state of the models (their
-    number is checked), as the steps of any iterative fit do. Returns ``(keys, beta, se, converged)``.
-    Unused (all-zero) inputs keep a zero coefficient.
+    step reads those of the models still open. Returns ``(keys, beta, se,
+    converged)``, see :func:`newton.iterate`. Unused (all-zero) inputs keep a
+    zero coefficient.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rate = F.least(F.greatest(F.sum(w * F.col("y")) / F.sum(w), F.lit(1e-4)), F.lit(1 - 1e-4))
     first = F.log(rate / (F.lit(1.0) - rate)) if start is None else F.lit(float(start[0]))
     init = [first] + [F.lit(0.0 if start is None else float(start[j + 1])) for j in range(p)]
-    spark, keys = df.sparkSession, list(keys)
-    state = nt.start_state(keys, bounded_rows(df.groupBy(*keys).agg(F.array(*init).alias("beta")), MAX_MODELS, "models"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    m = p + 1
+    keys, m = list(keys), p + 1
     xs = [F.lit(1.0)] + [F.get("x", F.lit(i)) for i in range(p)]
-    for _ in range(max_iter):
-        if not len(state):
-            break
-        j = df.join(nt.frame(spark, state, keys, fields, "beta array<double>"), keys).withColumn("__e", _eta(F.col("beta"), F.col("x"), p))
+
+    def sums(points: DataFrame) -> DataFrame:
+        j = df.join(points, keys).withColumn("__e", _eta(F.col("beta"), F.col("x"), p))
         j = j.withColumn("__p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("__e"))))
         r = w * (F.col("y") - F.col("__p"))
         v = w * F.col("__p") * (F.lit(1.0) - F.col("__p"))
         ll = F.sum(w * (F.col("y") * F.col("__e") - F.log1p(F.exp("__e")))).alias("ll")
         g = F.array(*[F.sum(r * x) for x in xs]).alias("g")
         h = F.array(*[F.sum(v * xs[a] * xs[b]) for a in range(m) for b in range(a, m)]).alias("h")
-        sums = pd.DataFrame([x.asDict() for x in j.groupBy(*keys).agg(ll, g, h).collect()])
-        state = nt.advance(state.merge(sums, on=keys), keys, lambda row, size: np.array([0.0] + [ridge] * (size - 1)))
-        if state["move"].max() < tol:
-            break
-    out = nt.frame(spark, state, keys, fields, "beta array<double>, se array<double>, move double")
-    return out.select(*keys, "beta", "se", (F.col("move") < F.lit(max(tol, 1e-6))).alias("converged"))
+        return j.groupBy(*keys).agg(ll, g, h)
+
+    begin = df.groupBy(*keys).agg(F.array(*init).alias("beta"))
+    fit = nt.iterate(begin, keys, sums, lambda row, size: np.array([0.0] + [ridge] * (size - 1)), max_iter, tol, 1e-6)
+    return fit.select(*keys, "beta", "se", "converged")
 
 
 def fitted(df: DataFrame, fit: DataFrame, keys: Sequence[str], p: int) -> DataFrame:

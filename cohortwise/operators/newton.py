@@ -1,30 +1,58 @@
-"""Damped Newton step shared by the grouped likelihood fits (one row per model)."""
+"""Damped Newton steps for many likelihood fits at once (one row per model).
+
+The state of the models is a table: every step joins the open models' trial
+points to the data, adds up their likelihoods, solves the small systems in tasks
+and writes the next state. A model that has converged leaves the table, so
+later steps neither read its rows nor solve for it. The driver learns one
+number a step: how many models are open.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
+from cohortwise.session import materialize
 
+STATE = {"beta": "array<double>", "base": "array<double>", "delta": "array<double>", "se": "array<double>", "base_ll": "double", "scale": "double", "move": "double"}
 
-def start_state(keys: list[str], rows: list) -> pd.DataFrame:
-    """State of every model before its first step; ``rows`` hold keys and ``beta``."""
-    state = pd.DataFrame([r.asDict() for r in rows], columns=[*keys, "beta"]) if rows else pd.DataFrame({c: [] for c in [*keys, "beta"]})
-    for c in ("base", "delta", "se"):
-        state[c] = None
-    state["base_ll"], state["scale"], state["move"] = np.nan, 1.0, np.inf
-    return state
 
+def iterate(start: DataFrame, keys: Sequence[str], sums: Callable[[DataFrame], DataFrame], penalty, max_iter: int, tol: float, loose: float | None = None) -> DataFrame:
+    """(keys, beta, se, move, converged) of the models that ``start`` (keys, beta, and what ``penalty`` reads) begins.
 
-def frame(spark, state: pd.DataFrame, keys: list[str], fields: str, columns: str):
-    """Model state as a small table; ``columns`` is the DDL of the columns after the keys."""
-    names = [c.strip().split()[0] for c in columns.split(",")]
+    ``sums(points)`` gives (keys, ll, g, h) at the trial points (keys, beta):
+    log likelihood, gradient and the upper triangle of the information.
+    ``penalty(row, size)`` is the diagonal of the quadratic penalty. Converged
+    is a last move below ``loose`` (``tol`` if not given). Models without rows
+    or with a null key do not come out.
+    """
+    keys = list(keys)
+    extra = [c for c in start.columns if c not in (*keys, "beta")]
+    fixed = {f.name: f.dataType.simpleString() for f in start.select(*keys, *extra).schema.fields}
+    schema = ", ".join(f"`{c}` {t}" for c, t in {**fixed, **STATE}.items())
 
-    def plain(v):
-        return [float(a) for a in v] if isinstance(v, (list, np.ndarray)) else (v.item() if isinstance(v, np.generic) else v)
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield advance(b, [*keys, *extra], penalty)
 
-    rows = [tuple(plain(v) for v in t) for t in state[[*keys, *names]].itertuples(index=False, name=None)]
-    return spark.createDataFrame(rows, f"{fields}, {columns}")
+    blank = [F.lit(None).cast(t).alias(c) for c, t in STATE.items() if c not in ("beta", "scale")]
+    state, ended = start.select(*keys, *extra, "beta", *blank, F.lit(1.0).alias("scale")), []
+    for _ in range(max_iter):
+        seen = Observation()
+        joined = state.join(sums(state.select(*keys, "beta")), keys)
+        new = joined.mapInPandas(step, schema).observe(seen, F.count_if(F.col("move") >= tol).alias("open"))
+        new = materialize(new, "newton")
+        ended.append(new.where(F.col("move") < tol))
+        state = new.where(F.col("move") >= tol)
+        if not seen.get["open"]:
+            break
+    done = materialize(reduce(DataFrame.unionByName, [*ended, state.select(*new.columns)]), "newton_fit")
+    return done.select(*keys, "beta", "se", "move", (F.col("move") < max(tol, loose or tol)).alias("converged"))
 
 
 def symmetric(upper, m: int) -> np.ndarray:
@@ -59,4 +87,4 @@ def advance(pdf: pd.DataFrame, keys: list[str], penalty) -> pd.DataFrame:
         out["scale"].append(scale)
         out["se"].append(se)
         out["move"].append(float(np.abs(scale * delta).max(initial=0.0)))
-    return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, **out})
+    return pd.DataFrame({**{k: pdf[k] for k in keys}, **out}, index=pdf.index)

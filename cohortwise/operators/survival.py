@@ -5,31 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortwise.functions import tails
+from cohortwise.functions.numeric import finite
 from cohortwise.operators import newton as nt
 from cohortwise.operators.ordering import PIECE, cut_points, default_pieces, range_piece
-from cohortwise.operators.vectors import bounded_rows
+from cohortwise.operators.windows import bh_adjust
 from cohortwise.session import materialize
 
 # Penalty, event limits and confidence multiplier.
-MAX_MODELS = 20_000
 PENALTY, MIN_EVENTS, EVENTS_PER_TERM, CI_Z = 0.01, 10, 5, 1.96
 
 
-def survival_eligibility(df: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
-    """Counts per group; few events or constant predictors are skipped."""
-    vary = F.lit(True)
-    for j in range(p):
-        vary = vary & (F.max(F.get("x", F.lit(j))) > F.min(F.get("x", F.lit(j))))
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("event").cast("bigint").alias("events"), vary.alias("__v"))
-    ok = (F.col("events") >= max(MIN_EVENTS, EVENTS_PER_TERM * p)) & F.col("__v")
-    return g.select(*keys, "n", "events", F.when(ok, "PASS").otherwise("SKIP").alias("status"),
-                    F.when(ok, "").otherwise("insufficient_events_or_variation").alias("skip_reason"))
-
-
 def cox_fit(df: DataFrame, keys: Sequence[str], p: int, penalty: float = PENALTY, max_iter: int = 30, tol: float = 1e-8) -> DataFrame:
     """Efron partial likelihood with a ridge of ``n * penalty`` on standardised inputs.
 
@@ -41,20 +30,15 @@ def cox_fit(df: DataFrame, keys: Sequence[str], p: int, penalty: float = PENALTY
         F.avg(F.get("x", F.lit(j))).alias(f"m{j}"), F.stddev_samp(F.get("x", F.lit(j))).alias(f"s{j}"))])
     pieces = default_pieces(df)
     cuts = cut_points(df, F.col("time"), pieces)
-    z = [((F.get("x", F.lit(j)) - F.col(f"m{j}")) / F.col(f"s{j}")).alias(f"z{j}") for j in range(p)]
+    # An input that does not vary, as one that fills up a shorter model, keeps a zero coefficient.
+    z = [F.coalesce(F.try_divide(F.get("x", F.lit(j)) - F.col(f"m{j}"), F.col(f"s{j}")), F.lit(0.0)).alias(f"z{j}") for j in range(p)]
     rows = materialize(df.join(stats, list(keys)).select(*keys, "time", F.col("event").cast("int").alias("event"), "n", *z, range_piece(F.col("time"), cuts, pieces).alias(PIECE)), "risk")
-    spark, keys = df.sparkSession, list(keys)
-    sizes = bounded_rows(rows.groupBy(*keys).agg(F.array(*[F.lit(0.0)] * p).alias("beta"), F.max("n").alias("n")), MAX_MODELS, "models")
-    state = nt.start_state(keys, sizes)
-    state["n"] = [r["n"] for r in sizes]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+    keys = list(keys)
     pairs = [(a, b) for a in range(p) for b in range(a, p)]
     names = ["s0"] + [f"s1_{j}" for j in range(p)] + [f"s2_{a}_{b}" for a, b in pairs]
 
-    for _ in range(max_iter):
-        if not len(state):
-            break
-        j = rows.join(nt.frame(spark, state, keys, fields, "beta array<double>"), keys)
+    def sums(points: DataFrame) -> DataFrame:
+        j = rows.join(points, keys)
         eta = F.lit(0.0)
         for k in range(p):
             eta = eta + F.get("beta", F.lit(k)) * F.col(f"z{k}")
@@ -77,14 +61,53 @@ def cox_fit(df: DataFrame, keys: Sequence[str], p: int, penalty: float = PENALTY
         hess = [F.sum(r[f"s2_{a}_{b}"] / r["s0"] - r[f"s1_{a}"] * r[f"s1_{b}"] / (r["s0"] * r["s0"])) for a, b in pairs]
         # The events' own linear predictors enter once per time, shared over its tied steps.
         own = sum((F.get("beta", F.lit(k)) * F.col(f"zd_{k}") for k in range(p)), F.lit(0.0)) / F.col("d")
-        sums = ev.groupBy(*keys).agg(F.sum(own - F.log(r["s0"])).alias("ll"), F.array(*grads).alias("g"), F.array(*hess).alias("h"))
-        got = pd.DataFrame([r.asDict() for r in sums.collect()])
-        n = state[[*keys, "n"]]
-        state = nt.advance(state.merge(got, on=keys), keys, lambda row, size: np.full(size, row.n * penalty)).merge(n, on=keys)
-        if state["move"].max() < tol:
-            break
-    beta = nt.frame(spark, state, keys, fields, "beta array<double>, se array<double>, move double")
-    long = beta.join(stats.drop("n"), list(keys)).select(*keys, "move", F.posexplode("beta").alias("term", "b"), "se", F.array(*[F.col(f"s{j}") for j in range(p)]).alias("sd"))
-    coef, se = F.col("b") / F.get("sd", F.col("term")), F.get("se", F.col("term")) / F.get("sd", F.col("term"))
-    return long.select(*keys, "term", coef.alias("coef"), se.alias("se"), (coef / se).alias("z"), F.exp(coef).alias("hazard_ratio"),
-                       F.exp(coef - CI_Z * se).alias("ci95_low"), F.exp(coef + CI_Z * se).alias("ci95_high"), (F.col("move") < 1e-6).alias("converged"))
+        return ev.groupBy(*keys).agg(F.sum(own - F.log(r["s0"])).alias("ll"), F.array(*grads).alias("g"), F.array(*hess).alias("h"))
+
+    start = rows.groupBy(*keys).agg(F.array(*[F.lit(0.0)] * p).alias("beta"), F.max("n").alias("n"))
+    beta = nt.iterate(start, keys, sums, lambda row, size: np.full(size, row.n * penalty), max_iter, tol, 1e-6)
+    long = beta.join(stats.drop("n"), list(keys)).select(*keys, "converged", F.posexplode("beta").alias("term", "b"), "se", F.array(*[F.col(f"s{j}") for j in range(p)]).alias("sd"))
+    coef, se = F.try_divide("b", F.get("sd", F.col("term"))), F.try_divide(F.get("se", F.col("term")), F.get("sd", F.col("term")))
+    return long.select(*keys, "term", coef.alias("coef"), se.alias("se"), F.try_divide(coef, se).alias("z"), F.exp(coef).alias("hazard_ratio"),
+                       F.exp(coef - CI_Z * se).alias("ci95_low"), F.exp(coef + CI_Z * se).alias("ci95_high"), "converged")
+
+
+def model_rows(df: DataFrame, specs: dict[str, Sequence[str]], p: int) -> DataFrame:
+    """(cohort, model, entity, time, event, x, used): a row per entity and model with complete values, inputs filled up with zeros to ``p``.
+
+    ``used`` names the predictors of the model that vary among the complete rows of its cohort; the others are left out of ``x``.
+    """
+    models = F.inline(F.array(*[F.struct(F.lit(name).alias("model"), F.array(*[F.lit(c) for c in cols]).alias("names"), F.array(*[finite(F.col(c)) for c in cols]).alias("raw")) for name, cols in specs.items()]))
+    rows = df.select("cohort", "entity", finite(F.col("time")).alias("time"), finite(F.col("event")).alias("event"), models)
+    rows = materialize(rows.where(F.col("time").isNotNull() & F.col("event").isNotNull() & ~F.exists("raw", lambda v: v.isNull())), "model_rows")
+    keys = ["cohort", "model"]
+    vary = (rows.select(*keys, "names", F.posexplode("raw").alias("pos", "v")).groupBy(*keys, "pos").agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.first("names").alias("names"))
+            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("hi") > F.col("lo"), F.col("pos")))).alias("use"), F.first("names").alias("names")))
+    j = rows.drop("names").join(vary, keys)
+    padded = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.coalesce(F.get("raw", F.get("use", i)), F.lit(0.0)))
+    return j.select(*keys, "entity", "time", "event", padded.alias("x"), F.transform("use", lambda i: F.get("names", i)).alias("used"))
+
+
+def cox_models(df: DataFrame, specs: dict[str, Sequence[str]], penalty: float = PENALTY) -> DataFrame:
+    """Every model of ``specs`` in every cohort, a row per term with p, and q over all tested terms.
+
+    ``df`` holds (cohort, entity, time, event) and the predictors. Rows that lack
+    a value of a model are left out of it, predictors that do not vary too. A
+    model of a cohort is skipped (one row, no term) without rows or predictors
+    left or with fewer than 10 events or 5 a predictor; WARN says that the fit
+    did not converge.
+    """
+    p, keys = max(len(c) for c in specs.values()), ["cohort", "model"]
+    rows = materialize(model_rows(df, specs, p), "model_rows")
+    names = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(",".join(c)).alias("predictors")) for m, c in specs.items()]))
+    wanted = df.select("cohort").distinct().select("cohort", names)
+    info = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("event").cast("bigint").alias("events"), F.first("used").alias("used"))
+    info = wanted.join(info, keys, "left").withColumns({"n": F.coalesce("n", F.lit(0)), "events": F.coalesce("events", F.lit(0)), "used": F.coalesce("used", F.array().cast("array<string>"))})
+    enough = (F.size("used") > 0) & (F.col("events") >= F.greatest(F.lit(MIN_EVENTS), EVENTS_PER_TERM * F.size("used")))
+    info = materialize(info.withColumn("go", enough), "eligible")
+    fit = cox_fit(materialize(rows.drop("used").join(info.where("go").select(*keys), keys, "left_semi"), "go"), keys, p, penalty)
+    out = info.join(fit, keys, "left").where(~F.col("go") | (F.col("term") < F.size("used")))
+    status = F.when(~F.col("go"), "SKIP").when(F.col("converged"), "PASS").otherwise("WARN")
+    out = out.select(*keys, "predictors", F.array_join("used", ",").alias("used_predictors"), status.alias("status"),
+                     F.when(~F.col("go"), "insufficient_records_events_or_variation").otherwise("").alias("skip_reason"), "n", "events",
+                     F.when(F.col("go"), F.get("used", F.col("term"))).otherwise("").alias("term"), "coef", "se", "z", tails.normal_two_sided_p(F.col("z")).alias("p"), "hazard_ratio", "ci95_low", "ci95_high")
+    return bh_adjust(materialize(out, "cox_terms"), [], "p", "q")

@@ -110,7 +110,17 @@ def j7(spark: SparkSession, sf: str) -> DataFrame:
     return _terms(spark, sf)
 
 
-@query("i14_calibration_refit")
+# Newton's steps for intercept and slope, recursively; two unknowns are solved by hand.
+_CALIBRATION = f"""WITH RECURSIVE o AS (SELECT cohort, y::DOUBLE AS y, least(greatest(score / 20000, 0.01), 0.99) AS pr FROM v6b), x AS (SELECT cohort, y, ln(pr / (1 - pr)) AS x FROM o),
+u AS (SELECT cohort, min(y) < max(y) AND stddev_pop(x) > 1e-10 AS ok, avg(y) AS rate FROM x GROUP BY 1),
+steps AS (SELECT cohort, 0 AS i, ln(rate / (1 - rate)) AS a, 0e0 AS b FROM u WHERE ok
+UNION ALL SELECT cohort, i + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+  SELECT cohort, i, a, b, sum(y - p) AS g0, sum((y - p) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+  FROM (SELECT q.*, y, x, 1 / (1 + exp(-(q.a + q.b * x))) AS p FROM steps q JOIN x USING (cohort) WHERE q.i < 25) GROUP BY cohort, i, a, b))
+SELECT cohort, {r('a')} AS calibration_intercept, {r('b')} AS calibration_slope, CASE WHEN ok THEN 'PASS' ELSE 'SKIP' END AS calibration_status FROM u LEFT JOIN (SELECT * FROM steps WHERE i = 25) USING (cohort)"""
+
+
+@query("i14_calibration_refit", _CALIBRATION, "v6b")
 def i14(spark: SparkSession, sf: str) -> DataFrame:
     v = view(spark, sf, "v6b").select("cohort", "y", F.least(F.greatest(F.col("score") / 20000, F.lit(0.01)), F.lit(0.99)).alias("prob"))
     return _r(lo.calibration(v, ["cohort"]), "calibration_intercept", "calibration_slope")
@@ -144,14 +154,37 @@ def j9(spark: SparkSession, sf: str) -> DataFrame:
     return _r(st.baseline_delta(m.select("block", "cohort", "n", "events", "auc", "average_precision", "brier"), ["cohort"], "block", "auc", "low_dim"), "auc", "average_precision", "brier", "baseline", "delta")
 
 
+def _survival_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = survival(spark, sf).select(F.concat(F.lit("U"), (F.col("entity") % 2).cast("string")).alias("cohort"), "entity", F.col("days").alias("time"), "event",
+                                   F.log1p(F.col("n_events").cast("double")).alias("activity"), "mean_value", (F.col("entity") % 3 == 0).cast("double").alias("third"))
+    return materialize(s, "survival")
+
+
+COX_MODELS = {"activity_only": ["activity"], "value_only": ["mean_value"], "activity_and_value": ["activity", "mean_value"], "group": ["third"]}
+
+
 @query("j10_cox_models")
 def j10(spark: SparkSession, sf: str) -> DataFrame:
-    s = survival(spark, sf).select(F.concat(F.lit("U"), (F.col("entity") % 2).cast("string")).alias("cohort"), F.col("days").alias("time"), "event",
-                                   F.array(F.log1p(F.col("n_events").cast("double")), "mean_value").alias("x")).where("time > 0")
-    s = materialize(s, "survival")
-    ok = sv.survival_eligibility(s, ["cohort"], 2)
-    fit = sv.cox_fit(s.join(ok.where("status = 'PASS'").select("cohort"), "cohort", "left_semi"), ["cohort"], 2)
-    return _r(ok.join(fit, "cohort", "left"), "coef", "se", "z", "hazard_ratio", "ci95_low", "ci95_high")
+    return _r(sv.cox_models(_survival_rows(spark, sf), COX_MODELS), "coef", "se", "z", "p", "hazard_ratio", "ci95_low", "ci95_high", "q")
+
+
+# One yes-or-no predictor: the risk sets are four running counts, and Newton's steps are a recursion on one number.
+_COX_GROUP = f"""WITH RECURSIVE e AS (SELECT user_id AS entity, epoch_us(coalesce(min(CASE WHEN event_type = 'purchase' AND value > 100 THEN ts END), max(ts))) - epoch_us(min(ts)) AS time,
+CASE WHEN min(CASE WHEN event_type = 'purchase' AND value > 100 THEN ts END) IS NOT NULL THEN 1 ELSE 0 END AS event, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS x FROM events GROUP BY user_id),
+s AS (SELECT 'U' || CAST(entity % 2 AS VARCHAR) AS cohort, * FROM e), m AS (SELECT cohort, count(*) AS n, sum(event)::BIGINT AS events, stddev_samp(x) AS sd FROM s GROUP BY 1),
+t AS (SELECT cohort, time, sum(event) AS d, sum(event * x) AS d1, count(*) AS c, sum(x) AS c1 FROM s GROUP BY 1, 2),
+k AS (SELECT *, sum(c) OVER w AS r, sum(c1) OVER w AS r1 FROM t WINDOW w AS (PARTITION BY cohort ORDER BY time DESC)),
+v AS (SELECT cohort, d1 / CAST(d AS DOUBLE) AS up, (r1 - l / CAST(d AS DOUBLE) * d1)::DOUBLE AS a, ((r - r1) - l / CAST(d AS DOUBLE) * (d - d1))::DOUBLE AS b FROM (SELECT *, unnest(range(0, d::BIGINT)) AS l FROM k WHERE d > 0)),
+steps AS (SELECT cohort, 0 AS i, 0e0 AS beta, 0e0 AS info FROM m WHERE events >= 10
+UNION ALL SELECT q.cohort, q.i + 1, any_value(q.beta) + (sum(up - a * exp(q.beta) / (a * exp(q.beta) + b)) - any_value(n * {sv.PENALTY} * sd * sd * q.beta)) / (sum(a * exp(q.beta) * b / ((a * exp(q.beta) + b) * (a * exp(q.beta) + b))) + any_value(n * {sv.PENALTY} * sd * sd)),
+sum(a * exp(q.beta) * b / ((a * exp(q.beta) + b) * (a * exp(q.beta) + b))) + any_value(n * {sv.PENALTY} * sd * sd) FROM steps q JOIN v ON v.cohort = q.cohort JOIN m ON m.cohort = q.cohort WHERE q.i < 25 GROUP BY q.cohort, q.i)
+SELECT cohort, n, events, {r('beta')} AS coef, {r('1 / sqrt(info)')} AS se, {r('beta * sqrt(info)')} AS z, {r('exp(beta)')} AS hazard_ratio FROM steps JOIN m USING (cohort) WHERE i = 25"""
+
+
+@query("j10_cox_group", _COX_GROUP)
+def j10_group(spark: SparkSession, sf: str) -> DataFrame:
+    out = sv.cox_models(_survival_rows(spark, sf), {"group": ["third"]}).where("status <> 'SKIP'")
+    return _r(out.select("cohort", "n", "events", "coef", "se", "z", "hazard_ratio"), "coef", "se", "z", "hazard_ratio")
 
 
 @query("j11_median_impute_loo_ridge")

@@ -34,6 +34,8 @@ def with_views(sql: str, views: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(ctes) + ", " + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(ctes) + ", " + body[5:]
     return "WITH " + ", ".join(ctes) + " " + body
