@@ -134,9 +134,9 @@ def i9_less(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("i9_mann_whitney_with_p", _MW.format(v="score", t="v6b") + f""", t AS (SELECT *, CASE WHEN n1 > 0 AND n0 > 0 THEN greatest((abs(u - n1 * n0 / 2) - 0.5) / sd, 0) END AS z FROM u)
-SELECT cohort, n1::BIGINT AS n1, n0::BIGINT AS n0, CASE WHEN z IS NOT NULL THEN u END AS u, {r('2 * (' + _NORMAL + ')')} AS p, CASE WHEN z IS NOT NULL THEN CASE WHEN tie = 0 AND least(n1, n0) <= 8 THEN 'exact' ELSE 'large' END END AS p_method FROM t""", "v6b")
+SELECT cohort, n1::BIGINT AS n1, n0::BIGINT AS n0, CASE WHEN z IS NOT NULL THEN u END AS u, {r('2 * (' + _NORMAL + ')')} AS p, CASE WHEN z IS NOT NULL THEN 'large' END AS p_method FROM t""", "v6b")
 def i9_p(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(st.mann_whitney(view(spark, sf, "v6b"), ["cohort"], "score", "y").select("cohort", "n1", "n0", "u", "p", "p_method"), "p")
+    return _r(st.mann_whitney(view(spark, sf, "v6b"), ["cohort"], "score", "y", method="large").select("cohort", "n1", "n0", "u", "p", "p_method"), "p")
 
 
 # The twelve best customers of each country and segment, high spenders against the rest: small samples without ties.
