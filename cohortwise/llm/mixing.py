@@ -176,16 +176,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return documents, pieces.select("sid", "block", F.col("id").alias(doc_id), "first", "words"), slots
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix as whole documents: each row of ``docs`` as often as the mix takes its words, on average.
 
     ``taken / size`` is rounded up or down by a hash, so that the mean is kept.
-    Rows without words are not part of a mix.
+    Rows without words are not part of a mix. Rows of one id and text are told
+    apart by source; those of one source too are taken in the order of their
+    other columns.
     """
-    documents, _, _ = mix(docs, **options)
-    spot = F.pmod(F.xxhash64(F.lit("copies"), "doc_id", "tie", "__k"), F.lit(1 << 30)) / float(1 << 30)
-    order = Window.partitionBy("doc_id", "tie").orderBy("taken")
-    copies = documents.where("taken > 0").withColumn("__k", F.row_number().over(order)).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t"), "__k", F.floor(F.col("taken") / F.col("size") + spot).cast("int").alias("__n"))
-    own = docs.withColumn("__h", F.xxhash64("text")).withColumn("__r", F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(F.col("source").asc_nulls_last())))
-    both = own.join(copies.where("__n > 0"), own["doc_id"].eqNullSafe(copies["__id"]) & (own["__h"] == copies["__t"]) & (own["__r"] == copies["__k"]))
-    return both.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    documents, _, _ = mix(docs, doc_id=doc_id, text=text, source=source, **options)
+    keys = ["__id", "__s", "__t"]
+    spot = F.pmod(F.xxhash64(F.lit("copies"), *keys, "__k"), F.lit(1 << 30)) / float(1 << 30)
+    taken = documents.where("taken > 0").select(F.col(doc_id).alias("__id"), F.col("source").alias("__s"), F.col("tie").alias("__t"), "taken", F.col("size").alias("__w"))
+    taken = taken.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("taken")))
+    copies = taken.select(*keys, "__k", F.floor(F.col("taken") / F.col("__w") + spot).cast("int").alias("__n")).where("__n > 0")
+    own = docs.withColumn("__o", F.xxhash64(*docs.columns)).withColumn("__h", F.xxhash64(text)).withColumn("__q", F.col(source).cast("string"))
+    own = own.withColumn("__r", F.row_number().over(Window.partitionBy(doc_id, "__q", "__h").orderBy("__o")))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col("__q").eqNullSafe(F.col("__s")) & (F.col("__h") == F.col("__t")) & (F.col("__r") == F.col("__k"))
+    return own.join(copies, same).withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

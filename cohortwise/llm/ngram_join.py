@@ -4,8 +4,10 @@
    one node from here on.
 2. Index: of every set the prefix that a partner must meet is listed under its
    tokens. The order of tokens is (crowded, hash), where a bitmap of bounded
-   size marks the crowded hash buckets, so that passages which many documents
-   share come last and hardly enter a prefix. The order steers the work only.
+   size marks the hash buckets that are crowded in a share of the sets, so that
+   passages which many documents share come last and hardly enter a prefix. The
+   order steers the work only. Lists of one set are dropped while entries
+   stream by in token order; crowded tokens are dealt by set as well.
 3. Each list first answers for its smallest member, the head: all others of the
    list are compared with it, which is linear in the list. Head and member also
    give the member's difference, the tokens in one of both sets only.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,10 +46,15 @@ THRESHOLD = Fraction(85, 100)
 NEAR_NGRAM, NEAR_THRESHOLD = 5, Fraction(80, 100)
 # Bits of a bitmap: this many per expected entry, between the bounds.
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 26
-# Entries from which a bucket of tokens counts as crowded, at least.
-CROWDED = 12
-# A set is a reference for another one while they differ in no more than so many times the tokens that linked sets may.
-REFERENCE = 4
+# One set in so many, chosen by its name, tells which tokens are crowded: a bucket is from so many of its tokens on.
+COUNTED, CROWDED = 8, 4
+# Crowded tokens of one list go to so many partitions.
+SALTS = 64
+# A set is a reference for another one while they differ in no more than so many times the tokens that linked sets may;
+# their bitmaps may differ in fewer bits, since several tokens fall on one bit.
+REFERENCE, REFERENCE_BITS = 8, 3
+# Bytes of a text whose words are hashed at a time (longer where one word is).
+HASHED_BYTES = 1 << 20
 # Positions that share one skip decision.
 POSITION_BLOCK = 8
 # Turns of linear comparisons within the lists of difference tokens before sets are paired in full.
@@ -62,18 +70,68 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _MUL[0])
+_BYTES[65:91] = _BYTES[97:123]  # A-Z as a-z
+_BASE, _BASE_INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+
+
+def _blank(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | (raw - np.uint8(9) <= 4)  # space, tab to carriage return
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        p = np.full(size, base, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    """A hash of each word: its bytes as digits of a number modulo 2^64, read off running sums over the text."""
+    blank = np.ones(len(raw) + 2, dtype=bool)
+    blank[1:-1] = _blank(raw)
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[0::2], edge[1::2]
+    size = HASHED_BYTES
+    while size < len(raw):
+        size *= 2
+    power, inverse = _powers(size)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[raw] * power[:len(raw)], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * _MUL[1])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hash of each word, A-Z lower-cased, in order."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    parts, at = [], 0
+    while len(raw) - at > HASHED_BYTES:
+        blank = np.flatnonzero(_blank(raw[at:at + HASHED_BYTES]))
+        cut = at + int(blank[-1]) + 1 if len(blank) else at + HASHED_BYTES
+        while not len(blank) and cut < len(raw):  # one word fills all: up to its end
+            blank = np.flatnonzero(_blank(raw[cut:cut + HASHED_BYTES]))
+            cut = cut + int(blank[0]) + 1 if len(blank) else min(cut + HASHED_BYTES, len(raw))
+        parts.append(_hashed(raw[at:cut]))
+        at = cut
+    parts.append(_hashed(raw[at:]))
+    return np.concatenate(parts)
+
+
 def shingles(text: str, n: int = NGRAM) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams, A-Z lower-cased; fewer words: the whole sequence; none: empty."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: lower-cases and splits on ASCII only
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-    out = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    h = word_hashes(text)
+    if len(h) < n:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))] if len(h) else [], dtype=np.uint64)
+    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
     for k in range(n):
-        out = _mixed(out * _MUL[k % len(_MUL)] + h[k:len(words) - n + 1 + k])
-    return np.unique(out)
+        out += h[k:len(h) - n + 1 + k] * (_MUL[k % len(_MUL)] + np.uint64(2 * (k // len(_MUL))))
+    out = _mixed(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def signature(s: np.ndarray) -> int:
@@ -136,8 +194,8 @@ def _agree(a: Column | str, b: Column | str, t: Fraction) -> Column:
     return F.ceil((F.col(a) + F.col(b)) * t.numerator / F.lit(t.numerator + t.denominator)).cast("int")
 
 
-def named_sets(docs: DataFrame, doc_id: str, text: str, n: int, bits: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sig, n_shingles) of every row, and (bucket, entries) of the prefixes in plain hash order."""
+def named_sets(docs: DataFrame, doc_id: str, text: str, n: int, bits: int, key: Column | None = None) -> DataFrame:
+    """(id, key, sig, n, marks, cells) of every row; ``key`` is a long to tell rows apart, ``cells`` are the buckets of all tokens of the counted sets, else null."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,17 +203,18 @@ def named_sets(docs: DataFrame, doc_id: str, text: str, n: int, bits: int, t: Fr
             sig, size, cells, marks = [], [], [], []
             for x in b["t"]:
                 s = shingles(x, n)
-                sig.append(signature(s))
+                name = signature(s)
+                sig.append(name)
                 size.append(len(s))
                 marks.append(parity(s))
-                cells.append((s[:prefix_length(len(s), t)] & np.uint64(bits - 1)).astype(np.int64))
-            yield pd.DataFrame({"id": b["id"], "sig": np.array(sig, dtype=np.int64), "n": np.array(size, dtype=np.int64), "marks": pd.Series(marks, dtype=object), "cells": pd.Series(cells, dtype=object)})
+                cells.append((s & np.uint64(bits - 1)).astype(np.int32) if name % COUNTED == 0 else None)
+            yield pd.DataFrame({"id": b["id"], "key": b["key"], "sig": np.array(sig, dtype=np.int64), "n": np.array(size, dtype=np.int64), "marks": pd.Series(marks, dtype=object), "cells": pd.Series(cells, dtype=object)})
 
-    return docs.select(F.col(doc_id).alias("id"), text_of(text).alias("t")).mapInPandas(run, f"id {kind}, sig long, n long, marks binary, cells array<long>")
+    return docs.select(F.col(doc_id).alias("id"), (F.lit(0) if key is None else key).cast("long").alias("key"), text_of(text).alias("t")).mapInPandas(run, f"id {kind}, key long, sig long, n long, marks binary, cells array<int>")
 
 
 def index_entries(docs: DataFrame, text: str, n: int, crowded: np.ndarray, t: Fraction) -> DataFrame:
-    """(token, sig, n, pos): the prefix of every set in the order (crowded, hash)."""
+    """(token, sig, n, pos, late): the prefix of every set in the order (crowded, hash); ``late`` are the crowded tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(crowded))
     bits = len(crowded)
 
@@ -171,12 +230,58 @@ def index_entries(docs: DataFrame, text: str, n: int, crowded: np.ndarray, t: Fr
                     continue
                 seen.add(name)
                 late = _held(full, (s & np.uint64(bits - 1)).astype(np.int64))
-                rows.append((name, len(s), np.concatenate([s[~late], s[late]])[:prefix_length(len(s), t)]))
+                rows.append((name, len(s), np.concatenate([s[~late], s[late]])[:prefix_length(len(s), t)], int((~late).sum())))
             size = [len(r[2]) for r in rows]
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in size]) if rows else np.zeros(0, dtype=np.int32)
             yield pd.DataFrame({"token": (np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, dtype=np.uint64)).astype(np.int64), "sig": np.repeat(np.array([r[0] for r in rows], dtype=np.int64), size),
-                                "n": np.repeat(np.array([r[1] for r in rows], dtype=np.int32), size), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in size]) if rows else np.zeros(0, dtype=np.int32)})
+                                "n": np.repeat(np.array([r[1] for r in rows], dtype=np.int32), size), "pos": pos,
+                                "late": pos >= np.repeat(np.array([r[3] for r in rows], dtype=np.int32), size)})
+
+    return _texts(docs, text).mapInPandas(run, "token long, sig long, n int, pos int, late boolean")
+
+
+def met_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of entries in the order (late, token, sig): the late ones, and of the others the lists of two sets or more with their head.
 
-    return _texts(docs, text).mapInPandas(run, "token long, sig long, n int, pos int")
+    A list streams by; of the rows before a batch only the last one is kept,
+    with the head of its list (its first set).
+    """
+    last: pd.DataFrame | None = None  # one row, not given yet unless ``given``
+    given = False
+    for b in batches:
+        yield b[b["late"]].assign(head=np.int64(0), n_head=np.int32(0))
+        b = b[~b["late"]].drop_duplicates(["token", "sig"]).assign(head=np.int64(0), n_head=np.int32(0))
+        if last is not None:
+            b = b[~((b["token"] == last["token"].iloc[0]) & (b["sig"] == last["sig"].iloc[0]))]
+        if not len(b):
+            continue
+        carried = last is not None
+        rows = pd.concat([last, b], ignore_index=True) if carried else b.reset_index(drop=True)
+        token = rows["token"].to_numpy()
+        first = np.concatenate([[True], token[1:] != token[:-1]])
+        start = np.flatnonzero(first)[np.cumsum(first) - 1]
+        head, n_head = rows["sig"].to_numpy()[start], rows["n"].to_numpy()[start]
+        if carried and given:
+            of_last = start == 0
+            head, n_head = np.where(of_last, rows["head"].iloc[0], head), np.where(of_last, rows["n_head"].iloc[0], n_head).astype(np.int32)
+        rows = rows.assign(head=head, n_head=n_head)
+        shared = np.zeros(len(rows), dtype=bool)
+        shared[1:] |= ~first[1:]
+        shared[:-1] |= ~first[1:]
+        out = shared.copy()
+        if carried and given:
+            shared[0], out[0] = True, False
+        last, given = rows.iloc[-1:], bool(shared[-1])
+        yield rows[out]
+
+
+def met_lists(entries: DataFrame) -> DataFrame:
+    """(token, sig, n, pos, head, n_head): lists of two sets or more; the head is the set of the smallest name."""
+    dealt = entries.repartition("token", F.when(F.col("late"), F.pmod("sig", F.lit(SALTS))).otherwise(0)).sortWithinPartitions("late", "token", "sig")
+    met = materialize(dealt.mapInPandas(met_entries, "token long, sig long, n int, pos int, late boolean, head long, n_head int"), "join_entries")
+    late = met.where("late").select("token", "sig", "n", "pos").dropDuplicates(["token", "sig"])
+    heads = late.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("h"), F.max("sig").alias("m")).where("h.sig < m").select("token", F.col("h.sig").alias("head"), F.col("h.n").alias("n_head"))
+    return met.where("not late").drop("late").unionByName(late.join(heads, "token"))
 
 
 def _wanted(pairs: DataFrame, bits: int) -> np.ndarray:
@@ -334,28 +439,26 @@ def list_pairs(lists: DataFrame, comps: DataFrame, heads: DataFrame, fits: Colum
     return pairs.select(F.least("a", "b").alias("x"), F.when(low, F.col("na")).otherwise(F.col("nb")).alias("nx"), F.greatest("a", "b").alias("y"), F.when(low, F.col("nb")).otherwise(F.col("na")).alias("ny")).distinct().toDF("a", "na", "b", "nb")
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, sig, n_shingles) and the components (sig, comp) of their sets.
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: Fraction = THRESHOLD, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, key, sig, n) and the components (sig, comp) of their sets.
 
     The components are those of all links with 100 * common >= 100 * threshold *
     union; pairs inside one component that need no comparison are not listed.
     """
     t = threshold
     total = docs.select(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
-    bits = _bits(total // 32)  # about one bit per prefix entry
-    named = materialize(named_sets(docs, doc_id, text, n, bits, t), "join_named")
+    tokens = total // 6
+    bits = _bits(tokens // COUNTED)  # about one bit per counted token
+    named = materialize(named_sets(docs, doc_id, text, n, bits, key), "join_named")
     marks = materialize(named.select("sig", "marks").dropDuplicates(["sig"]), "join_marks")
-    cells = named.dropDuplicates(["sig"]).select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    mean = total / 32 / bits
-    crowded = _bitmap(cells.where(F.col("n") >= max(CROWDED, 8 * mean)), "cell", bits)
-
-    entries = materialize(index_entries(docs, text, n, crowded, t), "join_entries")
-    heads = entries.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("h"), F.max("sig").alias("m")).where("h.sig < m").select("token", F.col("h.sig").alias("head"), F.col("h.n").alias("n_head"))
-    lists = materialize(entries.join(heads, "token").dropDuplicates(["token", "sig"]), "join_lists")
+    counted = named.where("cells IS NOT NULL").select("sig", "cells").dropDuplicates(["sig"])
+    cells = counted.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    crowded = _bitmap(cells.where(F.col("n") >= max(CROWDED, 8 * tokens / COUNTED / bits)), "cell", bits)
+    lists = materialize(met_lists(index_entries(docs, text, n, crowded, t)), "join_lists")
 
     fits = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
     first = lists.where("sig <> head").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("n_head").alias("nb")).where(fits).distinct()
-    first = materialize(plausible(first, marks, t, 2), "join_heads")
+    first = materialize(plausible(first, marks, t, REFERENCE_BITS), "join_heads")
     sets = materialize(whole_sets(docs, text, n, _wanted(first, bits)), "join_sets")
     by_head = materialize(verified(first, sets, differences=True), "join_by_head")
     joined = by_head.where(linked(t)).select("a", "b")
@@ -377,7 +480,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
         sets = materialize(sets.unionByName(more).dropDuplicates(["sig"]), "join_sets")
     second = materialize(verified(pairs, sets).where(linked(t)).select("a", "b"), "join_second")
     final = comps if second.isEmpty() else components(joined.unionByName(second))
-    return named.select("id", "sig", "n"), final.withColumnRenamed("node", "sig")
+    return named.select("id", "key", "sig", "n"), final.withColumnRenamed("node", "sig")
 
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -396,3 +499,16 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     by_sig = keyed.select("sig", "comp").join(least, "comp").select("sig", "component_id")
     out = some.join(by_sig, "sig").select("id", "n", "component_id").unionByName(named.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, key: Column, doc_id: str = "doc_id", text: str = "text", n: int = NEAR_NGRAM, threshold: Fraction = NEAR_THRESHOLD) -> DataFrame:
+    """(id, key, rows): the row of each component with the smallest id, then key; ``rows`` of the table have both.
+
+    ``key`` is a long that tells rows of one id apart. A null id comes after all
+    others. Texts without words are components of their own: all are listed.
+    """
+    named, comps = links(docs, doc_id, text, n, threshold, key)
+    counted = named.groupBy("id", "key", "sig", "n").agg(F.count(F.lit(1)).alias("rows")).withColumn("blank", F.col("id").isNull())
+    placed = counted.where("n > 0").join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    best = placed.groupBy("comp").agg(F.min(F.struct("blank", "id", "key", "rows")).alias("m"))
+    return best.select("m.id", "m.key", "m.rows").unionByName(counted.where("n = 0").select("id", "key", "rows"))

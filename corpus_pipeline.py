@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.llm import bpe, cotraining, mixing, ngram_join, quality_rules
-from cohortwise.session import new_path
+from cohortwise.session import materialize, new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -39,16 +39,24 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles of Jaccard 0.8 or more: the one of the smallest id.
 
-    Rows of one id and text count as one document.
+    Of rows of one id in a group one stays, and of equal rows one. Texts without
+    words, null ones too, are linked with nothing and stay.
     """
-    found = ngram_join.group(docs, n=ngram_join.NEAR_NGRAM, threshold=ngram_join.NEAR_THRESHOLD)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    rows = docs.select(*COLUMNS)
+    row_key = F.xxhash64(*COLUMNS)
+    stay = materialize(ngram_join.representatives(rows, row_key).withColumnRenamed("id", "stays"), "near_duplicates")
+
+    def kept(which: str) -> DataFrame:
+        chosen = stay.where(which).select("stays", F.col("key").alias("stays_key"))
+        return rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("stays")) & (row_key == F.col("stays_key")), "left_semi")
+
+    # Only rows that are known to repeat are shuffled with their texts to become one.
+    return kept("rows = 1").unionByName(kept("rows > 1").dropDuplicates())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their source takes them."""
-    return mixing.mixed_documents(docs).select(*COLUMNS)
+    return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
