@@ -2,9 +2,10 @@
 
 The top level of the trees is shared: a few pivots from a bounded sample split
 all vectors into cells, each with a covering radius taken over all its rows.
-Cells are cut into blocks of bounded size. A query first meets the block of its
-own cell, which gives it a kth score to beat; then it goes only to the cells
-whose covering radius allows a score that is not worse. Inside a pair of blocks
+Cells are cut into blocks of bounded size, and so are the queries of a cell. A
+query first meets one block of its own cell, which gives it a kth score to beat;
+then it goes only to the cells whose covering radius allows a score that is not
+worse. A block of data is sent only to the blocks of queries that ask for it. Inside a pair of blocks
 both sides are indexed by cover trees, and pairs of nodes are pruned against
 the worst kth score of the query node. Pivots steer the work, never the result.
 """
@@ -168,8 +169,19 @@ def top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector:
     table = F.create_map(*[x for c, b in blocks.items() for x in (F.lit(c), F.lit(b))]) if blocks else F.create_map(F.lit(-1), F.lit(1))
     data = celled.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v"), table[F.col("cell")]).alias("block"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("copy"))
     asked = celled.where(is_query)
-    q_blocks = max(1, -(-asked.count() // query_rows))
-    asked = asked.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), F.lit(q_blocks)).alias("q_block"))
+    rows = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}  # a row per pivot
+
+    def parts(count: dict[int, int], size: int):
+        """Of a cell, the number of parts of about ``size`` of its counted rows."""
+        cells = [x for c, n in count.items() for x in (F.lit(c), F.lit(max(1, -(-n // size))))]
+        return (F.create_map(*cells) if cells else F.create_map(F.lit(-1), F.lit(1)))[F.col("cell")]
+
+    def numbered(count: dict[int, int], size: int):
+        """A number for each part of each cell."""
+        return F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id", "v", F.lit(1)), parts(count, size))
+
+    asked = asked.select("vec_id", "v", "cell", numbered(rows, query_rows).alias("q_block"),
+                         numbered({c: -(-n // blocks[c]) for c, n in rows.items()}, query_rows).alias("home_block"))
 
     def search(_, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         cols = {"query_id": "int64", "qh": "int64", "vec_id": "int64", "score": "float64"}
@@ -182,16 +194,20 @@ def top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector:
         return pd.DataFrame({"query_id": best.ids[row], "qh": q["qh"].to_numpy(np.int64)[row], "vec_id": best.found[hit], "score": best.score[hit]})
 
     keys = ["cell", "block", "q_block"]
-    # The data side has names of its own: both sides of a co-group come from one table.
-    copies = data.select(F.col("vec_id").alias("d_id"), F.col("v").alias("d_v"), F.col("cell").alias("d_cell"), F.col("block").alias("d_block"),
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("d_q_block"))
-    pieces = copies.groupBy("d_cell", "d_block", "d_q_block")
+
+    def pieces(wanted: DataFrame):
+        """The blocks of data, once for each block of queries that has them among its ``keys``."""
+        # The data side has names of its own: both sides of a co-group come from one table.
+        named = wanted.select(*[F.col(c).alias(f"d_{c}") for c in keys]).distinct()
+        rows = data.select(F.col("vec_id").alias("d_id"), F.col("v").alias("d_v"), F.col("cell").alias("d_cell"), F.col("block").alias("d_block"))
+        return rows.join(named, ["d_cell", "d_block"]).groupBy("d_cell", "d_block", "d_q_block")
+
     found = "query_id long, qh long, vec_id long, score double"
     # First the block of the own cell, for a score to beat.
-    home = asked.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), table[F.col("cell")]).alias("block"), "q_block", F.xxhash64("v").alias("qh"), F.lit(float("-inf")).alias("floor"))
-    near = home.groupBy(*keys).cogroup(pieces).applyInPandas(search, found)
+    home = asked.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), table[F.col("cell")]).alias("block"), F.col("home_block").alias("q_block"), F.xxhash64("v").alias("qh"), F.lit(float("-inf")).alias("floor"))
+    near = home.groupBy(*keys).cogroup(pieces(home)).applyInPandas(search, found)
     floors = near.groupBy("query_id", "qh").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    own = asked.withColumn("qh", F.xxhash64("v"))
+    own = asked.drop("home_block").withColumn("qh", F.xxhash64("v"))
     asked = materialize(own.join(floors.withColumnRenamed("query_id", "vec_id"), ["vec_id", "qh"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), "queries")
     cells = sorted(stat)
     radius = np.array([stat[c][1] for c in cells])
@@ -206,8 +222,8 @@ def top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", vector:
     if not cells:
         return near.select("query_id", F.lit(0).alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
     sent = asked.mapInPandas(spread, "vec_id long, v array<double>, q_block long, qh long, floor double, cell long")
-    sent = sent.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), table[F.col("cell")].cast("long") - 1)))
-    answers = sent.groupBy(*keys).cogroup(pieces).applyInPandas(search, found)
+    sent = materialize(sent, "sent").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), table[F.col("cell")].cast("long") - 1)))
+    answers = sent.groupBy(*keys).cogroup(pieces(sent)).applyInPandas(search, found)
     # A data row is in one block, so no pair of rows comes twice.
     w = Window.partitionBy("query_id", "qh").orderBy(F.col("score").desc(), "vec_id")
     score = F.col("score") if scale is None else F.col("score").cast("long")
