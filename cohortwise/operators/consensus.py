@@ -9,26 +9,62 @@ cluster's label counts. The work is linear in the number of entities.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.numeric import ratio
+from cohortwise.session import materialize
+
+
+# Labels (of all starts) whose joint counts a task holds at a time.
+STRIP = 1024
 
 
 def label_vectors(labels: DataFrame, entity: str = "entity", start: str = "start", label: str = "label") -> DataFrame:
-    """One row per entity with its labels in start order (one per start)."""
-    return labels.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(start, label))).alias("labels"))
+    """(labels, times): the distinct label vectors, in start order, and how many entities have each."""
+    each = labels.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(start, label))).alias("labels"))
+    return each.groupBy("labels").agg(F.count(F.lit(1)).alias("times"))
+
+
+def joint_counts(vec: DataFrame) -> DataFrame:
+    """(a, b, c): how many entities have the labels coded a and b.
+
+    A task multiplies one-hot blocks of distinct vectors, so a vector is one row
+    for every ``STRIP`` labels, however many pairs of starts there are.
+    """
+    codes = vec.select(F.explode("labels").alias("l")).distinct().select("l", (F.row_number().over(Window.orderBy("l")) - 1).cast("int").alias("code"))
+    codes = materialize(codes, "codes")
+    width = codes.count()
+    coded = vec.withColumn("v", F.monotonically_increasing_id()).select("v", "times", F.explode("labels").alias("l")).join(codes, "l")
+    coded = coded.groupBy("v", "times").agg(F.collect_list("code").alias("codes"))
+    strips = F.array_distinct(F.transform("codes", lambda c: F.floor(c / STRIP).cast("int")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for strip, part in pdf.groupby("strip"):
+                hot = np.zeros((len(part), width))
+                hot[np.repeat(np.arange(len(part)), [len(c) for c in part["codes"]]), np.concatenate(list(part["codes"]))] = 1.0
+                own = hot[:, strip * STRIP:(strip + 1) * STRIP] * part["times"].to_numpy(dtype=float)[:, None]
+                held[strip] = held.get(strip, 0.0) + own.T @ hot
+        for strip, g in held.items():
+            a, b = np.nonzero(g)
+            yield pd.DataFrame({"a": (a + strip * STRIP).astype(np.int32), "b": b.astype(np.int32), "c": g[a, b]})
+
+    parts = coded.select("times", "codes", F.explode(strips).alias("strip")).mapInPandas(run, "a int, b int, c double")
+    return parts.groupBy("a", "b").agg(F.sum("c").alias("c"))
 
 
 def dispersion(labels: DataFrame, entity: str = "entity", start: str = "start", label: str = "label") -> DataFrame:
     """Dispersion coefficient: mean over pairs of 4 (c - 1/2)^2; NULL when all agree."""
-    vec = label_vectors(labels, entity, start, label)
-    left = vec.select("labels", F.explode("labels").alias("a"))
-    cells = (left.select("a", F.explode("labels").alias("b"))
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
-    size = vec.agg(F.struct(F.count(F.lit(1)).alias("n"), F.max(F.size("labels")).alias("s")).alias("v")).scalar()
-    sq = F.col("c").cast("double") * F.col("c")
-    j = cells.agg(F.sum(sq).alias("sq"), F.sum(F.when(F.col("a") == F.col("b"), sq).otherwise(F.lit(0.0))).alias("lin")).withColumn("v", size)
+    vec = materialize(label_vectors(labels, entity, start, label), "label_vectors")
+    size = vec.agg(F.struct(F.sum("times").alias("n"), F.max(F.size("labels")).alias("s")).alias("v")).scalar()
+    sq = F.col("c") * F.col("c")
+    j = joint_counts(vec).agg(F.sum(sq).alias("sq"), F.sum(F.when(F.col("a") == F.col("b"), sq).otherwise(F.lit(0.0))).alias("lin")).withColumn("v", size)
     j = j.select("sq", "lin", "v.n", "v.s")
     # Ordered distinct pairs: remove the n diagonal entries, each with c = 1.
     pairs = F.col("n").cast("double") * (F.col("n") - 1)

@@ -199,14 +199,13 @@ def balanced_oof(df: DataFrame, folds: int, repeats: int, seed: int, max_compone
 
     def start(key, part: pd.DataFrame) -> pd.DataFrame:
         cells = {k: mo.unpack(v) for k, v in part.groupby("fold")}
-        total, out = sum(cells.values()), []
-        for fold, held in sorted(cells.items()):
-            m = mo.Moments(total - held, p)
+        out = []
+        for fold, m in sorted(mo.others(cells).items()):
             axes, _ = mo.principal_axes(m, max(1, min(max_components, p, int(m.n) - 1)))
-            pos = float(m.sy[0])
+            pos = float(m.n * m.my[0])
             out.append({"cohort": key[0], "repeat": key[1], "fold": fold, "centre": m.mx, "t": (axes / m.sdx[:, None]).ravel(), "k": int(axes.shape[1]),
                         "w1": float(m.n / (2 * max(pos, 1e-300))), "w0": float(m.n / (2 * max(m.n - pos, 1e-300))), "beta": np.zeros(axes.shape[1] + 1)})
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, columns=["cohort", "repeat", "fold", "centre", "t", "k", "w1", "w0", "beta"])
 
     fields = "cohort string, repeat int, fold int, centre array<double>, t array<double>, k int, w1 double, w0 double, beta array<double>"
     models = bounded_rows(g.groupBy("cohort", "repeat").applyInPandas(start, fields), MAX_MODELS, "fold models")

@@ -26,6 +26,8 @@ BOOT_ALPHAS = [0.05, 0.1, 0.5, 1.0, 5.0]
 MAX_COMPONENTS, TRANSFER_COMPONENTS = 256, 64
 TARGET_VARIANCE, TARGET_COMPONENTS = 0.80, 30
 PREFILTER, BOOT_PREFILTER = 120, 80
+# Elastic net: largest duality gap of a converged fit, as a share of the target's variance; sweeps between two looks at it, and at most.
+GAP, GAP_EVERY, MAX_SWEEPS = 1e-10, 5, 20_000
 # Rows a prediction task works on at a time.
 ROWS_PER_TASK = 50_000
 
@@ -67,33 +69,17 @@ def apply_models(df: DataFrame, models: DataFrame, keys: Sequence[str], keep: Se
     return rows.groupBy(*keys, "__s").cogroup(spread.groupBy(*keys, "__s")).applyInPandas(run, f"{fields}, {out} array<double>")
 
 
-def _target_axes(train: mo.Moments, full: np.ndarray, variance: float, limit: int) -> np.ndarray:
-    """Leading axes of the standardised targets, from the full moment matrix."""
-    p, q = train.p, len(train.my)
-    yy = full[1 + p:1 + p + q, 1 + p:] - np.outer(train.sy, train.my)
-    c = yy / np.outer(train.sdy, train.sdy) / train.n
+def _target_axes(train: mo.Moments, variance: float, limit: int) -> np.ndarray:
+    """Leading axes of the standardised targets, from their co-moments."""
+    c = train.yy / np.outer(train.sdy, train.sdy) / train.n
     val, vec = np.linalg.eigh((c + c.T) / 2)
     val, vec = np.maximum(val[::-1], 0.0), vec[:, ::-1]
-    limit = max(1, min(limit, q, int(train.n) - 1))
+    limit = max(1, min(limit, len(train.my), int(train.n) - 1))
     k = int(min(limit, np.searchsorted(np.cumsum(val / max(val.sum(), 1e-300)), variance) + 1))
     return vec[:, :k]
 
 
-def _rotate_targets(g: np.ndarray, p: int, mean: np.ndarray, sd: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    """Moments with y replaced by its principal scores (needs the full matrix)."""
-    t = axes / sd[:, None]
-    n, q = g[0, 0], len(mean)
-    top = g[:1 + p, :1 + p]
-    xy = (g[:1 + p, 1 + p:1 + p + q] - np.outer(top[:, 0], mean)) @ t
-    sy, yy = g[0, 1 + p:1 + p + q], g[1 + p:1 + p + q, 1 + p:1 + p + q]
-    yc = yy - np.outer(sy, mean) - np.outer(mean, sy) + n * np.outer(mean, mean)
-    sq = np.einsum("ij,ij->j", t, yc @ t)
-    out = np.zeros((p + 2, 1 + p + t.shape[1]))
-    out[:1 + p, :1 + p], out[:1 + p, 1 + p:], out[-1, 1 + p:] = top, xy, sq
-    return out
-
-
-def fit_ridge(train: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray]], p: int, alphas: Sequence[float], blocks: int,
+def fit_ridge(m: mo.Moments, inner: list[tuple[mo.Moments, mo.Moments]], alphas: Sequence[float], blocks: int,
               max_components: int = MAX_COMPONENTS, target_pca: bool = False, variance: float = TARGET_VARIANCE,
               limit: int = TARGET_COMPONENTS) -> dict:
     """Standardise, rotate, choose alpha by inner held-out error, refit.
@@ -101,18 +87,16 @@ def fit_ridge(train: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray]], p:
     Everything is read off the moments. ``blocks`` splits the targets into equal
     groups with an alpha each (true and permuted targets share the inputs).
     """
-    m = mo.Moments(train, p)
-    axes, _ = mo.principal_axes(m, max(1, min(max_components, p, int(m.n) - 1)))
+    axes, _ = mo.principal_axes(m, max(1, min(max_components, m.p, int(m.n) - 1)))
     t = axes / m.sdx[:, None]
-    y_axes = _target_axes(m, train, variance, limit) if target_pca else None
+    y_axes = _target_axes(m, variance, limit) if target_pca else None
 
-    def view(g: np.ndarray) -> mo.Moments:
+    def view(g: mo.Moments) -> mo.Moments:
         if y_axes is not None:
-            raw = mo.Moments(_rotate_targets(g, p, m.my, m.sdy, y_axes), p)
-            return mo.projected(raw, m.mx, t, np.zeros(y_axes.shape[1]), np.ones(y_axes.shape[1]))
-        return mo.projected(mo.Moments(g, p), m.mx, t, m.my, 1.0 / m.sdy)
+            return mo.projected(mo.with_target_axes(g, m.my, m.sdy, y_axes), m.mx, t, np.zeros(y_axes.shape[1]), np.ones(y_axes.shape[1]))
+        return mo.projected(g, m.mx, t, m.my, 1.0 / m.sdy)
 
-    whole = view(train)
+    whole = view(m)
     q = len(whole.my)
     size = q // blocks
     err = np.zeros((len(alphas), blocks))
@@ -134,9 +118,7 @@ def fit_ridge(train: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray]], p:
         beta, icpt = beta @ y_axes.T, y_axes @ icpt
     beta = beta * m.sdy
     b0 = m.my + icpt * m.sdy - m.mx @ beta
-    sse = np.maximum(mo.squared_error(m, beta, b0), 0.0)
-    sr = m.sy - m.n * b0 - m.sx @ beta
-    sd = np.sqrt(np.maximum(sse - sr * sr / m.n, 0.0) / max(m.n - 1, 1))
+    sd = np.sqrt(mo.centred_error(m, beta) / max(m.n - 1, 1))
     return {"intercept": b0, "coef": beta.ravel(), "train_sd": sd, "alpha": [float(alphas[i]) for i in chosen],
             "components": int(t.shape[1]), "n_train": float(m.n)}
 
@@ -151,7 +133,7 @@ def inner_assignments(df: DataFrame, folds: int, repeats: int, seed: int) -> Dat
     return pos.select("cohort", "entity", "repeat", "fold", ((F.col("position") - 1) % k).cast("int").alias("inner"))
 
 
-def crossfit_models(rows: DataFrame, p: int, alphas: Sequence[float] = ALPHAS, blocks: int = 1, max_components: int = MAX_COMPONENTS,
+def crossfit_models(rows: DataFrame, alphas: Sequence[float] = ALPHAS, blocks: int = 1, max_components: int = MAX_COMPONENTS,
                     target_pca: bool = False) -> DataFrame:
     """One model per (cohort, repeat, fold), trained on the other folds only."""
     g = mo.grouped_moments(rows, ["cohort", "repeat", "fold", "inner"], full=target_pca)
@@ -163,14 +145,9 @@ def crossfit_models(rows: DataFrame, p: int, alphas: Sequence[float] = ALPHAS, b
             mine = {k: v for k, v in cells.items() if k[0] != fold}
             if not mine:
                 continue
-            train = sum(mine.values())
-            inner = []
-            for i in sorted({k[1] for k in mine}):
-                held = sum(v for k, v in mine.items() if k[1] == i)
-                rest = [v for k, v in mine.items() if k[1] != i]
-                if rest:
-                    inner.append((sum(rest), held))
-            out.append({"cohort": key[0], "repeat": key[1], "fold": fold, **fit_ridge(train, inner, p, alphas, blocks, max_components, target_pca)})
+            held = {i: mo.merged([v for k, v in mine.items() if k[1] == i]) for i in sorted({k[1] for k in mine})}
+            inner = [(rest, held[i]) for i, rest in mo.others(held).items()]
+            out.append({"cohort": key[0], "repeat": key[1], "fold": fold, **fit_ridge(mo.merged(list(mine.values())), inner, alphas, blocks, max_components, target_pca)})
         return pd.DataFrame(out)
 
     return g.groupBy("cohort", "repeat").applyInPandas(solve, f"cohort string, repeat int, fold int, {MODEL_FIELDS}")
@@ -185,7 +162,7 @@ def crossfit(df: DataFrame, folds: int = 5, repeats: int = 5, seed: int = 202606
     base = materialize(df.select("cohort", "entity", "x", "y"), "base")
     assign = materialize(inner_assignments(base, folds, repeats, seed), "folds")
     rows = base.join(assign, ["cohort", "entity"])
-    models = materialize(crossfit_models(rows, width(base, "x"), blocks=blocks, target_pca=target_pca), "models")
+    models = materialize(crossfit_models(rows, blocks=blocks, target_pca=target_pca), "models")
     pred = apply_models(rows, models, ["cohort", "repeat", "fold"], ["entity"])
     return pred, models, assign
 
@@ -258,7 +235,7 @@ def loo_ridge_models(rows: DataFrame, p: int, q: int, alphas: Sequence[float], k
         cols = [*keys, "a", "sse"]
         if left.empty or right.empty:
             return _typed_empty(left if len(left) else right, keys, a="int32", sse="float64")
-        m = mo.Moments(mo.unpack(right), p)
+        m = mo.unpack(right)
         t, lam, zy = basis(m)
         z = (matrix(left["x"]) - m.mx) @ t
         y = matrix(left["y"]) - m.my
@@ -278,7 +255,7 @@ def loo_ridge_models(rows: DataFrame, p: int, q: int, alphas: Sequence[float], k
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return _typed_empty(left if len(left) else right, keys, intercept=object, coef=object, alpha="float64")
-        m = mo.Moments(mo.unpack(left), p)
+        m = mo.unpack(left)
         t, lam, zy = basis(m)
         alpha = float(alphas[int(right["a"].iloc[0])])
         beta = t @ (zy / (lam + alpha)[:, None])
@@ -298,25 +275,27 @@ def fold_medians(long: DataFrame, assign: DataFrame, folds: int) -> DataFrame:
 def bag_ridge(df: DataFrame, alphas: Sequence[float], folds: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Ridge on bag vectors, alpha by group-fold error over all held-out rows, then refit.
 
+    With a single fold there is no held-out row: errors are missing, the first alpha is taken.
     ``df`` holds ``(entity, x, y)``; returns the final model row and alpha scores.
     """
     rows = group_kfold(df, ["entity"], folds, seed).withColumn("k", F.lit(0))
-    p = width(df, "x")
     g = mo.grouped_moments(rows, ["k", "fold"])
 
     def solve(key, part: pd.DataFrame) -> pd.DataFrame:
         cells = {k: mo.unpack(v) for k, v in part.groupby("fold")}
-        total = sum(cells.values())
         err = np.zeros(len(alphas))
-        for held in cells.values():
-            m, h = mo.Moments(total - held, p), mo.Moments(held, p)
+
+        def fit(m: mo.Moments, a: float) -> np.ndarray:
+            return np.linalg.solve(m.cxx / np.outer(m.sdx, m.sdx) + a * np.eye(m.p), m.cxy / m.sdx[:, None]) / m.sdx[:, None]
+
+        for fold, m in mo.others(cells).items():
             for i, a in enumerate(alphas):
-                b = np.linalg.solve(m.cxx / np.outer(m.sdx, m.sdx) + a * np.eye(p), m.cxy / m.sdx[:, None]) / m.sdx[:, None]
-                err[i] += mo.squared_error(h, b, m.my - m.mx @ b).sum()
-        m = mo.Moments(total, p)
+                b = fit(m, a)
+                err[i] += mo.squared_error(cells[fold], b, m.my - m.mx @ b).sum()
+        m = mo.merged(list(cells.values()))
         best = float(alphas[int(err.argmin())])
-        b = np.linalg.solve(m.cxx / np.outer(m.sdx, m.sdx) + best * np.eye(p), m.cxy / m.sdx[:, None]) / m.sdx[:, None]
-        rows_out = [{"k": 0, "alpha": float(a), "mse": float(e / m.n), "chosen": bool(a == best), "intercept": m.my - m.mx @ b, "coef": b.ravel(), "centre": m.mx}
+        b = fit(m, best)
+        rows_out = [{"k": 0, "alpha": float(a), "mse": float(e / m.n) if len(cells) > 1 else np.nan, "chosen": bool(a == best), "intercept": m.my - m.mx @ b, "coef": b.ravel(), "centre": m.mx}
                     for a, e in zip(alphas, err)]
         return pd.DataFrame(rows_out)
 
@@ -324,72 +303,109 @@ def bag_ridge(df: DataFrame, alphas: Sequence[float], folds: int, seed: int) ->
     return out.where("chosen").select("k", "intercept", "coef", "centre"), out.select("alpha", "mse", "chosen")
 
 
-def elastic_net(g: mo.Moments, alpha: float, l1: float, columns: np.ndarray, iterations: int = 2000, tol: float = 1e-6) -> np.ndarray:
-    """Coordinate descent on the standardised Gram of the chosen columns (one target)."""
-    c = g.cxx[np.ix_(columns, columns)] / np.outer(g.sdx[columns], g.sdx[columns]) / g.n
-    r = g.cxy[columns, 0] / g.sdx[columns] / g.n
-    b = np.zeros(len(columns))
-    grad = r.copy()
-    for _ in range(iterations):
-        worst = 0.0
-        for j in range(len(b)):
-            old = b[j]
-            rho = grad[j] + c[j, j] * old
-            new = np.sign(rho) * max(abs(rho) - alpha * l1, 0.0) / (c[j, j] + alpha * (1.0 - l1)) if c[j, j] > 0 else 0.0
-            if new != old:
-                grad -= c[:, j] * (new - old)
-                b[j] = new
-                worst = max(worst, abs(new - old))
-        if worst < tol:
+def elastic_net(m: mo.Moments, alpha: float, l1: float, use: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (p x q) on standardised inputs and the duality gap of each target, as a share of its variance.
+
+    Coordinate descent for all targets at once; ``use`` (p x q) marks the inputs
+    a target may have. It ends when the gap, which bounds the distance to the
+    least loss whatever path was taken, is at most ``GAP``, or after ``MAX_SWEEPS``;
+    the gap tells which. A target without variance has coefficients and gap 0.
+    """
+    c = m.cxx / np.outer(m.sdx, m.sdx) / m.n
+    r = np.where(use, m.cxy / m.sdx[:, None] / m.n, 0.0)
+    var = m.cyy / m.n
+    flat = np.sqrt(var) <= 1e-12 * (1.0 + np.abs(m.my))
+    lam, l2 = alpha * l1, alpha * (1.0 - l1)
+    b = np.zeros_like(r) if start is None else start.copy()
+    b[:, flat] = 0.0
+    free = [(j, use[j] & ~flat) for j in range(len(b)) if m.sdx[j] == m.sd[j] and (use[j] & ~flat).any()]
+    safe = np.where(var > 0, var, 1.0)
+    gap = np.zeros(len(var))
+    for sweep in range(MAX_SWEEPS + 1):
+        grad = m.cxy / m.sdx[:, None] / m.n - c @ b
+        if sweep % GAP_EVERY == 0 or sweep == MAX_SWEEPS:
+            # The residual, shrunk until it is feasible, is a point of the dual problem.
+            slope = np.abs(np.where(use, grad - l2 * b, 0.0)).max(axis=0, initial=0.0)
+            shrink = np.where(slope > lam, lam / np.where(slope > 0, slope, 1.0), 1.0)
+            fit = (m.cxy / m.sdx[:, None] / m.n * b).sum(axis=0)
+            rest = np.maximum(var - 2 * fit + (b * (c @ b)).sum(axis=0), 0.0)
+            gap = 0.5 * (1 + shrink**2) * rest + lam * np.abs(b).sum(axis=0) - shrink * (var - fit) + 0.5 * l2 * (1 + shrink**2) * (b * b).sum(axis=0)
+            gap = np.where(flat, 0.0, np.maximum(gap, 0.0) / safe)
+            if gap.max(initial=0.0) <= GAP:
+                break
+        if sweep == MAX_SWEEPS:
             break
-    return b / g.sdx[columns]
-
-
-def select_net(train: np.ndarray, inner: list[tuple[np.ndarray, np.ndarray]], p: int, alphas: Sequence[float], l1s: Sequence[float], prefilter: int) -> dict:
-    """Correlation prefilter, inner-fold choice of penalty and mix, refit."""
-    m = mo.Moments(train, p)
-    corr = np.abs(m.cxy[:, 0]) / (m.sdx * m.n * m.sdy[0])
-    corr = np.where(m.sd > 0, corr, 0.0)
-    cols = np.sort(np.argsort(-corr, kind="stable")[:prefilter])
-    best = (np.inf, alphas[0], l1s[0])
-    for l1 in l1s:
-        for a in alphas:
-            err = 0.0
-            for tr, te in inner:
-                t, h = mo.Moments(tr, p), mo.Moments(te, p)
-                b = np.zeros((p, 1))
-                b[cols, 0] = elastic_net(t, a, l1, cols)
-                err += float(mo.squared_error(h, b, t.my - t.mx @ b)[0] / h.n)
-            if err < best[0] - 1e-15:
-                best = (err, a, l1)
-    b = np.zeros((p, 1))
-    b[cols, 0] = elastic_net(m, best[1], best[2], cols)
-    return {"intercept": m.my - m.mx @ b, "coef": b.ravel(), "alpha": float(best[1]), "l1_ratio": float(best[2]), "prefiltered": int(len(cols)),
-            "selected": int((np.abs(b) > 1e-10).sum()), "n_train": float(m.n)}
-
-
-NET_FIELDS = "intercept array<double>, coef array<double>, alpha double, l1_ratio double, prefiltered int, selected int, n_train double"
-
-
-def net_models(rows: DataFrame, p: int, group: Sequence[str], alphas: Sequence[float] = NET_ALPHAS, l1s: Sequence[float] = NET_L1,
-               prefilter: int = PREFILTER) -> DataFrame:
-    """Elastic net per (group, fold) on the other folds; inner folds are those folds."""
+        for j, mine in free:
+            rho = grad[j] + c[j, j] * b[j]
+            new = np.where(mine, np.sign(rho) * np.maximum(np.abs(rho) - lam, 0.0) / (c[j, j] + l2), 0.0)
+            move = new - b[j]
+            if move.any():
+                grad -= np.outer(c[:, j], move)
+                b[j] = new
+    return b, gap
+
+
+def _net_path(m: mo.Moments, alphas: Sequence[float], l1: float, use: np.ndarray) -> dict[float, np.ndarray]:
+    """Coefficients of every penalty, each started from the next larger one."""
+    out, b = {}, None
+    for a in sorted(alphas, reverse=True):
+        b, _ = elastic_net(m, a, l1, use, b)
+        out[a] = b
+    return out
+
+
+def select_net(m: mo.Moments, inner: list[tuple[mo.Moments, mo.Moments]], alphas: Sequence[float], l1s: Sequence[float], prefilter: int) -> dict:
+    """Correlation prefilter, inner-fold choice of penalty and mix, refit; for each target by itself."""
+    q = len(m.my)
+    corr = np.where((m.sd > 0)[:, None], np.abs(m.cxy) / (m.sdx[:, None] * m.n * m.sdy), 0.0)
+    use = np.zeros(corr.shape, dtype=bool)
+    np.put_along_axis(use, np.argsort(-corr, axis=0, kind="stable")[:prefilter], True, axis=0)
+    grid = [(l1, a) for l1 in l1s for a in alphas]
+    err = np.zeros((len(grid), q))
+    for t, h in inner:
+        for k, l1 in enumerate(l1s):
+            path = _net_path(t, alphas, l1, use)
+            for i, a in enumerate(alphas):
+                b = path[a] / t.sdx[:, None]
+                err[k * len(alphas) + i] += mo.squared_error(h, b, t.my - t.mx @ b) / h.n
+    best = np.zeros(q, dtype=int)
+    for i in range(1, len(grid)):
+        best = np.where(err[i] < err[best, np.arange(q)] - 1e-15, i, best)
+    b, gap = np.zeros(corr.shape), np.zeros(q)
+    for i in np.unique(best):
+        coef, g = elastic_net(m, grid[i][1], grid[i][0], use & (best == i))
+        b[:, best == i], gap[best == i] = coef[:, best == i], g[best == i]
+    b = b / m.sdx[:, None]
+    return {"intercept": m.my - m.mx @ b, "coef": b.ravel(), "alpha": [float(grid[i][1]) for i in best], "l1_ratio": [float(grid[i][0]) for i in best], "gap": gap,
+            "prefiltered": int(use[:, 0].sum()), "selected": (np.abs(b) > 1e-10).sum(axis=0).astype(int), "n_train": float(m.n)}
+
+
+NET_FIELDS = "intercept array<double>, coef array<double>, alpha array<double>, l1_ratio array<double>, gap array<double>, prefiltered int, selected array<int>, n_train double"
+
+
+def net_models(rows: DataFrame, group: Sequence[str], alphas: Sequence[float] = NET_ALPHAS, l1s: Sequence[float] = NET_L1, prefilter: int = PREFILTER) -> DataFrame:
+    """Elastic nets of all targets per (group, fold) on the other folds; inner folds are those folds."""
     g = mo.grouped_moments(rows, [*group, "fold"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*group).schema.fields)
 
     def solve(key, part: pd.DataFrame) -> pd.DataFrame:
         cells = {k: mo.unpack(v) for k, v in part.groupby("fold")}
         out = []
-        for fold in sorted(cells):
+        for fold, train in mo.others(cells).items():
             mine = {k: v for k, v in cells.items() if k != fold}
-            train = sum(mine.values())
-            inner = [(train - v, v) for v in mine.values()] if len(mine) > 1 else []
-            out.append({**dict(zip(group, key)), "fold": fold, **select_net(train, inner, p, alphas, l1s, prefilter)})
-        return pd.DataFrame(out)
+            inner = [(rest, mine[k]) for k, rest in mo.others(mine).items()]
+            out.append({**dict(zip(group, key)), "fold": fold, **select_net(train, inner, alphas, l1s, prefilter)})
+        return pd.DataFrame(out, columns=[*group, "fold", *[f.split()[0] for f in NET_FIELDS.split(", ")]])
 
     return g.groupBy(*group).applyInPandas(solve, f"{fields}, fold int, {NET_FIELDS}")
 
 
+def net_status(models: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, fold, position, alpha, l1_ratio, selected, gap, status): WARN where the gap is above ``GAP``."""
+    each = models.select(*group, "fold", F.posexplode(F.arrays_zip("alpha", "l1_ratio", "selected", "gap")).alias("position", "t"))
+    return each.select(*group, "fold", "position", "t.*", F.when(F.col("t.gap") <= GAP, "PASS").otherwise("WARN").alias("status"))
+
+
 def bootstrap_weights(df: DataFrame, group: Sequence[str], entity: str, draws: int, seed: int) -> DataFrame:
     """Multiplicity of every entity in each with-replacement resample of its group.
 
@@ -406,38 +422,38 @@ def bootstrap_weights(df: DataFrame, group: Sequence[str], entity: str, draws: i
     return w.join(pos.select(*group, entity, "position"), [*group, "position"]).select(*group, "draw", entity, "w")
 
 
-def net_bootstrap(df: DataFrame, weights: DataFrame, p: int, inner: int = 3, alphas: Sequence[float] = BOOT_ALPHAS, l1s: Sequence[float] = NET_L1,
+def net_bootstrap(df: DataFrame, weights: DataFrame, inner: int = 3, alphas: Sequence[float] = BOOT_ALPHAS, l1s: Sequence[float] = NET_L1,
                   prefilter: int = BOOT_PREFILTER, seed: int = 7) -> DataFrame:
-    """Elastic-net coefficients of every resample as long ``(cohort, draw, position, coef)``."""
+    """Elastic-net coefficients of every resample as long ``(cohort, draw, target, position, coef)``."""
     fold = F.pmod(F.xxhash64(F.lit(seed), "entity"), F.lit(inner)).cast("int")
     rows = df.join(weights, ["cohort", "entity"]).withColumn("fold", fold)
     g = mo.grouped_moments(rows, ["cohort", "draw", "fold"], weight="w")
 
     def solve(key, part: pd.DataFrame) -> pd.DataFrame:
-        cells = [mo.unpack(v) for _, v in part.groupby("fold")]
-        train = sum(cells)
-        fit = select_net(train, [(train - c, c) for c in cells] if len(cells) > 1 else [], p, alphas, l1s, prefilter)
-        idx = np.flatnonzero(np.abs(fit["coef"]) > 1e-10)
-        return pd.DataFrame({"cohort": key[0], "draw": key[1], "position": idx, "coef": fit["coef"][idx]})
+        cells = {k: mo.unpack(v) for k, v in part.groupby("fold")}
+        inner_sets = [(rest, cells[k]) for k, rest in mo.others(cells).items()]
+        fit = select_net(mo.merged(list(cells.values())), inner_sets, alphas, l1s, prefilter)
+        coef = fit["coef"].reshape(-1, len(fit["intercept"]))
+        idx, target = np.nonzero(np.abs(coef) > 1e-10)
+        return pd.DataFrame({"cohort": key[0], "draw": key[1], "target": target, "position": idx, "coef": coef[idx, target]})
 
-    return g.groupBy("cohort", "draw").applyInPandas(solve, "cohort string, draw int, position int, coef double")
+    return g.groupBy("cohort", "draw").applyInPandas(solve, "cohort string, draw int, target int, position int, coef double")
 
 
 def selection_frequency(coefs: DataFrame, draws: int) -> DataFrame:
-    return (coefs.groupBy("cohort", "position").agg(F.count_distinct("draw").alias("selected_draws"), F.avg("coef").alias("mean_coef"), F.avg(F.abs("coef")).alias("mean_abs_coef"))
+    return (coefs.groupBy("cohort", "target", "position").agg(F.count_distinct("draw").alias("selected_draws"), F.avg("coef").alias("mean_coef"), F.avg(F.abs("coef")).alias("mean_abs_coef"))
             .withColumn("selection_frequency", F.col("selected_draws") / F.lit(float(draws))))
 
 
 def pca(df: DataFrame, group: Sequence[str], components: int) -> DataFrame:
     """Standardised principal axes per group: ``(component, ratio, mean, loadings)``."""
-    p = width(df, "x")
     g = mo.grouped_moments(df.withColumn("y", F.array(F.lit(0.0))), group)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*group).schema.fields)
 
     def solve(key, part: pd.DataFrame) -> pd.DataFrame:
-        m = mo.Moments(mo.unpack(part), p)
-        axes, var = mo.principal_axes(m, max(1, min(components, p, int(m.n) - 1)))
-        total = float((m.sd > 0).sum())
+        m = mo.unpack(part)
+        axes, var = mo.principal_axes(m, max(1, min(components, m.p, int(m.n) - 1)))
+        total = max(float((m.sd > 0).sum()), 1.0)
         return pd.DataFrame([{**dict(zip(group, key)), "component": i, "explained_ratio": float(var[i] / total), "centre": m.mx, "axis": axes[:, i] / m.sdx}
                              for i in range(axes.shape[1])])
 

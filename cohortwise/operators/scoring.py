@@ -31,10 +31,10 @@ def standardised(df: DataFrame) -> DataFrame:
     return zscore_population(merged, ["cohort", "feature"], "value").select(*KEYS, "feature", "z")
 
 
-def _usable(z: DataFrame, sets: DataFrame, min_overlap: int) -> DataFrame:
+def _usable(z: DataFrame, sets: DataFrame, min_overlap: int, order: str = "weight") -> DataFrame:
     present = z.select("feature").distinct()
     rows = sets.withColumn("feature", F.upper("feature")).join(present, "feature", "left_semi")
-    rows = best_row(rows, ["set_name", "feature"], [F.col("weight")]) if "weight" in rows.columns else rows.select("set_name", "feature").distinct()
+    rows = best_row(rows, ["set_name", "feature"], [F.col(order), F.col("weight")]).select("set_name", "feature", "weight") if "weight" in rows.columns else rows.select("set_name", "feature").distinct()
     big = rows.groupBy("set_name").agg(F.count(F.lit(1)).alias("features_used")).where(F.col("features_used") >= min_overlap)
     return rows.join(big, "set_name")
 
@@ -46,9 +46,13 @@ def set_scores(z: DataFrame, sets: DataFrame, min_overlap: int = MIN_OVERLAP, pr
             .agg(F.avg("z").alias("value")))
 
 
-def weighted_scores(z: DataFrame, net: DataFrame, min_overlap: int = MIN_OVERLAP, prefix: str = "") -> DataFrame:
-    """sum(z w) / sum|w| over the targets present; zero-weight sets are skipped."""
-    use = _usable(z, net.select("set_name", "feature", "weight"), min_overlap)
+def weighted_scores(z: DataFrame, net: DataFrame, min_overlap: int = MIN_OVERLAP, prefix: str = "", order: str = "weight") -> DataFrame:
+    """sum(z w) / sum|w| over the targets present; zero-weight sets are skipped.
+
+    Of a target that a set repeats, the row that is first by ``order`` counts;
+    a table of edges that came from a file has its line number there.
+    """
+    use = _usable(z, net.select(*dict.fromkeys(["set_name", "feature", "weight", order])), min_overlap, order)
     total = use.groupBy("set_name").agg(F.sum(F.abs("weight")).alias("norm")).where("norm > 0")
     return (z.join(use.join(total, "set_name"), "feature")
             .groupBy(*KEYS, F.concat(F.lit(prefix), "set_name").alias("score"), "features_used")
@@ -180,7 +184,7 @@ def direction_table(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
     Significant factors win; the sign of the mean r decides when there is none.
     """
     pos, neg, sig = F.col("r") > 0, F.col("r") < 0, F.col("p") < alpha
-    g = tests.groupBy("factor").agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n_cohorts"), F.min("p").alias("min_p"),
+    g = tests.groupBy("factor").agg(F.avg("r").alias("mean_r"), F.count("r").alias("n_cohorts"), F.min("p").alias("min_p"),
                                     F.coalesce(F.bool_or(pos & sig), F.lit(False)).alias("strict_adverse"),
                                     F.coalesce(F.bool_or(neg & sig), F.lit(False)).alias("strict_protective"))
     any_ = g.agg(F.struct(F.bool_or("strict_adverse").alias("adverse"), F.bool_or("strict_protective").alias("protective")).alias("a")).scalar()

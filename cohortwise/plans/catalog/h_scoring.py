@@ -232,6 +232,17 @@ def h14(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("factor", rounded(F.col("mean_r")).alias("mean_r"), "n_cohorts", (F.col("mean_r") > 0).alias("positive"))
 
 
+# The strict branch: here 1 - |r| stands for p, so that the significant factors can be named in SQL.
+@query("h14_strict_directions", """WITH t AS (SELECT v2.cohort, feature AS factor, corr(value, y) AS r FROM v2 JOIN v6 ON v6.entity = v2.entity GROUP BY 1, 2),
+g AS (SELECT factor, avg(r) AS mean_r, count(r) AS n_cohorts, coalesce(bool_or(r > 0 AND 1 - abs(r) < 0.95), false) AS strict_adverse, coalesce(bool_or(r < 0 AND 1 - abs(r) < 0.95), false) AS strict_protective FROM t GROUP BY 1)
+SELECT factor, n_cohorts, strict_adverse, strict_protective, CASE WHEN (SELECT bool_or(strict_adverse) FROM g) THEN strict_adverse ELSE mean_r > 0 END AS adverse,
+CASE WHEN (SELECT bool_or(strict_protective) FROM g) THEN strict_protective ELSE mean_r < 0 END AS protective FROM g""", "v2 v6")
+def h14_strict(spark: SparkSession, sf: str) -> DataFrame:
+    _, tests = _factor_tests(spark, sf)
+    d = sc.direction_table(materialize(tests.withColumn("p", 1 - F.abs("r"))), alpha=0.95)
+    return d.select("factor", "n_cohorts", "strict_adverse", "strict_protective", "adverse", "protective")
+
+
 @query("h14_direction_gated_risk", f"""WITH t AS (SELECT v2.cohort, v2.entity, feature AS factor, value, y FROM v2 JOIN v6 ON v6.entity = v2.entity),
 g AS (SELECT factor, avg(r) AS mean_r FROM (SELECT cohort, factor, corr(value, y) AS r FROM t GROUP BY 1, 2) GROUP BY 1),
 z AS (SELECT cohort, entity, factor, (value - avg(value) OVER p) / CASE WHEN stddev_samp(value) OVER p > 1e-8 THEN stddev_samp(value) OVER p ELSE 1 END AS z FROM t WINDOW p AS (PARTITION BY cohort, factor)),

@@ -202,22 +202,66 @@ def j11(spark: SparkSession, sf: str) -> DataFrame:
     return _r(pred.select("cohort", "entity", F.posexplode("pred").alias("position", "pred")), "pred")
 
 
+def _net_rows(spark: SparkSession, sf: str) -> DataFrame:
+    data = materialize(xy_vectors(spark, sf), "xy")
+    return materialize(data.join(fo.kfold(data, ["cohort"], "entity", 5, 1, SEED), ["cohort", "entity"]), "rows")
+
+
+def _net_predictions(rows: DataFrame, models: DataFrame) -> DataFrame:
+    pred = rg.apply_models(rows, models, ["cohort", "fold"], ["entity", "y"])
+    return pred.select("cohort", "entity", "fold", F.posexplode(F.arrays_zip(F.col("y").alias("obs"), "pred")).alias("position", "t")).select("cohort", "entity", "fold", "position", "t.obs", "t.pred")
+
+
 @query("j12_elastic_net_oof")
 def j12(spark: SparkSession, sf: str) -> DataFrame:
-    data = materialize(xy_vectors(spark, sf).select("cohort", "entity", "x", F.slice("y", 1, 1).alias("y")), "xy")
-    rows = materialize(data.join(fo.kfold(data, ["cohort"], "entity", 5, 1, SEED), ["cohort", "entity"]), "rows")
-    models = materialize(rg.net_models(rows, rg.width(data, "x"), ["cohort"]), "nets")
-    pred = rg.apply_models(rows, models, ["cohort", "fold"], ["entity", "y"])
-    return _r(pred.select("cohort", "entity", "fold", F.get("y", F.lit(0)).alias("obs"), F.get("pred", F.lit(0)).alias("pred")), "obs", "pred")
+    rows = _net_rows(spark, sf)
+    return _r(_net_predictions(rows, materialize(rg.net_models(rows, ["cohort"]), "nets")), "obs", "pred")
+
+
+@query("j12_elastic_net_metrics")
+def j12_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold metrics of each target, and whether all its fits met the duality gap."""
+    rows = _net_rows(spark, sf)
+    models = materialize(rg.net_models(rows, ["cohort"]), "nets")
+    m = st.feature_metrics(materialize(_net_predictions(rows, models), "pairs"), ["cohort", "position"], "obs", "pred")
+    status = rg.net_status(models, ["cohort"]).groupBy("cohort", "position").agg(F.max("status").alias("status"))  # WARN comes after PASS
+    return _r(m.join(status, ["cohort", "position"]), "mse", "rmse", "mae", "r2", "pearson", "spearman")
 
 
 @query("j12_elastic_net_coefficients")
 def j12_coef(spark: SparkSession, sf: str) -> DataFrame:
-    data = materialize(xy_vectors(spark, sf).select("cohort", "entity", "x", F.slice("y", 1, 1).alias("y")), "xy")
+    models = materialize(rg.net_models(_net_rows(spark, sf), ["cohort"]), "nets")
+    cells = models.select("cohort", "fold", F.size("intercept").alias("q"), F.posexplode("coef").alias("at", "coef")).where(F.abs("coef") > 1e-10)
+    long = cells.select("cohort", "fold", F.floor(F.col("at") / F.col("q")).cast("int").alias("input"), F.pmod("at", "q").alias("position"), "coef")
+    return _r(long.join(rg.net_status(models, ["cohort"]).withColumn("gap", F.round("gap", 6)), ["cohort", "fold", "position"]), "coef")
+
+
+# With one input each fit is a soft threshold, or a quotient, of plain covariances.
+_ONE_INPUT = """d AS (SELECT cohort, item AS entity, embedding[1]::DOUBLE AS x, position, embedding[49 + position]::DOUBLE AS y FROM v5, (SELECT unnest(range(0, 16))::INT AS position)),
+f AS (SELECT cohort, item AS entity, repeat, CAST((row_number() OVER (PARTITION BY cohort, repeat ORDER BY md5('{seed}|' || repeat || '|' || item), item) - 1) % 5 AS INT) AS fold FROM v5, (SELECT unnest(range(0, {repeats}))::INT AS repeat)),
+t AS (SELECT d.*, repeat, fold FROM d JOIN f ON f.cohort = d.cohort AND f.entity = d.entity),
+m AS (SELECT cohort, repeat, held, position, count(*) AS n, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, covar_pop(x, y) / stddev_pop(x) AS rho FROM t, (SELECT unnest(range(0, 5)) AS held) WHERE fold <> held GROUP BY 1, 2, 3, 4)"""
+
+
+def _one_input(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(xy_vectors(spark, sf).withColumn("x", F.slice("x", 1, 1)), "xy")
+
+
+@query("j12_single_input_net", f"""WITH {_ONE_INPUT.format(seed=SEED, repeats=1)}, b AS (SELECT *, sign(rho) * greatest(abs(rho) - 0.005 * 0.5, 0) / (1 + 0.005 * 0.5) / sx AS b FROM m)
+SELECT t.cohort, entity, fold, t.position, {r('y')} AS obs, {r('my + (x - mx) * b')} AS pred FROM t JOIN b ON b.cohort = t.cohort AND b.held = t.fold AND b.position = t.position""", "v5")
+def j12_one(spark: SparkSession, sf: str) -> DataFrame:
+    data = _one_input(spark, sf)
     rows = materialize(data.join(fo.kfold(data, ["cohort"], "entity", 5, 1, SEED), ["cohort", "entity"]), "rows")
-    models = rg.net_models(rows, rg.width(data, "x"), ["cohort"])
-    long = models.select("cohort", "fold", "alpha", "l1_ratio", "selected", F.posexplode("coef").alias("position", "coef")).where(F.abs("coef") > 1e-10)
-    return _r(long, "coef")
+    return _r(_net_predictions(rows, materialize(rg.net_models(rows, ["cohort"], [0.005], [0.5]), "nets")), "obs", "pred")
+
+
+@query("j4_single_input_ridge", f"""WITH {_ONE_INPUT.format(seed=SEED, repeats=5)}
+SELECT t.cohort, entity, t.position, {r('avg(my + (x - mx) / sx * rho * n / (n + 10))')} AS pred FROM t JOIN m ON m.cohort = t.cohort AND m.repeat = t.repeat AND m.held = t.fold AND m.position = t.position GROUP BY 1, 2, 3""", "v5")
+def j4_one(spark: SparkSession, sf: str) -> DataFrame:
+    data = _one_input(spark, sf)
+    rows = materialize(data.join(rg.inner_assignments(data, 5, 5, SEED), ["cohort", "entity"]), "rows")
+    models = materialize(rg.crossfit_models(rows, [10.0]), "models")
+    return _r(rg.mean_prediction(rg.apply_models(rows, models, ["cohort", "repeat", "fold"], ["entity"]), 5), "pred")
 
 
 @query("j13_bag_ridge_item_scores")
@@ -281,6 +325,14 @@ def j16(spark: SparkSession, sf: str) -> DataFrame:
     return _r(rg.pca(v, ["cohort"], 16).select("cohort", "component", "explained_ratio"), "explained_ratio")
 
 
+# Two standardised columns have the variances 1 + |r| and 1 - |r|.
+@query("j16_two_column_axes", f"""WITH t AS (SELECT cohort, abs(corr(embedding[1]::DOUBLE, embedding[2]::DOUBLE)) AS r FROM v5 GROUP BY 1)
+SELECT cohort, component::INT AS component, {r('(1 + CASE WHEN component = 0 THEN r ELSE -r END) / 2')} AS explained_ratio FROM t, (SELECT unnest(range(0, 2)) AS component)""", "v5")
+def j16_two(spark: SparkSession, sf: str) -> DataFrame:
+    v = xy_vectors(spark, sf).withColumn("x", F.slice("x", 1, 2))
+    return _r(rg.pca(v, ["cohort"], 2).select("cohort", "component", "explained_ratio"), "explained_ratio")
+
+
 @query("j16_principal_scores")
 def j16_scores(spark: SparkSession, sf: str) -> DataFrame:
     v = materialize(xy_vectors(spark, sf), "xy")

@@ -38,16 +38,19 @@ def ridge(z, y, a):
     return b, ym - zm @ b
 
 
-def test_moments_total_minus_fold_is_train(data):
+def test_moments_of_the_other_folds_are_train(data):
     x, y, cohort, df = data
     rows = df.withColumn("fold", F.col("entity") % 3)
     g = mo.grouped_moments(rows, ["cohort", "fold"]).toPandas()
     cells = {k: mo.unpack(v) for k, v in g[g["cohort"] == "a"].groupby("fold")}
-    train = sum(cells.values()) - cells[1]
+    m = mo.others(cells)[1]
     use = (cohort == "a") & (np.arange(N) % 3 != 1)
-    v = np.hstack([np.ones((use.sum(), 1)), x[use], y[use]])
-    np.testing.assert_allclose(train[:-1], v[:, :1 + P].T @ v, rtol=1e-10)
-    m = mo.Moments(train, P)
+    assert m.n == use.sum()
+    np.testing.assert_allclose(np.concatenate([m.mx, m.my]), np.hstack([x, y])[use].mean(axis=0), rtol=1e-10)
+    xc, yc = x[use] - x[use].mean(axis=0), y[use] - y[use].mean(axis=0)
+    np.testing.assert_allclose(m.cxx, xc.T @ xc, rtol=1e-10, atol=1e-9)
+    np.testing.assert_allclose(m.cxy, xc.T @ yc, rtol=1e-10, atol=1e-9)
+    np.testing.assert_allclose(m.cyy, (yc * yc).sum(axis=0), rtol=1e-10)
     np.testing.assert_allclose(m.sd, x[use].std(axis=0), rtol=1e-10)
 
 
@@ -56,7 +59,7 @@ def test_crossfit_equals_direct_fit(data, components):
     x, y, cohort, df = data
     assign = rg.inner_assignments(df, 3, 2, 5).cache()
     rows = df.join(assign, ["cohort", "entity"])
-    models = rg.crossfit_models(rows, P, max_components=components).toPandas()
+    models = rg.crossfit_models(rows, max_components=components).toPandas()
     a = assign.toPandas()
     for m in models.itertuples():
         s = a[(a.cohort == m.cohort) & (a.repeat == m.repeat) & (a.fold != m.fold)].sort_values("entity")
@@ -88,8 +91,8 @@ def test_target_axes_with_all_variance_change_nothing(data):
     plain = mo.grouped_moments(df, ["cohort"]).toPandas()
     for c in ("a", "b"):
         full, base = mo.unpack(g[g.cohort == c]), mo.unpack(plain[plain.cohort == c])
-        one = rg.fit_ridge(full, [], P, [1.0], 1, target_pca=True, variance=1.1, limit=Q)
-        two = rg.fit_ridge(base, [], P, [1.0], 1)
+        one = rg.fit_ridge(full, [], [1.0], 1, target_pca=True, variance=1.1, limit=Q)
+        two = rg.fit_ridge(base, [], [1.0], 1)
         np.testing.assert_allclose(one["coef"], two["coef"], rtol=1e-7, atol=1e-9)
         np.testing.assert_allclose(one["intercept"], two["intercept"], rtol=1e-7)
 
@@ -170,15 +173,109 @@ def test_bag_ridge(data):
 
 def test_elastic_net_meets_optimality_conditions(data):
     x, y, cohort, df = data
-    g = mo.Moments(mo.unpack(mo.grouped_moments(df.withColumn("k", F.lit(0)).withColumn("y", F.slice("y", 1, 1)), ["k"]).toPandas()), P)
+    g = mo.unpack(mo.grouped_moments(df.withColumn("k", F.lit(0)), ["k"]).toPandas())
     mx, sx = standard(x)
-    z, yc = (x - mx) / sx, y[:, 0] - y[:, 0].mean()
+    z = (x - mx) / sx
     for alpha, l1 in ((0.5, 0.5), (0.1, 0.9), (2.0, 0.9)):
-        b = rg.elastic_net(g, alpha, l1, np.arange(P)) * sx
-        grad = z.T @ (yc - z @ b) / N - alpha * (1 - l1) * b
-        on = np.abs(b) > 1e-10
-        np.testing.assert_allclose(grad[on], alpha * l1 * np.sign(b[on]), atol=1e-4)
-        assert (np.abs(grad[~on]) <= alpha * l1 + 1e-6).all()
+        coef, gap = rg.elastic_net(g, alpha, l1, np.ones((P, Q), dtype=bool))
+        assert (gap <= rg.GAP).all()
+        for k in range(Q):
+            b, yc = coef[:, k], y[:, k] - y[:, k].mean()
+            grad = z.T @ (yc - z @ b) / N - alpha * (1 - l1) * b
+            on = np.abs(b) > 1e-10
+            np.testing.assert_allclose(grad[on], alpha * l1 * np.sign(b[on]), atol=1e-4)
+            assert (np.abs(grad[~on]) <= alpha * l1 + 1e-4).all()
+
+
+def test_elastic_net_stopped_early_is_a_warning(spark, data, monkeypatch):
+    *_, df = data
+    rows = df.withColumn("fold", F.col("entity") % 3)
+    assert {r["status"] for r in rg.net_status(rg.net_models(rows, ["cohort"]), ["cohort"]).collect()} == {"PASS"}
+    g = mo.unpack(mo.grouped_moments(df.withColumn("k", F.lit(0)), ["k"]).toPandas())
+    monkeypatch.setattr(rg, "MAX_SWEEPS", 1)
+    _, gap = rg.elastic_net(g, 0.01, 0.5, np.ones((P, Q), dtype=bool))
+    assert (gap > rg.GAP).any()
+    models = spark.createDataFrame([("a", 0, [0.1, 0.1], [0.5, 0.5], [1, 1], [0.0, 1e-3])], "cohort string, fold int, alpha array<double>, l1_ratio array<double>, selected array<int>, gap array<double>")
+    assert [r["status"] for r in rg.net_status(models, ["cohort"]).orderBy("position").collect()] == ["PASS", "WARN"]
+
+
+def test_elastic_nets_of_all_targets_equal_separate_fits(data):
+    *_, df = data
+    rows = df.withColumn("fold", F.col("entity") % 3)
+    both = {(r.cohort, r.fold): r for r in rg.net_models(rows, ["cohort"], prefilter=3).collect()}
+    for k in range(Q):
+        for r in rg.net_models(rows.withColumn("y", F.slice("y", k + 1, 1)), ["cohort"], prefilter=3).collect():
+            b = both[(r.cohort, r.fold)]
+            assert (r.alpha[0], r.l1_ratio[0], r.selected[0]) == (b.alpha[k], b.l1_ratio[k], b.selected[k])
+            np.testing.assert_allclose(r.coef, np.reshape(b.coef, (P, Q))[:, k], atol=1e-7)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e9])
+def test_moments_keep_digits_far_from_zero(spark, shift):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 3)) + [shift, -shift, 0]
+    x[:, 2] = 0.1 + shift
+    y = x[:, :1] - shift + rng.normal(size=(4000, 1))
+    df = spark.createDataFrame([(int(i % 4), [float(v) for v in a], [float(v) for v in b]) for i, (a, b) in enumerate(zip(x, y))], "fold int, x array<double>, y array<double>").repartition(7)
+    cells = {k: mo.unpack(v) for k, v in mo.grouped_moments(df, ["fold"]).toPandas().groupby("fold")}
+    m = mo.others(cells)[2]
+    use = np.arange(4000) % 4 != 2
+    xc, yc = x[use] - x[use].mean(axis=0), y[use] - y[use].mean(axis=0)
+    np.testing.assert_allclose(m.cxx[:2, :2], xc[:, :2].T @ xc[:, :2], rtol=1e-8, atol=1e-5)
+    np.testing.assert_allclose(m.cxy[:2], xc[:, :2].T @ yc, rtol=1e-8, atol=1e-5)
+    assert m.sd[2] == 0.0 and m.sdx[2] == 1.0
+    axes = rg.pca(df.withColumn("k", F.lit(0)), ["k"], 3).toPandas()
+    assert axes["explained_ratio"].sum() == pytest.approx(1.0)
+
+
+def test_bag_ridge_of_one_entity_has_no_errors(data):
+    *_, df = data
+    rows = df.select(F.col("entity").alias("bag"), F.lit(1).alias("entity"), "x", F.slice("y", 1, 1).alias("y"))
+    model, alphas = rg.bag_ridge(rows, rg.ALPHAS, 4, 3)
+    assert model.count() == 1 and all(r["mse"] is None for r in alphas.collect())
+
+
+def test_label_shuffle_equals_correlations_of_joined_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(c, e, f"f{f}", None if rng.random() < 0.1 else float(rng.normal()), float(rng.normal())) for c, n in (("a", 12), ("b", 7)) for e in range(n) for f in range(5) if rng.random() > 0.2]
+    rows += [("a", e, "flat", 1.0, float(e)) for e in range(12)] + [("b", 0, "one", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "cohort string, entity int, feature string, value double, pred double")
+    monkeypatch.setattr(rs, "CELLS", 20)
+    monkeypatch.setattr(rs, "DRAWS", 2)
+    got = {(r.cohort, r.perm, r.feature): r.pearson for r in rs.shuffled_correlations(df, 5, 3).collect()}
+    lends = {(r.cohort, r.perm, r.entity): r.donor for r in rs.permutation_map(df, 5, 3).collect()}
+    value = {(c, e, f): v for c, e, f, v, _ in rows}
+    assert len(got) == 5 * len({(c, f) for c, _, f, _, _ in rows})
+    for (c, perm, f), r in got.items():
+        pairs = [(value.get((c, lends[(c, perm, e)], f)), p) for cc, e, ff, _, p in rows if (cc, ff) == (c, f)]
+        pairs = np.array([p for p in pairs if p[0] is not None]).reshape(-1, 2)
+        if len(pairs) < 2 or pairs.std(axis=0).min() < 1e-12:
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(pairs.T)[0, 1], abs=1e-9)
+
+
+def test_dispersion_counts_pairs(spark, monkeypatch):
+    from cohortwise.operators import consensus as cs
+
+    rng = np.random.default_rng(2)
+    lab = rng.integers(0, 3, size=(6, 9)).repeat(3, axis=0)
+    df = spark.createDataFrame([(e, s, int(lab[e, s])) for e in range(18) for s in range(9)], "entity int, start int, label int")
+    monkeypatch.setattr(cs, "STRIP", 5)
+    c = np.array([(a == b).mean() for i, a in enumerate(lab) for j, b in enumerate(lab) if i != j])
+    got = cs.dispersion(df).first()
+    assert (got["n"], got["starts"]) == (18, 9)
+    assert got["mean_consensus"] == pytest.approx(c.mean()) and got["dispersion"] == pytest.approx((4 * (c - 0.5) ** 2).mean())
+    assert cs.label_vectors(df).count() == len(np.unique(lab, axis=0))
+
+
+def test_repeated_target_of_a_set_takes_the_first_row(spark):
+    from cohortwise.operators import scoring as sc
+
+    z = spark.createDataFrame([("a", 1, f, v) for f, v in (("X", 1.0), ("Y", 2.0))], "cohort string, entity int, feature string, z double")
+    net = spark.createDataFrame([("s", "x", 3.0, 1), ("s", "X", -1.0, 2), ("s", "y", 1.0, 3)], "set_name string, feature string, weight double, line int")
+    assert sc.weighted_scores(z, net, 2, order="line").first()["value"] == pytest.approx((3.0 + 2.0) / 4)
+    assert sc.weighted_scores(z, net, 2).first()["value"] == pytest.approx((-1.0 + 2.0) / 2)
 
 
 def test_bootstrap_weights_are_resamples(data):
