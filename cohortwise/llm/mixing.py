@@ -27,6 +27,8 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 256
 MIN_BLOCKS = 256
 SHARD_SLOTS = 4096
+# Slots that a task makes and permutes.
+TASK_SLOTS = 1 << 15
 ROUNDS = 24
 # Documents of one source that are numbered in one window.
 RUN_ROWS = 4096
@@ -118,7 +120,9 @@ def slot_table(spark, sources: DataFrame, seed: int, shard_slots: int = SHARD_SL
     over, short = F.greatest(F.col("n") - F.col("quota"), F.lit(0)), F.greatest(F.col("quota") - F.col("n"), F.lit(0))
     w = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     got = materialize(got.withColumn("over_before", F.coalesce(F.sum(over).over(w), F.lit(0))).withColumn("short_before", F.coalesce(F.sum(short).over(w), F.lit(0))).withColumn("short", short), "mix_balance")
-    slots = counts.select("shard", "sid", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("drawn") - 1)).alias("i"))
+    # The counts are a small table of which each row becomes many slots: tasks are dealt by the slots to come.
+    tasks = max(1, -(-(counts.agg(F.sum("drawn")).first()[0] or 0) // TASK_SLOTS))
+    slots = counts.repartition(tasks, "shard", "sid").select("shard", "sid", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("drawn") - 1)).alias("i"))
     slots = slots.join(got.select("sid", "quota", "over_before"), "sid")
     kept = slots.where("i < quota").select("shard", "sid", "i")
     spare = slots.where("i >= quota").select("shard", (F.col("over_before") + F.col("i") - F.col("quota")).alias("unit"))
