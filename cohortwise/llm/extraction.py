@@ -127,17 +127,15 @@ def parse(html: str) -> Dom:
     if rest and not dom.runs and "<" not in rest:
         dom.handle_data(unescape(rest))
     for at, data in dom.runs:
-        n = len(data.strip())
-        while at >= 0:
-            node = dom.nodes[at]
-            node.chars += n
-            at = node.parent
-    for i, node in enumerate(dom.nodes):
+        dom.nodes[at].chars += len(data.strip())
+    # Children come after their parents, so one pass backwards adds up whole subtrees, however deep. Text of a link counts once.
+    for node in reversed(dom.nodes):
         if node.tag == "a":
-            n, up = node.chars, i
-            while up >= 0:
-                dom.nodes[up].link += n
-                up = dom.nodes[up].parent
+            node.link = node.chars
+        if node.parent >= 0:
+            up = dom.nodes[node.parent]
+            up.chars += node.chars
+            up.link += node.link
     return dom
 
 

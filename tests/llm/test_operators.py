@@ -496,3 +496,12 @@ def test_bpe_equals_tiktoken(spark, odd_documents, no_documents):
     r = rows[0]
     assert bytes(r.id_bytes) == np.array(r.ids, dtype="<u4").tobytes() and r.n_tokens == len(r.ids)
     assert hashlib.sha256(bytes(r.id_bytes)).hexdigest()
+
+
+def test_deep_pages_are_parsed_in_linear_time():
+    from cohortwise.llm import extraction
+
+    dom = extraction.parse("<main>" + "<b>" * 100_000 + "x <a href=u>link</a>" + "</b>" * 100_000 + "</main>")
+    assert len(dom.nodes) >= 100_000
+    outer = dom.nodes[1]
+    assert (outer.chars, outer.link) == (5, 4)
