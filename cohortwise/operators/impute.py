@@ -23,6 +23,8 @@ NEIGHBOURS = 10
 CHUNK_CELLS = 4_000_000
 # Cells of donors around sampled rows, at most, classes of missing cells, and numbers that boxes or a sample may send to the driver.
 PIVOTS, MISSING_CLASSES, SAMPLE_ROWS, BOX_CELLS = 64, 8, 4096, 4_000_000
+# Blocks of receivers that donors pass together, and tasks of such blocks at most.
+RECEIVER_BLOCKS, MAX_TASKS = 8, 4096
 
 
 def median_fill(df: DataFrame, group: Sequence[str], value: str, fit_rows=None) -> DataFrame:
@@ -32,12 +34,6 @@ def median_fill(df: DataFrame, group: Sequence[str], value: str, fit_rows=None)
     return df.join(med, list(group), "left").withColumn(value, F.coalesce(value, "__m", F.lit(0.0))).drop("__m")
 
 
-def _no_candidates(kind_of: pd.Series, donors: pd.Series) -> pd.DataFrame:
-    """An empty result whose columns still have their types."""
-    return pd.DataFrame({"cohort": pd.Series([], dtype=object), "entity": kind_of.iloc[:0].reset_index(drop=True), "position": np.zeros(0, dtype=np.int32),
-                         "donor": donors.iloc[:0].reset_index(drop=True), "distance": np.zeros(0), "value": np.zeros(0)})
-
-
 def _scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances of all pairs of rows over shared cells, scaled to the whole width, and what rounding may add to them."""
     width = a.shape[1]
@@ -86,18 +82,109 @@ def _nearest(a: np.ndarray, b: np.ndarray, k: int, most: np.ndarray) -> Iterator
         yield j, rec[row[top]], don[col[top]], exact[top]
 
 
-def _candidates(k: int):
-    def run(key, receivers: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        if receivers.empty or donors.empty:
-            return _no_candidates(receivers["entity"], donors["donor"])
-        donors = donors.sort_values("donor", kind="stable")
-        names, who = donors["donor"].to_numpy(), receivers["entity"].to_numpy()
-        b = matrix(donors["donor_x"])
-        found = [(who[r], np.full(len(r), j), names[d], dist, b[d, j]) for j, r, d, dist in _nearest(matrix(receivers["x"]), b, k, receivers["reach"].to_numpy(float))]
-        if not found:
-            return _no_candidates(receivers["entity"], donors["donor"])
-        entity, position, donor, distance, value = (np.concatenate(c) for c in zip(*found))
-        return pd.DataFrame({"cohort": key[0], "entity": entity, "position": position, "donor": donor, "distance": distance, "value": value})
+class _Nearest:
+    """The k nearest donors so far of every missing cell of a block of receivers.
+
+    Donors come in rising order, a batch at a time, so that equal distances
+    keep the earlier ones; a cell holds k of them, however many pass by.
+    """
+
+    def __init__(self, a: np.ndarray, reach: np.ndarray, k: int):
+        self.a, self.k, self.seen = a, k, 0
+        self.row, self.position = np.nonzero(np.isnan(a))
+        self.first = np.searchsorted(self.row, np.arange(len(a)))
+        self.holes = np.bincount(self.row, minlength=len(a))
+        self.distance = np.full((len(self.row), k), np.inf)
+        self.value = np.full((len(self.row), k), np.nan)
+        self.order = np.full((len(self.row), k), -1)
+        self.donor = np.empty((len(self.row), k), dtype=object)
+        self.reach = np.where(np.isnan(reach), np.inf, reach)
+        self._limits()
+
+    def meet(self, names: np.ndarray, b: np.ndarray) -> None:
+        at = 0
+        while at < len(b):
+            # Few donors at first: until each cell has its k, whatever comes is taken.
+            size = min(max(1, CHUNK_CELLS // len(self.a)), max(4 * self.k, self.seen))
+            self._part(names[at:at + size], b[at:at + size])
+            self.seen += len(b[at:at + size])
+            at += size
+
+    def _part(self, names: np.ndarray, b: np.ndarray) -> None:
+        width = b.shape[1]
+        rough, slack = _scaled(self.a, b)
+        close = rough <= self.most[:, None] ** 2 * (1 + 1e-9) + 2 * slack
+        wanting = np.flatnonzero(self.wants.any(axis=1))
+        if len(wanting):
+            close[wanting] |= (self.wants[wanting] @ (~np.isnan(b)).T.astype(np.float32) > 0) & (rough[wanting] <= self.reach[wanting, None] ** 2 * (1 + 1e-9) + 2 * slack[wanting])
+        row, col = np.nonzero(close & np.isfinite(rough))
+        del rough, close
+        pairs = max(1, CHUNK_CELLS // width)
+        for at in range(0, len(row), pairs):
+            r, c = row[at:at + pairs], col[at:at + pairs]
+            x, y = self.a[r], b[c]
+            both = ~(np.isnan(x) | np.isnan(y))
+            exact = np.sqrt((np.where(both, x - y, 0.0)**2).sum(axis=1) * width / both.sum(axis=1))
+            near = exact <= self.reach[r]
+            r, c, exact = r[near], c[near], exact[near]
+            n = self.holes[r]
+            hole = np.repeat(self.first[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            c, exact = np.repeat(c, n), np.repeat(exact, n)
+            value = b[c, self.position[hole]]
+            take = ~np.isnan(value) & (exact < self.distance[hole, -1])
+            self._take(hole[take], exact[take], value[take], c[take], names)
+
+    def _take(self, hole: np.ndarray, exact: np.ndarray, value: np.ndarray, col: np.ndarray, names: np.ndarray) -> None:
+        if not len(hole):
+            return
+        # Those already held come first and earlier donors before later ones, so a stable sort settles equal distances.
+        held = np.unique(hole)
+        holes = np.concatenate([np.repeat(held, self.k), hole])
+        dist, val = np.concatenate([self.distance[held].ravel(), exact]), np.concatenate([self.value[held].ravel(), value])
+        order = np.concatenate([self.order[held].ravel(), self.seen + col])
+        who = np.concatenate([self.donor[held].ravel(), names[col]])
+        by = np.lexsort((order, dist, holes))
+        by = by[np.arange(len(by)) - np.searchsorted(holes[by], holes[by]) < self.k]
+        self.distance[held], self.value[held] = dist[by].reshape(-1, self.k), val[by].reshape(-1, self.k)
+        self.order[held], self.donor[held] = order[by].reshape(-1, self.k), who[by].reshape(-1, self.k)
+        self._limits()
+
+    def _limits(self) -> None:
+        """By receiver the distance that a donor must keep for a cell that has k, and the cells that have fewer."""
+        last, full = self.distance[:, -1], np.isfinite(self.distance[:, -1])
+        self.most = np.zeros(len(self.a))
+        np.maximum.at(self.most, self.row[full], last[full])
+        self.wants = np.zeros(self.a.shape, dtype=np.float32)
+        self.wants[self.row[~full], self.position[~full]] = 1
+
+    def found(self, cohort, who: np.ndarray) -> pd.DataFrame:
+        hole, rank = np.nonzero(np.isfinite(self.distance))
+        return pd.DataFrame({"cohort": np.full(len(hole), cohort, dtype=object), "entity": who[self.row[hole]], "position": self.position[hole].astype(np.int32),
+                             "donor": self.donor[hole, rank], "distance": self.distance[hole, rank], "value": self.value[hole, rank]})
+
+
+def _met(k: int):
+    """Streams sorted blocks (cohort, own_cell, own_block): first the receivers of one, then its donors, of which a batch is held at a time."""
+    keys = ["cohort", "own_cell", "own_block"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, waiting, state, who = None, [], None, None
+        for batch in batches:
+            for now, part in batch.groupby([*keys, "side"], sort=False, dropna=False):
+                if now[:-1] != key:
+                    if state is not None:
+                        yield state.found(key[0], who)
+                    key, waiting, state = now[:-1], [], None
+                if now[-1] == 0:
+                    waiting.append(part)
+                    continue
+                if state is None:
+                    receivers = pd.concat(waiting)
+                    waiting, who = [], receivers["entity"].to_numpy()
+                    state = _Nearest(matrix(receivers["x"]), receivers["reach"].to_numpy(float), k)
+                state.meet(part["entity"].to_numpy(dtype=object), matrix(part["x"]))
+        if state is not None:
+            yield state.found(key[0], who)
 
     return run
 
@@ -217,14 +304,18 @@ def _celled(vec: DataFrame, width: int, cohorts: int, total: int, block_rows: in
 
 
 def donor_candidates(vec: DataFrame, width: int, k: int, block_rows: int) -> DataFrame:
-    """(cohort, entity, position, donor, distance, value): for every missing cell of ``vec`` (cohort, entity, x) donors among which its k nearest are.
-
-    A receiver first meets a block of its own surroundings, which gives it a
-    distance within which all its missing cells have k donors. It then goes
-    only to cells whose box it may come within that distance of, and donors
-    go only to blocks of receivers that ask for them. The distance bound is exact, so
-    nothing is lost; where it excludes nothing, all blocks meet.
+    """(cohort, entity, position, donor, distance, value): for every missing cell of ``vec`` (cohort, entity, x) its k nearest donors.
+
+    With a boolean column ``asks`` only its rows are receivers. A receiver
+    first meets a block of its own surroundings, which gives it a distance
+    within which all its missing cells have k donors. Blocks of receivers then
+    ask for the cells whose box one of them may come within that distance of;
+    the distance bound is exact, so nothing is lost. Where it excludes too
+    little, larger blocks of any receivers meet all donors of their cohort.
+    Donors pass a block of receivers in a stream, which keeps k for a cell.
     """
+    if "asks" not in vec.columns:
+        vec = vec.withColumn("asks", F.lit(True))
     sizes = vec.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cohort").alias("c")).first()
     placed, cells = _celled(vec, width, sizes.c, sizes.n, block_rows)
     kind = dict(vec.dtypes)["entity"]
@@ -234,35 +325,49 @@ def donor_candidates(vec: DataFrame, width: int, k: int, block_rows: int) -> Dat
         size = placed.groupBy("cohort", by).agg(F.count(F.lit(1)).alias("__n"))
         return placed.join(size, ["cohort", by]).withColumn("block", F.floor(spot * F.ceil(F.col("__n") / F.lit(block_rows))).cast("int")).drop("__n")
 
-    hole, some = F.exists("x", lambda v: v.isNull()), F.exists("x", lambda v: v.isNotNull())
-    # Names of its own on the donors' side: both sides of a co-group come from one table.
-    as_donor = [F.col("cohort").alias("donor_cohort"), F.col("block").alias("donor_block"), F.col("entity").alias("donor"), F.col("x").alias("donor_x")]
-    schema = f"cohort string, entity {kind}, position int, donor {kind}, distance double, value double"
+    some = F.exists("x", lambda v: v.isNotNull())
+    asking = F.exists("x", lambda v: v.isNull()) & some & F.col("asks")
     rows = materialize(blocked("cell"), "blocks")
-    receivers = rows.where(hole & some).withColumnRenamed("block", "own_block").withColumnRenamed("cell", "own_cell")
+    crowd = rows.where(some).groupBy("cohort", "cell", "block").agg(F.count(F.lit(1)).alias("n"))
+    own = [F.col("cell").alias("own_cell"), F.floor(F.col("block") / RECEIVER_BLOCKS).cast("int").alias("own_block")]
+    receivers = rows.where(asking).select("cohort", "entity", "x", *own)
+    asked = None
     if cells is None:
-        count = rows.groupBy("cohort").agg((F.max("block") + 1).alias("blocks"))
-        asked = receivers.join(count, "cohort").withColumn("reach", F.lit(float("inf"))).withColumn("cell", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        receivers = receivers.withColumn("reach", F.lit(float("inf")))
     else:
         near = blocked("pivot")
-        home = near.where(hole & some).groupBy("cohort", "pivot", "block").cogroup(near.where(some).select(*as_donor, F.col("pivot").alias("donor_pivot")).groupBy("donor_cohort", "donor_pivot", "donor_block"))
+        # Names of its own on the donors' side: both sides of a co-group come from one table.
+        as_donor = [F.col("cohort").alias("donor_cohort"), F.col("block").alias("donor_block"), F.col("x").alias("donor_x"), F.col("pivot").alias("donor_pivot")]
+        home = near.where(asking).groupBy("cohort", "pivot", "block").cogroup(near.where(some).select(*as_donor).groupBy("donor_cohort", "donor_pivot", "donor_block"))
         reach = home.applyInPandas(_reached(k, cells), f"cohort string, entity {kind}, reach double")
+        receivers = materialize(receivers.join(reach, ["cohort", "entity"]).select(*receivers.columns, "reach"), "receivers")
 
         def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for cohort, part in b.groupby("cohort", dropna=False):
                     x = matrix(part["x"])
-                    for cell, blocks, at in cells.open_cells(cohort, x, part["reach"].to_numpy(float)):
-                        yield part.iloc[at].assign(cell=cell, blocks=blocks)
-
-        fields = f"cohort string, entity {kind}, x array<double>, own_cell int, own_block int, reach double, cell int, blocks int"
-        asked = receivers.join(reach, ["cohort", "entity"]).select("cohort", "entity", "x", "own_cell", "own_block", "reach").mapInPandas(spread, fields)
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = materialize(asked.select("cohort", "entity", "x", "reach", "own_cell", "own_block", "cell", "block"), "asked")
-    meets = asked.select(F.col("cohort").alias("donor_cohort"), F.col("cell").alias("donor_cell"), F.col("block").alias("donor_block"), F.col("own_cell").alias("for_cell"), F.col("own_block").alias("for_block")).distinct()
-    donors = rows.where(some).select(*as_donor, F.col("cell").alias("donor_cell")).join(meets, ["donor_cohort", "donor_cell", "donor_block"])
-    return (asked.groupBy("cohort", "cell", "block", "own_cell", "own_block").cogroup(donors.groupBy("donor_cohort", "donor_cell", "donor_block", "for_cell", "for_block"))
-            .applyInPandas(_candidates(k), schema))
+                    for cell, _, at in cells.open_cells(cohort, x, part["reach"].to_numpy(float)):
+                        yield part.iloc[at][["cohort", "own_cell", "own_block"]].drop_duplicates().assign(cell=cell)
+
+        wanted = receivers.mapInPandas(spread, "cohort string, own_cell int, own_block int, cell int").distinct()
+        asked = materialize(wanted.join(crowd, ["cohort", "cell"]).select("cohort", "own_cell", "own_block", "cell", "block", "n"), "asked")
+        sent = asked.agg(F.sum("n").alias("n")).first().n or 0
+        groups = receivers.groupBy("cohort").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows * RECEIVER_BLOCKS)).alias("groups"))
+        if sent > (crowd.join(groups, "cohort").agg(F.sum(F.col("n") * F.col("groups")).alias("n")).first().n or 0):
+            asked = None
+    if asked is None:
+        # Blocks of any receivers of the cohort, whatever their cell, against all its donors.
+        count = receivers.groupBy("cohort").agg(F.count(F.lit(1)).alias("__n"))
+        place = F.floor(spot * F.ceil(F.col("__n") / F.lit(block_rows * RECEIVER_BLOCKS))).cast("int")
+        receivers = receivers.join(count, "cohort").withColumns({"own_cell": F.lit(0), "own_block": place}).drop("__n")
+        asked = materialize(receivers.select("cohort", "own_cell", "own_block").distinct().join(crowd, "cohort"), "asked")
+    donors = rows.where(some).select("cohort", "cell", "block", "entity", "x").join(asked.drop("n"), ["cohort", "cell", "block"])
+    fields = ["cohort", "own_cell", "own_block", "side", "entity", "x", "reach"]
+    both = receivers.withColumn("side", F.lit(0)).select(*fields).unionByName(donors.withColumns({"side": F.lit(1), "reach": F.lit(None).cast("double")}).select(*fields))
+    # As many tasks as blocks: what a block costs does not show in its bytes, by which small tasks are put together.
+    tasks = min(MAX_TASKS, max(1, 2 * asked.select("cohort", "own_cell", "own_block").distinct().count()))
+    met = both.repartition(tasks, "cohort", "own_cell", "own_block").sortWithinPartitions("cohort", "own_cell", "own_block", "side", "entity")
+    return met.mapInPandas(_met(k), f"cohort string, entity {kind}, position int, donor {kind}, distance double, value double")
 
 
 def knn_impute(df: DataFrame, cohort: str = "cohort", entity: str = "entity", feature: str = "feature", value: str = "value",
@@ -271,7 +376,9 @@ def knn_impute(df: DataFrame, cohort: str = "cohort", entity: str = "entity", fe
 
     Distances run over shared cells and are scaled to the whole width. Equal
     distances go to the smaller entity, whatever ``block_rows``, which sets how
-    many rows a task compares at once. See :func:`donor_candidates`.
+    many rows a task compares at once. See :func:`donor_candidates`. Rows of
+    equal cells have equal neighbours: one of them asks for all, and the k
+    smallest of them are all the donors that anyone can choose.
     """
     names = feature_names(df, feature)
     base = df.select(F.col(cohort).alias("cohort"), F.col(entity).alias("entity"), F.col(feature).alias("feature"), F.col(value).alias("value"))
@@ -280,19 +387,20 @@ def knn_impute(df: DataFrame, cohort: str = "cohort", entity: str = "entity", fe
     blank = F.transform(F.sequence(F.lit(1), F.lit(max(1, len(names)))), lambda _: F.lit(None).cast("double"))
     vec = base.select("cohort", "entity").distinct().join(seen_vectors, ["cohort", "entity"], "left").withColumn("x", F.coalesce("x", blank))
     vec = materialize(vec, "vectors")
-    cand = donor_candidates(vec, max(1, len(names)), k, block_rows)
-    w = Window.partitionBy("cohort", "entity", "position").orderBy("distance", "donor")
-    best = cand.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    vec = materialize(vec.join(vec.groupBy("cohort", "x").agg(F.min("entity").alias("lead")), ["cohort", "x"]), "alike")
+    among = F.row_number().over(Window.partitionBy("cohort", "lead").orderBy("entity"))
+    some = materialize(vec.withColumn("rn", among).where(F.col("rn") <= k).select("cohort", "entity", "x", (F.col("entity") == F.col("lead")).alias("asks")), "distinct_rows")
+    best = donor_candidates(some, max(1, len(names)), k, block_rows)
     zero = F.col("distance") == 0
     est = best.groupBy("cohort", "entity", "position").agg(
         F.avg(F.when(zero, F.col("value"))).alias("at_zero"),
         F.try_divide(F.sum(F.try_divide(F.col("value"), F.col("distance"))), F.sum(F.try_divide(F.lit(1.0), F.col("distance")))).alias("weighted"))
     labels = F.array(*[F.lit(n) for n in names])
-    est = est.select("cohort", "entity", F.get(labels, F.col("position")).alias("feature"), F.coalesce("at_zero", "weighted").alias("estimate"))
-    cells = vec.select("cohort", "entity", F.posexplode("x").alias("p", "value")).select("cohort", "entity", F.get(labels, F.col("p")).alias("feature"), "value")
+    est = est.select("cohort", F.col("entity").alias("lead"), F.get(labels, F.col("position")).alias("feature"), F.coalesce("at_zero", "weighted").alias("estimate"))
+    cells = vec.select("cohort", "entity", "lead", F.posexplode("x").alias("p", "value")).select("cohort", "entity", "lead", F.get(labels, F.col("p")).alias("feature"), "value")
     means = base.groupBy("cohort", "feature").agg(F.avg("value").alias("mean"))
     seen = cells.where("value IS NOT NULL").withColumn("imputed", F.lit(False))
-    gaps = (cells.where("value IS NULL").drop("value").join(est, ["cohort", "entity", "feature"], "left").join(means, ["cohort", "feature"], "left")
+    gaps = (cells.where("value IS NULL").drop("value").join(est, ["cohort", "lead", "feature"], "left").join(means, ["cohort", "feature"], "left")
             .select("cohort", "entity", "feature", F.coalesce("estimate", "mean").alias("value"), F.lit(True).alias("imputed")))
     return seen.select("cohort", "entity", "feature", "value", "imputed").unionByName(gaps)
 

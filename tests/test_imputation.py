@@ -90,3 +90,29 @@ def test_equal_distances_go_to_the_smaller_entity(spark):
     for block_rows in (3, 7, 100):
         got = impute.knn_impute(df, k=3, block_rows=block_rows).where("imputed").collect()
         assert [(r.entity, r.feature, r.value) for r in got] == [(99, "y", 1.0)]
+
+
+def test_a_missing_cell_gets_its_donors_once(spark):
+    """However many blocks a receiver meets, no more than k rows leave for a cell; rows without neighbourhoods do not go cell by cell."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 5))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    vec = impute.materialize(impute.to_vectors(long_rows(spark, x), ["cohort", "entity"], "feature", "value", [f"f{j:02d}" for j in range(5)]))
+    got = impute.donor_candidates(vec, 5, 3, 10)
+    holes = int(np.isnan(x[~np.isnan(x).all(axis=1)]).sum())
+    assert got.count() == 3 * holes == got.groupBy("entity", "position").count().where("count = 3").count() * 3
+
+
+def test_copies_ask_once_and_donate_as_often_as_needed(spark):
+    x = islands(80, 5, 5)
+    many = np.tile(x, (7, 1))
+    asked, kept = [], impute.donor_candidates
+    impute.donor_candidates = lambda vec, *a: asked.append(vec) or kept(vec, *a)
+    try:
+        got = impute.knn_impute(long_rows(spark, many), k=4, block_rows=30).toPandas()
+    finally:
+        impute.donor_candidates = kept
+    have = np.full(many.shape, np.nan)
+    have[got.entity, got.feature.str[1:].astype(int)] = got.value
+    assert np.allclose(have, reference(many, 4), rtol=1e-9, equal_nan=True)
+    assert asked[0].where("asks").count() <= 80 and asked[0].count() <= 4 * 80
