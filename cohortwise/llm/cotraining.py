@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.words import text_of
+from cohortwise.session import materialize
 
 TRAIN_ROWS = 6000
 POOL_ROWS = 6000
@@ -184,17 +185,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pd.DataFrame({"__id": b["__id"], "__y": b["__y"], "t": pd.Series([r.tobytes() for r in text_features(b["__text"])], index=b.index, dtype=object), "m": pd.Series([r.tobytes() for r in meta_features(b)], index=b.index, dtype=object)})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = src.join(F.broadcast(want), "__id").select("__y", *src.columns).mapInPandas(features, f"__id {kind}, __y int, t binary, m binary").toPandas()
-    if not len(rows):
+    rows = materialize(src.join(F.broadcast(want), "__id").select("__y", *src.columns).mapInPandas(features, f"__id {kind}, __y int, t binary, m binary"), "drawn")
+    size = rows.count()
+    if not size:
         return None
-    rows = rows.sort_values("__id", kind="stable")
-    y = rows["__y"].to_numpy(int)
-    xt, xm = (np.frombuffer(b"".join(rows.pop(c)), dtype=np.float32).reshape(len(y), -1) for c in ("t", "m"))
-    lab = y >= 0
-    if not lab.any():
+    # Read part by part into place: the driver holds the sample once.
+    ids, y = [], np.zeros(size, dtype=int)
+    xt, xm = np.zeros((size, DIMS + 256 + 4), dtype=np.float32), np.zeros((size, 2 * META + 5), dtype=np.float32)
+    for i, r in enumerate(rows.toLocalIterator()):
+        ids.append(r["__id"])
+        y[i], xt[i], xm[i] = r["__y"], np.frombuffer(r["t"], dtype=np.float32), np.frombuffer(r["m"], dtype=np.float32)
+    order = pd.Series(ids).sort_values(kind="stable").index.to_numpy()
+    lab, free = order[y[order] >= 0], order[y[order] < 0]
+    if not len(lab):
         return None
-    held = np.arange(lab.sum()) % 4 == 3
-    return co_train(xt[lab], xm[lab], y[lab], held, xt[~lab], xm[~lab], rounds)
+    parts = xt[lab], xm[lab], y[lab]
+    pool = xt[free], xm[free]
+    del xt, xm
+    return co_train(*parts, np.arange(len(lab)) % 4 == 3, *pool, rounds)
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", examples: DataFrame | None = None, **options) -> DataFrame:

@@ -505,3 +505,15 @@ def test_deep_pages_are_parsed_in_linear_time():
     assert len(dom.nodes) >= 100_000
     outer = dom.nodes[1]
     assert (outer.chars, outer.link) == (5, 4)
+
+
+def test_classifier_sample_reaches_the_driver_in_parts(spark, monkeypatch):
+    """The drawn features are read into place, never as one frame beside their arrays."""
+    def whole(self):
+        raise AssertionError("the sample was collected whole")
+
+    known = spark.createDataFrame([(i, i // 2 % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(type(known), "toPandas", whole)
+    docs = known.selectExpr("doc_id", "concat('text ', quality, ' of ', doc_id) AS text", "'en' AS lang", "'web' AS source")
+    model = cotraining.fit(docs, known)
+    assert model is not None and len(model.text) == cotraining.DIMS + 260
