@@ -255,6 +255,24 @@ def test_label_shuffle_equals_correlations_of_joined_rows(spark, monkeypatch):
             assert r == pytest.approx(np.corrcoef(pairs.T)[0, 1], abs=1e-9)
 
 
+def test_label_shuffle_tasks_take_bounded_orders_and_features(spark, monkeypatch):
+    df = spark.createDataFrame([("a", e, f"f{f}", float(e * f % 7), float(e % 5)) for e in range(30) for f in range(9)], "cohort string, entity int, feature string, value double, pred double")
+    whole = {(r.perm, r.feature): r.pearson for r in rs.shuffled_correlations(df, 6, 3).collect()}
+    monkeypatch.setattr(rs, "CELLS", 70)
+    real, seen = rs._row_correlations, spark.sparkContext.accumulator(0)
+
+    def counted(o, p):
+        seen.add(1)
+        return real(o, p)
+
+    monkeypatch.setattr(rs, "_row_correlations", counted)
+    cut = rs.shuffled_correlations(df, 6, 3)
+    got = {(r.perm, r.feature): r.pearson for r in cut.collect()}
+    # Two features and two orders a task: 5 groups of features, one product for each order.
+    assert seen.value == 5 * 6
+    assert set(got) == set(whole) and all(got[k] == pytest.approx(whole[k], nan_ok=True) if whole[k] is not None else got[k] is None for k in whole)
+
+
 def test_dispersion_counts_pairs(spark, monkeypatch):
     from cohortwise.operators import consensus as cs
 
