@@ -130,3 +130,15 @@ def test_dense_counts_fill_zero(spark):
     extra = spark.createDataFrame([(2, "y", 1)], "e int, k string, n int")
     got = sorted((r["e"], r["k"], r["n"]) for r in jn.dense_counts(c.union(extra), c.union(extra), ["e"], "k", "n").collect())
     assert got == [(1, "x", 3), (1, "y", 0), (2, "x", 0), (2, "y", 1)]
+
+
+@pytest.mark.parametrize("name", ["v2", "v12", "v13"])
+def test_views_of_order_lines_take_parts_by_the_lines(spark, sf, monkeypatch, name):
+    from cohortwise.plans import views
+
+    whole = sorted(map(tuple, views.view(spark, sf, name).collect()))
+    monkeypatch.setattr(views, "LINES_PER_TASK", 500)
+    cut = views.view(spark, sf, name)
+    lines = views.table(spark, sf, "lineitem").count()
+    assert f", {-(-lines // 500)})" in cut._jdf.queryExecution().executedPlan().toString().replace("REPARTITION_BY_NUM", "")
+    assert sorted(map(tuple, cut.collect())) == whole
