@@ -126,7 +126,7 @@ z AS (SELECT cohort, entity, feature, coalesce((value - avg(value) OVER w) / nul
 
 def _sites(spark: SparkSession, sf: str) -> DataFrame:
     v = materialize(view(spark, sf, "v12"), "sites")
-    return materialize(sc.site_matrix(v, sc.site_map(v, _mapping(spark, sf))), "site_matrix")
+    return sc.site_matrix(v, sc.site_map(v, _mapping(spark, sf)))
 
 
 @query("h7_site_map", f"WITH {_MAP}, {_SITEMAP} SELECT feature, accession, site, target, site_key FROM sm", "v12")

@@ -142,3 +142,41 @@ def test_views_of_order_lines_take_parts_by_the_lines(spark, sf, monkeypatch, na
     lines = views.table(spark, sf, "lineitem").count()
     assert f", {-(-lines // 500)})" in cut._jdf.queryExecution().executedPlan().toString().replace("REPARTITION_BY_NUM", "")
     assert sorted(map(tuple, cut.collect())) == whole
+
+
+def test_long_rows_are_not_shuffled_to_meet_a_few_sets(spark, sf):
+    from cohortwise.operators import scoring as sc
+    from cohortwise.plans import views
+    from cohortwise.session import materialize
+
+    z = materialize(sc.standardised(views.view(spark, sf, "v2")), "z")
+    sets = views.view(spark, sf, "v8")
+    for out in (sc.set_scores(z, sets), sc.weighted_scores(z, sets), sc.standardised(z.withColumnRenamed("z", "value"))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning(feature" not in plan
+
+
+def test_site_keys_do_not_move_the_rows_again(spark, sf):
+    from cohortwise.operators import scoring as sc
+    from cohortwise.operators import windows as wn
+    from cohortwise.session import materialize
+
+    rows = [("a", e, f"NP_{f}:s{f}t{f}", float(e * f % 5)) for e in range(9) for f in range(1, 5)]
+    df = materialize(spark.createDataFrame(rows, "cohort string, entity int, feature string, value double"), "sites")
+    smap = spark.createDataFrame([(f"NP_{f}:s{f}t{f}", f"P{f // 2};{s}{f % 2}-p") for f in range(1, 5) for s in "ST"] + [("NP_1:s1t1", "")], "feature string, site_key string")
+    plans, real = [], wn.materialize
+    wn.materialize = lambda d, label="stage": plans.append(d._jdf.queryExecution().executedPlan().toString()) or real(d, label)
+    try:
+        got = {tuple(r)[:3]: r.z for r in sc.site_matrix(df, smap).collect()}
+    finally:
+        wn.materialize = real
+    assert "REPARTITION_BY_NUM" in plans[0] and "ENSURE_REQUIREMENTS" not in plans[0]
+    value = {}
+    for c, e, f, v in rows:
+        for s in {k.site_key for k in smap.collect() if k.feature == f and k.site_key}:
+            value.setdefault((c, e, s), []).append(v)
+    mean = {k: np.mean(v) for k, v in value.items()}
+    assert set(got) == set(mean)
+    for k, v in mean.items():
+        all_ = np.array([m for kk, m in mean.items() if kk[2] == k[2]])
+        assert got[k] == pytest.approx((v - all_.mean()) / all_.std() if all_.std() > 0 else 0.0)
