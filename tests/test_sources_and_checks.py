@@ -180,3 +180,13 @@ def test_site_keys_do_not_move_the_rows_again(spark, sf):
     for k, v in mean.items():
         all_ = np.array([m for kk, m in mean.items() if kk[2] == k[2]])
         assert got[k] == pytest.approx((v - all_.mean()) / all_.std() if all_.std() > 0 else 0.0)
+
+
+def test_standardised_rows_of_an_entity_stand_together(spark, sf):
+    from cohortwise.operators import scoring as sc
+    from cohortwise.plans import views
+    from cohortwise.session import materialize
+
+    z = materialize(sc.standardised(views.view(spark, sf, "v2")), "z")
+    places = z.select("cohort", "entity", F.input_file_name().alias("file")).distinct()
+    assert places.count() == z.select("cohort", "entity").distinct().count()
