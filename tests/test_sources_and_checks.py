@@ -190,3 +190,16 @@ def test_standardised_rows_of_an_entity_stand_together(spark, sf):
     z = materialize(sc.standardised(views.view(spark, sf, "v2")), "z")
     places = z.select("cohort", "entity", F.input_file_name().alias("file")).distinct()
     assert places.count() == z.select("cohort", "entity").distinct().count()
+
+
+def test_entity_concordance_shuffles_by_entity_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(c, e, None if rng.random() < 0.1 else float(rng.integers(6)), float(rng.integers(9))) for c in "ab" for e in range(7) for _ in range(e + 1)]
+    df = spark.createDataFrame(rows, "cohort string, entity int, a double, b double")
+    out = st.entity_concordance(df, ["cohort", "entity"], "a", "b", 3)
+    want = {(r.cohort, r.entity): (r.n, r.rho) for r in st.spearman(df, ["cohort", "entity"], "a", "b", "rho", 3).collect()}
+    got = {(r.cohort, r.entity): (r.n, r.rho) for r in out.collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == n and (got[k][1] is None if r is None else got[k][1] == pytest.approx(r)) for k, (n, r) in want.items())
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
