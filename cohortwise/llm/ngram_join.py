@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -59,6 +59,8 @@ HASHED_BYTES = 1 << 20
 POSITION_BLOCK = 8
 # Turns of linear comparisons within the lists of difference tokens before sets are paired in full.
 STAR_TURNS = 2
+# 64-bit words of the parity masks of differences to a head, which are compared inside the join.
+MASKS = 4
 # Sets that a task sends at a time.
 SENT_ROWS = 500
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -284,37 +286,54 @@ def met_lists(entries: DataFrame) -> DataFrame:
     return met.where("not late").drop("late").unionByName(late.join(heads, "token"))
 
 
-def _wanted(pairs: DataFrame, bits: int) -> np.ndarray:
-    cells = pairs.select(F.pmod("a", F.lit(bits)).alias("cell")).union(pairs.select(F.pmod("b", F.lit(bits)).alias("cell")))
-    return _bitmap(cells.distinct(), "cell", bits)
+def sides(pairs: DataFrame) -> DataFrame:
+    """(sig) of all sets in pairs (a, b), once each."""
+    return pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+
+
+def owners(named: DataFrame) -> DataFrame:
+    """(sig, id, rows): the least id that has the set, and in how many rows."""
+    each = named.where("n > 0").groupBy("sig", "id").agg(F.count(F.lit(1)).alias("rows"))
+    return each.groupBy("sig").agg(F.min(F.struct("id", "rows")).alias("o")).select("sig", "o.id", "o.rows")
+
+
+def _cell(c: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(bits)).cast("long")
 
 
 def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame({"sig": np.array([r[0] for r in rows], dtype=np.int64), "tokens": pd.Series([r[1] for r in rows], dtype=object)})
 
 
-def whole_sets(docs: DataFrame, text: str, n: int, wanted: np.ndarray) -> DataFrame:
-    """(sig, tokens) of the sets whose name has its bit in ``wanted``, once each."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
-    bits = len(wanted)
+def whole_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame, bits: int) -> DataFrame:
+    """(sig, tokens) of the sets ``wanted`` (sig, id, rows), read from the rows of their owners.
+
+    Bitmaps of at most ``bits`` bits tell which rows to hash and which sets to
+    send, so a few other sets may come along, or one twice. Sets are shuffled to
+    become one only where an owner repeats.
+    """
+    names = _bitmap(wanted.select(F.pmod("sig", F.lit(bits)).alias("cell")).distinct(), "cell", bits)
+    rows = _bitmap(wanted.select(_cell("id", bits).alias("cell")).distinct(), "cell", bits)
+    sent = docs.sparkSession.sparkContext.broadcast((np.packbits(names), np.packbits(rows)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        want = sent.value
+        want, own = sent.value
         seen: set[int] = set()
         for b in batches:
-            rows = []
-            for x in b["t"]:
+            found = []
+            for x in b["t"][_held(own, b["cell"].to_numpy(np.int64))]:
                 s = shingles(x, n)
                 name = signature(s)
                 if len(s) and name not in seen and _held(want, np.array([name & (bits - 1)]))[0]:
                     seen.add(name)
-                    rows.append((name, s.astype(np.int64)))
-                if len(rows) >= SENT_ROWS:
-                    yield _frame(rows)
-                    rows = []
-            yield _frame(rows)
+                    found.append((name, s.astype(np.int64)))
+                if len(found) >= SENT_ROWS:
+                    yield _frame(found)
+                    found = []
+            yield _frame(found)
 
-    return _texts(docs, text).mapInPandas(run, "sig long, tokens array<long>").dropDuplicates(["sig"])
+    sets = docs.select(_cell(doc_id, bits).alias("cell"), text_of(text).alias("t")).mapInPandas(run, "sig long, tokens array<long>")
+    return sets if wanted.where("rows > 1").isEmpty() else sets.dropDuplicates(["sig"])
 
 
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -329,11 +348,13 @@ def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def verified(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
     """``pairs`` (a, na, b, nb) with ``same``, the size of the intersection, and on demand the ``diff`` itself."""
+    sets = sets.join(sides(pairs), "sig", "left_semi")  # few pairs then shuffle few sets
     left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.join(left, "a").join(right, "b")
     if not differences:
         return both.select("a", "na", "b", "nb", pandas_udf(_common, "int")("ta", "tb").alias("same"))
-    out = both.select("a", "na", "b", "nb", pandas_udf(_difference, "array<long>")("ta", "tb").alias("diff"))
+    differing = pandas_udf(_difference, "array<long>").asNondeterministic()  # taken once, not again for a filter
+    out = both.select("a", "na", "b", "nb", differing("ta", "tb").alias("diff"))
     return out.withColumn("same", ((F.col("na") + F.col("nb") - F.size("diff")) / 2).cast("int"))
 
 
@@ -367,10 +388,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def references(by_head: DataFrame, t: Fraction) -> DataFrame:
+def between(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """The distinct links (a, b) between components that links (a, b) between nodes make."""
+    at = comps.select("node", "comp")
+    placed = links.select("a", "b").join(at.toDF("a", "ca"), "a", "left").join(at.toDF("b", "cb"), "b", "left")
+    placed = placed.select(F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y")).where("x <> y")
+    return placed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def united(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after links (a, b) between its components or nodes that have none yet."""
+    new = components(links).select(F.col("node").alias("from"), F.col("comp").alias("to"))
+    old = comps.join(new, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    fresh = new.join(comps, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("comp"))
+    return materialize(old.unionByName(fresh), "join_components")
+
+
+def near_heads(by_head: DataFrame, t: Fraction) -> DataFrame:
+    """The rows of ``by_head`` that are linked or may serve as a reference."""
+    return by_head.where(F.size("diff") <= REFERENCE * (F.col("na") + F.col("nb") - 2 * _agree("na", "nb", t)))
+
+
+def references(near: DataFrame) -> DataFrame:
     """(sig, n, head, diff): for each set the one head that it derives its answers from, the most popular that is near enough."""
-    allowed = F.col("na") + F.col("nb") - 2 * _agree("na", "nb", t)
-    near = by_head.where(F.size("diff") <= REFERENCE * allowed)
     popular = near.groupBy("b").agg(F.count(F.lit(1)).alias("members"))
     best = near.join(popular, "b").groupBy(F.col("a").alias("sig")).agg(F.max(F.struct("members", "b")).alias("m"))
     best = best.select("sig", F.col("m.b").alias("head"))
@@ -395,22 +435,36 @@ def star_pairs(rows: DataFrame, comps: DataFrame, fits: Column, turn: int) -> Da
     return pairs.select(F.col("sig").alias("a"), F.col("n").alias("na"), "b", "nb").where(fits).distinct()
 
 
-def derived_pairs(rows: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
+def masks(heads: DataFrame) -> DataFrame:
+    """(sig, masks): parity masks of the differences to the heads; two of one head differ in no more bits than the sets do in tokens."""
+    odd = [F.expr(f"aggregate(filter(diff, v -> (v >> 6) & {MASKS - 1} = {k}), 0L, (held, v) -> held ^ shiftleft(1L, cast(v & 63 AS int)))") for k in range(MASKS)]
+    return heads.select("sig", F.array(*odd).alias("masks"))
+
+
+def derived_pairs(rows: DataFrame, heads: DataFrame, comps: DataFrame, t: Fraction) -> DataFrame:
     """Candidates (a, na, b, nb) of one head and two components, from shared tokens of their differences.
 
     Linked sets differ in at most D = (1 - t) / t * n tokens, so of the first
     D + 1 tokens of a difference, in any common order, one is shared; of the
     smaller difference one of the first D / 2 + 1. The order is by how rare a
-    token is among the differences of the head.
+    token is among the differences of the head. Pairs whose masks differ in more
+    bits than linked sets do in tokens, or whose first shared token comes too
+    late to leave enough of them, do not leave the join.
     """
     rows = rows.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     often = rows.groupBy("head", "token").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("sig").orderBy("often", "token"))
     most = F.floor(F.col("n") * (t.denominator - t.numerator) / F.lit(t.numerator)).cast("int")
     ranked = rows.join(often, ["head", "token"]).withColumn("place", place).where((F.col("place") <= most + 1) & (F.col("often") > 1)).withColumn("short", F.col("place") <= F.floor(most / 2) + 1)
-    small = ranked.where("short").select("head", "token", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("comp").alias("cx"))
-    large = ranked.select("head", "token", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("comp").alias("cy"))
+    ranked = ranked.join(masks(heads), "sig")
+    small = ranked.where("short").select("head", "token", F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("comp").alias("cx"), F.col("masks").alias("mx"), F.col("place").alias("px"))
+    large = ranked.select("head", "token", F.col("sig").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("comp").alias("cy"), F.col("masks").alias("my"), F.col("place").alias("py"))
+    least = reduce(Column.__add__, [F.bit_count(F.get("mx", F.lit(k)).bitwiseXOR(F.get("my", F.lit(k)))) for k in range(MASKS)])
     close = (F.col("dy") - F.col("dx")) * (t.denominator + t.numerator) <= (F.col("nx") + F.col("ny")) * (t.denominator - t.numerator)
+    allowed = F.col("nx") + F.col("ny") - 2 * _agree("nx", "ny", t)
+    # At the first shared token all others are still to come.
+    enough = 2 * (F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py")) + 1) >= F.col("dx") + F.col("dy") - allowed
+    close = close & enough & (least <= allowed)
     pairs = small.join(large, ["head", "token"]).where((F.struct("dx", "x") < F.struct("dy", "y")) & (F.col("cx") != F.col("cy")) & close)
     low = F.col("x") < F.col("y")
     return pairs.select(F.least("x", "y").alias("a"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.greatest("x", "y").alias("b"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
@@ -450,6 +504,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     tokens = total // 6
     bits = _bits(tokens // COUNTED)  # about one bit per counted token
     named = materialize(named_sets(docs, doc_id, text, n, bits, key), "join_named")
+    owned = materialize(owners(named), "join_owners")
     marks = materialize(named.select("sig", "marks").dropDuplicates(["sig"]), "join_marks")
     counted = named.where("cells IS NOT NULL").select("sig", "cells").dropDuplicates(["sig"])
     cells = counted.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
@@ -459,27 +514,25 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     fits = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
     first = lists.where("sig <> head").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("n_head").alias("nb")).where(fits).distinct()
     first = materialize(plausible(first, marks, t, REFERENCE_BITS), "join_heads")
-    sets = materialize(whole_sets(docs, text, n, _wanted(first, bits)), "join_sets")
-    by_head = materialize(verified(first, sets, differences=True), "join_by_head")
-    joined = by_head.where(linked(t)).select("a", "b")
-    comps = components(joined)
-    heads = materialize(references(by_head, t), "join_references")
+    sets = materialize(whole_sets(docs, doc_id, text, n, owned.join(sides(first), "sig", "left_semi"), bits), "join_sets")
+    by_head = materialize(near_heads(verified(first, sets, differences=True), t), "join_by_head")
+    comps = components(by_head.where(linked(t)).select("a", "b"))
+    heads = materialize(references(by_head), "join_references")
     rows = materialize(difference_rows(heads, comps), "join_differences")
     for turn in range(STAR_TURNS):
         near = materialize(plausible(star_pairs(rows, comps, fits, turn), marks, t), "join_stars")
-        found = materialize(verified(near, sets).where(linked(t)).select("a", "b"), "join_star_links")
+        found = materialize(between(verified(near, sets).where(linked(t)), comps), "join_star_links")
         if found.isEmpty():
             break
-        joined = joined.unionByName(found)
-        comps = components(joined)
-    pairs = materialize(derived_pairs(rows, comps, t).unionByName(list_pairs(lists, comps, heads, fits, t)).distinct(), "join_candidates")
+        comps = united(comps, found)
+    pairs = materialize(derived_pairs(rows, heads, comps, t).unionByName(list_pairs(lists, comps, heads, fits, t)).distinct(), "join_candidates")
     pairs = materialize(plausible(pairs, marks, t), "join_pairs")
-    met = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct().join(sets.select("sig"), "sig", "left_anti")
+    met = sides(pairs).join(sets.select("sig"), "sig", "left_anti")
     if not met.isEmpty():  # sets that no head asked for
-        more = whole_sets(docs, text, n, _wanted(pairs, bits))
-        sets = materialize(sets.unionByName(more).dropDuplicates(["sig"]), "join_sets")
-    second = materialize(verified(pairs, sets).where(linked(t)).select("a", "b"), "join_second")
-    final = comps if second.isEmpty() else components(joined.unionByName(second))
+        more = materialize(whole_sets(docs, doc_id, text, n, owned.join(met, "sig", "left_semi"), bits), "join_sets")
+        sets = sets.unionByName(more.join(met, "sig", "left_semi"))
+    second = materialize(between(verified(pairs, sets).where(linked(t)), comps), "join_second")
+    final = comps if second.isEmpty() else united(comps, second)
     return named.select("id", "key", "sig", "n"), final.withColumnRenamed("node", "sig")
 
 

@@ -66,3 +66,27 @@ def test_mixed_rows_keep_their_source(spark):
     for r in mixing.mixed_documents(docs).collect():
         given[r.source] += 40
     assert all(abs(given[s] - want[s]) <= 0.05 * want[s] for s in want)
+
+
+def test_copies_of_one_head_that_differ_too_much_are_not_paired(spark):
+    """Sets of 147 may differ in 22 tokens; these have 24 of their own difference each and share 4 or 16 of them."""
+    shared = {1: range(0, 4), 2: range(0, 4), 3: range(100, 116), 4: range(100, 116)}
+    own = {k: [t * 0x9E3779B97F4A7C15 % (1 << 63) for t in [*v, *range(1000 * k, 1000 * k + 24 - len(v))]] for k, v in shared.items()}
+    heads = spark.createDataFrame([(k, 147, 9, d) for k, d in own.items()], "sig long, n int, head long, diff array<long>")
+    comps = spark.createDataFrame([], "node long, comp long")
+    rows = ngram_join.difference_rows(heads, comps)
+    assert [(r.a, r.b) for r in ngram_join.derived_pairs(rows, heads, comps, ngram_join.THRESHOLD).collect()] == [(3, 4)]
+
+
+def test_few_pairs_fetch_few_sets(spark):
+    """Of copies the least id's row is read, and no set that nobody asked for; texts are not shuffled for it."""
+    text = {1: "a b c d e", 2: "A b c d e", 3: "f g h i j k"}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    named = ngram_join.named_sets(docs, "doc_id", "text", 4, 1 << 16)
+    wanted = ngram_join.owners(named).where("id = 1")
+    sets = ngram_join.whole_sets(docs, "doc_id", "text", 4, wanted, 1 << 16)
+    assert [len(r.tokens) for r in sets.collect()] == [2]
+    assert "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+    twice = docs.unionByName(docs)
+    wanted = ngram_join.owners(ngram_join.named_sets(twice, "doc_id", "text", 4, 1 << 16))
+    assert ngram_join.whole_sets(twice, "doc_id", "text", 4, wanted, 1 << 16).count() == 2
