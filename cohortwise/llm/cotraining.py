@@ -12,11 +12,12 @@ Models are fitted on bounded, hash-drawn samples of ``train_rows`` labelled and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +32,13 @@ SURE = 0.95
 DIMS = 1024
 META = 64
 STEPS = 60
+# Documents whose features a task holds at a time.
+SCORED = 256
 RIDGE = 1e-3
 LEAST = 0.2  # a document of a lower score is never kept, whatever a few held-out labels say
 
 
-def text_features(texts: pd.Series) -> np.ndarray:
+def text_features(texts: Sequence[str]) -> np.ndarray:
     """Shares of hashed byte pairs and of byte values, and the shape of the words."""
     out = np.zeros((len(texts), DIMS + 256 + 4), dtype=np.float32)
     for i, t in enumerate(texts):
@@ -162,10 +165,11 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, ut
     return Model(text, meta, weigh, cut_off(both, y[rows], keep_good))
 
 
-def _inputs(docs: DataFrame, text: str, lang: str, source: str) -> list:
+def _inputs(text: str, lang: str, source: str) -> list:
+    """What the metadata view reads."""
     t = text_of(text)
     number = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00"))), F.lit(1 << 20))
-    return [t.alias("__text"), number(lang).alias("__lang"), number(source).alias("__source"), F.char_length(t).alias("__chars"),
+    return [number(lang).alias("__lang"), number(source).alias("__source"), F.char_length(t).alias("__chars"),
             F.size(F.split(t, "\n")).alias("__lines"), (F.regexp_count(t, F.lit(" ")) + 1).alias("__words")]
 
 
@@ -173,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         train_rows: int = TRAIN_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS) -> Model | None:
     """Model from bounded samples. Several labels of an id: the worst counts; null and other labels are ignored."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isin(0, 1)).groupBy(F.col(doc_id).alias("__id")).agg(F.min(quality).cast("int").alias("__y"))
-    src = docs.select(F.col(doc_id).alias("__id"), *_inputs(docs, text, lang, source))
+    src = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("__text"), *_inputs(text, lang, source))
     drawn = F.xxhash64("__id", F.lit("draw"))
     # The draw is decided on ids alone, so that texts are read for drawn rows only.
     ids = known.orderBy(drawn, "__id").limit(train_rows)
@@ -218,17 +222,22 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     keep = [c for c in docs.columns if c not in names]
     if model is None:
         return docs.select(*keep, *[F.lit(None).cast("double").alias(c) for c in names[:3]], F.lit(True).alias("kept"))
-    src = docs.select(*keep, *_inputs(docs, text, lang, source))
+    read = F.col(text).alias("__text") if text not in keep else None
+    src = docs.select(*keep, *([] if read is None else [read]), *_inputs(text, lang, source))
     schema = docs.select(*keep).schema
     for c in names[:3]:
         schema = schema.add(c, "double")
     schema = schema.add("kept", "boolean")
+    column, meta = text if read is None else "__text", ["__lang", "__source", "__chars", "__lines", "__words"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Columns pass as they came; features are held for a few rows only.
         for b in batches:
-            t, m, s = model.score(text_features(b["__text"]), meta_features(b))
-            out = b[keep].copy()
-            out["text_score"], out["meta_score"], out["score"], out["kept"] = t.round(6), m.round(6), s.round(6), s >= model.threshold
-            yield out
-
-    return src.mapInPandas(run, schema)
+            parts = [np.zeros((3, 0))]
+            for at in range(0, b.num_rows, SCORED):
+                some = b.slice(at, SCORED)
+                parts.append(np.stack(model.score(text_features([x.as_py() or "" for x in some.column(column)]), meta_features(some.select(meta).to_pandas()))))
+            scores = np.concatenate(parts, axis=1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(v.round(6)) for v in scores), pa.array(scores[2] >= model.threshold)], names=[*keep, *names])
+
+    return src.mapInArrow(run, schema)

@@ -517,3 +517,19 @@ def test_classifier_sample_reaches_the_driver_in_parts(spark, monkeypatch):
     docs = known.selectExpr("doc_id", "concat('text ', quality, ' of ', doc_id) AS text", "'en' AS lang", "'web' AS source")
     model = cotraining.fit(docs, known)
     assert model is not None and len(model.text) == cotraining.DIMS + 260
+
+
+def test_classifier_sends_a_text_once_and_scores_in_slices(spark):
+    """Texts reach the tasks in one column, as Arrow batches; slices give the scores of the whole table."""
+    known = spark.createDataFrame([(i, i // 2 % 2) for i in range(40)], "doc_id long, quality int")
+    docs = known.selectExpr("doc_id", "CASE WHEN doc_id > 1 THEN concat('text ', quality, ' of ', doc_id) END AS text", "'en' AS lang", "'web' AS source")
+    out = cotraining.classify(docs, known)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "__text" not in plan
+    got = {r.doc_id: (r.text, r.score, r.kept) for r in out.coalesce(1).collect()}
+    step, cotraining.SCORED = cotraining.SCORED, 3
+    try:
+        assert {r.doc_id: (r.text, r.score, r.kept) for r in cotraining.classify(docs, known).collect()} == got
+    finally:
+        cotraining.SCORED = step
+    assert len(got) == 40 and got[0][0] is None
