@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.ngram_join import components
+from cohortwise.llm.ngram_join import united
 from cohortwise.llm.words import text_of
 from cohortwise.session import materialize
 
@@ -163,6 +163,12 @@ def _close(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
 
 
+def _lists(keys: DataFrame) -> DataFrame:
+    """(key, fp, n) of the keys (key, fp) of two fingerprints or more; a list of two that are not close can link nothing and is left out."""
+    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    return keys.join(crowded.where((F.col("n") > 1) & ((F.col("n") > 2) | _close("lo", "hi"))).drop("lo", "hi"), "key")
+
+
 def _placed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Lists (key, fp, n) that hold two components, with ``comp``."""
     rows = lists.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
@@ -187,26 +193,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return left.join(right, ["key", "piece"]).where((F.col("a") < F.col("b")) & _close("x", "y")).select("a", "b").distinct()
 
 
-def _united(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """``comps`` after links (a, b) between its components or fingerprints that have none yet."""
-    new = components(links).select(F.col("node").alias("from"), F.col("comp").alias("to"))
-    old = comps.join(new, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    fresh = new.join(comps, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("comp"))
-    return materialize(old.unionByName(fresh), "simhash_components")
-
-
 def links(fps: DataFrame) -> DataFrame:
     """(node, comp): the components of distinct fingerprints ``fps`` (fp), for those that link to another one."""
-    keys = materialize(_keyed(fps), "simhash_keys")
-    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = materialize(keys.join(crowded, "key"), "simhash_lists")
+    lists = materialize(_lists(materialize(_keyed(fps), "simhash_keys")), "simhash_lists")
     # Each turn a component takes one link at most, so links stay linear in fingerprints however crowded the lists are.
-    comps = _united(fps.select(F.col("fp").alias("node"), F.col("fp").alias("comp")).limit(0), materialize(_star(lists.withColumn("comp", F.col("fp")), 0), "simhash_links"))
+    comps = united(fps.select(F.col("fp").alias("node"), F.col("fp").alias("comp")).limit(0), materialize(_star(lists.withColumn("comp", F.col("fp")), 0), "simhash_links"))
     for turn in range(1, TURNS + 1):
         rows = materialize(_placed(lists, comps), "simhash_open")
         found = materialize(_star(rows, turn) if turn < TURNS else _pairs(rows), "simhash_links")
         if not found.isEmpty():
-            comps = _united(comps, found)
+            comps = united(comps, found)
     return comps
 
 

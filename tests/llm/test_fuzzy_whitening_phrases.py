@@ -262,3 +262,9 @@ def test_phrases_with_small_summaries(spark, sf, monkeypatch):
 def test_phrases_of_an_empty_table(spark, no_documents):
     assert collocations.mine(no_documents).count() == 0
     assert collocations.mine(spark.createDataFrame([(None, None)], "text string, lang string")).count() == 0
+
+
+def test_simhash_lists_of_two_that_are_not_close_are_left_out(spark):
+    rows = [(1, 0), (1, 0b1111), (2, 0), (2, 0b11111), (3, 0), (3, 0xFF), (3, 0xFFFF), (4, 7)]
+    got = simhash._lists(spark.createDataFrame(rows, "key long, fp long")).collect()
+    assert Counter((r.key, r.n) for r in got) == {(1, 2): 2, (3, 3): 3}
