@@ -59,3 +59,12 @@ def test_fisher_small_and_large():
 def test_all_white_space_is_stripped(spark):
     got = spark.createDataFrame([("\tUnknown\n",), (" x\r\n",), ("\x0b",)], "v string").select(text.norm_missing(F.col("v"))).collect()
     assert [r[0] for r in got] == [None, "x", None]
+
+
+def test_a_view_task_takes_a_quarter_of_a_million_lines(spark, monkeypatch):
+    from cohortwise.plans import views
+
+    keys = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+    monkeypatch.setattr(views, "table", lambda spark, sf_dir, name: spark.range(6_000_000).withColumnRenamed("id", keys[name]))
+    plan = views._spread(spark, "", list(keys))["lineitem"]._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression" in plan and ", 24" in plan
