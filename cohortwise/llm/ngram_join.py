@@ -26,7 +26,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import lru_cache, reduce
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from cohortwise.llm.words import text_of
-from cohortwise.session import materialize
+from cohortwise.session import cleaned, materialize, setting
 
 NGRAM = 4
 THRESHOLD = Fraction(85, 100)
@@ -61,7 +61,7 @@ POSITION_BLOCK = 8
 STAR_TURNS = 2
 # 64-bit words of the parity masks of differences to a head, which are compared inside the join.
 MASKS = 4
-# Sets that a task sends at a time.
+# Sets, or texts to make them of, that go to or from Python at a time.
 SENT_ROWS = 500
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -174,7 +174,8 @@ def _bits(entries: int) -> int:
 
 def _bitmap(rows: DataFrame, bucket: str, bits: int) -> np.ndarray:
     """Bool per bucket; at most ``bits`` / 8 bytes come to the driver."""
-    made = rows.groupBy(F.bitmap_bucket_number(F.col(bucket) + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(bucket) + 1)).alias("m")).collect()
+    with cleaned(rows.sparkSession):
+        made = rows.groupBy(F.bitmap_bucket_number(F.col(bucket) + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(bucket) + 1)).alias("m")).collect()
     out = np.zeros(bits // 8 + 4096, dtype=np.uint8)
     for r in made:
         a = np.frombuffer(bytes(r.m), dtype=np.uint8)
@@ -223,9 +224,9 @@ def index_entries(docs: DataFrame, text: str, n: int, crowded: np.ndarray, t: Fr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = sent.value
         seen: set[int] = set()
-        for b in batches:
+        for texts in (b["t"].iloc[at:at + SENT_ROWS] for b in batches for at in range(0, len(b), SENT_ROWS)):
             rows = []
-            for x in b["t"]:
+            for x in texts:
                 s = shingles(x, n)
                 name = signature(s)
                 if not len(s) or name in seen:
@@ -283,12 +284,7 @@ def met_lists(entries: DataFrame) -> DataFrame:
     met = materialize(dealt.mapInPandas(met_entries, "token long, sig long, n int, pos int, late boolean, head long, n_head int"), "join_entries")
     late = met.where("late").select("token", "sig", "n", "pos").dropDuplicates(["token", "sig"])
     heads = late.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("h"), F.max("sig").alias("m")).where("h.sig < m").select("token", F.col("h.sig").alias("head"), F.col("h.n").alias("n_head"))
-    return met.where("not late").drop("late").unionByName(late.join(heads, "token"))
-
-
-def sides(pairs: DataFrame) -> DataFrame:
-    """(sig) of all sets in pairs (a, b), once each."""
-    return pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    return met.where("not late").drop("late").unionByName(materialize(late.join(heads, "token"), "join_late"))
 
 
 def owners(named: DataFrame) -> DataFrame:
@@ -346,10 +342,13 @@ def _difference(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([np.setxor1d(x, y, assume_unique=True) for x, y in zip(a, b)], index=a.index, dtype=object)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """``pairs`` (a, na, b, nb) with ``same``, the size of the intersection, and on demand the ``diff`` itself."""
-    sets = sets.join(sides(pairs), "sig", "left_semi")  # few pairs then shuffle few sets
-    left, right = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb"))
+def verified(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], differences: bool = False) -> DataFrame:
+    """``pairs`` (a, na, b, nb) with ``same``, the size of the intersection, and on demand the ``diff`` itself.
+
+    ``fetch`` gives (sig, tokens) of the sets (sig). Each side fetches its own, so
+    heads, which are few, are not sent with their members.
+    """
+    left, right = (fetch(pairs.select(F.col(side).alias("sig")).distinct()).toDF(side, f"t{side}") for side in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
     if not differences:
         return both.select("a", "na", "b", "nb", pandas_udf(_common, "int")("ta", "tb").alias("same"))
@@ -366,6 +365,12 @@ def plausible(pairs: DataFrame, marks: DataFrame, t: Fraction, times: int = 1) -
     return kept.where(F.col("least") <= times * (F.col("na") + F.col("nb") - 2 * _agree("na", "nb", t))).select("a", "na", "b", "nb")
 
 
+def written_few(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written by tasks that pass ``SENT_ROWS`` rows at a time to Python: whole sets and texts are long rows."""
+    with setting(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(SENT_ROWS)):
+        return materialize(df, label)
+
+
 def linked(t: Fraction) -> Column:
     return F.col("same") * t.denominator >= (F.col("na") + F.col("nb") - F.col("same")) * t.numerator
 
@@ -503,35 +508,34 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     total = docs.select(F.sum(F.octet_length(text_of(text)))).first()[0] or 0
     tokens = total // 6
     bits = _bits(tokens // COUNTED)  # about one bit per counted token
-    named = materialize(named_sets(docs, doc_id, text, n, bits, key), "join_named")
+    named = written_few(named_sets(docs, doc_id, text, n, bits, key), "join_named")
     owned = materialize(owners(named), "join_owners")
     marks = materialize(named.select("sig", "marks").dropDuplicates(["sig"]), "join_marks")
     counted = named.where("cells IS NOT NULL").select("sig", "cells").dropDuplicates(["sig"])
     cells = counted.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     crowded = _bitmap(cells.where(F.col("n") >= max(CROWDED, 8 * tokens / COUNTED / bits)), "cell", bits)
-    lists = materialize(met_lists(index_entries(docs, text, n, crowded, t)), "join_lists")
+    lists = met_lists(index_entries(docs, text, n, crowded, t))
+
+    def fetch(sigs: DataFrame) -> DataFrame:
+        return whole_sets(docs, doc_id, text, n, owned.join(sigs, "sig", "left_semi"), bits)
 
     fits = (F.col("na") * t.denominator >= F.col("nb") * t.numerator) & (F.col("nb") * t.denominator >= F.col("na") * t.numerator)
     first = lists.where("sig <> head").select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("head").alias("b"), F.col("n_head").alias("nb")).where(fits).distinct()
     first = materialize(plausible(first, marks, t, REFERENCE_BITS), "join_heads")
-    sets = materialize(whole_sets(docs, doc_id, text, n, owned.join(sides(first), "sig", "left_semi"), bits), "join_sets")
-    by_head = materialize(near_heads(verified(first, sets, differences=True), t), "join_by_head")
+    # Sets are made of their texts where they are asked for: a table of them would be as large as the texts.
+    by_head = written_few(near_heads(verified(first, fetch, differences=True), t), "join_by_head")
     comps = components(by_head.where(linked(t)).select("a", "b"))
     heads = materialize(references(by_head), "join_references")
     rows = materialize(difference_rows(heads, comps), "join_differences")
     for turn in range(STAR_TURNS):
         near = materialize(plausible(star_pairs(rows, comps, fits, turn), marks, t), "join_stars")
-        found = materialize(between(verified(near, sets).where(linked(t)), comps), "join_star_links")
+        found = written_few(between(verified(near, fetch).where(linked(t)), comps), "join_star_links")
         if found.isEmpty():
             break
         comps = united(comps, found)
     pairs = materialize(derived_pairs(rows, heads, comps, t).unionByName(list_pairs(lists, comps, heads, fits, t)).distinct(), "join_candidates")
     pairs = materialize(plausible(pairs, marks, t), "join_pairs")
-    met = sides(pairs).join(sets.select("sig"), "sig", "left_anti")
-    if not met.isEmpty():  # sets that no head asked for
-        more = materialize(whole_sets(docs, doc_id, text, n, owned.join(met, "sig", "left_semi"), bits), "join_sets")
-        sets = sets.unionByName(more.join(met, "sig", "left_semi"))
-    second = materialize(between(verified(pairs, sets).where(linked(t)), comps), "join_second")
+    second = written_few(between(verified(pairs, fetch).where(linked(t)), comps), "join_second")
     final = comps if second.isEmpty() else united(comps, second)
     return named.select("id", "key", "sig", "n"), final.withColumnRenamed("node", "sig")
 
