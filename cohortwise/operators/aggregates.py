@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.numeric import ratio
 from cohortwise.operators.ordering import medians, quantiles
+from cohortwise.session import materialize
 
 
 def collapse(df: DataFrame, keys: Sequence[str], value: str, how: str = "mean") -> DataFrame:
@@ -70,8 +71,13 @@ def vector_mean_std(df: DataFrame, keys: Sequence[str], vec: str, out: str = "x"
 
 
 def vector_median(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
-    """Element-wise median per key as long ``(position, value)`` rows."""
-    long = df.select(*keys, F.posexplode(vec).alias("position", "__v"))
+    """Element-wise median per key as long ``(position, value)`` rows.
+
+    Vectors are written first: means that are summed anew, in another order,
+    differ in their last bits, and :func:`quantiles` reads its rows twice.
+    """
+    written = materialize(df.select(*keys, vec), "vectors")
+    long = written.select(*keys, F.posexplode(vec).alias("position", "__v"))
     return medians(long, [*keys, "position"], "__v", "value")
 
 

@@ -8,8 +8,10 @@ from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from cohortwise.operators import ordering as od
+from cohortwise.operators.aggregates import vector_median
 from cohortwise.operators.selection import evenly_spaced
 from cohortwise.operators.windows import bh_adjust, percentile_rank
+from cohortwise.session import setting
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +119,23 @@ def test_evenly_spaced_positions(spark, n, k):
     got = sorted(r["id"] for r in evenly_spaced(df, ["g"], "v", [F.col("v"), F.col("id")], k).collect())
     want = sorted(set(np.linspace(0, n - 1, k).round().astype(int))) if n > k else list(range(n))
     assert got == want
+
+
+def wobbling(spark_type):
+    """Changes values by a few last bits, otherwise in every evaluation, as sums in the order of a shuffle's arrival do."""
+    def run(s: pd.Series) -> pd.Series:
+        rng = np.random.default_rng()
+        return s.map(lambda v: np.asarray(v) * (1 + rng.integers(-4, 5, np.shape(v)) * 2.0**-52))
+
+    return F.pandas_udf(run, spark_type).asNondeterministic()
+
+
+def test_vector_median_of_means_that_differ_in_their_last_bits(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5, 8))
+    df = spark.createDataFrame([(g, [float(v) for v in row]) for g in range(40) for row in x[g]], "g int, x array<double>")
+    with setting(spark, "spark.sql.shuffle.partitions", "64"):
+        got = vector_median(df.withColumn("x", wobbling("array<double>")("x")), ["g"], "x").toPandas()
+    assert len(got) == 40 * 8 and got["value"].notna().all()
+    want = np.median(x, axis=1)[got["g"], got["position"]]
+    np.testing.assert_allclose(got["value"], want, rtol=1e-12)
