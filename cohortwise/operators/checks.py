@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortwise.functions.numeric import ratio
 from cohortwise.operators.ordering import quantiles
 from cohortwise.operators.setops import upsert
+from cohortwise.session import materialize
 
 # Fixed value: bytes per TiB.
 TIB = float(1024**4)
@@ -60,11 +61,16 @@ def expected_counts(df: DataFrame, group: Sequence[str], expected: DataFrame) ->
 
 
 def matrix_health(df: DataFrame, feature: Sequence[str], value: str) -> DataFrame:
-    """Finite share, constant features, largest and p95 absolute feature mean, minimum."""
+    """Finite share, constant features, largest and p95 absolute feature mean, minimum.
+
+    The means are written once: those of centred features are rounding noise,
+    another in every evaluation, and :func:`quantiles` reads them twice.
+    """
     v = F.col(value)
     finite_v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     per = df.groupBy(*feature).agg(F.count(F.lit(1)).alias("n"), F.count(finite_v).alias("n_finite"), F.abs(F.avg(finite_v)).alias("abs_mean"),
                                    F.min(finite_v).alias("lo"), F.max(finite_v).alias("hi"))
+    per = materialize(per, "features")
     one = per.agg(F.count(F.lit(1)).alias("features"), F.sum("n").alias("cells"), (F.sum("n") - F.sum("n_finite")).alias("non_finite"),
                   F.count_if(F.col("lo") == F.col("hi")).alias("constant_features"), F.max("abs_mean").alias("max_abs_mean"), F.min("lo").alias("min_value"))
     p95 = quantiles(per.select("abs_mean"), [], "abs_mean", {"p95_abs_mean": 0.95})

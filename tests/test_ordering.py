@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
+from cohortwise.operators import checks
 from cohortwise.operators import ordering as od
 from cohortwise.operators.aggregates import vector_median
 from cohortwise.operators.selection import evenly_spaced
@@ -139,3 +140,19 @@ def test_vector_median_of_means_that_differ_in_their_last_bits(spark):
     assert len(got) == 40 * 8 and got["value"].notna().all()
     want = np.median(x, axis=1)[got["g"], got["position"]]
     np.testing.assert_allclose(got["value"], want, rtol=1e-12)
+
+
+def test_quantiles_of_feature_means_read_the_same_means_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 9))
+    df = spark.createDataFrame([(f, float(v)) for f in range(120) for v in x[f] - x[f].mean()], "feature int, z double")
+    read = []
+
+    def quantiles(means, *args):
+        read.extend(sorted(means.collect()) for _ in range(2))
+        return od.quantiles(means, *args)
+
+    monkeypatch.setattr(checks, "quantiles", quantiles)
+    got = checks.matrix_health(df.withColumn("z", wobbling("double")("z")), ["feature"], "z").first()
+    assert read[0] == read[1] and len(read[0]) == 120
+    assert got["p95_abs_mean"] == pytest.approx(np.quantile([m for m, in read[0]], 0.95), rel=1e-12) and got["max_abs_mean"] == max(read[0])[0]
