@@ -1,6 +1,7 @@
 """Moment-based models against direct NumPy computations on small fixtures."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from cohortwise.operators import regression as rg
 from cohortwise.operators import resample as rs
 from cohortwise.operators import survival as sv
 from cohortwise.operators.impute import knn_impute, median_fill
+from cohortwise.plans import catalog
 
 N, P, Q = 90, 5, 3
 
@@ -131,6 +133,23 @@ def test_retraining_null_blocks_equal_separate_fits(spark, data):
         assert got["median"] == pytest.approx(np.median(r), abs=1e-9)
 
 
+def test_retraining_null_in_parts(spark, data, monkeypatch):
+    whole = rs.retraining_null(data[3], 5, 3, 2, 11, first=2).toPandas().sort_values(["cohort", "perm"])
+    assert sorted(whole.perm.unique()) == [-1, 2, 3, 4, 5, 6]
+    monkeypatch.setattr(rs, "AT_ONCE", 2)
+    parts = rs.retraining_null(data[3], 5, 3, 2, 11, first=2).toPandas().sort_values(["cohort", "perm"])
+    pd.testing.assert_frame_equal(whole.reset_index(drop=True), parts.reset_index(drop=True), rtol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["k2_retraining_null", "k2_retraining_verdict"])
+def test_retraining_null_draws_all_permutations(spark, sf, name):
+    got = catalog.QUERIES[name](spark, sf).toPandas()
+    if name == "k2_retraining_null":
+        assert (got.groupby("cohort")["perm"].agg(lambda p: sorted(p) == list(range(-1, 100)))).all()
+    else:
+        assert (got["n_null"] == 100).all()
+
+
 def test_leave_one_out_ridge(data):
     x, y, cohort, df = data
     models = rg.loo_ridge_models(df, P, Q, rg.LOO_ALPHAS, ["cohort"]).toPandas()
