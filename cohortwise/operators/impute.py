@@ -23,6 +23,8 @@ NEIGHBOURS = 10
 CHUNK_CELLS = 4_000_000
 # Cells of donors around sampled rows, at most, classes of missing cells, and numbers that boxes or a sample may send to the driver.
 PIVOTS, MISSING_CLASSES, SAMPLE_ROWS, BOX_CELLS = 64, 8, 4096, 4_000_000
+# Donors of a batch that a cell takes in one by one, at most; more are sorted.
+TURNS = 4
 # Blocks of receivers that donors pass together, and tasks of such blocks at most.
 RECEIVER_BLOCKS, MAX_TASKS = 8, 4096
 
@@ -82,6 +84,55 @@ def _nearest(a: np.ndarray, b: np.ndarray, k: int, most: np.ndarray) -> Iterator
         yield j, rec[row[top]], don[col[top]], exact[top]
 
 
+class _Pairs:
+    """Which donors may come within a distance of a receiver: all that do, and few others.
+
+    A sum of squares over shared cells less what the distance allows for them
+    is one product of single-precision matrices. Two more columns take off what
+    its rounding may add, so that no pair is lost; the caller computes exact
+    distances. Pairs that share no cell are among the others.
+    """
+
+    # A sum of n single-precision products is off by less than n times this share of their absolute sum.
+    ROUNDING, LEAST = 1.2e-7, 1e-30
+
+    def __init__(self, a: np.ndarray):
+        seen = ~np.isnan(a)
+        self.width = a.shape[1]
+        self.centre = np.where(seen, a, 0.0).sum(axis=0) / np.maximum(seen.sum(axis=0), 1)
+        self.seen, self.z = seen, np.where(seen, a - self.centre, 0.0)
+        self.share = self.ROUNDING * (3 * self.width + 8)
+        self._scale(np.abs(self.z).max(initial=0.0))
+
+    def _scale(self, largest: float) -> None:
+        self.scale = largest if largest > 0 else 1.0
+        z = self.z / self.scale
+        self.square, self.sums = (z * z).astype(np.float32), (z * z).sum(axis=1)
+        self.left = np.empty((len(z), 3 * self.width + 2), dtype=np.float32)
+        self.left[:, self.width:2 * self.width] = self.seen
+        self.left[:, 2 * self.width:3 * self.width] = -2.0 * z
+        self.left[:, -1] = 1.0
+
+    def meet(self, b: np.ndarray) -> None:
+        seen = ~np.isnan(b)
+        z = np.where(seen, b - self.centre, 0.0)
+        largest = np.abs(z).max(initial=0.0)
+        if largest > self.scale:
+            self._scale(largest)
+        z /= self.scale
+        sums = (z * z).sum(axis=1)
+        self.right = np.hstack([seen, z * z, z, np.ones((len(z), 1)), -(2.0 * self.share * sums + self.LEAST)[:, None]]).astype(np.float32)
+
+    def within(self, rows, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions among ``rows``, donors) of pairs that may be as near as ``most``, which is finite."""
+        allowed = np.minimum((most / self.scale) ** 2 * (1 + 1e-6), 16.0 * self.width**2)  # beyond, any pair is near
+        left = self.left[rows]
+        left[:, :self.width] = np.where(self.seen[rows], self.square[rows] - (allowed / self.width).astype(np.float32)[:, None], np.float32(0))
+        left[:, -2] = -(self.share * (2.0 * self.sums[rows] + allowed) + self.LEAST)
+        at = np.flatnonzero((left @ self.right.T).ravel() <= 0)
+        return np.divmod(at, len(self.right))
+
+
 class _Nearest:
     """The k nearest donors so far of every missing cell of a block of receivers.
 
@@ -91,12 +142,12 @@ class _Nearest:
 
     def __init__(self, a: np.ndarray, reach: np.ndarray, k: int):
         self.a, self.k, self.seen = a, k, 0
+        self.pairs = _Pairs(a)
         self.row, self.position = np.nonzero(np.isnan(a))
         self.first = np.searchsorted(self.row, np.arange(len(a)))
         self.holes = np.bincount(self.row, minlength=len(a))
         self.distance = np.full((len(self.row), k), np.inf)
         self.value = np.full((len(self.row), k), np.nan)
-        self.order = np.full((len(self.row), k), -1)
         self.donor = np.empty((len(self.row), k), dtype=object)
         self.reach = np.where(np.isnan(reach), np.inf, reach)
         self._limits()
@@ -112,20 +163,27 @@ class _Nearest:
 
     def _part(self, names: np.ndarray, b: np.ndarray) -> None:
         width = b.shape[1]
-        rough, slack = _scaled(self.a, b)
-        close = rough <= self.most[:, None] ** 2 * (1 + 1e-9) + 2 * slack
+        self.pairs.meet(b)
+        row, col = self.pairs.within(slice(None), self.most)
         wanting = np.flatnonzero(self.wants.any(axis=1))
         if len(wanting):
-            close[wanting] |= (self.wants[wanting] @ (~np.isnan(b)).T.astype(np.float32) > 0) & (rough[wanting] <= self.reach[wanting, None] ** 2 * (1 + 1e-9) + 2 * slack[wanting])
-        row, col = np.nonzero(close & np.isfinite(rough))
-        del rough, close
+            has = self.wants[wanting] @ (~np.isnan(b)).T.astype(np.float32) > 0
+            if np.isfinite(self.reach[wanting]).all():
+                r, c = self.pairs.within(wanting, self.reach[wanting])
+                keep = has[r, c]
+                r, c = r[keep], c[keep]
+            else:
+                r, c = np.nonzero(has)
+            both = np.unique(np.concatenate([row * len(b) + col, wanting[r] * len(b) + c]))
+            row, col = np.divmod(both, len(b))
         pairs = max(1, CHUNK_CELLS // width)
         for at in range(0, len(row), pairs):
             r, c = row[at:at + pairs], col[at:at + pairs]
             x, y = self.a[r], b[c]
             both = ~(np.isnan(x) | np.isnan(y))
-            exact = np.sqrt((np.where(both, x - y, 0.0)**2).sum(axis=1) * width / both.sum(axis=1))
-            near = exact <= self.reach[r]
+            shared = both.sum(axis=1)
+            exact = np.sqrt((np.where(both, x - y, 0.0)**2).sum(axis=1) * width / np.maximum(shared, 1))
+            near = (shared > 0) & (exact <= self.reach[r])
             r, c, exact = r[near], c[near], exact[near]
             n = self.holes[r]
             hole = np.repeat(self.first[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -137,18 +195,36 @@ class _Nearest:
     def _take(self, hole: np.ndarray, exact: np.ndarray, value: np.ndarray, col: np.ndarray, names: np.ndarray) -> None:
         if not len(hole):
             return
-        # Those already held come first and earlier donors before later ones, so a stable sort settles equal distances.
-        held = np.unique(hole)
-        holes = np.concatenate([np.repeat(held, self.k), hole])
-        dist, val = np.concatenate([self.distance[held].ravel(), exact]), np.concatenate([self.value[held].ravel(), value])
-        order = np.concatenate([self.order[held].ravel(), self.seen + col])
-        who = np.concatenate([self.donor[held].ravel(), names[col]])
-        by = np.lexsort((order, dist, holes))
-        by = by[np.arange(len(by)) - np.searchsorted(holes[by], holes[by]) < self.k]
-        self.distance[held], self.value[held] = dist[by].reshape(-1, self.k), val[by].reshape(-1, self.k)
-        self.order[held], self.donor[held] = order[by].reshape(-1, self.k), who[by].reshape(-1, self.k)
+        # Earlier donors come before later ones, those already held first, so equal distances keep the earlier.
+        by = np.argsort(hole, kind="stable")
+        hole, exact, value, col = hole[by], exact[by], value[by], col[by]
+        start = np.flatnonzero(np.append(True, hole[1:] != hole[:-1]))
+        count = np.diff(np.append(start, len(hole)))
+        turn, many = np.arange(len(hole)) - np.repeat(start, count), np.repeat(count > TURNS, count)
+        for t in range(min(TURNS, count.max())):
+            now = (turn == t) & ~many
+            self._insert(hole[now], exact[now], value[now], col[now], names)
+        if many.any():
+            held = hole[start[count > TURNS]]
+            holes = np.concatenate([np.repeat(held, self.k), hole[many]])
+            dist, val = np.concatenate([self.distance[held].ravel(), exact[many]]), np.concatenate([self.value[held].ravel(), value[many]])
+            who = np.concatenate([self.donor[held].ravel(), names[col[many]]])
+            by = np.lexsort((dist, holes))
+            by = by[np.arange(len(by)) - np.searchsorted(holes[by], holes[by]) < self.k]
+            self.distance[held], self.value[held], self.donor[held] = dist[by].reshape(-1, self.k), val[by].reshape(-1, self.k), who[by].reshape(-1, self.k)
         self._limits()
 
+    def _insert(self, hole: np.ndarray, exact: np.ndarray, value: np.ndarray, col: np.ndarray, names: np.ndarray) -> None:
+        """One donor each for different cells, behind those as near."""
+        at = (self.distance[hole] <= exact[:, None]).sum(axis=1)
+        inside = at < self.k
+        hole, exact, value, col, at = hole[inside], exact[inside], value[inside], col[inside], at[inside, None]
+        place = np.arange(self.k)
+        for held, new in ((self.distance, exact), (self.value, value), (self.donor, names[col])):
+            old = held[hole]
+            moved = np.concatenate([old[:, :1], old[:, :-1]], axis=1)
+            held[hole] = np.where(place < at, old, np.where(place == at, new[:, None], moved))
+
     def _limits(self) -> None:
         """By receiver the distance that a donor must keep for a cell that has k, and the cells that have fewer."""
         last, full = self.distance[:, -1], np.isfinite(self.distance[:, -1])

@@ -116,3 +116,34 @@ def test_copies_ask_once_and_donate_as_often_as_needed(spark):
     have[got.entity, got.feature.str[1:].astype(int)] = got.value
     assert np.allclose(have, reference(many, 4), rtol=1e-9, equal_nan=True)
     assert asked[0].where("asks").count() <= 80 and asked[0].count() <= 4 * 80
+
+
+@pytest.mark.parametrize("kind", ["even", "sparse", "outlier", "far from zero", "tiny and huge", "equal"])
+def test_pairs_within_a_distance_lose_none(kind):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(60, 6)), rng.normal(size=(150, 6))
+    if kind == "outlier":
+        b[3, 2] = 1e30
+    if kind == "far from zero":
+        a, b = a + 1e9, b + 1e9
+    if kind == "tiny and huge":
+        a, b = a * 10.0 ** rng.integers(-12, 12, size=(60, 1)), b * 10.0 ** rng.integers(-12, 12, size=(150, 1))
+    if kind == "equal":
+        b[:60] = a
+    share = 0.8 if kind == "sparse" else 0.2
+    a[rng.random(a.shape) < share], b[rng.random(b.shape) < share] = np.nan, np.nan
+    both = ~np.isnan(a)[:, None] & ~np.isnan(b)[None]
+    shared = both.sum(axis=2)
+    distance = np.sqrt(np.where(both, a[:, None] - np.nan_to_num(b)[None], 0.0) ** 2 @ np.ones(6) * 6 / np.maximum(shared, 1))
+    pairs = impute._Pairs(a)
+    for most in (np.sort(np.where(shared > 0, distance, np.inf), axis=1)[:, 4], np.zeros(60)):
+        most = np.where(np.isfinite(most), most, 0.0)
+        near = (shared > 0) & (distance <= most[:, None])
+        got = np.zeros(near.shape, dtype=bool)
+        for at in range(0, 150, 50):
+            pairs.meet(b[at:at + 50])
+            r, c = pairs.within(slice(None), most)
+            got[r, at + c] = True
+        assert (got | ~near).all()
+        if kind == "even":
+            assert (got & (shared > 0)).sum() <= 1.05 * near.sum() + 5
