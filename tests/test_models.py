@@ -510,3 +510,18 @@ def test_random_set_weights_use_matched_sizes(spark):
     np.testing.assert_allclose(w.sum(axis=0), 0.0, atol=1e-12)
 
 
+
+
+def test_drawn_orders_are_the_permutation_map(spark):
+    ids = spark.createDataFrame([(c, f"e{e}") for c, n in (("a", 40), ("b", 1)) for e in range(n)], "cohort string, entity string")
+    fixed = rs._base_order(ids, 3)
+    at = {(r.cohort, r.position): r.entity for r in fixed.collect()}
+    got = {(r.cohort, r.perm, at[(r.cohort, i + 1)]): at[(r.cohort, p)] for r in rs._drawn_orders(fixed, 19, 3).collect() for i, p in enumerate(r.lends)}
+    assert got == {(r.cohort, r.perm, r.entity): r.donor for r in rs.permutation_map(ids, 19, 3).collect()}
+
+
+def test_label_shuffle_keeps_no_row_per_entity_and_order(spark, monkeypatch):
+    df = spark.createDataFrame([("a", e, "f", float(e % 7), float(e % 5)) for e in range(50)], "cohort string, entity int, feature string, value double, pred double")
+    wide = []
+    monkeypatch.setattr(rs, "hash_positions", lambda rows, *args, real=rs.hash_positions: (wide.extend(rows.columns), real(rows, *args))[1])
+    assert rs.shuffled_correlations(df, 6, 3).count() == 6 and "perm" not in wide
